@@ -56,6 +56,17 @@ SCORED_SQL = """SELECT md5(concat_ws('|', cast(l_orderkey as string), cast(l_par
       + CASE WHEN l_returnflag='R' THEN 0.3 ELSE 0 END as double) AS score
 FROM {lineitem}"""
 
+# B4 helper: text and numeric columns with gaps (and infinities).
+GAPS_SQL = """SELECT md5(concat_ws('|', cast(l_orderkey as string), cast(l_partkey as string), cast(l_suppkey as string),
+     cast(l_linenumber as string), cast(cast(l_quantity as bigint) as string), cast(l_shipdate as string))) AS flow_key,
+ CASE WHEN l_partkey%17=0 THEN NULL ELSE l_returnflag END AS flag_txt,
+ CASE WHEN l_partkey%13=0 THEN NULL ELSE l_linestatus END AS status_txt,
+ CASE WHEN l_partkey%11=0 THEN NULL ELSE l_quantity END AS qty,
+ CASE WHEN l_partkey%19=0 THEN CAST('Infinity' AS DOUBLE) ELSE l_extendedprice END AS price,
+ l_discount AS disc,
+ cast(CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END as int) AS Label
+FROM {lineitem}"""
+
 EMB_SQL = """SELECT vec_id, label, embedding FROM {embeddings}"""
 
 _TABLES = {
@@ -63,6 +74,7 @@ _TABLES = {
     "ev": (EV_SQL, ("events",)),
     "od": (OD_SQL, ("orders", "customer")),
     "scored": (SCORED_SQL, ("lineitem",)),
+    "gaps": (GAPS_SQL, ("lineitem",)),
 }
 
 

@@ -157,14 +157,14 @@ def _with_flow_id(df: DataFrame, key: str | None, flow_id: str | None) -> DataFr
 
 
 def _finish(cols: list[Column], stats: list[Column], df: DataFrame, key: str | None,
-            id_col: Column | None) -> DataFrame:
+            id_col: Column | None, number: bool = True) -> DataFrame:
     out_cols = list(cols)
     if id_col is not None:
         out_cols.append(id_col.cast("bigint").alias("flow_id"))
     if key and id_col is None:
         out_cols.append(F.col(key))
     out = df.select(*out_cols, *stats)
-    if id_col is None and key:
+    if id_col is None and key and number:
         out = dense_index(out, [key], "flow_id")
     return out
 
@@ -274,7 +274,8 @@ def adapt_unsw(df: DataFrame) -> DataFrame:
 
 
 # PRJ-5 -----------------------------------------------------------------------
-def adapt_netflow(df: DataFrame, key: str | None = "flow_key", variant: str = "v1") -> DataFrame:
+def adapt_netflow(df: DataFrame, key: str | None = "flow_key", variant: str = "v1",
+                  number: bool = True) -> DataFrame:
     """NetFlow v1/v2 -> common-v1.
 
     ``variant='v1'`` passes ``l7_proto``; ``'v2'`` passes the seven extra v2
@@ -292,7 +293,7 @@ def adapt_netflow(df: DataFrame, key: str | None = "flow_key", variant: str = "v
              .otherwise(F.coalesce(fn.literal_map(fn.ATTACK_FAMILIES)[attack], F.lit("Other"))).alias("attack_type")]
     extra_names = ["L7_PROTO"] if variant == "v1" else NETFLOW_V2_EXTRA
     extra = [F.col(c).alias(c.lower()) for c in extra_names if _has(df, c)]
-    return _finish(cols, extra, df, key, None)
+    return _finish(cols, extra, df, key, None, number)
 
 
 # PRJ-6 -----------------------------------------------------------------------

@@ -2,9 +2,9 @@
 
 No operator here moves all rows, or all rows of one group, into one task:
 
-* ``dense_index`` range-partitions on a unique order key, numbers rows inside
-  each range partition, and adds the running count of the earlier partitions
-  (a table with one row per partition).
+* ``dense_index`` cuts the key range into B buckets at bounds taken from a
+  content-hash sample, numbers rows inside each bucket, and adds the running
+  count of the earlier buckets (a table with one row per bucket).
 * ``mark_first_n`` keeps/marks the first ``n`` rows of every group in the
   shared hash order.  It histograms the order into 65,536 buckets per group
   (partially aggregated), finds the one boundary bucket per group on that
@@ -17,35 +17,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import hash_order
+from ..functions import hash_order, hash_unit
 
-_POS_BITS = 33  # monotonically_increasing_id: partition id << 33 | row position
+
+
+def _bucket_expr(key: Column, bounds: list, lo: int, hi: int) -> Column:
+    """Binary search over sorted literal ``bounds``: number of bounds <= key
+    (a balanced CASE tree, log2(B) comparisons per row, stays in codegen)."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key < bounds[mid], _bucket_expr(key, bounds, lo, mid)) \
+            .otherwise(_bucket_expr(key, bounds, mid + 1, hi))
+
+
+def _lit_key(values) -> Column:
+    if len(values) == 1:
+        return F.lit(values[0])
+    return F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(values)])
 
 
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "flow_id",
-                offset: int = 0, num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 0-based rank of each row by ``order_cols`` (+ offset).
+                offset: int = 0, num_buckets: int | None = None,
+                by: list[str] | None = None, samples_per_bucket: int = 64) -> DataFrame:
+    """Add ``name`` = 0-based rank of each row by ``order_cols`` (+ offset),
+    within each group of ``by`` when given.
 
     ``order_cols`` must be unique per row (carry a content key such as
-    ``flow_key``); the result then equals ``row_number() OVER (ORDER BY ...)-1``
-    and is identical on recomputation after executor loss.
+    ``flow_key``); the result then equals
+    ``row_number() OVER ([PARTITION BY by] ORDER BY ...) - 1``.
+
+    Plan: a content-hash sample of the keys (bounded: ~64 keys per bucket)
+    fixes B-1 range bounds; every row gets its bucket by binary search; rows
+    are numbered inside (bucket[, group]) by a window, and the running counts
+    of the earlier buckets (a table of at most B x groups rows) are added.
+    Bounds depend only on the data, so every recomputation (executor loss,
+    a second branch of the same plan) yields the same ids.
     """
     spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = (df.repartitionByRange(n, *order_cols)
-                 .sortWithinPartitions(*order_cols)
-                 .withColumn("_mid", F.monotonically_increasing_id()))
-    ordered = (ordered.withColumn("_pid", F.shiftright("_mid", _POS_BITS))
-                      .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit((1 << _POS_BITS) - 1))))
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
-    # one row per range partition: a window without keys is fine here
-    offsets = counts.select(
-        "_pid",
-        F.coalesce(F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    out = ordered.join(F.broadcast(offsets), "_pid")
-    return out.withColumn(name, (F.col("_off") + F.col("_pos") + F.lit(offset)).cast("bigint")) \
-              .drop("_mid", "_pid", "_pos", "_off")
+    by = list(by or [])
+    keys = by + list(order_cols)
+    b = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if len(keys) > 1 else F.col(keys[0])
+    bounds: list = []
+    if b > 1:
+        n = df.count()
+        rate = min(1.0, (samples_per_bucket * b) / max(n, 1))
+        probe = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+        sample = df.select(*keys).filter(hash_unit(probe, 7) < F.lit(rate)).orderBy(*keys).collect()
+        if sample:
+            step = len(sample) / b
+            picked = [tuple(sample[int(i * step)]) for i in range(1, b) if int(i * step) < len(sample)]
+            dedup = []
+            for v in picked:
+                if not dedup or dedup[-1] != v:
+                    dedup.append(v)
+            bounds = [_lit_key(list(v)) for v in dedup]
+    d = df.withColumn("_pid", _bucket_expr(key, bounds, 0, len(bounds)) if bounds else F.lit(0))
+    counts = d.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_cnt"))
+    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", *by, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    rn = F.row_number().over(Window.partitionBy("_pid", *by).orderBy(*order_cols))
+    out = d.withColumn("_rn", rn).join(F.broadcast(offsets), ["_pid"] + by)
+    return out.withColumn(name, (F.col("_off") + F.col("_rn") - 1 + F.lit(offset)).cast("bigint")) \
+              .drop("_pid", "_rn", "_off")
 
 
 def _boundaries(d: DataFrame, by: list[str], quota: DataFrame, n_col: str) -> DataFrame:

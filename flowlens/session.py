@@ -40,7 +40,7 @@ def get_spark(master: str | None = None, app: str = "flowlens",
         b = b.master(master)
     for k, v in CLUSTER_DEFAULTS.items():
         b = b.config(k, v)
-    b = b.config("spark.ui.enabled", "false")
+    b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
