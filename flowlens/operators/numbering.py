@@ -128,3 +128,38 @@ def hash_rank_flag(df: DataFrame, n: int | Column, key, seed: int = 42, flag: st
     """Global variant: first ``n`` rows of the whole table in hash order."""
     q = df.sparkSession.range(1).select(F.lit(1).alias("_g"), F.lit(n).cast("bigint").alias("n"))
     return mark_first_n(df.withColumn("_g", F.lit(1)), ["_g"], q, key, seed, flag).drop("_g")
+
+
+def running_sum(df: DataFrame, order_cols: list[str], cols: list[str], suffix: str = "_cum",
+                inclusive: bool = True, num_buckets: int | None = None) -> DataFrame:
+    """Prefix sums of ``cols`` in ``order_cols`` order (a unique order),
+    computed like ``dense_index``: per-bucket totals plus a running sum
+    inside each bucket, so no single task sees the whole table."""
+    d = dense_index(df, order_cols, "_ord", num_buckets=num_buckets)
+    # bucket = coarse position; 2^16 positions per bucket keeps windows bounded
+    d = d.withColumn("_bk", F.shiftright("_ord", 16))
+    tot = d.groupBy("_bk").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
+    wb = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_bk", *[F.coalesce(F.sum(f"_t{i}").over(wb), F.lit(0)).alias(f"_o{i}") for i in range(len(cols))])
+    frame = Window.partitionBy("_bk").orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = d.join(F.broadcast(off), "_bk")
+    for i, c in enumerate(cols):
+        out = out.withColumn(c + suffix, F.col(f"_o{i}") + F.coalesce(F.sum(c).over(frame), F.lit(0)))
+    return out.drop("_bk", *[f"_o{i}" for i in range(len(cols))])
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, tie: str) -> DataFrame:
+    """One row: the linear-interpolation quantile of ``col`` (NumPy/Spark
+    ``percentile`` semantics) from two exact order statistics, found by
+    dense ranking instead of holding all values in one aggregation buffer."""
+    d = df.select(F.col(col).cast("double").alias("_v"), F.col(tie).alias("_t")).filter(F.col("_v").isNotNull())
+    r = dense_index(d, ["_v", "_t"], "_r")
+    n = d.agg(F.count(F.lit(1)).alias("_n"))
+    from .encode import _attach_one_row
+    j = _attach_one_row(r, n).withColumn("_h", (F.col("_n") - 1) * F.lit(float(q)))
+    j = j.filter((F.col("_r") == F.floor("_h")) | (F.col("_r") == F.ceil("_h")))
+    return j.agg(
+        (F.max(F.when(F.col("_r") == F.floor("_h"), F.col("_v")))
+         + (F.first("_h") - F.floor(F.first("_h")))
+         * (F.max(F.when(F.col("_r") == F.ceil("_h"), F.col("_v"))) - F.max(F.when(F.col("_r") == F.floor("_h"), F.col("_v"))))
+         ).alias("quantile"))
