@@ -1,0 +1,38 @@
+"""Composite runs: each is one lazy DataFrame plan (or
+a short sequence of Spark jobs), not a chain of processes exchanging files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import adapters as ad
+from ..operators import aggregate as agg
+from ..operators import evaluate as ev
+from ..operators import graph as gr
+from ..operators import sampling as sm
+from ..operators.encode import apply_class_map, fit_class_map
+from ..operators.sets import combine, endpoints
+
+
+def reduce_standardize_combine(sources: dict[str, tuple[DataFrame, str, str]], rates: dict[str, float],
+                               reduced: bool = True) -> DataFrame:
+    """PIP-1: per source reduce by rarity (rate per source), standardize with
+    its adapter, tag provenance, and union with re-numbered flow ids.
+    ``sources``: name -> (raw DataFrame, adapter name, content key)."""
+    parts = []
+    for name, (raw, adapter, key) in sources.items():
+        std = ad.standardize(raw, adapter, key=key) if adapter != "unsw_nb15" else ad.standardize(raw, adapter)
+        if reduced and name in rates:
+            std = sm.reduce_by_rarity(std, "attack_type", rates[name], "flow_id")
+        parts.append(ad.with_source(std, name))
+    return combine(parts, renumber="flow_id")
+
+
+def process_dataset(df: DataFrame, source: str, key: str = "flow_key"):
+    """PIP-2: standardize -> encode attack types -> host graph -> metrics."""
+    std = ad.standardize(df, source, key=key)
+    cmap = fit_class_map(std, "attack_type")
+    enc = apply_class_map(std, cmap, "attack_type", "attack_type_encoded")
+    nodes, edges = gr.host_graph(enc)
+    return enc, cmap, nodes, edges, agg.graph_metrics(nodes, edges)

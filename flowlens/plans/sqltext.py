@@ -48,4 +48,6 @@ def with_li(body: str, std: bool = True, extra: list[str] | None = None) -> str:
 def with_fx(body: str, names: list[str], extra: list[str] | None = None) -> str:
     parts = [f"{n} AS ({duck(n)})" for n in names]
     parts += extra or []
+    if not parts:
+        return body
     return "WITH " + ",\n".join(parts) + "\n" + body
