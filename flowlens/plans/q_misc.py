@@ -259,3 +259,158 @@ query("pip2_process_dataset", with_li("""
 SELECT CAST(n AS BIGINT) AS nodes, CAST(m AS BIGINT) AS edges,
        round(CASE WHEN n > 1 THEN m / (n * (n - 1.0)) ELSE 0 END, 6) AS density,
        round(CASE WHEN n > 0 THEN 2.0 * m / n ELSE 0 END, 6) AS avg_degree FROM n, m""").replace("\n, n AS", ", n AS", 1))(_pip2)
+
+
+# GR-3: host graph of a uniform 10,000-flow sample with first-seen edges -------------------------------------
+query("gr3_sampled_host_graph", with_li("""
+, s AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || flow_key), flow_key) AS rn FROM std) WHERE rn <= 10000)
+SELECT src_ip AS src, dst_ip AS dst, 1 AS weight, CAST(arg_min(binary_label, flow_key) AS INTEGER) AS attack_flows FROM s GROUP BY src_ip, dst_ip"""
+    .replace("\n, s AS", ", s AS", 1)))(
+    lambda spark, sf: __import__("flowlens.operators.graph", fromlist=["sampled_host_graph"]).sampled_host_graph(
+        std_li(spark, sf, number=False), 10000, "flow_key")[1])
+
+
+# GR-14: node removal with re-index -----------------------------------------------------------------------------
+def _reindex(spark, sf):
+    from ..operators import graph as gr
+    from ..operators.aggregate import edge_features, node_features
+    d = std_li(spark, sf, number=False)
+    nodes = node_features(d).withColumnRenamed("ip", "id")
+    edges = edge_features(d)
+    flagged = nodes.filter(F.col("label") == 1).select("id")
+    n2, e2, idmap = gr.remove_nodes(nodes, edges, flagged, reindex=True)
+    return e2.select("src", "dst", "new_src", "new_dst")
+
+
+query("gr14_remove_nodes_reindex", with_li("""
+, lab AS (SELECT ip, avg(binary_label) AS m FROM (SELECT src_ip AS ip, binary_label FROM std UNION ALL SELECT dst_ip, binary_label FROM std) GROUP BY ip),
+  keep AS (SELECT ip, CAST(row_number() OVER (ORDER BY ip) - 1 AS BIGINT) AS new_id FROM lab WHERE m < 0.5),
+  e AS (SELECT DISTINCT src_ip AS src, dst_ip AS dst FROM std)
+SELECT e.src, e.dst, a.new_id AS new_src, b.new_id AS new_dst FROM e JOIN keep a ON a.ip = e.src JOIN keep b ON b.ip = e.dst"""
+    .replace("\n, lab AS", ", lab AS", 1)))(_reindex)
+
+
+# GR-17 / GR-18 / GR-19 on the ip-level flow graph ------------------------------------------------------------------
+WM = enc.hash_matrix(4, 2, 11, -1.0, 1.0)   # [h_src(2) || e(2)] -> 2
+WA = enc.hash_matrix(4, 2, 12, -1.0, 1.0)   # [h(2) || m(2)] -> 2
+WE = enc.hash_matrix(4, 3, 13, -1.0, 1.0)   # [h_u(2) || h_v(2)] -> 3
+
+
+def _ipgraph(spark, sf):
+    from ..operators import graph as gr
+    d = std_li(spark, sf, number=False).withColumn("lb", F.log1p(F.col("bytes_in").cast("double"))) \
+        .withColumn("ld", F.log1p("duration_ms")).withColumn("flow_id", F.col("flow_key"))
+    e = gr.flow_graph(d, ["lb", "ld"], key="ip")
+    nodes = gr.init_nodes(e, 2)
+    return nodes, e
+
+
+IPG = ["fe AS (SELECT src_ip AS src, dst_ip AS dst, [ln(1 + CAST(bytes_in AS DOUBLE)), ln(1 + duration_ms)] AS h FROM std)",
+       "nd AS (SELECT ip AS id, [1.0::DOUBLE, 1.0::DOUBLE] AS x FROM (SELECT src FROM fe UNION SELECT dst FROM fe) t(ip))"]
+
+
+def _relu_list(expr_list: str) -> str:
+    return f"list_transform({expr_list}, lambda v: greatest(v, 0.0))"
+
+
+query("gr17_sage_edge_layer", with_li(f"""
+, msg AS (SELECT fe.dst, {sql_matvec('list_concat(nd.x, fe.h)', WM).replace('list_concat(nd.x, fe.h)[', 'list_concat(nd.x, fe.h)[')} AS m
+          FROM fe JOIN nd ON nd.id = fe.src),
+  agg AS (SELECT dst, [avg(m[1]), avg(m[2])] AS m FROM msg GROUP BY dst),
+  out AS (SELECT nd.id, {_relu_list(sql_matvec('list_concat(nd.x, coalesce(agg.m, [0.0::DOUBLE, 0.0::DOUBLE]))', WA))} AS x
+          FROM nd LEFT JOIN agg ON agg.dst = nd.id)
+{sql_explode('out', 'id', 'x', 2)}""".replace("\n, msg AS", ", msg AS", 1), extra=IPG))(
+    lambda spark, sf: explode_vec(__import__("flowlens.operators.propagate", fromlist=["x"]).sage_edge_layer(
+        *_ipgraph(spark, sf), WM, WA, 2), ["id"]))
+
+query("gr18_anomal_layer", with_li(f"""
+, agg AS (SELECT dst, [avg(h[1]), avg(h[2])] AS m FROM fe GROUP BY dst),
+  out AS (SELECT nd.id, {_relu_list(sql_matvec('list_concat(nd.x, coalesce(agg.m, [0.0::DOUBLE, 0.0::DOUBLE]))', WA))} AS x
+          FROM nd LEFT JOIN agg ON agg.dst = nd.id)
+{sql_explode('out', 'id', 'x', 2)}""".replace("\n, agg AS", ", agg AS", 1), extra=IPG))(
+    lambda spark, sf: explode_vec(__import__("flowlens.operators.propagate", fromlist=["x"]).anomal_layer(
+        *_ipgraph(spark, sf), WA, 2), ["id"]))
+
+
+def _score_edges(spark, sf):
+    from ..operators import propagate as pg
+    nodes, e = _ipgraph(spark, sf)
+    h = pg.anomal_layer(nodes, e, WA, 2)
+    he = e.select("src", "dst").distinct()
+    return explode_vec(pg.score_edges(he, h, WE), ["src", "dst"], "score")
+
+
+query("gr19_score_edges", with_li(f"""
+, agg AS (SELECT dst, [avg(h[1]), avg(h[2])] AS m FROM fe GROUP BY dst),
+  hn AS (SELECT nd.id, {_relu_list(sql_matvec('list_concat(nd.x, coalesce(agg.m, [0.0::DOUBLE, 0.0::DOUBLE]))', WA))} AS x
+         FROM nd LEFT JOIN agg ON agg.dst = nd.id),
+  ee AS (SELECT DISTINCT src, dst FROM fe),
+  sc AS (SELECT ee.src, ee.dst, {sql_matvec('list_concat(u.x, v.x)', WE)} AS score FROM ee JOIN hn u ON u.id = ee.src JOIN hn v ON v.id = ee.dst)
+{sql_explode('sc', 'src, dst', 'score', 3)}""".replace("\n, agg AS", ", agg AS", 1), extra=IPG))(_score_edges)
+
+
+# GR-11: node injection into the flow graph (rows: new edges with donor features) ------------------------------------------
+def _inject_flow(spark, sf):
+    from ..operators import graph as gr
+    nodes, e = _ipgraph(spark, sf)
+    new_edges, new_nodes = gr.inject_flow_nodes(e.withColumn("eid", F.col("eid").cast("string")), 0.05, 2, c=5)
+    return new_edges.select("eid", "src", "dst", "binary_label")
+
+
+query("gr11_inject_flow_nodes")(_inject_flow)
+
+
+# GR-24: infomax loss of clean vs corrupted node embeddings ------------------------------------------------------------
+def _infomax(spark, sf):
+    from ..operators import graph as gr
+    from ..operators import propagate as pg
+    nodes, e = _ipgraph(spark, sf)
+    pos = pg.anomal_layer(nodes, e, WA, 2)
+    neg = pg.anomal_layer(nodes, gr.permute_features(e, "eid"), WA, 2)
+    return rounded(pg.infomax_loss(pos, neg, enc.hash_matrix(2, 2, 14, -1.0, 1.0), 2))
+
+
+query("gr24_infomax_loss")(_infomax)
+
+
+# PIP-3: cap -> features -> adaptive graph -> 70/15/15 -> propagated features -> model leaderboard --------------------------
+def _pip3(spark, sf):
+    from ..operators import detect as dt
+    from ..operators import evaluate as ev
+    from ..operators import knn
+    from ..operators import propagate as pg
+    e = emb(spark, sf).withColumn("k", F.col("vec_id").cast("string"))
+    from ..session import cut_lineage
+    # lineage cuts (reliable checkpoints in the shared folder) keep the plans
+    # of the later stages small; every stage reads its predecessor's output
+    capped = cut_lineage(sm.cap_proportional(e, "label", "k", total=300, large_min=30))
+    g = cut_lineage(knn.adaptive_join(capped, "vec_id", "embedding", 20, 1.2).select("src", "dst"))
+    nodes = capped.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("x"), (F.col("label") % 2).alias("y"))
+    h = pg.propagate(nodes, g, 8, "gcn")
+    data = h.join(nodes.select("id", "y"), "id").select("id", "y", *[F.col("x")[i].alias(f"f{i}") for i in range(8)]) \
+            .withColumn("k", F.col("id").cast("string"))
+    parts = cut_lineage(sm.split3(cut_lineage(data), "k", ["y"]))
+    cols = [f"f{i}" for i in range(8)]
+    res = None
+    for kind in ("lr", "rf"):
+        m = dt.train_classifier(parts.filter("split = 'train'"), cols, "y", kind)
+        p = dt.predict(m, parts.filter("split = 'test'"), cols)
+        r = ev.binary_metrics(p, "y", "pred").withColumn("model", F.lit(kind))
+        res = r if res is None else res.unionByName(r)
+    return rounded(ev.leaderboard(res, "f1"))
+
+
+query("pip3_similarity_benchmark")(_pip3)
+
+
+# PIP-4: flow graph -> node/edge embeddings -> logistic head -> perturbations -> evaluation --------------------------------
+def _pip4(spark, sf):
+    from ..operators import evaluate as ev
+    from ..operators import robust as rb
+    d = std_li(spark, sf, number=False).withColumn("x", F.array(F.log1p("duration_ms"), F.log1p(F.col("bytes_in").cast("double")),
+                                                                F.log1p(F.col("packets_in").cast("double"))))
+    res = rb.robustness_sweep(d, "x", "binary_label", [0.5, -0.3, 0.8], -4.0, [("pgd", 0.3), ("drop", 0.2)], iters=5)
+    return rounded(ev.degradation(res))
+
+
+query("pip4_evaluate_robustness")(_pip4)

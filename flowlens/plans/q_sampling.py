@@ -115,8 +115,12 @@ query("smp7_fixed_subset", with_li(f"""
   b AS (SELECT *, floor(ex) AS fl, ex - floor(ex) AS rem FROM a),
   d AS (SELECT *, 100 - sum(fl) OVER () AS lft, row_number() OVER (ORDER BY rem DESC, attack_type) AS rk FROM b),
   q AS (SELECT attack_type, fl + CASE WHEN rk <= lft THEN 1 ELSE 0 END AS n FROM d),
-  r AS ({ranked('std', 'attack_type')})
-SELECT flow_key, attack_type FROM r JOIN q USING (attack_type) WHERE rn <= n""").replace("\n, c AS", ", c AS", 1))(
+  r AS ({ranked('std', 'attack_type')}),
+  flag AS (SELECT min(cnt) * count(*) >= 100 AS strat FROM c)
+SELECT flow_key, attack_type FROM r JOIN q USING (attack_type), flag WHERE rn <= n AND strat
+UNION ALL
+SELECT flow_key, attack_type FROM (SELECT *, row_number() OVER (ORDER BY {U}, flow_key) AS g FROM std), flag
+WHERE g <= 100 AND NOT strat""").replace("\n, c AS", ", c AS", 1))(
     lambda spark, sf: _sel(sm.fixed_subset(std_li(spark, sf, number=False), 100, "attack_type", "flow_key")))
 
 # SMP-8: 10 % per class ------------------------------------------------------------------------
