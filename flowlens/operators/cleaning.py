@@ -52,8 +52,15 @@ def null_counts(df: DataFrame, only_positive: bool = True) -> DataFrame:
 
 # FLT-5 -----------------------------------------------------------------------
 def fit_median(train: DataFrame, cols: list[str]) -> DataFrame:
-    """One row of exact medians (linear interpolation, nulls ignored)."""
-    return train.agg(*[F.percentile(F.col(f"`{c}`").cast("double"), 0.5).alias(f"{c}__median") for c in cols])
+    """One row of exact medians (linear interpolation, nulls ignored), each
+    from two order statistics found by distributed dense ranking, so no
+    aggregation buffer holds all distinct values."""
+    from .numbering import exact_quantile
+    out = None
+    for c in cols:
+        q = exact_quantile(train, c, 0.5, c).select(F.col("quantile").alias(f"{c}__median"))
+        out = q if out is None else _attach_one_row(out, q)
+    return out
 
 
 def impute_median(train: DataFrame, test: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
