@@ -83,31 +83,42 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "flow_id",
               .drop("_pid", "_rn", "_off")
 
 
-def _boundaries(d: DataFrame, by: list[str], quota: DataFrame, n_col: str) -> DataFrame:
-    """Per group: boundary bucket ``_bstar`` and rows still needed there."""
-    hist = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bc"))
+def _boundaries(hist: DataFrame, by: list[str], quota: DataFrame, n_col: str) -> DataFrame:
+    """Per group: boundary bucket ``_bstar`` and rows still needed there
+    (computed on the bucket histogram: at most 65,536 rows per group)."""
     w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = (hist.join(F.broadcast(quota.select(*by, F.col(n_col).alias("_n"))), by)
-                .withColumn("_before", F.coalesce(F.sum("_bc").over(w), F.lit(0))))
-    cross = hist.filter((F.col("_before") < F.col("_n")) & (F.col("_before") + F.col("_bc") >= F.col("_n")))
+    h = (hist.join(F.broadcast(quota.select(*by, F.col(n_col).alias("_n"))), by)
+             .withColumn("_before", F.coalesce(F.sum("_bc").over(w), F.lit(0))))
+    cross = h.filter((F.col("_before") < F.col("_n")) & (F.col("_before") + F.col("_bc") >= F.col("_n")))
     b = cross.select(*by, F.col("_b").alias("_bstar"), (F.col("_n") - F.col("_before")).alias("_need"))
     # groups whose quota is 0 keep nothing: boundary below every bucket
     zero = quota.filter(F.col(n_col) <= 0).select(*by, F.lit("").alias("_bstar"), F.lit(0).cast("bigint").alias("_need"))
     return b.unionByName(zero)
 
 
-def mark_first_n(df: DataFrame, by: list[str], quota: DataFrame, key, seed: int = 42,
+def mark_first_n(df: DataFrame, by: list[str], quota, key, seed: int = 42,
                  flag: str = "_in", n_col: str = "n") -> DataFrame:
     """Add boolean ``flag``: row is among the first ``n`` of its group when
     the group is ordered by ``md5(seed:key)`` (ties by key).
 
-    ``quota`` holds one row per group (``by`` columns + ``n_col``); groups
-    missing from it keep all their rows.
+    ``quota`` is a DataFrame with one row per group (``by`` columns +
+    ``n_col``), or a function from the group counts (``by`` + ``cnt``) to such
+    a DataFrame; the counts then come from the bucket histogram, so the input
+    is not scanned an extra time.  Groups missing from the quota keep all rows.
+
+    Jobs: one pass builds the (group, bucket) histogram and the boundary
+    table (one row per group), which is checkpointed; the result then reads
+    the input once more in two branches: rows outside the boundary bucket are
+    decided by comparison (map-only), rows inside it are ranked.
     """
+    from ..session import cut_lineage
     key_col = F.col(key) if isinstance(key, str) else key
     d = df.withColumn("_u", hash_order(key_col, seed)).withColumn("_k", key_col.cast("string")) \
           .withColumn("_b", F.substring("_u", 1, 4))
-    bnd = _boundaries(d, by, quota, n_col)
+    hist = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bc"))
+    if callable(quota):
+        quota = quota(hist.groupBy(*by).agg(F.sum("_bc").alias("cnt")))
+    bnd = cut_lineage(_boundaries(hist, by, quota, n_col))
     # one row per group -> broadcast is bounded by the number of groups
     j = d.join(F.broadcast(bnd), by, "left")
     plain = j.filter(F.col("_bstar").isNull() | (F.col("_b") != F.col("_bstar"))) \
@@ -118,7 +129,7 @@ def mark_first_n(df: DataFrame, by: list[str], quota: DataFrame, key, seed: int
     return plain.unionByName(edge).drop("_u", "_k", "_b", "_bstar", "_need")
 
 
-def take_per_group(df: DataFrame, by: list[str], quota: DataFrame, key, seed: int = 42,
+def take_per_group(df: DataFrame, by: list[str], quota, key, seed: int = 42,
                    n_col: str = "n") -> DataFrame:
     """Exactly ``n`` rows per group (whole group when n >= its size)."""
     return mark_first_n(df, by, quota, key, seed, "_in", n_col).filter("_in").drop("_in")

@@ -38,10 +38,11 @@ def sample_by_rate(df: DataFrame, col: str, rates: dict[str, float], key: str,
     classes without a rate dropped.  n = round-half-even(rate * count)."""
     rate_map = fn.literal_map({k: float(v) for k, v in rates.items()})
     kept = df.filter(F.col(col).isin(list(rates)))
-    q = _counts(kept, [col]).select(
-        col, F.when(F.col("cnt") < keep_below, F.col("cnt"))
-              .otherwise(round_half_even(F.col("cnt") * rate_map[F.col(col)])).cast("bigint").alias("n"))
-    return take_per_group(kept, [col], q, key, seed)
+
+    def quota(c):
+        return c.select(col, F.when(F.col("cnt") < keep_below, F.col("cnt"))
+                        .otherwise(round_half_even(F.col("cnt") * rate_map[F.col(col)])).cast("bigint").alias("n"))
+    return take_per_group(kept, [col], quota, key, seed)
 
 
 # SMP-2 / SMP-3 -----------------------------------------------------------------
@@ -54,8 +55,12 @@ TIERS = {
 
 def rarity_rates(df: DataFrame, col: str, r: float, tiers: str = "1/10") -> DataFrame:
     """(class, cnt, total, rate) by the 3-tier rarity rule; rate capped at 1."""
+    return _rarity_from_counts(_counts(df, [col]), r, tiers)
+
+
+def _rarity_from_counts(counts: DataFrame, r: float, tiers: str) -> DataFrame:
     rare, unc, rr, ur, cf = TIERS[tiers]
-    c = _with_total(_counts(df, [col]))
+    c = _with_total(counts)
     rate = (F.when(F.col("cnt") < F.col("total") * rare, rr(r))
              .when(F.col("cnt") < F.col("total") * unc, ur(r))
              .otherwise(F.lit(cf * r)))
@@ -64,17 +69,22 @@ def rarity_rates(df: DataFrame, col: str, r: float, tiers: str = "1/10") -> Data
 
 def reduce_by_rarity(df: DataFrame, col: str, r: float, key: str, tiers: str = "1/10",
                      keep_below: int = 1000, seed: int = 42) -> DataFrame:
-    q = rarity_rates(df, col, r, tiers).select(
-        col, F.when(F.col("cnt") < keep_below, F.col("cnt"))
-              .otherwise(round_half_even(F.col("cnt") * F.col("rate"))).cast("bigint").alias("n"))
-    return take_per_group(df, [col], q, key, seed)
+    def quota(c):
+        return _rarity_from_counts(c, r, tiers).select(
+            col, F.when(F.col("cnt") < keep_below, F.col("cnt"))
+                  .otherwise(round_half_even(F.col("cnt") * F.col("rate"))).cast("bigint").alias("n"))
+    return take_per_group(df, [col], quota, key, seed)
 
 
 # SMP-4 ---------------------------------------------------------------------------
 def combine_rates(df: DataFrame, col: str, r: float) -> DataFrame:
     """4-tier rates of the combined reduction (thresholds on the combined N)."""
+    return _combine_rates_from_counts(_counts(df, [col]), r)
+
+
+def _combine_rates_from_counts(counts: DataFrame, r: float) -> DataFrame:
     b = max(0.01, r)
-    c = _with_total(_counts(df, [col]))
+    c = _with_total(counts)
     common = max(0.01, 0.9 * b if r <= 0.1 else b)
     rate = (F.when(F.col("cnt") < F.col("total") * 0.001, F.lit(min(1.0, max(0.9, b * 10))))
              .when(F.col("cnt") < F.col("total") * 0.01, F.lit(min(0.8, max(0.1, b * 5))))
@@ -87,10 +97,12 @@ def combine_reduce(df: DataFrame, col: str, r: float, key: str, source_col: str
                    seed: int = 42) -> DataFrame:
     """Rates by class tier, exact n = max(1, ceil(rate * stratum)) per
     (class, source) stratum; whole stratum when n >= its size."""
-    rates = combine_rates(df, col, r).select(col, "rate")
-    strata = _counts(df, [col, source_col]).join(F.broadcast(rates), col)
-    q = strata.select(col, source_col, F.greatest(F.lit(1), F.ceil(F.col("cnt") * F.col("rate"))).cast("bigint").alias("n"))
-    return take_per_group(df, [col, source_col], q, key, seed)
+    def quota(strata):
+        classes = strata.groupBy(col).agg(F.sum("cnt").alias("cnt"))
+        rates = _combine_rates_from_counts(classes, r).select(col, "rate")
+        return strata.join(F.broadcast(rates), col).select(
+            col, source_col, F.greatest(F.lit(1), F.ceil(F.col("cnt") * F.col("rate"))).cast("bigint").alias("n"))
+    return take_per_group(df, [col, source_col], quota, key, seed)
 
 
 # SMP-5 / SMP-6 --------------------------------------------------------------------
@@ -99,14 +111,14 @@ def cap_proportional(df: DataFrame, col: str, key: str, total: int = 50000, larg
     """Large classes (>= large_min, or > large_min when ``strict``) scaled by
     min(1, total / their sum), n = max(at_least, trunc(count*factor)); small
     classes kept whole."""
-    c = _counts(df, [col])
-    is_large = (F.col("cnt") > large_min) if strict else (F.col("cnt") >= large_min)
-    c = c.withColumn("_large", is_large)
-    big = F.sum(F.when(F.col("_large"), F.col("cnt"))).over(Window.partitionBy())
-    c = c.withColumn("_factor", F.least(F.lit(1.0), F.lit(float(total)) / big))
-    n = F.greatest(F.lit(at_least), F.least(F.floor(F.col("cnt") * F.col("_factor")), F.col("cnt")))
-    q = c.select(col, F.when(F.col("_large"), n).otherwise(F.col("cnt")).cast("bigint").alias("n"))
-    return take_per_group(df, [col], q, key, seed)
+    def quota(c):
+        is_large = (F.col("cnt") > large_min) if strict else (F.col("cnt") >= large_min)
+        c = c.withColumn("_large", is_large)
+        big = F.sum(F.when(F.col("_large"), F.col("cnt"))).over(Window.partitionBy())
+        c = c.withColumn("_factor", F.least(F.lit(1.0), F.lit(float(total)) / big))
+        n = F.greatest(F.lit(at_least), F.least(F.floor(F.col("cnt") * F.col("_factor")), F.col("cnt")))
+        return c.select(col, F.when(F.col("_large"), n).otherwise(F.col("cnt")).cast("bigint").alias("n"))
+    return take_per_group(df, [col], quota, key, seed)
 
 
 # SMP-7 / SMP-10 allocation ----------------------------------------------------------
@@ -128,8 +140,7 @@ def fixed_subset(df: DataFrame, n: int, label: str, key: str, seed: int = 42) ->
     n/k rows the subset is a plain hash-order sample of n rows."""
     c = _counts(df, [label])
     stats = c.agg(F.min("cnt").alias("mn"), F.count(F.lit(1)).alias("k"))
-    alloc = allocate(c, label, F.lit(n))
-    stratified = take_per_group(df, [label], alloc.select(label, "n"), key, seed)
+    stratified = take_per_group(df, [label], lambda cc: allocate(cc, label, F.lit(n)).select(label, "n"), key, seed)
     plain = hash_rank_flag(df, n, key, seed).filter("_in").drop("_in")
     flag = stats.select(((F.col("mn") * F.col("k")) >= F.lit(n)).alias("_strat"))
     s = _attach_one_row(stratified, flag).filter(F.col("_strat")).drop("_strat")
@@ -139,8 +150,9 @@ def fixed_subset(df: DataFrame, n: int, label: str, key: str, seed: int = 42) ->
 
 # SMP-8 ------------------------------------------------------------------------------
 def sample_by_group(df: DataFrame, col: str, frac: float, key: str, seed: int = 42) -> DataFrame:
-    q = _counts(df, [col]).select(col, round_half_even(F.col("cnt") * frac).cast("bigint").alias("n"))
-    return take_per_group(df, [col], q, key, seed)
+    def quota(c):
+        return c.select(col, round_half_even(F.col("cnt") * frac).cast("bigint").alias("n"))
+    return take_per_group(df, [col], quota, key, seed)
 
 
 # SMP-9 ------------------------------------------------------------------------------
@@ -156,15 +168,15 @@ def split(df: DataFrame, key: str, strata: list[str] | None = None, test_frac: f
     allocate it over strata by largest remainder and take each stratum's
     first rows in hash order as test."""
     if strata:
-        c = _counts(df, strata)
         skey = fn.stratum_key(*strata)
-        c2 = c.withColumn("_s", skey)
-        alloc = allocate(c2.select("_s", "cnt"), "_s", F.ceil(F.sum("cnt").over(Window.partitionBy()) * test_frac))
-        marked = mark_first_n(df.withColumn("_s", skey), ["_s"], alloc.select("_s", "n"), key, seed, "_t").drop("_s")
+
+        def quota(c):
+            return allocate(c, "_s", F.ceil(F.sum("cnt").over(Window.partitionBy()) * test_frac)).select("_s", "n")
+        marked = mark_first_n(df.withColumn("_s", skey), ["_s"], quota, key, seed, "_t").drop("_s")
     else:
-        n_test = df.agg(F.ceil(F.count(F.lit(1)) * test_frac).alias("n"))
-        m = df.withColumn("_g", F.lit(1))
-        marked = mark_first_n(m, ["_g"], n_test.withColumn("_g", F.lit(1)), key, seed, "_t").drop("_g")
+        def quota(c):
+            return c.select("_g", F.ceil(F.col("cnt") * test_frac).cast("bigint").alias("n"))
+        marked = mark_first_n(df.withColumn("_g", F.lit(1)), ["_g"], quota, key, seed, "_t").drop("_g")
     return marked.withColumn(out, F.when(F.col("_t"), F.lit(names[1])).otherwise(F.lit(names[0]))).drop("_t")
 
 
