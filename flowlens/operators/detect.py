@@ -228,30 +228,39 @@ def isolation_forest(train: DataFrame, test: DataFrame, cols: list[str], trees:
     rows = forest.collect()   # trees x <= 2*sample nodes: bounded model
     model = {}
     for r in rows:
-        model.setdefault(r["tree"], {})[r["node"]] = (r["feature"], r["split"], r["left"], r["right"], r["size"])
-    bc = train.sparkSession.sparkContext.broadcast(model)
+        model.setdefault(r["tree"], []).append(r)
+    arrays = []
+    for t in sorted(model):
+        nodes = sorted(model[t], key=lambda r: r["node"])
+        arrays.append(tuple(np.array([r[c] for r in nodes]) for c in ("feature", "split", "left", "right", "size")))
+    bc = train.sparkSession.sparkContext.broadcast(arrays)
 
     def c_factor(n):
-        return 0.0 if n <= 1 else 2.0 * (math.log(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n
+        n = np.asarray(n, dtype=float)
+        safe = np.maximum(n - 1, 1)
+        return np.where(n <= 1, 0.0, 2.0 * (np.log(safe) + 0.5772156649) - 2.0 * (n - 1) / np.maximum(n, 1))
 
-    cn = c_factor(sample)
+    cn = float(c_factor(sample))
 
     @F.pandas_udf("double")
     def iso_score(*series):
         X = np.column_stack([s.to_numpy(dtype=float) for s in series])
-        m = bc.value
-        depth = np.zeros(len(X))
-        for tree in m.values():
-            for i in range(len(X)):
-                node, d = 0, 0
-                while True:
-                    f, s, le, ri, size = tree[node]
-                    if f < 0:
-                        depth[i] += d + c_factor(size)
-                        break
-                    node = le if X[i, f] < s else ri
-                    d += 1
-        return pd.Series(2.0 ** (-(depth / len(m)) / cn))
+        n = len(X)
+        rows_idx = np.arange(n)
+        depth = np.zeros(n)
+        for feat, split, left, right, size in bc.value:
+            node = np.zeros(n, dtype=int)
+            d = np.zeros(n)
+            for _ in range(height + 1):
+                f = feat[node]
+                leaf = f < 0
+                if leaf.all():
+                    break
+                go_left = X[rows_idx, np.where(leaf, 0, f)] < split[node]
+                node = np.where(leaf, node, np.where(go_left, left[node], right[node]))
+                d += ~leaf
+            depth += d + c_factor(size[node])
+        return pd.Series(2.0 ** (-(depth / len(bc.value)) / cn))
 
     def score(df):
         return df.withColumn("score", iso_score(*[F.col(c).cast("double") for c in cols]))

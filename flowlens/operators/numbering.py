@@ -47,8 +47,8 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "flow_id",
     ``flow_key``); the result then equals
     ``row_number() OVER ([PARTITION BY by] ORDER BY ...) - 1``.
 
-    Plan: a content-hash sample of the keys (bounded: ~64 keys per bucket)
-    fixes B-1 range bounds; every row gets its bucket by binary search; rows
+    Plan: the 64·B keys with the smallest content hash (a bounded uniform
+    sample) fix B-1 range bounds; every row gets its bucket by binary search; rows
     are numbered inside (bucket[, group]) by a window, and the running counts
     of the earlier buckets (a table of at most B x groups rows) are added.
     Bounds depend only on the data, so every recomputation (executor loss,
@@ -61,10 +61,11 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "flow_id",
     key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if len(keys) > 1 else F.col(keys[0])
     bounds: list = []
     if b > 1:
-        n = df.count()
-        rate = min(1.0, (samples_per_bucket * b) / max(n, 1))
-        probe = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
-        sample = df.select(*keys).filter(hash_unit(probe, 7) < F.lit(rate)).orderBy(*keys).collect()
+        # bottom-S sample by content hash: one job, a bounded top-S per task
+        # merged on the driver, uniform without knowing the row count
+        probe = hash_unit(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 7)
+        sample = (df.select(*keys, probe.alias("_h")).orderBy("_h", *keys).limit(samples_per_bucket * b)
+                    .orderBy(*keys).select(*keys).collect())
         if sample:
             step = len(sample) / b
             picked = [tuple(sample[int(i * step)]) for i in range(1, b) if int(i * step) < len(sample)]
