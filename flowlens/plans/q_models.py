@@ -238,10 +238,16 @@ query("tri3_flag_nodes", with_fx("SELECT node_id FROM parsed WHERE confidence_sc
 
 
 # GR-12 + TRI-4 + TRI-5: injection into the k=20 similarity graph, triage, removal --------------------
-def _sim_injected(spark, sf):
+def _sim_injected(spark, sf, cut: bool = False):
     nodes = emb4(spark, sf)
     edges = knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 20)
-    return gr.inject_sim_nodes(nodes, edges, F.lit(20), 4, c=5, strategy="mean", label=0)
+    if cut:
+        from ..session import cut_lineage
+        edges = cut_lineage(edges)
+    n2, e2, new = gr.inject_sim_nodes(nodes, edges, F.lit(20), 4, c=5, strategy="mean", label=0)
+    if cut:
+        n2, e2, new = cut_lineage(n2), cut_lineage(e2), cut_lineage(new)
+    return n2, e2, new
 
 
 INJ_SQL = """nodes AS (SELECT vec_id AS id, e[1:4] AS x FROM emb),
@@ -261,8 +267,8 @@ query("gr12_injected_edge_count", with_fx("SELECT count(*) AS edges, count(DISTI
     lambda spark, sf: _sim_injected(spark, sf)[1].agg(F.count(F.lit(1)).alias("edges"), F.count_distinct("src").alias("sources")))
 
 
-def _triage_fixed(spark, sf):
-    nodes, edges, new = _sim_injected(spark, sf)
+def _triage_fixed(spark, sf, cut: bool = True):
+    nodes, edges, new = _sim_injected(spark, sf, cut)
     flagged = tr.flag_nodes(tr.parse_verdicts(verdicts(spark, sf)), 0.8).withColumnRenamed("node_id", "id")
     flagged = flagged.join(nodes.select("id"), "id", "left_semi")
     n2, e2, _ = gr.remove_nodes(nodes, edges, flagged)
@@ -288,9 +294,11 @@ SELECT (SELECT count(*) FROM fl) AS flagged, (SELECT count(*) FROM fl WHERE id I
 
 def _triage_report(spark, sf):
     """TRI-6: the same node scorer evaluated on clean, injected and fixed graphs."""
-    nodes, edges, new, flagged, n2, e2 = _triage_fixed(spark, sf)
+    from ..session import cut_lineage
+    nodes, edges, new, flagged, n2, e2 = _triage_fixed(spark, sf, cut=True)
+    n2, e2 = cut_lineage(n2), cut_lineage(e2)
     clean_nodes = emb4(spark, sf)
-    clean_edges = knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 20)
+    clean_edges = cut_lineage(knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 20))
 
     def evaluate(name, n, e):
         h = pg.propagate(n, e, 4, "sage")

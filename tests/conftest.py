@@ -12,7 +12,7 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from flowlens.session import get_spark
-    s = get_spark("local[*]", shuffle_partitions=8)
+    s = get_spark("local[*]", shuffle_partitions=8, extra={"spark.driver.memory": "8g"})
     yield s
     s.stop()
 
