@@ -9,13 +9,25 @@ from .numbering import dense_index
 
 
 # SET-1 -----------------------------------------------------------------------
-def combine(dfs: list[DataFrame], order: list[str] | None = None, renumber: str | None = "flow_id") -> DataFrame:
+def combine(dfs: list[DataFrame], order: list[str] | None = None, renumber: str | None = "flow_id",
+            dense_inputs: bool = False) -> DataFrame:
     """Union by name (missing columns -> null) and re-number ``renumber``
-    0..n-1 in (input order, ``order``) order, like a concat + reset."""
+    0..n-1 in (input order, ``order``) order, like a concat + reset.
+
+    With ``dense_inputs`` (each part's ``renumber`` already runs 0..n_i-1) the
+    new id is the old one plus the row count of the earlier parts: a tiny
+    per-part count table instead of a global ranking."""
     parts = [d.withColumn("_part", F.lit(i)) for i, d in enumerate(dfs)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
+    if renumber and dense_inputs and not order:
+        from pyspark.sql import Window
+        cnt = out.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+        off = cnt.select("_part", F.coalesce(F.sum("_n").over(
+            Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+        out = out.join(F.broadcast(off), "_part").withColumn(renumber, (F.col(renumber) + F.col("_off")).cast("bigint"))
+        return out.drop("_part", "_off")
     if renumber:
         keys = ["_part"] + (order or [])
         if renumber in out.columns:

@@ -212,7 +212,11 @@ def combined(spark, sf):
     a = ad.with_source(std_li(spark, sf), "li")
     b = ad.with_source(ad.adapt_bot_iot_reduced(fx.ev(spark, sf), key="pkSeqID"), "ev")
     c = ad.with_source(cic_std(spark, sf), "od")
-    return combine([a, b, c])
+    # every source carries dense flow ids, so the union re-numbers by offsets;
+    # the combined table feeds several jobs, so it is materialized once (the
+    # reference writes it out as a file at this point)
+    from ..session import cut_lineage
+    return cut_lineage(combine([a, b, c], dense_inputs=True))
 
 
 EVB_SQL = """evb AS (

@@ -29,11 +29,18 @@ FEATS = ["duration_ms", "bytes_in", "packets_in"]
 
 
 def _split_std(spark, sf):
-    s = sm.split(std_li(spark, sf, number=False).select("flow_key", "binary_label", "attack_type", "protocol_name",
+    """Train/test split of the flow features, materialized once: it feeds
+    the fit, the threshold and the scoring jobs."""
+    from ..session import cut_lineage
+    s = cut_lineage(_split_std_lazy(spark, sf))
+    return s.filter("split = 'train'").drop("split"), s.filter("split = 'test'").drop("split")
+
+
+def _split_std_lazy(spark, sf):
+    return sm.split(std_li(spark, sf, number=False).select("flow_key", "binary_label", "attack_type", "protocol_name",
                                                          "dst_port", *FEATS)
                  .withColumn("bytes_in", F.col("bytes_in").cast("double"))
                  .withColumn("packets_in", F.col("packets_in").cast("double")), "flow_key", None, 0.3)
-    return s.filter("split = 'train'").drop("split"), s.filter("split = 'test'").drop("split")
 
 
 SPLIT_STD = f"""gs AS (SELECT flow_key, binary_label, attack_type, protocol_name, dst_port, duration_ms,
