@@ -67,6 +67,15 @@ GAPS_SQL = """SELECT md5(concat_ws('|', cast(l_orderkey as string), cast(l_partk
  cast(CASE WHEN l_returnflag='R' THEN 1 ELSE 0 END as int) AS Label
 FROM {lineitem}"""
 
+# UNSW-NB15 layout over orders (used for the UNSW adapter only).
+UN_SQL = """SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'tcp' WHEN 'O' THEN 'udp' ELSE 'icmp' END AS proto,
+ cast(o_totalprice as double)/100000.0 AS dur, cast(floor(o_totalprice) as bigint) AS sbytes, cast(o_custkey % 1000 as bigint) AS dbytes,
+ cast(o_orderkey % 7 + 1 as bigint) AS spkts, cast(o_custkey % 5 as bigint) AS dpkts,
+ cast(o_totalprice as double)/1000.0 AS smean, cast(o_custkey % 100 as double) AS dmean,
+ cast(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END as int) AS label,
+ CASE WHEN o_orderpriority = '1-URGENT' THEN 'Exploits' WHEN o_orderpriority = '2-HIGH' THEN 'Fuzzers' ELSE '' END AS attack_cat
+FROM {orders}"""
+
 EMB_SQL = """SELECT vec_id, label, embedding FROM {embeddings}"""
 
 _TABLES = {
@@ -75,6 +84,7 @@ _TABLES = {
     "od": (OD_SQL, ("orders", "customer")),
     "scored": (SCORED_SQL, ("lineitem",)),
     "gaps": (GAPS_SQL, ("lineitem",)),
+    "un": (UN_SQL, ("orders",)),
 }
 
 

@@ -188,3 +188,52 @@ def mask_features(df: DataFrame, vec: str, d: int, rate: float, seed: int = 42,
     masked = sorted(order[:k])
     mask_arr = F.array(*[F.lit(i) for i in masked]) if masked else F.array().cast("array<int>")
     return df.withColumn(out or vec, F.transform(F.col(vec), lambda v, i: F.when(F.array_contains(mask_arr, i), F.lit(0.0)).otherwise(v)))
+
+
+# ENC-6 ---------------------------------------------------------------------------
+class FeaturePipeline:
+    """Impute -> (log1p) -> scale -> one-hot -> assemble, fitted on train and
+    applied to any table.  Numeric gaps (and ±inf) take the train median,
+    text gaps the train mode; the scaler is fitted on the transformed train
+    columns; one-hot categories are the sorted train values (unseen -> 0)."""
+
+    def __init__(self, numeric: list[str], categorical: list[str], log1p: bool = True, out: str = "features"):
+        self.numeric, self.categorical, self.log1p, self.out = list(numeric), list(categorical), log1p, out
+
+    def _num(self, df: DataFrame) -> DataFrame:
+        from .. import functions as fnc
+        out = df
+        for c in self.numeric:
+            out = out.withColumn(c, fnc.finite_or_null(c))
+        return out
+
+    def fit(self, train: DataFrame) -> "FeaturePipeline":
+        from .cleaning import fit_median, fit_mode
+        t = self._num(train)
+        self.medians = fit_median(t, self.numeric) if self.numeric else None
+        self.modes = [fit_mode(t, c) for c in self.categorical]
+        prepared = self._prepare(t)
+        self.stats = fit_scaler(prepared, self.numeric) if self.numeric else None
+        self.categories = fit_categories(prepared, self.categorical) if self.categorical else {}
+        return self
+
+    def _prepare(self, df: DataFrame) -> DataFrame:
+        out = df
+        if self.medians is not None:
+            out = _attach_one_row(out, self.medians)
+            for c in self.numeric:
+                v = F.coalesce(F.col(c).cast("double"), F.col(f"{c}__median"))
+                out = out.withColumn(c, F.log1p(v) if self.log1p else v)
+            out = out.drop(*self.medians.columns)
+        for c, m in zip(self.categorical, self.modes):
+            out = _attach_one_row(out, m).withColumn(c, F.coalesce(F.col(c), F.col(f"{c}__mode"))).drop(f"{c}__mode")
+        return out
+
+    def transform(self, df: DataFrame, keep: list[str] = ()) -> DataFrame:
+        p = self._prepare(self._num(df))
+        if self.stats is not None:
+            p = apply_scaler(p, self.stats, self.numeric)
+        parts = [F.col(c).cast("double") for c in self.numeric]
+        for c, vals in self.categories.items():
+            parts += [(F.col(c).cast("string") == F.lit(str(v))).cast("double") for v in vals if v is not None]
+        return p.select(*keep, F.array(*parts).alias(self.out))

@@ -414,3 +414,86 @@ def _pip4(spark, sf):
 
 
 query("pip4_evaluate_robustness")(_pip4)
+
+
+# PRJ-4: UNSW-NB15 layout -> common-v1 ------------------------------------------------------------------------------
+query("prj4_unsw_adapter", with_fx("""
+SELECT '0.0.0.0' AS src_ip, CAST(0 AS BIGINT) AS src_port, '0.0.0.0' AS dst_ip, CAST(0 AS BIGINT) AS dst_port,
+       CAST(CASE lower(proto) WHEN 'tcp' THEN 6 WHEN 'udp' THEN 17 WHEN 'icmp' THEN 1 ELSE 0 END AS INTEGER) AS protocol,
+       proto AS protocol_name, round(dur * 1000.0, 6) AS duration_ms, sbytes AS bytes_in, dbytes AS bytes_out,
+       spkts AS packets_in, dpkts AS packets_out, 0 AS tcp_flags, label AS binary_label,
+       CASE WHEN label = 0 THEN 'Normal' ELSE """ + case_map("attack_cat", fn.ATTACK_FAMILIES, "'Other'") + """ END AS attack_type,
+       id AS flow_id, round(smean, 6) AS stat_src_mean, round(dmean, 6) AS stat_dst_mean FROM un""", ["un"]))(
+    lambda spark, sf: rounded(__import__("flowlens.operators.adapters", fromlist=["adapt_unsw"]).adapt_unsw(fx.fixture(spark, sf, "un"))))
+
+# GR-1: host graph nodes (same semantics as the host profile) --------------------------------------------------------
+query("gr1_host_graph_nodes", HOST_PROFILE_SQL)(
+    lambda spark, sf: rounded(__import__("flowlens.operators.graph", fromlist=["host_graph"]).host_graph(
+        std_li(spark, sf, number=False))[0]))
+
+
+# JN-6: induced subgraph of a node subset ------------------------------------------------------------------------------
+def _induced(spark, sf):
+    from ..operators import graph as gr
+    from ..operators import knn
+    nodes = emb(spark, sf).select(F.col("vec_id").alias("id"), "label")
+    edges = knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 10)
+    n, e = gr.induced_subgraph(nodes, edges, nodes.filter(F.col("label") < 5))
+    return e
+
+
+query("jn6_induced_subgraph", with_fx("""
+SELECT src, dst FROM kn WHERE src IN (SELECT vec_id FROM emb WHERE label < 5) AND dst IN (SELECT vec_id FROM emb WHERE label < 5)""",
+    [], [EMB, __import__("flowlens.plans.q_graph", fromlist=["knn_sql"]).knn_sql(10)]))(_induced)
+
+
+# ENC-6: impute -> log1p -> scale -> one-hot -> assemble, fitted on train -------------------------------------------------
+def _pipeline(spark, sf):
+    from .q_sampling import _gsplit
+    trn, tst = _gsplit(spark, sf)
+    p = enc.FeaturePipeline(["qty", "price"], ["flag_txt"]).fit(trn)
+    return explode_vec(p.transform(tst, keep=["flow_key"]), ["flow_key"], "features", 5)
+
+
+_GS = __import__("flowlens.plans.q_sampling", fromlist=["GSPLIT"])
+query("enc6_feature_pipeline", with_fx(f"""
+, med AS (SELECT quantile_cont(qty, 0.5) AS mq, quantile_cont(CASE WHEN isinf(price) THEN NULL ELSE price END, 0.5) AS mp FROM gs WHERE split = 'train'),
+  md AS (SELECT flag_txt AS mode FROM (SELECT flag_txt, count(*) AS n FROM gs WHERE split = 'train' AND flag_txt IS NOT NULL GROUP BY flag_txt)
+         ORDER BY n DESC, flag_txt LIMIT 1),
+  tt AS (SELECT split, flow_key, ln(1 + coalesce(qty, mq)) AS a,
+                ln(1 + coalesce(CASE WHEN isinf(price) THEN NULL ELSE price END, mp)) AS b, coalesce(flag_txt, mode) AS f FROM gs, med, md),
+  st AS (SELECT avg(a) AS ma, CASE WHEN stddev_pop(a) = 0 THEN 1 ELSE stddev_pop(a) END AS sa,
+                avg(b) AS mb, CASE WHEN stddev_pop(b) = 0 THEN 1 ELSE stddev_pop(b) END AS sb FROM tt WHERE split = 'train'),
+  o AS (SELECT flow_key, [(a - ma) / sa, (b - mb) / sb, CAST(f = 'A' AS DOUBLE), CAST(f = 'N' AS DOUBLE), CAST(f = 'R' AS DOUBLE)] AS v
+        FROM tt, st WHERE split = 'test')
+{sql_explode('o', 'flow_key', 'v', 5, 5)}""".replace("\n, med AS", ", med AS", 1), [], [f"gaps AS ({fx.duck('gaps')})", _GS.GSPLIT]))(_pipeline)
+
+
+# EVL-9: side-by-side comparison of two decision rules ----------------------------------------------------------------------
+def _compare(spark, sf):
+    from ..operators import evaluate as ev
+    s = fx.scored(spark, sf)
+    res = None
+    for name, t in (("t03", 0.3), ("t05", 0.5)):
+        m = ev.binary_metrics(s.withColumn("pred", (F.col("score") > t).cast("int"))).withColumn("model", F.lit(name))
+        res = m if res is None else res.unionByName(m)
+    return rounded(ev.compare(res, metrics=("accuracy", "precision", "recall", "f1")))
+
+
+def _cmp_sql():
+    rows = []
+    for t in ("0.3", "0.5"):
+        rows.append(f"""m{t[-1]} AS (SELECT avg(CAST(y = p AS DOUBLE)) AS accuracy,
+          CASE WHEN count(*) FILTER (WHERE p = 1) > 0 THEN count(*) FILTER (WHERE p = 1 AND y = 1) / count(*) FILTER (WHERE p = 1) ELSE 0 END AS precision,
+          CASE WHEN count(*) FILTER (WHERE y = 1) > 0 THEN count(*) FILTER (WHERE p = 1 AND y = 1) / count(*) FILTER (WHERE y = 1) ELSE 0 END AS recall
+          FROM (SELECT y, CAST(score > {t} AS INTEGER) AS p FROM scored))""")
+    body = """, f3 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM m3),
+  f5 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM m5)
+SELECT 'accuracy' AS metric, round(f3.accuracy, 6) AS t03, round(f5.accuracy, 6) AS t05 FROM f3, f5
+UNION ALL SELECT 'precision', round(f3.precision, 6), round(f5.precision, 6) FROM f3, f5
+UNION ALL SELECT 'recall', round(f3.recall, 6), round(f5.recall, 6) FROM f3, f5
+UNION ALL SELECT 'f1', round(f3.f1, 6), round(f5.f1, 6) FROM f3, f5"""
+    return with_fx(body.replace(", f3 AS", "f3 AS", 1), ["scored"], rows + [""]).replace(",\n\nf3 AS", ",\nf3 AS")
+
+
+query("evl9_compare_models", _cmp_sql())(_compare)
