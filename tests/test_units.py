@@ -136,3 +136,48 @@ def test_stream_standardize_and_reduce(spark):
     n_norm = red.filter("attack_type = 'Normal'").count()
     assert 0 < n_norm < out.filter("attack_type = 'Normal'").count()
     assert red.filter("attack_type <> 'Normal'").count() == out.filter("attack_type <> 'Normal'").count()
+
+
+def test_dictionary_header_and_bounded_scan(spark):
+    from flowlens.sources import read_with_dictionary
+    d = _tmp()
+    dic = os.path.join(d, "names.csv")
+    with open(dic, "w") as f:
+        f.write("Name,Type\nSrc Addr,str\n Dst Addr ,str\nBytes,int\n")
+    a, b = os.path.join(d, "a.csv"), os.path.join(d, "b.csv")
+    open(a, "w").write("1.1.1.1,2.2.2.2,10\n")
+    open(b, "w").write("3.3.3.3,4.4.4.4,20\n5.5.5.5,6.6.6.6,30\n")
+    df = read_with_dictionary(spark, [a, b], dic)
+    assert df.columns == ["srcaddr", "dstaddr", "bytes"] and df.count() == 3
+    c = os.path.join(d, "c.csv")
+    open(c, "w").write("x,y,z\nb,2,20\na,1,10\n")
+    head = read_flows(spark, c, schema="x string, y string, z int", limit=1, order=["x"])
+    assert [r.z for r in head.collect()] == [10]
+
+
+def test_results_and_transform_sinks(spark):
+    from flowlens.operators.encode import fit_scaler
+    from flowlens.sources.sinks import save_transform, write_results
+    d = _tmp()
+    res = spark.createDataFrame([("clean", 0.9), ("pgd", 0.7)], "perturbation string, f1 double")
+    write_results(res, os.path.join(d, "r"), "run1")
+    write_results(res, os.path.join(d, "r"), "run2")
+    back = spark.read.json(os.path.join(d, "r"))
+    assert back.count() == 4 and {r.run_id for r in back.collect()} == {"run1", "run2"}
+    stats = fit_scaler(spark.createDataFrame([(1.0,), (3.0,)], "v double"), ["v"])
+    save_transform(stats, os.path.join(d, "t"), {"features": ["v"]})
+    assert spark.read.parquet(os.path.join(d, "t", "stats")).first()["v__mean"] == 2.0
+
+
+def test_dispatch_and_stat_pass_through(spark):
+    import pytest
+    with pytest.raises(ValueError):
+        ad.standardize(spark.range(1), "no_such_source")
+    df = spark.createDataFrame(
+        [(80, 6, 1.5, 2, 1, 100, 50, 1, 0, 0, 1, 1, 0, "BENIGN", 3.5, 7)],
+        "`Destination Port` int, Protocol int, `Flow Duration` double, `Total Fwd Packets` long, "
+        "`Total Backward Packets` long, `Total Length of Fwd Packets` long, `Total Length of Bwd Packets` long, "
+        "`FIN Flag Count` int, `SYN Flag Count` int, `RST Flag Count` int, `PSH Flag Count` int, `ACK Flag Count` int, "
+        "`URG Flag Count` int, Label string, `Flow IAT Mean` double, rid long")
+    r = ad.adapt_cic(df, key="rid").first()
+    assert (r.tcp_flags, r.binary_label, r.attack_type, r.stat_flow_iat_mean, r.flow_id) == (1 + 8 + 16, 0, "Normal", 3.5, 0)
