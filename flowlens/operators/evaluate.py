@@ -89,19 +89,21 @@ def classification_report(df: DataFrame, y: str = "y", p: str = "pred") -> DataF
 
 
 # EVL-5 / IDX-3 ------------------------------------------------------------------
-def _score_table(df: DataFrame, y: str, score: str) -> DataFrame:
-    return df.groupBy(F.col(score).cast("double").alias("s")).agg(
+def _score_table(df: DataFrame, y: str, score: str, group=None) -> DataFrame:
+    return df.groupBy(*_g(group), F.col(score).cast("double").alias("s")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
 
 
-def auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
+def auc(df: DataFrame, y: str = "y", score: str = "score", group=None) -> DataFrame:
     """Binary ROC AUC by the rank-sum formula with averaged tie ranks; null
-    when one class is absent."""
-    t = _score_table(df, y, score).withColumn("n", F.col("pos") + F.col("neg"))
-    r = running_sum(t, ["s"], ["n"], inclusive=False)
+    when one class is absent.  With ``group`` one AUC per group, all from
+    one grouped prefix-sum pass."""
+    g = _g(group)
+    t = _score_table(df, y, score, g).withColumn("n", F.col("pos") + F.col("neg"))
+    r = running_sum(t, ["s"], ["n"], inclusive=False, by=g)
     rank_sum = F.sum(F.col("pos") * (F.col("n_cum") + (F.col("n") + 1) / 2.0))
     P, N = F.sum("pos"), F.sum("neg")
-    return r.agg(F.when((P > 0) & (N > 0), (rank_sum - P * (P + 1) / 2.0) / (P * N)).alias("auc"))
+    return r.groupBy(*g).agg(F.when((P > 0) & (N > 0), (rank_sum - P * (P + 1) / 2.0) / (P * N)).alias("auc"))
 
 
 # EVL-6 -------------------------------------------------------------------------

@@ -143,18 +143,19 @@ def hash_rank_flag(df: DataFrame, n: int | Column, key, seed: int = 42, flag: st
 
 
 def running_sum(df: DataFrame, order_cols: list[str], cols: list[str], suffix: str = "_cum",
-                inclusive: bool = True, num_buckets: int | None = None) -> DataFrame:
-    """Prefix sums of ``cols`` in ``order_cols`` order (a unique order),
-    computed like ``dense_index``: per-bucket totals plus a running sum
-    inside each bucket, so no single task sees the whole table."""
-    d = dense_index(df, order_cols, "_ord", num_buckets=num_buckets)
+                inclusive: bool = True, num_buckets: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """Prefix sums of ``cols`` in ``order_cols`` order (unique within each
+    group of ``by``), computed like ``dense_index``: per-bucket totals plus a
+    running sum inside each bucket, so no single task sees a whole group."""
+    by = list(by or [])
+    d = dense_index(df, order_cols, "_ord", num_buckets=num_buckets, by=by)
     # bucket = coarse position; 2^16 positions per bucket keeps windows bounded
     d = d.withColumn("_bk", F.shiftright("_ord", 16))
-    tot = d.groupBy("_bk").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
-    wb = Window.orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_bk", *[F.coalesce(F.sum(f"_t{i}").over(wb), F.lit(0)).alias(f"_o{i}") for i in range(len(cols))])
-    frame = Window.partitionBy("_bk").orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = d.join(F.broadcast(off), "_bk")
+    tot = d.groupBy(*by, "_bk").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
+    wb = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(*by, "_bk", *[F.coalesce(F.sum(f"_t{i}").over(wb), F.lit(0)).alias(f"_o{i}") for i in range(len(cols))])
+    frame = Window.partitionBy(*by, "_bk").orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = d.join(F.broadcast(off), by + ["_bk"])
     for i, c in enumerate(cols):
         out = out.withColumn(c + suffix, F.col(f"_o{i}") + F.coalesce(F.sum(c).over(frame), F.lit(0)))
     return out.drop("_bk", *[f"_o{i}" for i in range(len(cols))])

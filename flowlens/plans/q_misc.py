@@ -244,7 +244,14 @@ def _pip1(spark, sf):
     return out.groupBy("dataset_source", "attack_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-query("pip1_reduce_standardize_combine")(_pip1)
+_R = 0.1
+query("pip1_reduce_standardize_combine", with_li(f"""
+, c AS (SELECT attack_type, count(*) AS cnt, sum(count(*)) OVER () AS total FROM std GROUP BY attack_type),
+  q AS (SELECT attack_type, CASE WHEN cnt < 1000 THEN cnt ELSE round_even(cnt * least(CASE WHEN cnt < total * {D(0.01)} THEN {D(max(0.5, 5 * _R))}
+        WHEN cnt < total * {D(0.1)} THEN {D(min(1.0, 2 * _R))} ELSE {D(0.9 * _R)} END, 1.0), 0) END AS n FROM c),
+  r AS (SELECT *, row_number() OVER (PARTITION BY attack_type ORDER BY md5('42:' || CAST(flow_id AS VARCHAR)), CAST(flow_id AS VARCHAR)) AS rn FROM std)
+SELECT 'li' AS dataset_source, attack_type, count(*) AS n FROM r JOIN q USING (attack_type) WHERE rn <= n GROUP BY attack_type""")
+    .replace("\n, c AS", ", c AS", 1))(_pip1)
 
 
 # PIP-2: standardize -> encode -> host graph -> metrics --------------------------------------------------------------------
@@ -354,10 +361,24 @@ def _inject_flow(spark, sf):
     from ..operators import graph as gr
     nodes, e = _ipgraph(spark, sf)
     new_edges, new_nodes = gr.inject_flow_nodes(e.withColumn("eid", F.col("eid").cast("string")), 0.05, 2, c=5)
-    return new_edges.select("eid", "src", "dst", "binary_label")
-
-
-query("gr11_inject_flow_nodes")(_inject_flow)
+    return rounded(new_edges.select("eid", "src", "dst", "binary_label", F.col("h")[0].alias("h0"), F.col("h")[1].alias("h1")))
+
+
+query("gr11_inject_flow_nodes", with_li("""
+, fe2 AS (SELECT flow_key AS eid, src_ip AS src, dst_ip AS dst, binary_label,
+                 ln(1 + CAST(bytes_in AS DOUBLE)) AS h0, ln(1 + duration_ms) AS h1 FROM std),
+  nodes AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS nidx FROM (SELECT src AS id FROM fe2 UNION SELECT dst FROM fe2)),
+  don AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || eid), eid) - 1 AS didx FROM fe2 WHERE binary_label = 1),
+  cnt AS (SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM don) AS n_donors,
+                 (SELECT avg(h0) FROM don) AS m0, (SELECT avg(h1) FROM don) AS m1),
+  new AS (SELECT j, n_nodes, n_donors, m0, m1, (('0x' || substr(md5('42:' || CAST(j AS VARCHAR)), 1, 12))::BIGINT) % n_nodes AS start
+          FROM cnt, range(0, CAST(floor((SELECT n_nodes FROM cnt) * 0.05::DOUBLE) AS BIGINT)) t(j)),
+  links AS (SELECT new.*, t, (start + t) % n_nodes AS nidx,
+                   CASE WHEN n_donors > 0 THEN (('0x' || substr(md5('43:' || CAST(j AS VARCHAR) || ':' || CAST(t AS VARCHAR)), 1, 12))::BIGINT) % n_donors END AS didx
+            FROM new, range(0, 5) tt(t))
+SELECT 'inj:' || CAST(j AS VARCHAR) || ':' || CAST(t AS VARCHAR) AS eid, 'injected_' || CAST(j AS VARCHAR) AS src, nodes.id AS dst,
+       1 AS binary_label, round(coalesce(don.h0, m0), 6) AS h0, round(coalesce(don.h1, m1), 6) AS h1
+FROM links JOIN nodes ON nodes.nidx = links.nidx LEFT JOIN don ON don.didx = links.didx""".replace("\n, fe2 AS", ", fe2 AS", 1)))(_inject_flow)
 
 
 # GR-24: infomax loss of clean vs corrupted node embeddings ------------------------------------------------------------

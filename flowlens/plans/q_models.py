@@ -193,8 +193,54 @@ def _sweep(spark, sf):
     return rb.robustness_sweep(_lvec(std_li(spark, sf, number=False)), "x", "binary_label", W_LR, B_LR, PLAN, iters=5)
 
 
-query("rob2_robustness_sweep")(lambda spark, sf: rounded(_sweep(spark, sf)))
-query("rob3_degradation")(lambda spark, sf: rounded(ev.degradation(_sweep(spark, sf))))
+def _sweep_sql(degrade: bool) -> str:
+    w0, w1, w2 = (D(v) for v in W_LR)
+    lin = lambda a, b_, c: f"{a} * {w0} + {b_} * {w1} + {c} * {w2} + {D(B_LR)}"
+    parts = ["SELECT 'clean' AS pert, CAST(0.0 AS DOUBLE) AS param, flow_key, y, x1, x2, x3 FROM p"]
+    for kind, prm in PLAN:
+        if kind == "pgd":
+            e = D(prm)
+            parts.append(f"SELECT 'pgd', {D(float(prm))}, flow_key, y, x1 + {e} * sign(p0 - y) * sign({w0}), "
+                         f"x2 + {e} * sign(p0 - y) * sign({w1}), x3 + {e} * sign(p0 - y) * sign({w2}) FROM p")
+        else:
+            parts.append(f"SELECT 'drop', {D(float(prm))}, flow_key, y, x1, x2, x3 FROM "
+                         f"(SELECT *, row_number() OVER (ORDER BY md5('42:' || flow_key), flow_key) AS rn FROM p) "
+                         f"WHERE rn > (SELECT floor(count(*) * {D(float(prm))}) FROM p)")
+    union = "\n  UNION ALL ".join(parts)
+    body = f"""
+, v AS (SELECT flow_key, binary_label AS y, ln(1 + duration_ms) AS x1, ln(1 + CAST(bytes_in AS DOUBLE)) AS x2,
+               ln(1 + CAST(packets_in AS DOUBLE)) AS x3 FROM std),
+  p AS (SELECT *, 1 / (1 + exp(-({lin('x1', 'x2', 'x3')}))) AS p0 FROM v),
+  allp AS ({union}),
+  sp AS (SELECT *, 1 / (1 + exp(-({lin('x1', 'x2', 'x3')}))) AS score FROM allp),
+  sp2 AS (SELECT *, CAST(score > 0.5 AS INTEGER) AS pred FROM sp),
+  m AS (SELECT pert, param, avg(CAST(y = pred AS DOUBLE)) AS accuracy,
+               count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp,
+               count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn FROM sp2 GROUP BY pert, param),
+  m2 AS (SELECT pert, param, accuracy, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision,
+                CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall,
+                CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM m),
+  rk AS (SELECT pert, param, y, rank() OVER (PARTITION BY pert, param ORDER BY score)
+                + (count(*) OVER (PARTITION BY pert, param, score) - 1) / 2.0 AS r FROM sp2),
+  au AS (SELECT pert, param, (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+                / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y <> 1)) AS auc FROM rk GROUP BY pert, param),
+  res AS (SELECT m2.pert AS perturbation, m2.param, accuracy, precision, recall, f1, auc FROM m2 JOIN au USING (pert, param))"""
+    if not degrade:
+        sel = """
+SELECT perturbation, round(param, 6) AS param, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision,
+       round(recall, 6) AS recall, round(f1, 6) AS f1, round(auc, 6) AS auc FROM res"""
+    else:
+        sel = """
+SELECT r.perturbation, round(r.param, 6) AS param, round(r.accuracy, 6) AS accuracy, round(r.precision, 6) AS precision,
+       round(r.recall, 6) AS recall, round(r.f1, 6) AS f1, round(r.auc, 6) AS auc,
+       round(r.accuracy - c.accuracy, 6) AS delta_accuracy, round(r.precision - c.precision, 6) AS delta_precision,
+       round(r.recall - c.recall, 6) AS delta_recall, round(r.f1 - c.f1, 6) AS delta_f1, round(r.auc - c.auc, 6) AS delta_auc
+FROM res r, (SELECT * FROM res WHERE perturbation = 'clean') c"""
+    return with_li((body + sel).replace("\n, v AS", ", v AS", 1))
+
+
+query("rob2_robustness_sweep", _sweep_sql(False))(lambda spark, sf: rounded(_sweep(spark, sf)))
+query("rob3_degradation", _sweep_sql(True))(lambda spark, sf: rounded(ev.degradation(_sweep(spark, sf))))
 
 # TRI-2: verdict parsing (fixture strings from documents.doc_id) ---------------------------------------
 VERDICT_SQL = """SELECT doc_id AS node_id, CASE
