@@ -9,7 +9,7 @@ the |L|x|R| distance tile and emits only the k best partners per left row
 keeps the k best of the B partial lists (k·B rows per id, bounded).
 
 Cost: n²·d flops spread over B² tasks; shuffle 2·B·n vectors + n·k·B partials.
-Choose B so that one block (n/B vectors) fits comfortably in a task.
+By default B = ceil(n / 2000): one tile is 2000 x 2000 distances (32 MB).
 """
 
 from __future__ import annotations
@@ -23,7 +23,19 @@ from pyspark.sql import types as T
 PAIR_SCHEMA = "src long, dst long, dist double"
 
 
-def _blocks(df: DataFrame, id_col: str, vec: str, n_blocks: int) -> DataFrame:
+ROWS_PER_BLOCK = 2000
+
+
+def _auto_blocks(df: DataFrame, n_blocks: int | None) -> int:
+    """Blocks of about ROWS_PER_BLOCK rows (a tile of 4M distances)."""
+    if n_blocks:
+        return n_blocks
+    import math
+    return max(1, math.ceil(df.count() / ROWS_PER_BLOCK))
+
+
+def _blocks(df: DataFrame, id_col: str, vec: str, n_blocks: int | None) -> DataFrame:
+    n_blocks = _auto_blocks(df, n_blocks)
     d = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
     d = d.withColumn("_blk", F.pmod(F.xxhash64("_id"), F.lit(n_blocks)).cast("int"))
     reps = F.array(*[F.lit(i) for i in range(n_blocks)])
@@ -85,7 +97,7 @@ def _tile_fn(k: int | None, eps: float | None, metric: str, strict: bool, exclud
 
 
 def knn_join(df: DataFrame, id_col: str, vec: str, k: int, metric: str = "euclidean",
-             n_blocks: int = 4, exclude_self: bool = True) -> DataFrame:
+             n_blocks: int | None = None, exclude_self: bool = True) -> DataFrame:
     """Exact k nearest neighbours of every row (self excluded): rows
     (src, dst, dist, rank), exactly min(k, n-1) per src, ties by dst id."""
     pairs = _blocks(df, id_col, vec, n_blocks).groupBy("_lb", "_rb").applyInPandas(
@@ -95,20 +107,20 @@ def knn_join(df: DataFrame, id_col: str, vec: str, k: int, metric: str = "euclid
 
 
 def radius_join(df: DataFrame, id_col: str, vec: str, eps: float, metric: str = "euclidean",
-                n_blocks: int = 4, exclude_self: bool = True, strict: bool = True) -> DataFrame:
+                n_blocks: int | None = None, exclude_self: bool = True, strict: bool = True) -> DataFrame:
     """All pairs closer than ``eps`` (output-sensitive; no partner cap)."""
     return _blocks(df, id_col, vec, n_blocks).groupBy("_lb", "_rb").applyInPandas(
         _tile_fn(None, eps, metric, strict, exclude_self), PAIR_SCHEMA)
 
 
 def adaptive_join(df: DataFrame, id_col: str, vec: str, k: int = 20, eps: float = 0.5,
-                  metric: str = "euclidean", n_blocks: int = 4) -> DataFrame:
+                  metric: str = "euclidean", n_blocks: int | None = None) -> DataFrame:
     """kNN ∩ (distance < eps): the k nearest, then the threshold."""
     return knn_join(df, id_col, vec, k, metric, n_blocks).filter(F.col("dist") < eps)
 
 
 def knn_graph(df: DataFrame, id_col: str, vec: str, k: int, symmetric: bool = False,
-              metric: str = "euclidean", n_blocks: int = 4) -> DataFrame:
+              metric: str = "euclidean", n_blocks: int | None = None) -> DataFrame:
     """Directed kNN edges (src -> its neighbours), or their symmetric closure."""
     e = knn_join(df, id_col, vec, k, metric, n_blocks).select("src", "dst")
     if symmetric:
