@@ -99,8 +99,11 @@ def hbos_sweep(train: DataFrame, test: DataFrame, cols: list[str], label: str, b
             t = threshold(tr, c, tie=tie).select(F.lit(c).alias("contamination"), F.lit(order).alias("grid_order"), "threshold")
             thrs = t if thrs is None else thrs.unionByName(t)
             order += 1
-        scored = hbos_score(test, m).select(F.col(label).alias("y"), "score", F.lit(1).alias("_one"))
-        j = scored.join(F.broadcast(thrs.withColumn("_one", F.lit(1))), "_one")
+        scored = hbos_score(test, m).select(F.col(label).alias("y"), "score")
+        # the few thresholds travel as one scalar array; each row is expanded
+        # once per contamination level (no join)
+        arr = thrs.agg(F.collect_list(F.struct("contamination", "threshold")).alias("_t")).scalar()
+        j = scored.withColumn("_t", F.explode(arr)).select("y", "score", "_t.contamination", "_t.threshold")
         j = j.withColumn("pred", (F.col("score") > F.col("threshold")).cast("int"))
         per = None
         for c in contaminations:
@@ -298,3 +301,14 @@ def train_classifier(df: DataFrame, cols: list[str], label: str, kind: str = "lr
 def predict(model, df: DataFrame, cols: list[str]) -> DataFrame:
     out = model.transform(_assemble(df, cols)).drop("features", "rawPrediction")
     return out.withColumn("pred", F.col("prediction").cast("int"))
+
+
+def _ship_by_value() -> None:
+    """Functions of this module run inside Python workers; pickle them by
+    value so executors need no installed copy of the package."""
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()

@@ -61,10 +61,12 @@ def apply_scaler(df: DataFrame, stats: DataFrame, cols: list[str], suffix: str =
 
 
 def _attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row table to every row (equi-join on a
-    constant key against a broadcast single row)."""
-    r = one_row.withColumn("_one", F.lit(1))
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(r), "_one").drop("_one")
+    """Attach the columns of a one-row table (fitted statistics, counts) to
+    every row as a scalar subquery: Spark runs the one-row plan once and
+    substitutes the value, so no join (and no nested-loop join) is planned."""
+    cols = one_row.columns
+    packed = one_row.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row")).scalar()
+    return df.withColumn("_row", packed).select("*", *[F.col("_row").getField(c).alias(c) for c in cols]).drop("_row")
 
 
 # ENC-1 / ENC-2 ---------------------------------------------------------------

@@ -39,8 +39,9 @@ def confusion_matrix(df: DataFrame, y: str = "y", p: str = "pred", normalize: bo
     """Dense (true, pred, count[, share of the true row]) over all classes seen."""
     cnt = df.groupBy(F.col(y).alias("true"), F.col(p).alias("pred")).agg(F.count(F.lit(1)).alias("count"))
     classes = df.select(F.col(y).alias("c")).union(df.select(F.col(p).alias("c"))).distinct()
-    grid = classes.select(F.col("c").alias("true"), F.lit(1).alias("_one")).join(
-        F.broadcast(classes.select(F.col("c").alias("pred"), F.lit(1).alias("_one"))), "_one").drop("_one")
+    # the class list is small: one row holding it, exploded twice into the k x k grid
+    arr = classes.agg(F.collect_list("c").alias("_cs"))
+    grid = arr.select(F.explode("_cs").alias("true"), "_cs").select("true", F.explode("_cs").alias("pred"))
     dense = grid.join(cnt, ["true", "pred"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
     if normalize:
         row = F.sum("count").over(Window.partitionBy("true"))

@@ -126,3 +126,14 @@ def knn_graph(df: DataFrame, id_col: str, vec: str, k: int, symmetric: bool = Fa
     if symmetric:
         e = e.union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
     return e
+
+
+def _ship_by_value() -> None:
+    """Functions of this module run inside Python workers; pickle them by
+    value so executors need no installed copy of the package."""
+    import sys
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
+_ship_by_value()

@@ -87,9 +87,11 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "flow_id",
 def _boundaries(hist: DataFrame, by: list[str], quota: DataFrame, n_col: str) -> DataFrame:
     """Per group: boundary bucket ``_bstar`` and rows still needed there
     (computed on the bucket histogram: at most 65,536 rows per group)."""
+    from .encode import _attach_one_row
     w = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    h = (hist.join(F.broadcast(quota.select(*by, F.col(n_col).alias("_n"))), by)
-             .withColumn("_before", F.coalesce(F.sum("_bc").over(w), F.lit(0))))
+    q = quota.select(*by, F.col(n_col).alias("_n"))
+    h = hist.join(F.broadcast(q), by) if by else _attach_one_row(hist, q)
+    h = h.withColumn("_before", F.coalesce(F.sum("_bc").over(w), F.lit(0)))
     cross = h.filter((F.col("_before") < F.col("_n")) & (F.col("_before") + F.col("_bc") >= F.col("_n")))
     b = cross.select(*by, F.col("_b").alias("_bstar"), (F.col("_n") - F.col("_before")).alias("_need"))
     # groups whose quota is 0 keep nothing: boundary below every bucket
@@ -120,8 +122,14 @@ def mark_first_n(df: DataFrame, by: list[str], quota, key, seed: int = 42,
     if callable(quota):
         quota = quota(hist.groupBy(*by).agg(F.sum("_bc").alias("cnt")))
     bnd = cut_lineage(_boundaries(hist, by, quota, n_col))
-    # one row per group -> broadcast is bounded by the number of groups
-    j = d.join(F.broadcast(bnd), by, "left")
+    if by:
+        # one row per group -> broadcast is bounded by the number of groups
+        j = d.join(F.broadcast(bnd), by, "left")
+    else:
+        # a single group: at most one boundary row, attached as a scalar
+        from .encode import _attach_one_row
+        one = bnd.agg(F.first("_bstar").alias("_bstar"), F.first("_need").alias("_need"))
+        j = _attach_one_row(d, one)
     plain = j.filter(F.col("_bstar").isNull() | (F.col("_b") != F.col("_bstar"))) \
              .withColumn(flag, F.col("_bstar").isNull() | (F.col("_b") < F.col("_bstar")))
     edge = j.filter(F.col("_b") == F.col("_bstar"))
@@ -138,8 +146,9 @@ def take_per_group(df: DataFrame, by: list[str], quota, key, seed: int = 42,
 
 def hash_rank_flag(df: DataFrame, n: int | Column, key, seed: int = 42, flag: str = "_in") -> DataFrame:
     """Global variant: first ``n`` rows of the whole table in hash order."""
-    q = df.sparkSession.range(1).select(F.lit(1).alias("_g"), F.lit(n).cast("bigint").alias("n"))
-    return mark_first_n(df.withColumn("_g", F.lit(1)), ["_g"], q, key, seed, flag).drop("_g")
+    def quota(c):
+        return c.select(F.lit(n).cast("bigint").alias("n"))
+    return mark_first_n(df, [], quota, key, seed, flag)
 
 
 def running_sum(df: DataFrame, order_cols: list[str], cols: list[str], suffix: str = "_cum",

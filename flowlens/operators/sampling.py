@@ -175,8 +175,8 @@ def split(df: DataFrame, key: str, strata: list[str] | None = None, test_frac: f
         marked = mark_first_n(df.withColumn("_s", skey), ["_s"], quota, key, seed, "_t").drop("_s")
     else:
         def quota(c):
-            return c.select("_g", F.ceil(F.col("cnt") * test_frac).cast("bigint").alias("n"))
-        marked = mark_first_n(df.withColumn("_g", F.lit(1)), ["_g"], quota, key, seed, "_t").drop("_g")
+            return c.select(F.ceil(F.col("cnt") * test_frac).cast("bigint").alias("n"))
+        marked = mark_first_n(df, [], quota, key, seed, "_t")
     return marked.withColumn(out, F.when(F.col("_t"), F.lit(names[1])).otherwise(F.lit(names[0]))).drop("_t")
 
 

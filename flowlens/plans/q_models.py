@@ -333,8 +333,8 @@ query("tri4_remove_flagged", with_fx("""
 SELECT (SELECT count(*) FROM (SELECT id FROM nodes UNION ALL SELECT id FROM new) WHERE id NOT IN (SELECT id FROM fl)) AS nodes,
        (SELECT count(*) FROM edges WHERE src NOT IN (SELECT id FROM fl) AND dst NOT IN (SELECT id FROM fl)) AS edges""",
     [], [EMB, knn_sql(20), INJ_SQL, VERDICTS, PARSE_SQL, FLAGGED]))(
-    lambda spark, sf: (lambda t: t[4].agg(F.count(F.lit(1)).alias("nodes")).join(
-        t[5].agg(F.count(F.lit(1)).alias("edges"))))(_triage_fixed(spark, sf)))
+    lambda spark, sf: (lambda t: enc._attach_one_row(t[4].agg(F.count(F.lit(1)).alias("nodes")),
+                                                     t[5].agg(F.count(F.lit(1)).alias("edges"))))(_triage_fixed(spark, sf)))
 
 query("tri5_mitigation_tally", with_fx("""
 SELECT (SELECT count(*) FROM fl) AS flagged, (SELECT count(*) FROM fl WHERE id IN (SELECT id FROM new)) AS injected_found,
@@ -358,7 +358,7 @@ def _triage_report(spark, sf):
         s = h.join(n.select("id", F.coalesce(F.col("y"), F.lit(0)).alias("y0")), "id") \
              .select((F.col("y0") % 2).alias("y"), fn.sigmoid(F.aggregate("x", F.lit(0.0), lambda a, b: a + b) * 10).alias("score"))
         s = s.withColumn("pred", (F.col("score") > 0.5).cast("int"))
-        return ev.binary_metrics(s).join(ev.auc(s)).withColumn("graph", F.lit(name))
+        return enc._attach_one_row(ev.binary_metrics(s), ev.auc(s)).withColumn("graph", F.lit(name))
     return rounded(evaluate("clean", clean_nodes, clean_edges).unionByName(evaluate("injected", nodes, edges))
                    .unionByName(evaluate("fixed", n2, e2)))
 

@@ -32,9 +32,19 @@ def _rows(cols, rows):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
+def _assert_plan_ok(df):
+    """Scale guard: no cross product or nested-loop join in the physical plan."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert not [k for k in FORBIDDEN if k in plan], plan[:2000]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_oracle(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
+    _assert_plan_ok(df)
     srows = [tuple(r) for r in df.collect()]
     res = duck.execute(ORACLES[name])
     dcols = [d[0] for d in res.description]
@@ -45,6 +55,7 @@ def test_matches_oracle(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs_without_oracle(spark, name):
     df = QUERIES[name](spark, SF_SMALL)
+    _assert_plan_ok(df)
     assert df.count() >= 0
 
 
