@@ -128,6 +128,32 @@ def knn_graph(df: DataFrame, id_col: str, vec: str, k: int, symmetric: bool = Fa
     return e
 
 
+def _pair_sum_fn(margin: float):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        left = pdf[pdf["_left"]]
+        right = pdf[~pdf["_left"]]
+        if left.empty or right.empty:
+            return pd.DataFrame({"s": [0.0], "n": [0]})
+        lv = np.stack(left["_v"].to_numpy())
+        rv = np.stack(right["_v"].to_numpy())
+        ln = np.linalg.norm(lv, axis=1, keepdims=True)
+        rn = np.linalg.norm(rv, axis=1, keepdims=True)
+        cos = (lv / np.where(ln == 0, 1.0, ln)) @ (rv / np.where(rn == 0, 1.0, rn)).T
+        other = left["_lab"].to_numpy()[:, None] != right["_lab"].to_numpy()[None, :]
+        return pd.DataFrame({"s": [float(np.maximum(cos - margin, 0.0)[other].sum())], "n": [int(other.sum())]})
+    return fn
+
+
+def negative_pair_term(df: DataFrame, id_col: str, vec: str, label: str, margin: float,
+                       n_blocks: int | None = None) -> DataFrame:
+    """mean over ordered pairs with different labels of relu(cos - margin):
+    block tiles each emit one (sum, count) row, never the pairs."""
+    lab = df.select(F.col(id_col).cast("long").alias("_id"), F.col(label).alias("_lab"))
+    blocks = _blocks(df, id_col, vec, n_blocks).join(lab, "_id")
+    parts = blocks.groupBy("_lb", "_rb").applyInPandas(_pair_sum_fn(margin), "s double, n long")
+    return parts.agg((F.sum("s") / F.sum("n")).alias("neg_loss"))
+
+
 def _ship_by_value() -> None:
     """Functions of this module run inside Python workers; pickle them by
     value so executors need no installed copy of the package."""

@@ -172,12 +172,13 @@ def infomax_loss(pos: DataFrame, neg: DataFrame, w: list[list[float]], d: int) -
 
 # GR-25 -------------------------------------------------------------------------
 def contrastive_loss(df: DataFrame, vec: str, label: str, d: int, margin: float = 1.0,
-                     include_self: bool = False) -> DataFrame:
+                     include_self: bool = False, id_col: str | None = None) -> DataFrame:
     """Label-contrastive loss on L2-normalised vectors, closed form in O(n·d):
     positive term = mean over same-label pairs of (1 - cos)
                   = Σ_c (n_c² - ‖S_c‖²) / Σ_c n_c(n_c-1)   (self pairs excluded)
     negative term = mean(relu(cos - margin)) over other pairs, exactly 0 for
-    margin >= 1 (|cos| <= 1)."""
+    margin >= 1 (|cos| <= 1); below that it is summed tile by tile over
+    hashed blocks (``knn.negative_pair_term``, needs ``id_col``)."""
     z = df.select(F.col(label).alias("y"), fn.l2_normalize(F.col(vec)).alias("z"))
     per = z.groupBy("y").agg(F.count(F.lit(1)).alias("n_c"), *[F.sum(F.col("z")[i]).alias(f"_s{i}") for i in range(d)])
     sq = sum((F.col(f"_s{i}") * F.col(f"_s{i}") for i in range(d)), F.lit(0.0))
@@ -191,4 +192,6 @@ def contrastive_loss(df: DataFrame, vec: str, label: str, d: int, margin: float
     out = per.agg((num / den).alias("pos_loss"))
     if margin >= 1.0:
         return out.withColumn("neg_loss", F.lit(0.0)).withColumn("loss", F.col("pos_loss"))
-    raise NotImplementedError("margin < 1 needs the pair join; use margin >= 1")
+    from .knn import negative_pair_term
+    neg = negative_pair_term(df, id_col, vec, label, margin)
+    return _attach_one_row(out, neg).withColumn("loss", F.col("pos_loss") + F.col("neg_loss"))

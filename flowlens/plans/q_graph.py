@@ -330,3 +330,13 @@ query("evl8_per_class_recall", with_li("""
 SELECT attack_type, count(*) AS n, round(avg(CAST(pred = 1 AS DOUBLE)), 6) AS detection_rate
 FROM std JOIN sc USING (flow_key) GROUP BY attack_type""".replace("\n, sc AS", ", sc AS", 1), extra=[f"scored AS ({fx.duck('scored')})"]))(
     _per_class_recall)
+
+
+# GR-25 with margin 0.2: the negative term summed over block tiles ---------------------------------------------
+query("gr25_contrastive_loss_margin", with_fx("""
+, z AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS z FROM emb),
+  pos AS (SELECT avg(1 - list_dot_product(a.z, b.z)) AS pos_loss FROM z a JOIN z b ON a.label = b.label AND a.vec_id <> b.vec_id),
+  neg AS (SELECT avg(greatest(list_dot_product(a.z, b.z) - 0.2, 0)) AS neg_loss FROM z a JOIN z b ON a.label <> b.label)
+SELECT round(pos_loss, 6) AS pos_loss, round(neg_loss, 6) AS neg_loss, round(pos_loss + neg_loss, 6) AS loss FROM pos, neg"""
+    .replace("\n, z AS", ", z AS", 1), [], [EMB]))(
+    lambda spark, sf: rounded(pg.contrastive_loss(emb(spark, sf), "embedding", "label", 64, margin=0.2, id_col="vec_id")))
