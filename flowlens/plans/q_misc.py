@@ -434,7 +434,8 @@ def _pip4(spark, sf):
     return rounded(ev.degradation(res))
 
 
-query("pip4_evaluate_robustness")(_pip4)
+query("pip4_evaluate_robustness", __import__("flowlens.plans.q_models", fromlist=["_sweep_sql"])._sweep_sql(
+    True, [("pgd", 0.3), ("drop", 0.2)]))(_pip4)
 
 
 # PRJ-4: UNSW-NB15 layout -> common-v1 ------------------------------------------------------------------------------

@@ -193,11 +193,12 @@ def _sweep(spark, sf):
     return rb.robustness_sweep(_lvec(std_li(spark, sf, number=False)), "x", "binary_label", W_LR, B_LR, PLAN, iters=5)
 
 
-def _sweep_sql(degrade: bool) -> str:
+def _sweep_sql(degrade: bool, plan=None) -> str:
+    plan = PLAN if plan is None else plan
     w0, w1, w2 = (D(v) for v in W_LR)
     lin = lambda a, b_, c: f"{a} * {w0} + {b_} * {w1} + {c} * {w2} + {D(B_LR)}"
     parts = ["SELECT 'clean' AS pert, CAST(0.0 AS DOUBLE) AS param, flow_key, y, x1, x2, x3 FROM p"]
-    for kind, prm in PLAN:
+    for kind, prm in plan:
         if kind == "pgd":
             e = D(prm)
             parts.append(f"SELECT 'pgd', {D(float(prm))}, flow_key, y, x1 + {e} * sign(p0 - y) * sign({w0}), "
