@@ -388,10 +388,34 @@ def _infomax(spark, sf):
     nodes, e = _ipgraph(spark, sf)
     pos = pg.anomal_layer(nodes, e, WA, 2)
     neg = pg.anomal_layer(nodes, gr.permute_features(e, "eid"), WA, 2)
-    return rounded(pg.infomax_loss(pos, neg, enc.hash_matrix(2, 2, 14, -1.0, 1.0), 2))
-
-
-query("gr24_infomax_loss")(_infomax)
+    return rounded(pg.infomax_loss(pos, neg, W_INFO, 2))
+
+
+W_INFO = enc.hash_matrix(2, 2, 14, -1.0, 1.0)
+
+
+def _infomax_sql() -> str:
+    layer = _relu_list(sql_matvec('list_concat(nd.x, coalesce(agg.m, [0.0::DOUBLE, 0.0::DOUBLE]))', WA))
+    w = W_INFO
+    ws = [f"(s1 * CAST({w[j][0]!r} AS DOUBLE) + s2 * CAST({w[j][1]!r} AS DOUBLE))" for j in range(2)]
+    bce = "greatest(sc, 0) - sc * y + ln(1 + exp(-abs(sc)))"
+    return with_li(f"""
+, fk AS (SELECT flow_key AS eid, src_ip AS src, dst_ip AS dst, [ln(1 + CAST(bytes_in AS DOUBLE)), ln(1 + duration_ms)] AS h FROM std),
+  pa AS (SELECT eid, src, dst, row_number() OVER (ORDER BY eid) AS i FROM fk),
+  pb AS (SELECT h, row_number() OVER (ORDER BY md5('42:' || eid), eid) AS i FROM fk),
+  fp AS (SELECT pa.src, pa.dst, pb.h FROM pa JOIN pb ON pa.i = pb.i),
+  agg AS (SELECT dst, [avg(h[1]), avg(h[2])] AS m FROM fe GROUP BY dst),
+  pos AS (SELECT nd.id, {layer} AS x FROM nd LEFT JOIN agg ON agg.dst = nd.id),
+  aggn AS (SELECT dst, [avg(h[1]), avg(h[2])] AS m FROM fp GROUP BY dst),
+  neg AS (SELECT nd.id, {layer.replace('agg.m', 'aggn.m')} AS x FROM nd LEFT JOIN aggn ON aggn.dst = nd.id),
+  su AS (SELECT 1 / (1 + exp(-avg(x[1]))) AS s1, 1 / (1 + exp(-avg(x[2]))) AS s2 FROM pos),
+  sc AS (SELECT 1 AS y, x[1] * {ws[0]} + x[2] * {ws[1]} AS sc FROM pos, su
+         UNION ALL SELECT 0, x[1] * {ws[0]} + x[2] * {ws[1]} FROM neg, su),
+  l AS (SELECT y, avg({bce}) AS l FROM sc GROUP BY y)
+SELECT round(sum(l), 6) AS loss FROM l""".replace("\n, fk AS", ", fk AS", 1), extra=IPG)
+
+
+query("gr24_infomax_loss", _infomax_sql())(_infomax)
 
 
 # PIP-3: cap -> features -> adaptive graph -> 70/15/15 -> propagated features -> model leaderboard --------------------------
