@@ -364,7 +364,41 @@ def _triage_report(spark, sf):
                    .unionByName(evaluate("fixed", n2, e2)))
 
 
-query("tri6_triage_report")(_triage_report)
+def _tri6_sql() -> str:
+    graphs = {"clean": ("gcn_n", "gcn_e"), "injected": ("gin_n", "gin_e"), "fixed": ("gfx_n", "gfx_e")}
+    ctes = ["""gcn_n AS (SELECT vec_id AS id, e[1:4] AS x, label AS y FROM emb)""",
+            "gcn_e AS (SELECT src, dst FROM kn)",
+            "gin_n AS (SELECT id, x, y FROM gcn_n UNION ALL SELECT id, x, 0 FROM new)",
+            "gin_e AS (SELECT src, dst FROM edges)",
+            "gfx_n AS (SELECT * FROM gin_n WHERE id NOT IN (SELECT id FROM fl))",
+            "gfx_e AS (SELECT * FROM gin_e WHERE src NOT IN (SELECT id FROM fl) AND dst NOT IN (SELECT id FROM fl))"]
+    sc = []
+    for name, (gn, ge) in graphs.items():
+        ctes.append(f"""a_{name} AS (SELECT e.dst, [avg(n.x[1]), avg(n.x[2]), avg(n.x[3]), avg(n.x[4])] AS s
+                        FROM {ge} e JOIN {gn} n ON n.id = e.src GROUP BY e.dst)""")
+        ctes.append(f"""h_{name} AS (SELECT n.y % 2 AS y,
+                        list_sum(list_transform(range(1, 5), lambda i: coalesce(a.s[i], 0.0))) AS t
+                        FROM {gn} n LEFT JOIN a_{name} a ON a.dst = n.id)""")
+        sc.append(f"SELECT '{name}' AS graph, y, 1 / (1 + exp(-(t * 10))) AS score FROM h_{name}")
+    ctes.append("sc AS (" + " UNION ALL ".join(sc) + ")")
+    ctes.append("sp AS (SELECT *, CAST(score > 0.5 AS INTEGER) AS pred FROM sc)")
+    ctes.append("""m AS (SELECT graph, avg(CAST(y = pred AS DOUBLE)) AS accuracy,
+          count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp,
+          count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn FROM sp GROUP BY graph)""")
+    ctes.append("""rk AS (SELECT graph, y, rank() OVER (PARTITION BY graph ORDER BY score)
+          + (count(*) OVER (PARTITION BY graph, score) - 1) / 2.0 AS r FROM sp)""")
+    ctes.append("""au AS (SELECT graph, (sum(r) FILTER (WHERE y = 1) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0)
+          / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y <> 1)) AS auc FROM rk GROUP BY graph)""")
+    body = """
+SELECT m.graph, round(accuracy, 6) AS accuracy,
+       round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
+       round(CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1, round(auc, 6) AS auc
+FROM m JOIN au ON au.graph = m.graph"""
+    return with_fx(body, [], [EMB, knn_sql(20), INJ_SQL, VERDICTS, PARSE_SQL, FLAGGED] + ctes)
+
+
+query("tri6_triage_report", _tri6_sql())(_triage_report)
 
 query("tri1_render_prompts")(lambda spark, sf: tr.render_prompts(
     emb(spark, sf).select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 10).alias("x")),
