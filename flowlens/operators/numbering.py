@@ -37,6 +37,30 @@ def _lit_key(values) -> Column:
     return F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(values)])
 
 
+def _bucketed(df: DataFrame, keys: list[str], num_buckets: int | None = None,
+              samples_per_bucket: int = 64) -> DataFrame:
+    """Add ``_pid``: the key-range bucket of every row.  The 64·B keys with
+    the smallest content hash (a bounded uniform sample, one job) fix B-1
+    bounds; a row's bucket is found by binary search over them."""
+    spark = df.sparkSession
+    b = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if len(keys) > 1 else F.col(keys[0])
+    bounds: list = []
+    if b > 1:
+        probe = hash_unit(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 7)
+        sample = (df.select(*keys, probe.alias("_h")).orderBy("_h", *keys).limit(samples_per_bucket * b)
+                    .orderBy(*keys).select(*keys).collect())
+        if sample:
+            step = len(sample) / b
+            picked = [tuple(sample[int(i * step)]) for i in range(1, b) if int(i * step) < len(sample)]
+            dedup = []
+            for v in picked:
+                if not dedup or dedup[-1] != v:
+                    dedup.append(v)
+            bounds = [_lit_key(list(v)) for v in dedup]
+    return df.withColumn("_pid", _bucket_expr(key, bounds, 0, len(bounds)) if bounds else F.lit(0))
+
+
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "flow_id",
                 offset: int = 0, num_buckets: int | None = None,
                 by: list[str] | None = None, samples_per_bucket: int = 64) -> DataFrame:
@@ -54,27 +78,8 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "flow_id",
     Bounds depend only on the data, so every recomputation (executor loss,
     a second branch of the same plan) yields the same ids.
     """
-    spark = df.sparkSession
     by = list(by or [])
-    keys = by + list(order_cols)
-    b = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if len(keys) > 1 else F.col(keys[0])
-    bounds: list = []
-    if b > 1:
-        # bottom-S sample by content hash: one job, a bounded top-S per task
-        # merged on the driver, uniform without knowing the row count
-        probe = hash_unit(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 7)
-        sample = (df.select(*keys, probe.alias("_h")).orderBy("_h", *keys).limit(samples_per_bucket * b)
-                    .orderBy(*keys).select(*keys).collect())
-        if sample:
-            step = len(sample) / b
-            picked = [tuple(sample[int(i * step)]) for i in range(1, b) if int(i * step) < len(sample)]
-            dedup = []
-            for v in picked:
-                if not dedup or dedup[-1] != v:
-                    dedup.append(v)
-            bounds = [_lit_key(list(v)) for v in dedup]
-    d = df.withColumn("_pid", _bucket_expr(key, bounds, 0, len(bounds)) if bounds else F.lit(0))
+    d = _bucketed(df, by + list(order_cols), num_buckets, samples_per_bucket)
     counts = d.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", *by, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
@@ -154,20 +159,19 @@ def hash_rank_flag(df: DataFrame, n: int | Column, key, seed: int = 42, flag: st
 def running_sum(df: DataFrame, order_cols: list[str], cols: list[str], suffix: str = "_cum",
                 inclusive: bool = True, num_buckets: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Prefix sums of ``cols`` in ``order_cols`` order (unique within each
-    group of ``by``), computed like ``dense_index``: per-bucket totals plus a
-    running sum inside each bucket, so no single task sees a whole group."""
+    group of ``by``): rows are bucketed by key range as in ``dense_index``,
+    summed inside each bucket by one window, and offset by the totals of the
+    earlier buckets (a table of at most buckets x groups rows)."""
     by = list(by or [])
-    d = dense_index(df, order_cols, "_ord", num_buckets=num_buckets, by=by)
-    # bucket = coarse position; 2^16 positions per bucket keeps windows bounded
-    d = d.withColumn("_bk", F.shiftright("_ord", 16))
-    tot = d.groupBy(*by, "_bk").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
-    wb = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(*by, "_bk", *[F.coalesce(F.sum(f"_t{i}").over(wb), F.lit(0)).alias(f"_o{i}") for i in range(len(cols))])
-    frame = Window.partitionBy(*by, "_bk").orderBy("_ord").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = d.join(F.broadcast(off), by + ["_bk"])
+    d = _bucketed(df, by + list(order_cols), num_buckets)
+    tot = d.groupBy("_pid", *by).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
+    wb = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_pid", *by, *[F.coalesce(F.sum(f"_t{i}").over(wb), F.lit(0)).alias(f"_o{i}") for i in range(len(cols))])
+    frame = Window.partitionBy("_pid", *by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = d.join(F.broadcast(off), ["_pid"] + by)
     for i, c in enumerate(cols):
         out = out.withColumn(c + suffix, F.col(f"_o{i}") + F.coalesce(F.sum(c).over(frame), F.lit(0)))
-    return out.drop("_bk", *[f"_o{i}" for i in range(len(cols))])
+    return out.drop("_pid", *[f"_o{i}" for i in range(len(cols))])
 
 
 def exact_quantile(df: DataFrame, col: str, q: float, tie: str) -> DataFrame:

@@ -136,8 +136,12 @@ FROM z a JOIN z b ON a.label = b.label AND a.vec_id <> b.vec_id""".replace("\n,
 
 # GR-20 / GR-21 / GR-22 / GR-23 on the k=10 kNN graph of 4-dim features ---------------------------
 def sim_graph(spark, sf):
+    """The k=10 kNN graph: its edges feed several joins of every hop, so the
+    (expensive) kNN result is materialized once instead of being recomputed
+    per use."""
+    from ..session import cut_lineage
     nodes = emb4(spark, sf)
-    edges = knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 10)
+    edges = cut_lineage(knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 10))
     return nodes, edges
 
 
