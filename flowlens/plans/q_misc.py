@@ -14,7 +14,7 @@ from ..operators import aggregate as agg
 from ..operators import encode as enc
 from ..operators import sampling as sm
 from ..session import read_table
-from .pipelines import process_dataset, reduce_standardize_combine
+from .composite import process_dataset, reduce_standardize_combine
 from .q_flows import HOST_PROFILE_SQL, std_li
 from .q_graph import EMB, emb, explode_vec, sql_explode, sql_matvec
 from .q_models import SPLIT_STD, _split_std
