@@ -193,7 +193,7 @@ def mask_features(df: DataFrame, vec: str, d: int, rate: float, seed: int = 42,
 
 
 # ENC-6 ---------------------------------------------------------------------------
-class FeaturePipeline:
+class FeatureChain:
     """Impute -> (log1p) -> scale -> one-hot -> assemble, fitted on train and
     applied to any table.  Numeric gaps (and ±inf) take the train median,
     text gaps the train mode; the scaler is fitted on the transformed train
@@ -209,7 +209,7 @@ class FeaturePipeline:
             out = out.withColumn(c, fnc.finite_or_null(c))
         return out
 
-    def fit(self, train: DataFrame) -> "FeaturePipeline":
+    def fit(self, train: DataFrame) -> "FeatureChain":
         from .cleaning import fit_median, fit_mode
         t = self._num(train)
         self.medians = fit_median(t, self.numeric) if self.numeric else None

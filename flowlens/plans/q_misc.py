@@ -494,15 +494,15 @@ SELECT src, dst FROM kn WHERE src IN (SELECT vec_id FROM emb WHERE label < 5) AN
 
 
 # ENC-6: impute -> log1p -> scale -> one-hot -> assemble, fitted on train -------------------------------------------------
-def _pipeline(spark, sf):
+def _feature_chain(spark, sf):
     from .q_sampling import _gsplit
     trn, tst = _gsplit(spark, sf)
-    p = enc.FeaturePipeline(["qty", "price"], ["flag_txt"]).fit(trn)
+    p = enc.FeatureChain(["qty", "price"], ["flag_txt"]).fit(trn)
     return explode_vec(p.transform(tst, keep=["flow_key"]), ["flow_key"], "features", 5)
 
 
 _GS = __import__("flowlens.plans.q_sampling", fromlist=["GSPLIT"])
-query("enc6_feature_pipeline", with_fx(f"""
+query("enc6_fitted_feature_chain", with_fx(f"""
 , med AS (SELECT quantile_cont(qty, 0.5) AS mq, quantile_cont(CASE WHEN isinf(price) THEN NULL ELSE price END, 0.5) AS mp FROM gs WHERE split = 'train'),
   md AS (SELECT flag_txt AS mode FROM (SELECT flag_txt, count(*) AS n FROM gs WHERE split = 'train' AND flag_txt IS NOT NULL GROUP BY flag_txt)
          ORDER BY n DESC, flag_txt LIMIT 1),
@@ -512,7 +512,7 @@ query("enc6_feature_pipeline", with_fx(f"""
                 avg(b) AS mb, CASE WHEN stddev_pop(b) = 0 THEN 1 ELSE stddev_pop(b) END AS sb FROM tt WHERE split = 'train'),
   o AS (SELECT flow_key, [(a - ma) / sa, (b - mb) / sb, CAST(f = 'A' AS DOUBLE), CAST(f = 'N' AS DOUBLE), CAST(f = 'R' AS DOUBLE)] AS v
         FROM tt, st WHERE split = 'test')
-{sql_explode('o', 'flow_key', 'v', 5, 5)}""".replace("\n, med AS", ", med AS", 1), [], [f"gaps AS ({fx.duck('gaps')})", _GS.GSPLIT]))(_pipeline)
+{sql_explode('o', 'flow_key', 'v', 5, 5)}""".replace("\n, med AS", ", med AS", 1), [], [f"gaps AS ({fx.duck('gaps')})", _GS.GSPLIT]))(_feature_chain)
 
 
 # EVL-9: side-by-side comparison of two decision rules ----------------------------------------------------------------------
