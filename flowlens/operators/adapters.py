@@ -165,7 +165,8 @@ def _finish(cols: list[Column], stats: list[Column], df: DataFrame, key: str | N
         out_cols.append(F.col(key))
     out = df.select(*out_cols, *stats)
     if id_col is None and key and number:
-        out = dense_index(out, [key], "flow_id")
+        # md5 content keys are uniform: fixed hex bounds, no sampling pass
+        out = dense_index(out, [key], "flow_id", hex_hash_key=(key == "flow_key"))
     return out
 
 
@@ -346,7 +347,7 @@ def standardize_netflow(df: DataFrame, source: str, key: str | None = "flow_key"
             exprs.append(F.col(f"`{c}`"))
     out = df.select(*exprs).withColumn("dataset_source", F.lit(source))
     if "flow_id" not in out.columns and key:
-        out = dense_index(out, [key], "flow_id", offset=offset)
+        out = dense_index(out, [key], "flow_id", offset=offset, hex_hash_key=(key == "flow_key"))
     return out
 
 

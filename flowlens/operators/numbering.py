@@ -38,15 +38,22 @@ def _lit_key(values) -> Column:
 
 
 def _bucketed(df: DataFrame, keys: list[str], num_buckets: int | None = None,
-              samples_per_bucket: int = 64) -> DataFrame:
+              samples_per_bucket: int = 64, hex_hash_key: bool = False) -> DataFrame:
     """Add ``_pid``: the key-range bucket of every row.  The 64·B keys with
     the smallest content hash (a bounded uniform sample, one job) fix B-1
-    bounds; a row's bucket is found by binary search over them."""
+    bounds; a row's bucket is found by binary search over them.
+
+    When the single order key is itself a lower-case hex digest (md5 content
+    keys, hash orders) it is uniform already: the bounds are evenly spaced
+    4-digit hex prefixes and no sampling pass is needed."""
     spark = df.sparkSession
     b = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if len(keys) > 1 else F.col(keys[0])
     bounds: list = []
-    if b > 1:
+    if b > 1 and hex_hash_key and len(keys) == 1:
+        cuts = sorted({format(i * 65536 // b, "04x") for i in range(1, b)})
+        bounds = [F.lit(c) for c in cuts]
+    elif b > 1:
         probe = hash_unit(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 7)
         sample = (df.select(*keys, probe.alias("_h")).orderBy("_h", *keys).limit(samples_per_bucket * b)
                     .orderBy(*keys).select(*keys).collect())
@@ -63,7 +70,8 @@ def _bucketed(df: DataFrame, keys: list[str], num_buckets: int | None = None,
 
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "flow_id",
                 offset: int = 0, num_buckets: int | None = None,
-                by: list[str] | None = None, samples_per_bucket: int = 64) -> DataFrame:
+                by: list[str] | None = None, samples_per_bucket: int = 64,
+                hex_hash_key: bool = False) -> DataFrame:
     """Add ``name`` = 0-based rank of each row by ``order_cols`` (+ offset),
     within each group of ``by`` when given.
 
@@ -79,7 +87,7 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "flow_id",
     a second branch of the same plan) yields the same ids.
     """
     by = list(by or [])
-    d = _bucketed(df, by + list(order_cols), num_buckets, samples_per_bucket)
+    d = _bucketed(df, by + list(order_cols), num_buckets, samples_per_bucket, hex_hash_key and not by)
     counts = d.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_cnt"))
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", *by, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
