@@ -184,16 +184,26 @@ def running_sum(df: DataFrame, order_cols: list[str], cols: list[str], suffix: s
 
 def exact_quantile(df: DataFrame, col: str, q: float, tie: str) -> DataFrame:
     """One row: the linear-interpolation quantile of ``col`` (NumPy/Spark
-    ``percentile`` semantics) from two exact order statistics, found by
-    dense ranking instead of holding all values in one aggregation buffer."""
-    d = df.select(F.col(col).cast("double").alias("_v"), F.col(tie).alias("_t")).filter(F.col("_v").isNotNull())
-    r = dense_index(d, ["_v", "_t"], "_r")
-    n = d.agg(F.count(F.lit(1)).alias("_n"))
+    ``percentile`` semantics) from two exact order statistics.
+
+    Rows are bucketed by key range (bounded sample), bucket sizes are counted
+    (a table of B rows), the one or two buckets holding ranks floor(h) and
+    ceil(h) are located, and only their rows are sorted.  No aggregation
+    buffer holds all values and no task sorts the whole column."""
     from .encode import _attach_one_row
-    j = _attach_one_row(r, n).withColumn("_h", (F.col("_n") - 1) * F.lit(float(q)))
-    j = j.filter((F.col("_r") == F.floor("_h")) | (F.col("_r") == F.ceil("_h")))
-    return j.agg(
-        (F.max(F.when(F.col("_r") == F.floor("_h"), F.col("_v")))
-         + (F.first("_h") - F.floor(F.first("_h")))
-         * (F.max(F.when(F.col("_r") == F.ceil("_h"), F.col("_v"))) - F.max(F.when(F.col("_r") == F.floor("_h"), F.col("_v"))))
-         ).alias("quantile"))
+    d = df.select(F.col(col).cast("double").alias("_v"), F.col(tie).alias("_t")).filter(F.col("_v").isNotNull())
+    b = _bucketed(d, ["_v", "_t"])
+    cnt = b.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = cnt.select("_pid", "_c", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_o"))
+    off = _attach_one_row(off, cnt.agg(F.sum("_c").alias("_n"))).withColumn("_h", (F.col("_n") - 1) * F.lit(float(q)))
+    lo, hi = F.floor("_h"), F.ceil("_h")
+    inside = lambda r: (F.col("_o") <= r) & (r < F.col("_o") + F.col("_c"))
+    need = off.filter(inside(lo) | inside(hi)).select("_pid", "_o", "_h")
+    sel = b.join(F.broadcast(need), "_pid")
+    r = sel.withColumn("_r", F.col("_o") + F.row_number().over(Window.partitionBy("_pid").orderBy("_v", "_t")) - 1)
+    j = r.filter((F.col("_r") == F.floor("_h")) | (F.col("_r") == F.ceil("_h")))
+    v_lo = F.max(F.when(F.col("_r") == F.floor("_h"), F.col("_v")))
+    v_hi = F.max(F.when(F.col("_r") == F.ceil("_h"), F.col("_v")))
+    frac = F.first("_h") - F.floor(F.first("_h"))
+    return j.agg((v_lo + frac * (v_hi - v_lo)).alias("quantile"))
