@@ -123,13 +123,3 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings")
     return e.select("vec_id", "label",
                     F.col("embedding").cast("array<double>").alias("embedding"))
-
-
-def with_ctes(body: str, *names: str, emb: bool = False) -> str:
-    """Oracle text: ``WITH li AS (...), ... <body>`` for DuckDB."""
-    parts = [f"{n} AS ({duck(n)})" for n in names]
-    if emb:
-        parts.append("emb AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings)")
-    if not parts:
-        return body
-    return "WITH " + ",\n".join(parts) + "\n" + body

@@ -147,15 +147,6 @@ def _numeric(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def _with_flow_id(df: DataFrame, key: str | None, flow_id: str | None) -> DataFrame:
-    """flow_id: a given id column, else dense rank of the content key."""
-    if flow_id:
-        return df
-    if key:
-        return dense_index(df, [key], "flow_id")
-    return df
-
-
 def _finish(cols: list[Column], stats: list[Column], df: DataFrame, key: str | None,
             id_col: Column | None, number: bool = True) -> DataFrame:
     out_cols = list(cols)

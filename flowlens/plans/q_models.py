@@ -3,8 +3,6 @@ remaining scalar functions."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -20,7 +18,7 @@ from ..operators import robust as rb
 from ..operators import sampling as sm
 from ..operators import triage as tr
 from .q_flows import std_li
-from .q_graph import EMB, emb, emb4, explode_vec, knn_sql, sql_explode, sql_matvec
+from .q_graph import EMB, emb, emb4, explode_vec, knn_sql, sql_explode
 from .q_sampling import D
 from .registry import query, rounded
 from .sqltext import with_fx, with_li

@@ -181,3 +181,18 @@ def test_dispatch_and_stat_pass_through(spark):
         "`URG Flag Count` int, Label string, `Flow IAT Mean` double, rid long")
     r = ad.adapt_cic(df, key="rid").first()
     assert (r.tcp_flags, r.binary_label, r.attack_type, r.stat_flow_iat_mean, r.flow_id) == (1 + 8 + 16, 0, "Normal", 3.5, 0)
+
+
+def test_auc_ovr_and_label_helpers(spark):
+    from flowlens import functions as fn
+    from flowlens.operators import evaluate as ev
+    rows = [(0, [0.8, 0.1, 0.1]), (1, [0.2, 0.7, 0.1]), (2, [0.1, 0.2, 0.7]), (0, [0.5, 0.3, 0.2]),
+            (1, [0.3, 0.4, 0.3]), (2, [0.3, 0.3, 0.4])]
+    df = spark.createDataFrame(rows, "y int, p array<double>")
+    assert abs(ev.auc_ovr(df, "y", "p", 3).first()[0] - 1.0) < 1e-9
+    lab = spark.createDataFrame([("Benign", 1), ("Theft", 1), ("DoS attacks-Hulk", 1), ("Odd", 1), ("Theft", 0)],
+                                "label string, attack int")
+    got = [r[0] for r in lab.select(fn.attack_family("label", "attack")).collect()]
+    assert got == ["Normal", "Information_Theft", "DoS", "Other", "Normal"]
+    pr = spark.createDataFrame([([0.7, 0.2, 0.1],)], "p array<double>")
+    assert abs(pr.select(fn.attack_probability("p", 0)).first()[0] - 0.3) < 1e-9
