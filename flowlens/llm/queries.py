@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .exact_dedup import exact_dedup
+from .pii import KINDS, pii
 from .simhash import simhash_groups
 
 LLM_QUERIES = {}
@@ -37,3 +38,11 @@ def op4_simhash(spark, sf_dir):
     """SimHash near-duplicate groups of ``documents``: 3-word shingles, at most 3 differing bits."""
     return simhash_groups(read(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@op
+def op10_pii(spark, sf_dir):
+    """``documents`` with personal data replaced by format-preserving pseudonyms, and how many of each kind."""
+    found = pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = [F.expr(f"size(filter(pii, f -> f.kind = '{k}'))").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", "text", F.size("pii").alias("n_replaced"), *count)
