@@ -8,6 +8,7 @@ from .common import read
 from .exact_dedup import exact_dedup
 from .pii import KINDS, pii
 from .simhash import simhash_groups
+from .toxicity import held_out, toxicity
 
 LLM_QUERIES = {}
 LLM_ORACLES = {}
@@ -46,3 +47,10 @@ def op10_pii(spark, sf_dir):
     found = pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
     count = [F.expr(f"size(filter(pii, f -> f.kind = '{k}'))").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", "text", F.size("pii").alias("n_replaced"), *count)
+
+
+@op
+def op7_toxicity(spark, sf_dir):
+    """Toxicity of every document by a chain fitted on four fifths of ``labels``."""
+    found = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "spans")
