@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,8 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, text_of
 
-FIT_DOCS = {1: 2000, 0: 3000}  # labelled rows used to fit, by label; picked by hash of the id
-FIT_CHARS = 48_000_000  # and their total length
+FIT_DOCS = {1: 1500, 0: 2500}  # labelled rows used to fit, by label; picked by hash of the id
+FIT_CHARS = 24_000_000  # and their total length
 SEGMENT = 48  # tokens of a training chain
 FIT_SEGMENTS = 6000
 STEMS = (4, 5, 6, 7)
@@ -132,28 +131,38 @@ def tag(texts: list[str], emissions: Emissions, model: Model) -> tuple[np.ndarra
     return order, n[order], marg, doc_features(marg, n[order])
 
 
-def toxic_words(pos: list[set[str]], neg: list[set[str]]) -> dict[str, float]:
-    """Units that explain the toxic documents, greedily: each is at least six times as frequent in toxic documents
-    and present in some that no earlier one explains.  Units as spread over toxic documents as these (a third of the
-    median) join them; rare ones that only come along, as in near copies, do not."""
-    in_pos, in_neg = Counter(w for d in pos for w in d), Counter(w for d in neg for w in d)
-    least = max(3, len(pos) // 100)
-    odds = {w: math.log((c + 0.5) / (len(pos) + 1)) - math.log((in_neg[w] + 0.5) / (len(neg) + 1)) for w, c in in_pos.items() if c >= least}
-    odds = {w: x for w, x in odds.items() if x > math.log(6) and w}
-    where = {w: {i for i, d in enumerate(pos) if w in d} for w in odds}
-    left, found = set(range(len(pos))), {}
+def toxic_units(pos: list[np.ndarray], neg: list[np.ndarray], n_units: int) -> np.ndarray:
+    """Mask of the units that explain the toxic documents, greedily (documents as arrays of distinct unit numbers).
+
+    Each is at least six times as frequent in toxic documents and present in
+    some that no earlier one explains.  Units as spread over toxic documents
+    as these (a third of the median) join them; rare ones that only come
+    along, as in near copies, do not.
+    """
+    in_pos, in_neg = (np.bincount(np.concatenate([*d, np.empty(0, np.int64)]).astype(np.int64), minlength=n_units) for d in (pos, neg))
+    least = max(4, len(pos) // 100)
+    odds = np.log((in_pos + 0.5) / (len(pos) + 1)) - np.log((in_neg + 0.5) / (len(neg) + 1))
+    may = (in_pos >= least) & (odds > math.log(6))
+    may[0] = False
+    where: dict[int, set[int]] = {int(u): set() for u in np.flatnonzero(may)}
+    for i, d in enumerate(pos):
+        for u in d[may[d]].tolist():
+            where[u].add(i)
+    left, found = set(range(len(pos))), np.zeros(n_units, bool)
     while where:
-        w = max(where, key=lambda x: (len(where[x] & left) * odds[x], x))
-        if len(where[w] & left) < least:
+        u = max(where, key=lambda x: (len(where[x] & left) * odds[x], x))
+        if len(where[u] & left) < least:
             break
-        found[w] = odds[w]
-        left -= where.pop(w)
-    usual = float(np.median([in_pos[w] for w in found])) if found else 0
-    return found | {w: odds[w] for w in where if in_pos[w] >= max(least, usual / 3)}
+        found[u] = True
+        left -= where.pop(u)
+    if found.any():
+        found |= may & (in_pos >= max(least, np.median(in_pos[found]) / 3))
+    return found
 
 
 def fit(rows: list[tuple[str, int]], rounds: int = 60, seed: int = 7) -> Model:
-    """Fit the chain on labelled tokens: tokens of toxic words in toxic documents are toxic, tokens of clean documents clean."""
+    """Fit the chain on labelled tokens: tokens with a toxic unit in toxic documents are toxic, tokens of clean documents clean."""
+    model = Model()
     seen, texts, labels = set(), [], []
     for text, label in rows:  # copies count once
         d = hashlib.md5(text.encode()).digest()
@@ -161,43 +170,62 @@ def fit(rows: list[tuple[str, int]], rounds: int = 60, seed: int = 7) -> Model:
             seen.add(d)
             texts.append(text)
             labels.append(label)
-    y_doc = np.array(labels, int)
-    model = Model()
     if len(set(labels)) < 2:
         return model
-    tokens = [t.split() for t in texts]
-    keys = [[token_key(x) for x in t] for t in tokens]
-    parts = [{u for w in set(k) for u in units(w)} for k in keys]
-    toxic = toxic_words([k for k, y in zip(parts, labels, strict=True) if y], [k for k, y in zip(parts, labels, strict=True) if not y])
-    df = Counter(u for k in parts for u in k)
-    vocab = {w: i + 1 for i, w in enumerate(sorted(w for w, c in df.items() if c >= 3))}
+    # words, their units and shapes as numbers; unit 0 is none
+    numbers: dict[str, int] = {}
+    token_numbers: dict[str, tuple[int, int]] = {}
+    unit_numbers: dict[str, int] = {"": 0}
+    unit_rows: list[list[int]] = []
+    keys, shapes = [], []
+    for t in texts:
+        own = []
+        for token in t.split():
+            if token not in token_numbers:
+                key = token_key(token)
+                if key not in numbers:
+                    numbers[key] = len(numbers)
+                    ids = [unit_numbers.setdefault(u, len(unit_numbers)) for u in units(key)] if key else [0]
+                    unit_rows.append(ids + [0] * (len(STEMS) + 1 - len(ids)))
+                token_numbers[token] = (numbers[key], shape(token, key))
+            own.append(token_numbers[token])
+        pair = np.array(own, np.int32).reshape(-1, 2)
+        keys.append(pair[:, 0])
+        shapes.append(pair[:, 1].astype(np.int8))
+    del token_numbers, numbers
+    table = np.array(unit_rows, np.int32).reshape(-1, len(STEMS) + 1)
+    y_doc = np.array(labels, int)
+    parts = [np.unique(table[np.unique(k)]) for k in keys]
+    toxic = toxic_units([p for p, y in zip(parts, labels, strict=True) if y], [p for p, y in zip(parts, labels, strict=True) if not y], len(unit_numbers))
+    common = np.bincount(np.concatenate(parts), minlength=len(unit_numbers)) >= 3
+    common[0] = False
+    del parts
+    new_number = np.where(common, np.cumsum(common), 0).astype(np.int32)
+    n_vocab = int(common.sum())
+    table, hits = new_number[table], toxic[table].any(1)
     word, shp, lab = [], [], []
-    ids: dict[str, tuple[list[int], int]] = {}  # word -> its units, toxic or not
-    for k in keys:
-        for x in k:
-            if x not in ids:
-                own = units(x)
-                ids[x] = ([vocab.get(u, 0) for u in own] + [0] * (len(STEMS) + 1 - len(own)), int(any(u in toxic for u in own)))
-    for t, k, y in zip(tokens, keys, labels, strict=True):
-        hit = [int(bool(y)) * ids[w][1] for w in k]
-        if y and not any(hit):
+    for k, s, y in zip(keys, shapes, labels, strict=True):
+        hit = hits[k] & bool(y)
+        if y and not hit.any():
             continue  # which of its tokens are toxic is not known
-        for i in range(0, len(t), SEGMENT):
-            word.append([ids[w][0] for w in k[i:i + SEGMENT]])
-            shp.append([shape(a, b) for a, b in zip(t[i:i + SEGMENT], k[i:i + SEGMENT], strict=True)])
-            lab.append(hit[i:i + SEGMENT])
-    some = np.array([any(x) for x in lab])
+        for i in range(0, len(k), SEGMENT):
+            word.append(k[i:i + SEGMENT])
+            shp.append(s[i:i + SEGMENT])
+            lab.append(hit[i:i + SEGMENT].astype(np.int8))
+    some = np.array([x.any() for x in lab], bool)
     rng = np.random.default_rng(seed)
-    pick = np.concatenate([rng.permutation(np.flatnonzero(some))[:FIT_SEGMENTS // 2], rng.permutation(np.flatnonzero(~some))[:FIT_SEGMENTS // 2]])
+    pick = np.concatenate([rng.permutation(np.flatnonzero(some))[:FIT_SEGMENTS // 2], rng.permutation(np.flatnonzero(~some))[:FIT_SEGMENTS // 2]]).astype(int)
     if not len(pick):
         return model
     pick = pick[np.argsort([-len(lab[i]) for i in pick], kind="stable")]
     n = np.array([len(lab[i]) for i in pick])
-    w, s, y = (np.concatenate([np.array(z[i]) for i in pick]) for z in (word, shp, lab))
+    w, s, y = (np.concatenate([z[i] for i in pick]) for z in (word, shp, lab))
+    del word, shp, lab, keys, shapes
+    w, s, y = table[w], s.astype(int), y.astype(int)
     first = np.zeros(len(y), bool)
     first[np.concatenate(([0], np.cumsum(n)[:-1]))] = True
-    theta = np.zeros(len(vocab) + 1 + 8 + 4 + 1)
-    sw, tr = len(vocab) + 1, len(vocab) + 9
+    theta = np.zeros(n_vocab + 1 + 8 + 4 + 1)
+    sw, tr = n_vocab + 1, n_vocab + 9
     pair = (np.roll(y, 1) * 2 + y)[~first]
     seen_pairs, seen_start = np.bincount(pair, minlength=4), y[first].sum()
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
@@ -210,16 +238,20 @@ def fit(rows: list[tuple[str, int]], rounds: int = 60, seed: int = 7) -> Model:
         joint = np.stack([(1 - p[i - 1]) * trans[0, 0] * (1 - b[i]), (1 - p[i - 1]) * trans[0, 1] * e[i] * b[i],
                           p[i - 1] * trans[1, 0] * (1 - b[i]), p[i - 1] * trans[1, 1] * e[i] * b[i]])
         joint /= joint.sum(0)
-        g = np.concatenate([np.bincount(w.ravel(), np.repeat(d, w.shape[1]), len(vocab) + 1), np.bincount(s, d, 8), joint.sum(1) - seen_pairs, [marg[first].sum() - seen_start]])
+        g = np.concatenate([np.bincount(w.ravel(), np.repeat(d, w.shape[1]), n_vocab + 1), np.bincount(s, d, 8),
+                            joint.sum(1) - seen_pairs, [marg[first].sum() - seen_start]])
         g = g / len(n) + 1e-4 * theta
         g[0] = 0
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.98 * m2 + 0.02 * g * g
         theta -= 0.25 * (m1 / (1 - 0.9 ** r)) / (np.sqrt(m2 / (1 - 0.98 ** r)) + 1e-7)
-    model.words = {x: float(theta[i]) for x, i in vocab.items() if abs(theta[i]) > 1e-3}
+    model.words = {u: float(theta[new_number[i]]) for u, i in unit_numbers.items() if new_number[i] and abs(theta[new_number[i]]) > 1e-3}
     model.shapes = theta[sw:sw + 8]
     model.trans, model.start = np.exp(theta[tr:tr + 4]).reshape(2, 2), math.exp(theta[tr + 4])
-    order, _, _, x = tag(texts, Emissions(model), model)
-    y_doc, c = y_doc[order], np.array([-2.0, 2.0, 0.0, 0.0])
+    x, known = np.zeros((len(texts), 4)), Emissions(model)
+    for i in range(0, len(texts), 500):
+        order, _, _, f = tag(texts[i:i + 500], known, model)
+        x[i + order] = f
+    c = np.array([-2.0, 2.0, 0.0, 0.0])
     for _ in range(50):  # Newton steps of a logistic regression with a small ridge
         q = 1 / (1 + np.exp(-np.clip(x @ c, -30, 30)))
         h = (x * (q * (1 - q))[:, None]).T @ x + 0.05 * np.eye(4)
@@ -258,13 +290,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     empty result.  Only id and text are read.
     """
     t = text_of(docs, id_col, text_col)
-    shared = t.sparkSession.sparkContext.broadcast(model)
+    kind = t.schema["doc_id"].dataType.simpleString()
+    return map_batches(t, scorer(t, model), f"doc_id {kind}, score double, predicted int, spans array<struct<start:int,end:int,p:double>>", rows=4000)
+
+
+def scorer(t: DataFrame, model: Model):
+    """The function that scores one batch of (doc_id, text); the model, bounded by the fitted sample, is broadcast."""
+    shared = t.sparkSession.sparkContext.broadcast((model.words, model.shapes, model.trans, model.start, model.calib))
     held: list[Emissions] = []
 
     def one(batch):
-        m = shared.value
         if not held:
-            held.append(Emissions(m))
+            held.append(Emissions(Model(*shared.value)))
+        m = held[0].model
         texts = batch.column("text").to_pylist()
         order, n, marg, x = tag(texts, held[0], m)
         s = np.empty(len(texts))
@@ -287,8 +325,19 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32)), pa.array(spans, kind)],
                                           names=["doc_id", "score", "predicted", "spans"])
-    kind = t.schema["doc_id"].dataType.simpleString()
-    return map_batches(t, one, f"doc_id {kind}, score double, predicted int, spans array<struct<start:int,end:int,p:double>>", rows=4000)
+    return one
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", reject: float = 0.5) -> DataFrame:
+    """The documents with a score below ``reject``, with all their columns; rows are judged in place, without a join."""
+    model = fit(fit_rows(docs, labels, id_col, text_col))
+    one = scorer(docs, model)
+
+    def keep(batch):
+        rows = pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text_col).fill_null("")], names=["doc_id", "text"])
+        low = one(rows).column("score").to_numpy() < reject
+        return batch.filter(pa.array(low))
+    return map_batches(docs, keep, docs.schema, rows=4000)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
