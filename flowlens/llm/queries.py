@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .exact_dedup import exact_dedup
+from .packing import best_fit_packing
 from .pii import KINDS, pii
 from .simhash import simhash_groups
 from .toxicity import held_out, toxicity
@@ -54,3 +55,9 @@ def op7_toxicity(spark, sf_dir):
     """Toxicity of every document by a chain fitted on four fifths of ``labels``."""
     found = toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "spans")
+
+
+@op
+def op1_best_fit_packing(spark, sf_dir):
+    """``documents`` in sequences of at most 2048 tokens."""
+    return best_fit_packing(read(spark, sf_dir, "documents"))
