@@ -9,6 +9,7 @@ from .exact_dedup import exact_dedup
 from .packing import best_fit_packing
 from .pii import KINDS, pii
 from .simhash import simhash_groups
+from .suffix_dedup import suffix_dedup
 from .toxicity import held_out, toxicity
 
 LLM_QUERIES = {}
@@ -61,3 +62,9 @@ def op7_toxicity(spark, sf_dir):
 def op1_best_fit_packing(spark, sf_dir):
     """``documents`` in sequences of at most 2048 tokens."""
     return best_fit_packing(read(spark, sf_dir, "documents"))
+
+
+@op
+def op3_suffix_dedup(spark, sf_dir):
+    """Bytes of ``documents`` covered by 400-byte strings that occur again, removed."""
+    return suffix_dedup(read(spark, sf_dir, "documents")).drop("kept")
