@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import read
+from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
 from .packing import best_fit_packing
 from .pii import KINDS, pii
@@ -68,3 +69,9 @@ def op1_best_fit_packing(spark, sf_dir):
 def op3_suffix_dedup(spark, sf_dir):
     """Bytes of ``documents`` covered by 400-byte strings that occur again, removed."""
     return suffix_dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
+@op
+def op5_embedding_dedup(spark, sf_dir):
+    """Near-duplicate ``embeddings`` of equal label at cosine 0.93."""
+    return embedding_dedup(read(spark, sf_dir, "embeddings"))
