@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .lm_scoring import lm_score
 from .packing import best_fit_packing
 from .pii import KINDS, pii
 from .simhash import simhash_groups
@@ -75,3 +76,9 @@ def op3_suffix_dedup(spark, sf_dir):
 def op5_embedding_dedup(spark, sf_dir):
     """Near-duplicate ``embeddings`` of equal label at cosine 0.93."""
     return embedding_dedup(read(spark, sf_dir, "embeddings"))
+
+
+@op
+def op9_lm_scoring(spark, sf_dir):
+    """Stupid-backoff score of every document under the n-gram counts of all others."""
+    return lm_score(read(spark, sf_dir, "documents"))
