@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +18,8 @@ from .common import map_batches, stored, text_of
 MAX_TOKENS = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-CACHE_CHUNKS = 250_000
+CACHE_CHUNKS = 500_000  # of each generation
+CACHE_WORDS = 300_000
 SALTS = 64
 
 
@@ -40,51 +44,93 @@ class Encoder:
     The tokenizer drops white space and none of its steps looks across it, so
     a text's ids are those of its chunks in order.  Chunks are cut at the six
     ASCII white-space characters only; other white space stays inside a chunk
-    and is the tokenizer's business.  The table of chunks is emptied when full.
+    and is the tokenizer's business.  Chunks of Latin letters are normalized
+    and split into words here, as the tokenizer's file says, and its model
+    encodes each word once; all others, and those that may hold a special
+    token, go through the whole tokenizer.  Both tables keep two generations
+    and drop the older one when the newer is full.
     """
 
+    PLAIN = re.compile("[!-~\u00a1-\u024f]+")
+    WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+
     def __init__(self, path: str):
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-        self.mark = b"\x01"  # a chunk that no text chunk equals after the test below
-        self.mark_ids = self.tokenizer.encode("\x01", add_special_tokens=False).ids
-
-    def learn(self, chunks: list[bytes]) -> None:
-        """Encode unknown chunks; many at once, with a mark between them to find their borders again."""
-        if len(self.known) + len(chunks) > CACHE_CHUNKS:
-            self.known.clear()
-        step = 4096
-        one = len(self.mark_ids) == 1
-        for i in range(0, len(chunks), step):
-            part = chunks[i:i + step]
-            if one and not any(self.mark in c for c in part):
-                ids = np.array(self.tokenizer.encode(" \x01 ".join(c.decode("utf-8", "replace") for c in part), add_special_tokens=False).ids, dtype="<u4")
-                cut = np.flatnonzero(ids == self.mark_ids[0])
-                if len(cut) == len(part) - 1:
-                    raw, at = ids.tobytes(), [0, *(cut + 1).tolist()]
-                    for c, s, e in zip(part, at, [*cut.tolist(), len(ids)], strict=True):
-                        self.known[c] = raw[4 * s:4 * e]
-                    continue
-            for c, e in zip(part, self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in part], add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, dtype="<u4").tobytes()
+        self.model = Tokenizer.from_file(path)
+        self.model.normalizer = normalizers.Sequence([])
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.chunks: tuple[dict, dict] = ({}, {})
+        self.words: tuple[dict, dict] = ({}, {})
+
+    @staticmethod
+    def recall(tables: tuple[dict, dict], missing: set, limit: int) -> tuple[tuple[dict, dict], set]:
+        """The tables with room for what the newer one misses, filled from the older one, and what neither has."""
+        new, old = tables
+        if len(new) + len(missing) > limit:
+            new, old = {}, new
+        again = missing & old.keys()
+        for x in again:
+            new[x] = old[x]
+        return (new, old), missing - again
+
+    def encode_words(self, words: list[str]) -> None:
+        """Model ids of unknown words, many at once; each ends where a token does that ends a word."""
+        known = self.words[0]
+        for i in range(0, len(words), 8192):
+            part = words[i:i + 8192]
+            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            at = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(at) == len(part):
+                raw, s = ids.tobytes(), 0
+                for w, e in zip(part, at, strict=True):
+                    known[w] = raw[4 * s:4 * e]
+                    s = e
+            else:
+                for w in part:
+                    known[w] = np.array(self.model.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, chunks: set[bytes]) -> None:
+        known, split, other = self.chunks[0], [], []
+        for c in chunks:
+            s = c.decode("utf-8", "replace")
+            if self.PLAIN.fullmatch(s) and "<|" not in s:
+                split.append((c, self.WORDS.findall((s if s.isascii() else unicodedata.normalize("NFC", s)).lower())))
+            else:
+                other.append((c, s))
+        wanted = {w for _, ws in split for w in ws}
+        self.words, new = self.recall(self.words, wanted - self.words[0].keys(), CACHE_WORDS)
+        self.encode_words(list(new))
+        get = (self.words[0] if wanted <= self.words[0].keys() else self.words[1] | self.words[0]).__getitem__
+        for c, ws in split:
+            known[c] = b"".join(map(get, ws)) if len(ws) != 1 else get(ws[0])
+        for (c, _), e in zip(other, self.tokenizer.encode_batch([s for _, s in other], add_special_tokens=False), strict=True):
+            known[c] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        out = []
-        for i in range(0, len(texts), 256):  # the table may be emptied between groups of texts, not within
-            split = [t.split() for t in texts[i:i + 256]]
-            new = {c for s in split for c in s} - self.known.keys()
-            if new:
-                if len(self.known) + len(new) > CACHE_CHUNKS:
-                    self.known.clear()
-                    new = {c for s in split for c in s}
-                self.learn(list(new))
-            get = self.known.__getitem__
-            out += [b"".join(map(get, s)) for s in split]
+        out, flat, ends = [], [], []
+        for i, t in enumerate(texts):
+            flat += t.split()
+            ends.append(len(flat))
+            if len(flat) < CACHE_CHUNKS // 4 and i + 1 < len(texts):
+                continue
+            ids = list(map(self.chunks[0].get, flat))
+            gaps = [k for k, x in enumerate(ids) if x is None]
+            if gaps:
+                self.chunks, new = self.recall(self.chunks, {flat[k] for k in gaps}, CACHE_CHUNKS)
+                self.learn(new)
+                known = self.chunks[0]
+                for k in gaps:
+                    ids[k] = known[flat[k]]
+            out += [b"".join(ids[s:e]) for s, e in zip([0, *ends], ends, strict=False)]
+            flat, ends = [], []
         return out
 
 
