@@ -101,3 +101,18 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int
             held = [t]
     if held:
         yield pa.concat_tables(held).combine_chunks()
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+def process_cache(name: str, make: Callable):
+    """One object per Python worker process, kept between tasks (code shipped by value has no module to hold it)."""
+    import sys
+    import types
+    held = sys.modules.setdefault("_flowlens_process_cache", types.ModuleType("_flowlens_process_cache"))
+    if not hasattr(held, name):
+        setattr(held, name, make())
+    return getattr(held, name)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, stored, text_of
+from .common import map_batches, process_cache, stored, text_of, tokenizer_path
 
 MAX_TOKENS = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -23,21 +22,6 @@ CACHE_WORDS = 300_000
 SALTS = 64
 
 
-def tokenizer_path(name: str = TOKENIZER) -> str:
-    import public_tokenizers
-    return public_tokenizers.path(name)
-
-
-def process_cache(name: str, make: Callable):
-    """One object per Python worker process, kept between tasks (code shipped by value has no module to hold it)."""
-    import sys
-    import types
-    held = sys.modules.setdefault("_flowlens_process_cache", types.ModuleType("_flowlens_process_cache"))
-    if not hasattr(held, name):
-        setattr(held, name, make())
-    return getattr(held, name)
-
-
 class Encoder:
     """Token ids of whole texts, equal to the tokenizer's own, by white-space chunks that are each encoded once.
 
@@ -140,7 +124,7 @@ def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKEN
 
     Null and empty texts are the end id alone.  ``ids``: little-endian 32-bit.
     """
-    path = path or tokenizer_path()
+    path = path or tokenizer_path(TOKENIZER)
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def one(batch):

@@ -10,6 +10,7 @@ from .exact_dedup import exact_dedup
 from .lm_scoring import lm_score
 from .packing import best_fit_packing
 from .pii import KINDS, pii
+from .sentencepiece_bpe import encode_decode
 from .simhash import simhash_groups
 from .suffix_dedup import suffix_dedup
 from .toxicity import held_out, toxicity
@@ -82,3 +83,9 @@ def op5_embedding_dedup(spark, sf_dir):
 def op9_lm_scoring(spark, sf_dir):
     """Stupid-backoff score of every document under the n-gram counts of all others."""
     return lm_score(read(spark, sf_dir, "documents"))
+
+
+@op
+def op2_sentencepiece(spark, sf_dir):
+    """SentencePiece ids of every text, and the text decoded from them."""
+    return encode_decode(read(spark, sf_dir, "documents"))
