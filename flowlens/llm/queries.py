@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .embedding_dedup import embedding_dedup
 from .exact_dedup import exact_dedup
+from .html_text import html_text
 from .lm_scoring import lm_score
 from .packing import best_fit_packing
 from .pii import KINDS, pii
@@ -89,3 +90,9 @@ def op9_lm_scoring(spark, sf_dir):
 def op2_sentencepiece(spark, sf_dir):
     """SentencePiece ids of every text, and the text decoded from them."""
     return encode_decode(read(spark, sf_dir, "documents"))
+
+
+@op
+def op6_html_extraction(spark, sf_dir):
+    """Visible text of every page of ``pages``."""
+    return html_text(read(spark, sf_dir, "pages")).select("page_id", "title", "text", F.length("text").cast("long").alias("n_chars"))
