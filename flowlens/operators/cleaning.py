@@ -58,7 +58,7 @@ def fit_median(train: DataFrame, cols: list[str]) -> DataFrame:
     from .numbering import exact_quantile
     out = None
     for c in cols:
-        q = exact_quantile(train, c, 0.5, c).select(F.col("quantile").alias(f"{c}__median"))
+        q = exact_quantile(train, c, 0.5).select(F.col("quantile").alias(f"{c}__median"))
         out = q if out is None else _attach_one_row(out, q)
     return out
 

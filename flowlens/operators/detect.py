@@ -68,7 +68,7 @@ def hbos_score(df: DataFrame, model: dict, alpha: float = 0.1, tol: float = 0.5,
 # DET-5 ---------------------------------------------------------------------------
 def threshold(train_scores: DataFrame, contamination: float, score: str = "score", tie: str = "flow_key") -> DataFrame:
     """One row: the (1 - contamination) quantile of the training scores."""
-    return exact_quantile(train_scores, score, 1.0 - contamination, tie).withColumnRenamed("quantile", "threshold")
+    return exact_quantile(train_scores, score, 1.0 - contamination).withColumnRenamed("quantile", "threshold")
 
 
 def apply_threshold(df: DataFrame, thr: DataFrame, score: str = "score", out: str = "pred") -> DataFrame:

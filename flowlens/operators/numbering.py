@@ -2,14 +2,17 @@
 
 No operator here moves all rows, or all rows of one group, into one task:
 
-* ``dense_index`` cuts the key range into B buckets at bounds taken from a
-  content-hash sample, numbers rows inside each bucket, and adds the running
-  count of the earlier buckets (a table with one row per bucket).
+* ``dense_index`` and ``running_sum`` let the engine range-partition and sort
+  the rows by the key, store that once (a reliable checkpoint, so partition
+  numbers and positions cannot change on recomputation), and add the counts
+  or sums of the partitions before: a table of one row per partition and group.
+* ``exact_quantile`` counts rows per value first, so a frequent value is one
+  row, and finds two order statistics by prefix sums over the counts.
 * ``mark_first_n`` keeps/marks the first ``n`` rows of every group in the
   shared hash order.  It histograms the order into 65,536 buckets per group
   (partially aggregated), finds the one boundary bucket per group on that
-  small histogram, and ranks only the rows of the boundary bucket.  A group
-  holding a third of all rows is thereby split 65,536 ways.
+  small histogram and in it the last hash that is in; the rows are then
+  marked by comparison with that hash, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,61 +20,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import hash_order, hash_unit
-
-
-
-def _bucket_expr(key: Column, bounds: list, lo: int, hi: int) -> Column:
-    """Binary search over sorted literal ``bounds``: number of bounds <= key
-    (a balanced CASE tree, log2(B) comparisons per row, stays in codegen)."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key < bounds[mid], _bucket_expr(key, bounds, lo, mid)) \
-            .otherwise(_bucket_expr(key, bounds, mid + 1, hi))
-
-
-def _lit_key(values) -> Column:
-    if len(values) == 1:
-        return F.lit(values[0])
-    return F.struct(*[F.lit(v).alias(f"k{i}") for i, v in enumerate(values)])
-
-
-def _bucketed(df: DataFrame, keys: list[str], num_buckets: int | None = None,
-              samples_per_bucket: int = 64, hex_hash_key: bool = False) -> DataFrame:
-    """Add ``_pid``: the key-range bucket of every row.  The 64·B keys with
-    the smallest content hash (a bounded uniform sample, one job) fix B-1
-    bounds; a row's bucket is found by binary search over them.
-
-    When the single order key is itself a lower-case hex digest (md5 content
-    keys, hash orders) it is uniform already: the bounds are evenly spaced
-    4-digit hex prefixes and no sampling pass is needed."""
-    spark = df.sparkSession
-    b = num_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if len(keys) > 1 else F.col(keys[0])
-    bounds: list = []
-    if b > 1 and hex_hash_key and len(keys) == 1:
-        cuts = sorted({format(i * 65536 // b, "04x") for i in range(1, b)})
-        bounds = [F.lit(c) for c in cuts]
-    elif b > 1:
-        probe = hash_unit(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 7)
-        sample = (df.select(*keys, probe.alias("_h")).orderBy("_h", *keys).limit(samples_per_bucket * b)
-                    .orderBy(*keys).select(*keys).collect())
-        if sample:
-            step = len(sample) / b
-            picked = [tuple(sample[int(i * step)]) for i in range(1, b) if int(i * step) < len(sample)]
-            dedup = []
-            for v in picked:
-                if not dedup or dedup[-1] != v:
-                    dedup.append(v)
-            bounds = [_lit_key(list(v)) for v in dedup]
-    return df.withColumn("_pid", _bucket_expr(key, bounds, 0, len(bounds)) if bounds else F.lit(0))
+from ..functions import hash_order
+
+
+def _ranged(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
+    """``df`` range-partitioned and sorted by ``keys`` and stored, with ``_pid``
+    (partitions in key order) and ``_pos`` (0-based place within one)."""
+    from ..session import cut_lineage
+    d = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+    place = F.monotonically_increasing_id()
+    return cut_lineage(d.sortWithinPartitions(*keys)
+                       .withColumn("_pid", F.shiftright(place, 33))
+                       .withColumn("_pos", place.bitwiseAND(F.lit((1 << 33) - 1))))
 
 
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "flow_id",
-                offset: int = 0, num_buckets: int | None = None,
-                by: list[str] | None = None, samples_per_bucket: int = 64,
-                hex_hash_key: bool = False) -> DataFrame:
+                offset: int = 0, partitions: int | None = None,
+                by: list[str] | None = None) -> DataFrame:
     """Add ``name`` = 0-based rank of each row by ``order_cols`` (+ offset),
     within each group of ``by`` when given.
 
@@ -79,22 +44,22 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "flow_id",
     ``flow_key``); the result then equals
     ``row_number() OVER ([PARTITION BY by] ORDER BY ...) - 1``.
 
-    Plan: the 64·B keys with the smallest content hash (a bounded uniform
-    sample) fix B-1 range bounds; every row gets its bucket by binary search; rows
-    are numbered inside (bucket[, group]) by a window, and the running counts
-    of the earlier buckets (a table of at most B x groups rows) are added.
-    Bounds depend only on the data, so every recomputation (executor loss,
-    a second branch of the same plan) yields the same ids.
+    A row's rank is its place in its partition, less the place where its
+    group begins there, plus the group's rows in earlier partitions.
     """
     by = list(by or [])
-    d = _bucketed(df, by + list(order_cols), num_buckets, samples_per_bucket, hex_hash_key and not by)
-    counts = d.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_cnt"))
+    d = _ranged(df, by + list(order_cols), partitions)
+    counts = d.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
     w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", *by, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
-    rn = F.row_number().over(Window.partitionBy("_pid", *by).orderBy(*order_cols))
-    out = d.withColumn("_rn", rn).join(F.broadcast(offsets), ["_pid"] + by)
-    return out.withColumn(name, (F.col("_off") + F.col("_rn") - 1 + F.lit(offset)).cast("bigint")) \
-              .drop("_pid", "_rn", "_off")
+    offsets = counts.select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
+                            (F.coalesce(F.sum("_cnt").over(w), F.lit(0)) - F.col("_first")).alias("_off"))
+    on = F.col("_pid") == F.col("_p")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    # one row per partition (and group that occurs in it): broadcast only without free groups
+    out = d.join(offsets if by else F.broadcast(offsets), on)
+    return out.withColumn(name, (F.col("_off") + F.col("_pos") + F.lit(offset)).cast("bigint")) \
+              .drop("_pid", "_pos", "_p", "_off", *[f"_by{i}" for i in range(len(by))])
 
 
 def _boundaries(hist: DataFrame, by: list[str], quota: DataFrame, n_col: str) -> DataFrame:
@@ -122,33 +87,33 @@ def mark_first_n(df: DataFrame, by: list[str], quota, key, seed: int = 42,
     a DataFrame; the counts then come from the bucket histogram, so the input
     is not scanned an extra time.  Groups missing from the quota keep all rows.
 
-    Jobs: one pass builds the (group, bucket) histogram and the boundary
-    table (one row per group), which is checkpointed; the result then reads
-    the input once more in two branches: rows outside the boundary bucket are
-    decided by comparison (map-only), rows inside it are ranked.
+    Two passes over group and key alone find, for each group, the last hash
+    that is in (one row per group, stored); the third marks rows map-side.
     """
     from ..session import cut_lineage
     key_col = F.col(key) if isinstance(key, str) else key
-    d = df.withColumn("_u", hash_order(key_col, seed)).withColumn("_k", key_col.cast("string")) \
-          .withColumn("_b", F.substring("_u", 1, 4))
-    hist = d.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bc"))
+    slim = df.select(*by, key_col.cast("string").alias("_k"), hash_order(key_col, seed).alias("_u")) \
+             .withColumn("_b", F.substring("_u", 1, 4))
+    hist = slim.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_bc"))
     if callable(quota):
         quota = quota(hist.groupBy(*by).agg(F.sum("_bc").alias("cnt")))
+    from .encode import _attach_one_row
     bnd = cut_lineage(_boundaries(hist, by, quota, n_col))
     if by:
-        # one row per group -> broadcast is bounded by the number of groups
-        j = d.join(F.broadcast(bnd), by, "left")
+        edge = slim.join(F.broadcast(bnd), by)  # one row per group
     else:
-        # a single group: at most one boundary row, attached as a scalar
-        from .encode import _attach_one_row
-        one = bnd.agg(F.first("_bstar").alias("_bstar"), F.first("_need").alias("_need"))
-        j = _attach_one_row(d, one)
-    plain = j.filter(F.col("_bstar").isNull() | (F.col("_b") != F.col("_bstar"))) \
-             .withColumn(flag, F.col("_bstar").isNull() | (F.col("_b") < F.col("_bstar")))
-    edge = j.filter(F.col("_b") == F.col("_bstar"))
+        edge = _attach_one_row(slim, bnd.agg(F.first("_bstar").alias("_bstar"), F.first("_need").alias("_need")))
+    edge = edge.filter(F.col("_b") == F.col("_bstar"))
     w = Window.partitionBy(*by).orderBy("_u", "_k")
-    edge = edge.withColumn(flag, F.row_number().over(w) <= F.col("_need"))
-    return plain.unionByName(edge).drop("_u", "_k", "_b", "_bstar", "_need")
+    last = edge.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == F.col("_need")).select(*by, F.struct("_u", "_k").alias("_cut"))
+    none = bnd.filter(F.col("_need") <= 0).select(*by, F.struct(F.lit("").alias("_u"), F.lit("").alias("_k")).alias("_cut"))
+    cut = cut_lineage(last.unionByName(none))
+    own = F.struct(hash_order(key_col, seed).alias("_u"), key_col.cast("string").alias("_k"))
+    if by:
+        j = df.withColumn("_own", own).join(F.broadcast(cut), by, "left")
+    else:
+        j = _attach_one_row(df.withColumn("_own", own), cut.agg(F.first("_cut").alias("_cut")))
+    return j.withColumn(flag, F.col("_cut").isNull() | (F.col("_own") <= F.col("_cut"))).drop("_own", "_cut")
 
 
 def take_per_group(df: DataFrame, by: list[str], quota, key, seed: int = 42,
@@ -165,45 +130,36 @@ def hash_rank_flag(df: DataFrame, n: int | Column, key, seed: int = 42, flag: st
 
 
 def running_sum(df: DataFrame, order_cols: list[str], cols: list[str], suffix: str = "_cum",
-                inclusive: bool = True, num_buckets: int | None = None, by: list[str] | None = None) -> DataFrame:
+                inclusive: bool = True, partitions: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Prefix sums of ``cols`` in ``order_cols`` order (unique within each
-    group of ``by``): rows are bucketed by key range as in ``dense_index``,
-    summed inside each bucket by one window, and offset by the totals of the
-    earlier buckets (a table of at most buckets x groups rows)."""
+    group of ``by``): summed inside each range partition by one window and
+    offset by the totals of the earlier partitions (at most partitions x
+    groups rows)."""
     by = list(by or [])
-    d = _bucketed(df, by + list(order_cols), num_buckets)
+    d = _ranged(df, by + list(order_cols), partitions)
     tot = d.groupBy("_pid", *by).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
     wb = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_pid", *by, *[F.coalesce(F.sum(f"_t{i}").over(wb), F.lit(0)).alias(f"_o{i}") for i in range(len(cols))])
-    frame = Window.partitionBy("_pid", *by).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = d.join(F.broadcast(off), ["_pid"] + by)
+    frame = Window.partitionBy("_pid", *by).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = d.join(off if by else F.broadcast(off), ["_pid"] + by)
     for i, c in enumerate(cols):
         out = out.withColumn(c + suffix, F.col(f"_o{i}") + F.coalesce(F.sum(c).over(frame), F.lit(0)))
-    return out.drop("_pid", *[f"_o{i}" for i in range(len(cols))])
+    return out.drop("_pid", "_pos", *[f"_o{i}" for i in range(len(cols))])
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, tie: str) -> DataFrame:
+def exact_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
     """One row: the linear-interpolation quantile of ``col`` (NumPy/Spark
-    ``percentile`` semantics) from two exact order statistics.
+    ``percentile`` semantics; nulls ignored) from two exact order statistics.
 
-    Rows are bucketed by key range (bounded sample), bucket sizes are counted
-    (a table of B rows), the one or two buckets holding ranks floor(h) and
-    ceil(h) are located, and only their rows are sorted.  No aggregation
-    buffer holds all values and no task sorts the whole column."""
+    Rows are counted per value, map-side first; prefix sums over the distinct
+    values tell which value holds ranks floor(h) and ceil(h)."""
     from .encode import _attach_one_row
-    d = df.select(F.col(col).cast("double").alias("_v"), F.col(tie).alias("_t")).filter(F.col("_v").isNotNull())
-    b = _bucketed(d, ["_v", "_t"])
-    cnt = b.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = cnt.select("_pid", "_c", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_o"))
-    off = _attach_one_row(off, cnt.agg(F.sum("_c").alias("_n"))).withColumn("_h", (F.col("_n") - 1) * F.lit(float(q)))
-    lo, hi = F.floor("_h"), F.ceil("_h")
-    inside = lambda r: (F.col("_o") <= r) & (r < F.col("_o") + F.col("_c"))
-    need = off.filter(inside(lo) | inside(hi)).select("_pid", "_o", "_h")
-    sel = b.join(F.broadcast(need), "_pid")
-    r = sel.withColumn("_r", F.col("_o") + F.row_number().over(Window.partitionBy("_pid").orderBy("_v", "_t")) - 1)
-    j = r.filter((F.col("_r") == F.floor("_h")) | (F.col("_r") == F.ceil("_h")))
-    v_lo = F.max(F.when(F.col("_r") == F.floor("_h"), F.col("_v")))
-    v_hi = F.max(F.when(F.col("_r") == F.ceil("_h"), F.col("_v")))
+    v = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    c = running_sum(v.groupBy("_v").agg(F.count(F.lit(1)).alias("_c")), ["_v"], ["_c"], suffix="_up")
+    n = c.agg(F.max("_c_up").alias("_n"))
+    c = _attach_one_row(c, n).withColumn("_h", (F.col("_n") - 1) * F.lit(float(q)))
+    holds = lambda r: (F.col("_c_up") - F.col("_c") <= r) & (r < F.col("_c_up"))
+    lo = F.max(F.when(holds(F.floor("_h")), F.col("_v")))
+    hi = F.max(F.when(holds(F.ceil("_h")), F.col("_v")))
     frac = F.first("_h") - F.floor(F.first("_h"))
-    return j.agg((v_lo + frac * (v_hi - v_lo)).alias("quantile"))
+    return c.agg((lo + frac * (hi - lo)).alias("quantile"))

@@ -21,6 +21,8 @@ CLUSTER_DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Checkpoint files go when the tables that read them are gone.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # Broadcast only what is small by construction; the size check below
     # is the hard limit Catalyst applies to everything else.
     "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
@@ -55,8 +57,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster names a shared (HDFS/object-store) folder there; it is used as
-    is.  Only when the setting is missing, as in local tests, a private
-    folder is created so that ``DataFrame.checkpoint`` works.
+    is.  Only on a local master, as in tests, a private folder is created when
+    the setting is missing; a cluster without it is an error, since a folder
+    of one machine would not be seen by the others.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -64,7 +67,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # Unset only in tests and local runs: a private folder is fine there.
+        master = sc.master or ""
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="flowlens-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return conf_dir

@@ -76,8 +76,8 @@ def test_observation_count_preserved(spark):
 
 def test_dense_index_matches_row_number_and_is_stable(spark):
     li = fx.li(spark, SF_SMALL).select("flow_key")
-    a = nb.dense_index(li, ["flow_key"], "i", num_buckets=4)
-    b = nb.dense_index(li, ["flow_key"], "i", num_buckets=16)
+    a = nb.dense_index(li, ["flow_key"], "i", partitions=4)
+    b = nb.dense_index(li, ["flow_key"], "i", partitions=16)
     assert a.join(b.withColumnRenamed("i", "j"), "flow_key").filter("i != j").count() == 0
     assert sorted(r.i for r in a.collect()) == list(range(li.count()))
 
