@@ -121,44 +121,59 @@ def _assemble(df: DataFrame, cols: list[str], out: str = "features"):
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
 
+def large_clusters(sizes: dict[int, int], alpha: float, beta: float) -> set[int]:
+    """Clusters by size (largest first, ties by id); the boundary is the first
+    place where the large ones hold the share ``alpha`` of the rows *and* the
+    next one is ``beta`` times smaller; else the first where the share is
+    reached; else where the ratio is."""
+    order = sorted(sizes, key=lambda c: (-sizes[c], c))
+    n, cum, share, ratio = sum(sizes.values()), 0, [], []
+    for i, c in enumerate(order[:-1]):
+        cum += sizes[c]
+        share.append(cum >= alpha * n)
+        ratio.append(sizes[c] >= beta * max(sizes[order[i + 1]], 1))
+    for test in ([a and b for a, b in zip(share, ratio)], share, ratio):
+        if True in test:
+            return set(order[: test.index(True) + 1])
+    return set(order)
+
+
+def cblof_score(df: DataFrame, cols: list[str], centres: list[list[float]], large: set[int], out: str = "score") -> DataFrame:
+    """Given the centres: distance to the own (nearest) centre if its cluster is large, else to the nearest large one."""
+    x = F.array(*[F.col(c).cast("double") for c in cols])
+    d = F.array(*[fn.euclidean(x, F.array(*[F.lit(float(v)) for v in cen])) for cen in centres])
+    own = F.array_position(d, F.array_min(d)) - 1
+    nearest_large = F.array_min(F.array(*[d[c] for c in sorted(large)]))
+    return df.withColumn(out, F.when(own.isin([int(c) for c in large]), F.array_min(d)).otherwise(nearest_large))
+
+
 def cblof(train: DataFrame, test: DataFrame, cols: list[str], k: int = 8, contamination: float = 0.1,
           alpha: float = 0.9, beta: float = 5.0, seed: int = 42, tie: str = "flow_key") -> DataFrame:
-    """Cluster-based local outlier factor: k-means, clusters sorted by size,
-    large/small boundary by α (cumulative share) and β (size ratio); score =
-    distance to the own centre (large) or to the nearest large centre."""
+    """Cluster-based local outlier factor: k-means, large and small clusters by ``large_clusters``, ``cblof_score``."""
     from pyspark.ml.clustering import KMeans
     km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(_assemble(train, cols))
     centres = [list(map(float, c)) for c in km.clusterCenters()]
     sizes = {r["cluster"]: r["count"] for r in km.summary.predictions.groupBy("cluster").count().collect()}
-    order = sorted(sizes, key=lambda c: -sizes[c])
-    n = sum(sizes.values())
-    large = set(order)
-    cum = 0
-    for i, c in enumerate(order):
-        cum += sizes[c]
-        ratio_ok = i + 1 < len(order) and sizes[c] / max(sizes[order[i + 1]], 1) >= beta
-        if cum >= alpha * n or ratio_ok:
-            large = set(order[: i + 1])
-            break
+    large = large_clusters(sizes, alpha, beta)
+    thr = threshold(cblof_score(train, cols, centres, large), contamination, tie=tie)
+    return apply_threshold(cblof_score(test, cols, centres, large), thr)
 
-    def score(df):
-        p = km.transform(_assemble(df, cols))
-        x = F.array(*[F.col(c).cast("double") for c in cols])
-        dists = {ci: fn.euclidean(x, F.array(*[F.lit(v) for v in cen])) for ci, cen in enumerate(centres)}
-        nearest_large = F.least(*[dists[c] for c in large]) if len(large) > 1 else dists[next(iter(large))]
-        own = F.coalesce(*[F.when(F.col("cluster") == ci, dists[ci]) for ci in range(len(centres))])
-        is_large = F.col("cluster").isin(list(large))
-        return p.withColumn("score", F.when(is_large, own).otherwise(nearest_large)).drop("features")
 
-    thr = threshold(score(train), contamination, tie=tie)
-    return apply_threshold(score(test), thr)
+# DET-3 ------------------------------------------------------------------------------
+def pca_score(df: DataFrame, zcols: list[str], components: list[list[float]], weights: list[float], out: str = "score") -> DataFrame:
+    """Given the components: the sum over them of the distance of the (standardized) row to the component's unit
+    vector, divided by the component's share of the variance."""
+    x = F.array(*[F.col(c) for c in zcols])
+    terms = [fn.euclidean(x, F.array(*[F.lit(float(v)) for v in comp])) / F.lit(float(max(w, 1e-12))) for comp, w in zip(components, weights)]
+    total = terms[0]
+    for t in terms[1:]:
+        total = total + t
+    return df.withColumn(out, total)
 
 
-# DET-3 ------------------------------------------------------------------------------
 def pca_outlier(train: DataFrame, test: DataFrame, cols: list[str], n_components: int | None = None,
                 contamination: float = 0.1, tie: str = "flow_key") -> DataFrame:
-    """PCA outlier score: Σ_j (projection on component j)² / variance_j over
-    the components, on standardized features."""
+    """PCA outlier score on standardized features: weighted distances to the eigenvectors (``pca_score``)."""
     from pyspark.ml.feature import PCA
     from .encode import apply_scaler, fit_scaler
     st = fit_scaler(train, cols)
@@ -166,18 +181,11 @@ def pca_outlier(train: DataFrame, test: DataFrame, cols: list[str], n_components
     zc = [c + "_z" for c in cols]
     k = n_components or len(cols)
     model = PCA(k=k, inputCol="features", outputCol="_pc").fit(_assemble(tr, zc))
-    comps = model.pc.toArray()           # d x k
-    var = [float(v) for v in model.explainedVariance.toArray()]
+    comps = model.pc.toArray().T.tolist()  # k unit vectors
+    share = [float(v) for v in model.explainedVariance.toArray()]
 
     def score(df):
-        z = apply_scaler(df, st, cols, "_z")
-        x = F.array(*[F.col(c) for c in zc])
-        s = None
-        for j in range(k):
-            proj = fn.dot(x, F.array(*[F.lit(float(comps[i][j])) for i in range(len(cols))]))
-            t = proj * proj / F.lit(max(var[j], 1e-12))
-            s = t if s is None else s + t
-        return z.withColumn("score", s).drop(*zc)
+        return pca_score(apply_scaler(df, st, cols, "_z"), zc, comps, share).drop(*zc)
 
     thr = threshold(score(train), contamination, tie=tie)
     return apply_threshold(score(test), thr)
@@ -186,18 +194,26 @@ def pca_outlier(train: DataFrame, test: DataFrame, cols: list[str], n_components
 # DET-4 ------------------------------------------------------------------------------
 def isolation_forest(train: DataFrame, test: DataFrame, cols: list[str], trees: int = 50, sample: int = 256,
                      contamination: float = 0.1, seed: int = 42, tie: str = "flow_key") -> DataFrame:
-    """Isolation forest.  Each tree draws ``sample`` rows by hash rank
-    (exact n per tree, distributed), trees are grown in parallel with
+    """Isolation forest.  ``trees * sample`` rows are drawn once by hash rank
+    and dealt to the trees in hash order (fewer rows: all of them, several
+    times over with another hash), trees are grown in parallel with
     ``groupBy(tree).applyInPandas`` (a tree of 256 points is tiny), then the
     forest is broadcast and rows are scored in Arrow batches."""
     import numpy as np
     import pandas as pd
-    from .numbering import take_per_group
-
-    reps = train.select(tie, *cols).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    reps = reps.withColumn("_k", F.concat_ws(":", F.col("tree").cast("string"), F.col(tie).cast("string")))
-    quota = train.sparkSession.range(trees).select(F.col("id").cast("int").alias("tree"), F.lit(sample).cast("bigint").alias("n"))
-    picked = take_per_group(reps, ["tree"], quota, "_k", seed)
+    from .numbering import dense_index
+    from .sampling import sample_n
+
+    drawn = sample_n(train.select(tie, *cols), trees * sample, tie, seed)
+    ranked = dense_index(drawn.withColumn("_u", fn.hash_order(F.col(tie), seed)), ["_u", tie], "_r").drop("_u")
+    n_drawn = ranked.count()
+    if n_drawn >= trees * sample:
+        picked = ranked.withColumn("tree", (F.col("_r") % trees).cast("int"))
+    else:  # too few rows for disjoint draws: a window of consecutive ranks for each tree, wrapped around; at most trees * sample rows
+        size = min(sample, n_drawn)
+        slots = train.sparkSession.range(trees * size).select((F.col("id") % trees).cast("int").alias("tree"),
+                                                              (F.floor(F.col("id") / trees) + (F.col("id") % trees) * F.lit(max(n_drawn // trees, 1))).alias("_p"))
+        picked = slots.withColumn("_r", F.pmod(F.col("_p"), F.lit(max(n_drawn, 1)))).join(ranked, "_r")
     height = int(math.ceil(math.log2(max(sample, 2))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -1,9 +1,9 @@
 """Feature encoding.
 
-Fitted state is always a *small* DataFrame (one row per category, or one
-row of statistics) that is broadcast into the transform; nothing fitted
-passes through the driver except, for one-hot, the sorted category list that
-fixes the output schema.
+Fitted state is a DataFrame (one row per category, or one row of statistics)
+joined into the transform; Spark broadcasts it where its size allows.  Nothing
+fitted passes through the driver except, for dense one-hot columns, the sorted
+category list that fixes the output schema (``one_hot_sparse`` has no list).
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from .. import functions as fn
 
 # AGG-4 ---------------------------------------------------------------------
 def fit_class_map(df: DataFrame, col: str, code: str = "code") -> DataFrame:
-    """Sorted distinct values -> 0..k-1 (label encoding)."""
+    """Sorted distinct values -> 0..k-1 (label encoding).  For classes; a column
+    with many values (addresses) is numbered by ``label_encode_all``."""
     d = df.select(F.col(col).alias("name")).distinct()
     return d.select("name", (F.row_number().over(Window.orderBy("name")) - 1).cast("int").alias(code))
 
@@ -26,16 +27,15 @@ def fit_class_map(df: DataFrame, col: str, code: str = "code") -> DataFrame:
 # JN-1 ----------------------------------------------------------------------
 def apply_class_map(df: DataFrame, cmap: DataFrame, col: str, out: str,
                     code: str = "code", default=None) -> DataFrame:
-    """Dictionary lookup as a broadcast left join (the map has one row per
-    class) with a default for unmatched keys."""
-    m = F.broadcast(cmap.select(F.col("name").alias("_name"), F.col(code).alias("_code")))
+    """Dictionary lookup as a left join with a default for unmatched keys."""
+    m = cmap.select(F.col("name").alias("_name"), F.col(code).alias("_code"))
     j = df.join(m, df[col].eqNullSafe(m["_name"]), "left")
     val = F.col("_code") if default is None else F.coalesce(F.col("_code"), F.lit(default))
     return j.withColumn(out, val).drop("_name", "_code")
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, dim_key: str, value: str, out: str, default=None) -> DataFrame:
-    m = F.broadcast(dim.select(F.col(dim_key).alias("_k"), F.col(value).alias("_v")))
+    m = dim.select(F.col(dim_key).alias("_k"), F.col(value).alias("_v"))
     j = df.join(m, df[key] == m["_k"], "left")
     val = F.col("_v") if default is None else F.coalesce(F.col("_v"), F.lit(default))
     return j.withColumn(out, val).drop("_k", "_v")
@@ -72,14 +72,14 @@ def _attach_one_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
 # ENC-1 / ENC-2 ---------------------------------------------------------------
 def fit_categories(df: DataFrame, cols: list[str], max_categories: int = 10000) -> dict[str, list]:
     """Sorted distinct values per column.  This decides the output schema
-    of one-hot encoding, so it is the one place a (small, checked) list
-    comes to the driver."""
+    of dense one-hot columns, so it is the one place a (small, checked) list
+    comes to the driver; columns with more values take ``one_hot_sparse``."""
     out = {}
     for c in cols:
         d = df.select(F.col(f"`{c}`").alias("v")).distinct()
         vals = [r["v"] for r in d.orderBy("v").limit(max_categories + 1).collect()]
         if len(vals) > max_categories:
-            raise ValueError(f"column {c} has more than {max_categories} categories")
+            raise ValueError(f"column {c} has more than {max_categories} categories: use one_hot_sparse")
         out[c] = vals
     return out
 
@@ -99,6 +99,22 @@ def one_hot(df: DataFrame, categories: dict[str, list], drop_source: bool = True
     return out.select(*keep, *new_cols)
 
 
+def one_hot_sparse(train: DataFrame, df: DataFrame, cols: list[str], suffix: str = "_vec") -> DataFrame:
+    """One sparse 0/1 vector per column (``StringIndexer`` and ``OneHotEncoder``): any number of categories, places in
+    sorted order; nulls and values not in ``train`` give the empty vector."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    text = [F.col(f"`{c}`").cast("string").alias(f"_t_{c}") for c in cols]
+    ix = StringIndexer(inputCols=[f"_t_{c}" for c in cols], outputCols=[f"_i_{c}" for c in cols], stringOrderType="alphabetAsc",
+                       handleInvalid="keep").fit(train.select(*text))
+    with_ix = ix.transform(df.select("*", *text))
+    sizes = [len(x) for x in ix.labelsArray]
+    enc = OneHotEncoder(inputCols=[f"_i_{c}" for c in cols], outputCols=[c + suffix for c in cols], dropLast=True, handleInvalid="keep")
+    # the index of unseen values is one past the last label; with it as the dropped last place they give the empty vector
+    from pyspark.sql import Row
+    fitted = enc.fit(train.sparkSession.createDataFrame([Row(**{f"_i_{c}": float(max(n - 1, 0)) for c, n in zip(cols, sizes)})]))
+    return fitted.transform(with_ix).drop(*[f"_t_{c}" for c in cols], *[f"_i_{c}" for c in cols])
+
+
 # ENC-4 -------------------------------------------------------------------------
 def fit_target_encoder(df: DataFrame, cols: list[str], y: str, min_samples_leaf: int = 20,
                        smoothing: float = 10.0) -> DataFrame:
@@ -128,7 +144,7 @@ def apply_target_encoder(df: DataFrame, enc: DataFrame, cols: list[str], suffix:
     prior = enc.select(F.max("_prior").alias("_prior_all"))
     out = _attach_one_row(out, prior)
     for c in cols:
-        m = F.broadcast(enc.filter(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("enc").alias(f"_e_{c}")))
+        m = enc.filter(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("enc").alias(f"_e_{c}"))
         out = out.join(m, F.col(f"`{c}`").cast("string") == F.col(f"_v_{c}"), "left") \
                  .withColumn(c + suffix, F.coalesce(F.col(f"_e_{c}"), F.col("_prior_all"))) \
                  .drop(f"_v_{c}", f"_e_{c}")
@@ -140,11 +156,13 @@ def label_encode_all(df: DataFrame, cols: list[str] | None = None, suffix: str =
     """Every text column replaced by the rank of its value among the sorted
     distinct values of that column."""
     from .adapters import split_by_type
+    from .numbering import dense_index
     if cols is None:
         _, cols = split_by_type(df)
     out = df
     for c in cols:
-        cmap = fit_class_map(df, c)
+        values = df.select(F.col(c).alias("name")).distinct()
+        cmap = dense_index(values, ["name"], "code").withColumn("code", F.col("code").cast("int"))
         out = apply_class_map(out, cmap, c, c + suffix if suffix else "_enc").drop(*([] if suffix else [c]))
         if not suffix:
             out = out.withColumnRenamed("_enc", c)
@@ -166,7 +184,7 @@ def hash_matrix(rows: int, cols: int, seed: int, lo: float = 0.0, hi: float = 1.
 
 
 def matvec(vec: Column, matrix: list[list[float]]) -> Column:
-    """``vec · M`` for a literal matrix M (d_in x d_out); stays in codegen."""
+    """``vec · M`` for a literal matrix M (d_in x d_out)."""
     d_out = len(matrix[0])
     cols = []
     for j in range(d_out):

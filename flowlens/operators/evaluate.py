@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .encode import _attach_one_row
 from .numbering import running_sum
 
 
@@ -38,7 +39,7 @@ def binary_metrics(df: DataFrame, y: str = "y", p: str = "pred", group=None) ->
 def confusion_matrix(df: DataFrame, y: str = "y", p: str = "pred", normalize: bool = False) -> DataFrame:
     """Dense (true, pred, count[, share of the true row]) over all classes seen."""
     cnt = df.groupBy(F.col(y).alias("true"), F.col(p).alias("pred")).agg(F.count(F.lit(1)).alias("count"))
-    classes = df.select(F.col(y).alias("c")).union(df.select(F.col(p).alias("c"))).distinct()
+    classes = cnt.select(F.col("true").alias("c")).union(cnt.select(F.col("pred").alias("c"))).distinct()
     # the class list is small: one row holding it, exploded twice into the k x k grid
     arr = classes.agg(F.collect_list("c").alias("_cs"))
     grid = arr.select(F.explode("_cs").alias("true"), "_cs").select("true", F.explode("_cs").alias("pred"))
@@ -112,10 +113,32 @@ def roc_curve(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, high to low."""
     t = _score_table(df, y, score).withColumn("_neg_s", -F.col("s"))
     r = running_sum(t, ["_neg_s"], ["pos", "neg"])
-    tot = Window.partitionBy()
-    return r.select(F.col("s").alias("threshold"),
-                    (F.col("neg_cum") / F.sum("neg").over(tot)).alias("fpr"),
-                    (F.col("pos_cum") / F.sum("pos").over(tot)).alias("tpr"))
+    r = _attach_one_row(r, t.agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")))
+    return r.select(F.col("s").alias("threshold"), (F.col("neg_cum") / F.col("_n")).alias("fpr"), (F.col("pos_cum") / F.col("_p")).alias("tpr"))
+
+
+def _one_vs_rest(df: DataFrame, y: str, probs: str, k: int) -> DataFrame:
+    """(curve, hit, s): every (row, class) decision under its class and once more under ``micro``."""
+    long = df.select(F.col(y).alias("_y"), F.posexplode(probs).alias("cls", "s")).filter(F.col("cls") < k)
+    long = long.select(F.col("cls").cast("string").alias("curve"), (F.col("_y") == F.col("cls")).cast("int").alias("hit"), "s")
+    return long.unionByName(long.withColumn("curve", F.lit("micro")))
+
+
+def roc_curves(df: DataFrame, y: str, probs: str, k: int) -> DataFrame:
+    """(curve, threshold, fpr, tpr): a one-vs-rest curve for each of ``k`` classes and the micro curve, from a
+    probability array; a class without rows on one side has no curve."""
+    t = _one_vs_rest(df, y, probs, k).groupBy("curve", "s").agg(F.count_if(F.col("hit") == 1).alias("pos"), F.count_if(F.col("hit") == 0).alias("neg"))
+    r = running_sum(t.withColumn("_neg_s", -F.col("s")), ["_neg_s"], ["pos", "neg"], by=["curve"])
+    tot = t.groupBy("curve").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n")).filter("_p > 0 and _n > 0")
+    return r.join(F.broadcast(tot), "curve").select("curve", F.col("s").alias("threshold"), (F.col("neg_cum") / F.col("_n")).alias("fpr"),
+                                                    (F.col("pos_cum") / F.col("_p")).alias("tpr"))
+
+
+def roc_areas(df: DataFrame, y: str, probs: str, k: int) -> DataFrame:
+    """(curve, auc) of those curves, and ``macro``: the mean over classes."""
+    per = auc(_one_vs_rest(df, y, probs, k), "hit", "s", group="curve").filter(F.col("auc").isNotNull())
+    macro = per.filter("curve <> 'micro'").agg(F.avg("auc").alias("auc")).select(F.lit("macro").alias("curve"), "auc")
+    return per.select("curve", "auc").unionByName(macro)
 
 
 def auc_ovr(df: DataFrame, y: str, probs: str, k: int) -> DataFrame:

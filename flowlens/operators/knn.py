@@ -1,19 +1,21 @@
 """Exact nearest-neighbour and radius self-joins (JN-7, JN-8, JN-9).
 
-Rows are hashed into B blocks.  Every (left block, right block) pair is one
-group: each row is sent once as "left" to the B groups of its block row and
-once as "right" to the B groups of its block column (2·B copies per row, an
+Rows are hashed into B blocks.  Every unordered block pair is one group: each
+row is sent once to each of the B pairs its block is in (B copies per row, an
 equi-join on the block pair, no cross join).  Inside a group NumPy computes
-the |L|x|R| distance tile and emits only the k best partners per left row
-(or the pairs within the radius), never the tile.  A final ``groupBy(id)``
-keeps the k best of the B partial lists (k·B rows per id, bounded).
+the distance tile once and emits, for the rows of either block, only the k
+best partners (or the pairs within the radius), never the tile.  A final
+window over the partial lists keeps the k best (k·B rows per id, bounded).
 
-Cost: n²·d flops spread over B² tasks; shuffle 2·B·n vectors + n·k·B partials.
-By default B = ceil(n / 2000): one tile is 2000 x 2000 distances (32 MB).
+Cost: n²·d/2 flops spread over B²/2 tasks; shuffle B·n vectors + n·k·B partials.
+B is the larger of what keeps a block at 2,000 rows (a tile of 32 MB) and what
+gives every task slot of the session a tile.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,21 +28,27 @@ ROWS_PER_BLOCK = 2000
 
 
 def _auto_blocks(df: DataFrame, n_blocks: int | None) -> int:
-    """Blocks of about ROWS_PER_BLOCK rows (a tile of 4M distances)."""
+    """Blocks of at most ROWS_PER_BLOCK rows, and tiles for all task slots unless blocks fell below 64 rows."""
     if n_blocks:
         return n_blocks
-    import math
-    return max(1, math.ceil(df.count() / ROWS_PER_BLOCK))
+    n = df.count()
+    slots = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    return max(1, math.ceil(n / ROWS_PER_BLOCK), min(math.ceil(math.sqrt(2 * slots)), n // 64))
 
 
-def _blocks(df: DataFrame, id_col: str, vec: str, n_blocks: int | None) -> DataFrame:
+def _blocks(df: DataFrame, id_col: str, vec: str, n_blocks: int | None, label: str | None = None) -> DataFrame:
     n_blocks = _auto_blocks(df, n_blocks)
-    d = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
+    d = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec).cast("array<double>").alias("_v"),
+                  *([F.col(label).alias("_lab")] if label else []))
     d = d.withColumn("_blk", F.pmod(F.xxhash64("_id"), F.lit(n_blocks)).cast("int"))
-    reps = F.array(*[F.lit(i) for i in range(n_blocks)])
-    left = d.select(F.col("_blk").alias("_lb"), F.explode(reps).alias("_rb"), F.lit(True).alias("_left"), "_id", "_v")
-    right = d.select(F.explode(reps).alias("_lb"), F.col("_blk").alias("_rb"), F.lit(False).alias("_left"), "_id", "_v")
-    return left.unionByName(right)
+    d = d.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    return d.withColumn("_lb", F.least("_blk", "_o")).withColumn("_rb", F.greatest("_blk", "_o")).drop("_o")
+
+
+def _sides(pdf: pd.DataFrame):
+    """(left, right) rows of a block pair; the same rows twice on the diagonal."""
+    lb, rb = pdf["_lb"].iloc[0], pdf["_rb"].iloc[0]
+    return (pdf, pdf) if lb == rb else (pdf[pdf["_blk"] == lb], pdf[pdf["_blk"] == rb])
 
 
 def _distances(lv: np.ndarray, rv: np.ndarray, metric: str) -> np.ndarray:
@@ -58,40 +66,34 @@ def _distances(lv: np.ndarray, rv: np.ndarray, metric: str) -> np.ndarray:
     return out
 
 
+def _best(dist: np.ndarray, lid: np.ndarray, rid: np.ndarray, k: int):
+    """Of each row of a tile the k nearest finite partners, ties by id: (src, dst, dist)."""
+    kk = min(k, dist.shape[1])
+    order = np.lexsort((np.broadcast_to(rid, dist.shape), dist), axis=1)[:, :kk]
+    d = np.take_along_axis(dist, order, axis=1)
+    ok = np.isfinite(d)
+    return np.repeat(lid, kk).reshape(d.shape)[ok], rid[order][ok], d[ok]
+
+
 def _tile_fn(k: int | None, eps: float | None, metric: str, strict: bool, exclude_self: bool):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["_left"]]
-        right = pdf[~pdf["_left"]]
+        left, right = _sides(pdf)
         if left.empty or right.empty:
             return pd.DataFrame({"src": [], "dst": [], "dist": []})
-        lid = left["_id"].to_numpy()
-        rid = right["_id"].to_numpy()
-        lv = np.stack(left["_v"].to_numpy())
-        rv = np.stack(right["_v"].to_numpy())
-        dist = _distances(lv, rv, metric)
+        lid, rid = left["_id"].to_numpy(), right["_id"].to_numpy()
+        dist = _distances(np.stack(left["_v"].to_numpy()), np.stack(right["_v"].to_numpy()), metric)
         if exclude_self:
             dist = np.where(lid[:, None] == rid[None, :], np.inf, dist)
-        srcs, dsts, ds = [], [], []
-        if k is not None:
-            kk = min(k, rv.shape[0])
-            for i in range(lv.shape[0]):
-                row = dist[i]
-                order = np.lexsort((rid, row))[:kk]
-                order = order[np.isfinite(row[order])]
-                if eps is not None:
-                    order = order[(row[order] < eps) if strict else (row[order] <= eps)]
-                srcs.append(np.full(order.shape[0], lid[i]))
-                dsts.append(rid[order])
-                ds.append(row[order])
-        else:
-            mask = (dist < eps) if strict else (dist <= eps)
-            mask &= np.isfinite(dist)
-            ii, jj = np.nonzero(mask)
-            srcs.append(lid[ii])
-            dsts.append(rid[jj])
-            ds.append(dist[ii, jj])
-        return pd.DataFrame({"src": np.concatenate(srcs).astype("int64"), "dst": np.concatenate(dsts).astype("int64"),
-                             "dist": np.concatenate(ds).astype("float64")})
+        both = [(dist, lid, rid)] if left is right else [(dist, lid, rid), (dist.T, rid, lid)]
+        found = []
+        for d, a, b in both:
+            if k is not None:
+                found.append(_best(d, a, b, k))
+            else:
+                ii, jj = np.nonzero(((d < eps) if strict else (d <= eps)) & np.isfinite(d))
+                found.append((a[ii], b[jj], d[ii, jj]))
+        src, dst, ds = (np.concatenate(x) for x in zip(*found))
+        return pd.DataFrame({"src": src.astype("int64"), "dst": dst.astype("int64"), "dist": ds.astype("float64")})
     return fn
 
 
@@ -129,8 +131,7 @@ def knn_graph(df: DataFrame, id_col: str, vec: str, k: int, symmetric: bool = Fa
 
 def _pair_sum_fn(margin: float):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = pdf[pdf["_left"]]
-        right = pdf[~pdf["_left"]]
+        left, right = _sides(pdf)
         if left.empty or right.empty:
             return pd.DataFrame({"s": [0.0], "n": [0]})
         lv = np.stack(left["_v"].to_numpy())
@@ -139,7 +140,8 @@ def _pair_sum_fn(margin: float):
         rn = np.linalg.norm(rv, axis=1, keepdims=True)
         cos = (lv / np.where(ln == 0, 1.0, ln)) @ (rv / np.where(rn == 0, 1.0, rn)).T
         other = left["_lab"].to_numpy()[:, None] != right["_lab"].to_numpy()[None, :]
-        return pd.DataFrame({"s": [float(np.maximum(cos - margin, 0.0)[other].sum())], "n": [int(other.sum())]})
+        times = 1 if left is right else 2  # ordered pairs
+        return pd.DataFrame({"s": [times * float(np.maximum(cos - margin, 0.0)[other].sum())], "n": [times * int(other.sum())]})
     return fn
 
 
@@ -147,9 +149,7 @@ def negative_pair_term(df: DataFrame, id_col: str, vec: str, label: str, margin:
                        n_blocks: int | None = None) -> DataFrame:
     """mean over ordered pairs with different labels of relu(cos - margin):
     block tiles each emit one (sum, count) row, never the pairs."""
-    lab = df.select(F.col(id_col).cast("long").alias("_id"), F.col(label).alias("_lab"))
-    blocks = _blocks(df, id_col, vec, n_blocks).join(lab, "_id")
-    parts = blocks.groupBy("_lb", "_rb").applyInPandas(_pair_sum_fn(margin), "s double, n long")
+    parts = _blocks(df, id_col, vec, n_blocks, label).groupBy("_lb", "_rb").applyInPandas(_pair_sum_fn(margin), "s double, n long")
     return parts.agg((F.sum("s") / F.sum("n")).alias("neg_loss"))
 
 

@@ -24,14 +24,14 @@ from ..functions import hash_order
 
 
 def _ranged(df: DataFrame, keys: list[str], partitions: int | None = None) -> DataFrame:
-    """``df`` range-partitioned and sorted by ``keys`` and stored, with ``_pid``
-    (partitions in key order) and ``_pos`` (0-based place within one)."""
+    """``df`` range-partitioned and sorted by ``keys`` and stored, with ``__pid``
+    (partitions in key order) and ``__pos`` (0-based place within one)."""
     from ..session import cut_lineage
     d = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
     place = F.monotonically_increasing_id()
     return cut_lineage(d.sortWithinPartitions(*keys)
-                       .withColumn("_pid", F.shiftright(place, 33))
-                       .withColumn("_pos", place.bitwiseAND(F.lit((1 << 33) - 1))))
+                       .withColumn("__pid", F.shiftright(place, 33))
+                       .withColumn("__pos", place.bitwiseAND(F.lit((1 << 33) - 1))))
 
 
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "flow_id",
@@ -49,17 +49,17 @@ def dense_index(df: DataFrame, order_cols: list[str], name: str = "flow_id",
     """
     by = list(by or [])
     d = _ranged(df, by + list(order_cols), partitions)
-    counts = d.groupBy("_pid", *by).agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
-    w = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("_pid").alias("_p"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
+    counts = d.groupBy("__pid", *by).agg(F.count(F.lit(1)).alias("_cnt"), F.min("__pos").alias("_first"))
+    w = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("__pid").alias("_p"), *[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)],
                             (F.coalesce(F.sum("_cnt").over(w), F.lit(0)) - F.col("_first")).alias("_off"))
-    on = F.col("_pid") == F.col("_p")
+    on = F.col("__pid") == F.col("_p")
     for i, c in enumerate(by):
         on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
     # one row per partition (and group that occurs in it): broadcast only without free groups
     out = d.join(offsets if by else F.broadcast(offsets), on)
-    return out.withColumn(name, (F.col("_off") + F.col("_pos") + F.lit(offset)).cast("bigint")) \
-              .drop("_pid", "_pos", "_p", "_off", *[f"_by{i}" for i in range(len(by))])
+    return out.withColumn(name, (F.col("_off") + F.col("__pos") + F.lit(offset)).cast("bigint")) \
+              .drop("__pid", "__pos", "_p", "_off", *[f"_by{i}" for i in range(len(by))])
 
 
 def _boundaries(hist: DataFrame, by: list[str], quota: DataFrame, n_col: str) -> DataFrame:
@@ -137,14 +137,14 @@ def running_sum(df: DataFrame, order_cols: list[str], cols: list[str], suffix: s
     groups rows)."""
     by = list(by or [])
     d = _ranged(df, by + list(order_cols), partitions)
-    tot = d.groupBy("_pid", *by).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
-    wb = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_pid", *by, *[F.coalesce(F.sum(f"_t{i}").over(wb), F.lit(0)).alias(f"_o{i}") for i in range(len(cols))])
-    frame = Window.partitionBy("_pid", *by).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = d.join(off if by else F.broadcast(off), ["_pid"] + by)
+    tot = d.groupBy("__pid", *by).agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(cols)])
+    wb = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("__pid", *by, *[F.coalesce(F.sum(f"_t{i}").over(wb), F.lit(0)).alias(f"_o{i}") for i in range(len(cols))])
+    frame = Window.partitionBy("__pid", *by).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = d.join(off if by else F.broadcast(off), ["__pid"] + by)
     for i, c in enumerate(cols):
         out = out.withColumn(c + suffix, F.col(f"_o{i}") + F.coalesce(F.sum(c).over(frame), F.lit(0)))
-    return out.drop("_pid", "_pos", *[f"_o{i}" for i in range(len(cols))])
+    return out.drop("__pid", "__pos", *[f"_o{i}" for i in range(len(cols))])
 
 
 def exact_quantile(df: DataFrame, col: str, q: float) -> DataFrame:

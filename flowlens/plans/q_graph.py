@@ -16,16 +16,21 @@ from .registry import query, rounded
 from .sqltext import with_fx, with_li
 
 EMB = "emb AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"
-D4 = 4
+DIM = 64  # elements of a vector; all of them are used
 
 
 def emb(spark, sf):
     return fx.embeddings(spark, sf)
 
 
-def emb4(spark, sf):
-    """Nodes of the similarity graph: id, 4-dim features, label."""
-    return emb(spark, sf).select(F.col("vec_id").alias("id"), F.slice("embedding", 1, D4).alias("x"), F.col("label").alias("y"))
+def emb_nodes(spark, sf):
+    """Nodes of the similarity graph: id, features, label."""
+    return emb(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), F.col("label").alias("y"))
+
+
+def sql_elems(agg: str, vec: str, d: int = DIM) -> str:
+    """SQL list of ``agg`` over each element of a vector."""
+    return "[" + ", ".join(f"{agg}({vec}[{i}])" for i in range(1, d + 1)) + "]"
 
 
 def explode_vec(df, id_cols, vec="x", digits=6):
@@ -90,43 +95,31 @@ def _vecfns(spark, sf):
         "vec_id",
         fn.cosine("embedding", "e2").alias("cos"),
         fn.euclidean("embedding", "e2").alias("l2"),
-        fn.l2_norm(fn.l2_normalize(F.slice("embedding", 1, 8))).alias("unit_norm"),
-        fn.argmax(F.slice("embedding", 1, 8)).alias("argmax8"),
+        fn.l2_norm(fn.l2_normalize(F.col("embedding"))).alias("unit_norm"),
+        fn.argmax(F.col("embedding")).alias("argmax"),
         fn.sigmoid(F.col("embedding")[0]).alias("sig0"),
-        F.element_at(fn.softmax(F.slice("embedding", 1, 4)), 1).alias("softmax0"),
+        F.element_at(fn.softmax(F.col("embedding")), 1).alias("softmax0"),
         fn.clamp(F.col("embedding")[1] * 10, -0.5, 0.5).alias("clamp1")))
 
 
 query("fn16_vector_functions", with_fx("""
-, j AS (SELECT a.vec_id, a.e, b.e AS e2 FROM emb a JOIN emb b ON b.vec_id = a.vec_id + 1)
-SELECT vec_id, round(list_cosine_similarity(e, e2), 6) AS cos, round(list_distance(e, e2), 6) AS l2,
-       round(CASE WHEN sqrt(list_sum(list_transform(e[1:8], lambda x: x * x))) > 0 THEN
-         sqrt(list_sum(list_transform(e[1:8], lambda x: (x / sqrt(list_sum(list_transform(e[1:8], lambda y: y * y)))) ^ 2))) ELSE 0 END, 6) AS unit_norm,
-       CAST(list_position(e[1:8], list_max(e[1:8])) - 1 AS INTEGER) AS argmax8,
-       round(1 / (1 + exp(-e[1])), 6) AS sig0,
-       round(exp(e[1] - list_max(e[1:4])) / list_sum(list_transform(e[1:4], lambda x: exp(x - list_max(e[1:4])))), 6) AS softmax0,
-       round(least(greatest(e[2] * 10, -0.5), 0.5), 6) AS clamp1
-FROM j""".replace("\n, j AS", ", j AS", 1) if False else """
 SELECT a.vec_id, round(list_cosine_similarity(a.e, b.e), 6) AS cos, round(list_distance(a.e, b.e), 6) AS l2,
-       round(sqrt(list_sum(list_transform(a.e[1:8], lambda x: (x / sqrt(list_sum(list_transform(a.e[1:8], lambda y: y * y)))) ^ 2))), 6) AS unit_norm,
-       CAST(list_position(a.e[1:8], list_max(a.e[1:8])) - 1 AS INTEGER) AS argmax8,
+       round(sqrt(list_sum(list_transform(a.e, lambda x: (x / sqrt(list_sum(list_transform(a.e, lambda y: y * y)))) ^ 2))), 6) AS unit_norm,
+       CAST(list_position(a.e, list_max(a.e)) - 1 AS INTEGER) AS argmax,
        round(1 / (1 + exp(-a.e[1])), 6) AS sig0,
-       round(exp(a.e[1] - list_max(a.e[1:4])) / list_sum(list_transform(a.e[1:4], lambda x: exp(x - list_max(a.e[1:4])))), 6) AS softmax0,
+       round(exp(a.e[1] - list_max(a.e)) / list_sum(list_transform(a.e, lambda x: exp(x - list_max(a.e)))), 6) AS softmax0,
        round(least(greatest(a.e[2] * 10, -0.5), 0.5), 6) AS clamp1
 FROM emb a JOIN emb b ON b.vec_id = a.vec_id + 1""", [], [EMB]))(_vecfns)
 
 # AGG-16: mean vector per label ---------------------------------------------------------------
 query("agg16_mean_vector", with_fx(sql_explode(
-    "(SELECT label, [avg(e[1]), avg(e[2]), avg(e[3]), avg(e[4])] AS m FROM emb GROUP BY label)", "label", "m", 4),
+    f"(SELECT label, {sql_elems('avg', 'e')} AS m FROM emb GROUP BY label)", "label", "m", DIM),
     [], [EMB]))(
     lambda spark, sf: explode_vec(__import__("flowlens.operators.aggregate", fromlist=["mean_vector"]).mean_vector(
-        emb4(spark, sf).withColumnRenamed("y", "label"), "x", 4, by=["label"]), ["label"]))
+        emb_nodes(spark, sf).withColumnRenamed("y", "label"), "x", DIM, by=["label"]), ["label"]))
 
 # GR-25: label-contrastive loss (closed form) ------------------------------------------------------
 query("gr25_contrastive_loss", with_fx("""
-, z AS (SELECT label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y))))  AS z FROM emb),
-  pairs AS (SELECT a.label, 1 - list_dot_product(a.z, b.z) AS v FROM z a JOIN z b ON a.label = b.label AND a.rowid <> b.rowid)
-SELECT 1 AS one""".replace("\n, z AS", ", z AS", 1) if False else """
 , z AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS z FROM emb)
 SELECT round(avg(1 - list_dot_product(a.z, b.z)), 6) AS pos_loss, 0.0::DOUBLE AS neg_loss,
        round(avg(1 - list_dot_product(a.z, b.z)), 6) AS loss
@@ -134,44 +127,44 @@ FROM z a JOIN z b ON a.label = b.label AND a.vec_id <> b.vec_id""".replace("\n,
     lambda spark, sf: rounded(pg.contrastive_loss(emb(spark, sf), "embedding", "label", 64)))
 
 
-# GR-20 / GR-21 / GR-22 / GR-23 on the k=10 kNN graph of 4-dim features ---------------------------
+# GR-20 / GR-21 / GR-22 / GR-23 on the k=10 kNN graph ---------------------------
 def sim_graph(spark, sf):
     """The k=10 kNN graph: its edges feed several joins of every hop, so the
     (expensive) kNN result is materialized once instead of being recomputed
     per use."""
     from ..session import cut_lineage
-    nodes = emb4(spark, sf)
+    nodes = emb_nodes(spark, sf)
     edges = cut_lineage(knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 10))
     return nodes, edges
 
 
-SIM = [EMB, knn_sql(10), "nodes AS (SELECT vec_id AS id, e[1:4] AS x FROM emb)", "edges AS (SELECT src, dst FROM kn)"]
+SIM = [EMB, knn_sql(10), "nodes AS (SELECT vec_id AS id, e AS x FROM emb)", "edges AS (SELECT src, dst FROM kn)"]
 
 
 def _prop_sql(kind: str) -> str:
     if kind == "gcn":
-        return """
+        return f"""
 , deg AS (SELECT n.id, 1 + count(e.dst) AS d FROM nodes n LEFT JOIN edges e ON e.dst = n.id GROUP BY n.id),
   msg AS (SELECT e.dst, list_transform(n.x, lambda v: v / sqrt(ds.d * dd.d)) AS m
           FROM edges e JOIN nodes n ON n.id = e.src JOIN deg ds ON ds.id = e.src JOIN deg dd ON dd.id = e.dst),
-  agg AS (SELECT dst, [sum(m[1]), sum(m[2]), sum(m[3]), sum(m[4])] AS s FROM msg GROUP BY dst),
-  out AS (SELECT n.id, list_transform(range(1, 5), lambda i: n.x[i] / deg.d + coalesce(agg.s[i], 0)) AS x
+  agg AS (SELECT dst, {sql_elems('sum', 'm')} AS s FROM msg GROUP BY dst),
+  out AS (SELECT n.id, list_transform(range(1, {DIM + 1}), lambda i: n.x[i] / deg.d + coalesce(agg.s[i], 0)) AS x
           FROM nodes n JOIN deg ON deg.id = n.id LEFT JOIN agg ON agg.dst = n.id)
-""" + sql_explode("out", "id", "x", 4)
+""" + sql_explode("out", "id", "x", DIM)
     mean = kind == "sage"
     f = "avg" if mean else "sum"
     combine = "coalesce(agg.s[i], 0)" if mean else "n.x[i] + coalesce(agg.s[i], 0)"
     return f"""
-, agg AS (SELECT e.dst, [{f}(n.x[1]), {f}(n.x[2]), {f}(n.x[3]), {f}(n.x[4])] AS s FROM edges e JOIN nodes n ON n.id = e.src GROUP BY e.dst),
-  out AS (SELECT n.id, list_transform(range(1, 5), lambda i: {combine}) AS x FROM nodes n LEFT JOIN agg ON agg.dst = n.id)
-""" + sql_explode("out", "id", "x", 4)
+, agg AS (SELECT e.dst, {sql_elems(f, 'n.x')} AS s FROM edges e JOIN nodes n ON n.id = e.src GROUP BY e.dst),
+  out AS (SELECT n.id, list_transform(range(1, {DIM + 1}), lambda i: {combine}) AS x FROM nodes n LEFT JOIN agg ON agg.dst = n.id)
+""" + sql_explode("out", "id", "x", DIM)
 
 
 for _kind, _name in (("gcn", "gr20_gcn_propagation"), ("sage", "gr21_sage_propagation"), ("gin", "gr21_gin_propagation")):
     query(_name, with_fx(_prop_sql(_kind).replace("\n, ", ", ", 1), [], SIM))(
-        (lambda kind: lambda spark, sf: explode_vec(pg.propagate(*sim_graph(spark, sf), 4, kind), ["id"]))(_kind))
+        (lambda kind: lambda spark, sf: explode_vec(pg.propagate(*sim_graph(spark, sf), DIM, kind), ["id"]))(_kind))
 
-W_ATT = enc.hash_matrix(4, 3, 7, -1.0, 1.0)
+W_ATT = enc.hash_matrix(DIM, 3, 7, -1.0, 1.0)
 A_ATT = [v for v in enc.hash_matrix(1, 6, 8, -1.0, 1.0)[0]]
 
 
@@ -194,13 +187,13 @@ def _att_sql() -> str:
 query("gr22_attention", with_fx(_att_sql().replace("\n, ", ", ", 1), [], SIM))(
     lambda spark, sf: explode_vec(pg.attend(*sim_graph(spark, sf), W_ATT, A_ATT), ["id"]))
 
-query("gr23_concat_layers", with_fx((_prop_sql("gcn").split("\nSELECT")[0] + """,
-  agg2 AS (SELECT e.dst, [avg(n.x[1]), avg(n.x[2]), avg(n.x[3]), avg(n.x[4])] AS s FROM edges e JOIN nodes n ON n.id = e.src GROUP BY e.dst),
-  out2 AS (SELECT n.id, list_transform(range(1, 5), lambda i: coalesce(agg2.s[i], 0)) AS x FROM nodes n LEFT JOIN agg2 ON agg2.dst = n.id),
+query("gr23_concat_layers", with_fx((_prop_sql("gcn").split("\nSELECT")[0] + f""",
+  agg2 AS (SELECT e.dst, {sql_elems('avg', 'n.x')} AS s FROM edges e JOIN nodes n ON n.id = e.src GROUP BY e.dst),
+  out2 AS (SELECT n.id, list_transform(range(1, {DIM + 1}), lambda i: coalesce(agg2.s[i], 0)) AS x FROM nodes n LEFT JOIN agg2 ON agg2.dst = n.id),
   cat AS (SELECT out.id, list_concat(out.x, out2.x) AS x FROM out JOIN out2 ON out.id = out2.id)
-""" + sql_explode("cat", "id", "x", 8)).replace("\n, ", ", ", 1), [], SIM))(
-    lambda spark, sf: explode_vec(pg.concat_layers(pg.propagate(*sim_graph(spark, sf), 4, "gcn"),
-                                                   pg.propagate(*sim_graph(spark, sf), 4, "sage")), ["id"]))
+""" + sql_explode("cat", "id", "x", 2 * DIM)).replace("\n, ", ", ", 1), [], SIM))(
+    lambda spark, sf: explode_vec(pg.concat_layers(pg.propagate(*sim_graph(spark, sf), DIM, "gcn"),
+                                                   pg.propagate(*sim_graph(spark, sf), DIM, "sage")), ["id"]))
 
 # GR-9: constant node features -------------------------------------------------------------------
 query("gr9_init_nodes", with_li("""
@@ -316,6 +309,27 @@ SELECT round(s, 6) AS threshold, round(sum(neg) OVER (ORDER BY s DESC) / sum(neg
        round(sum(pos) OVER (ORDER BY s DESC) / sum(pos) OVER (), 6) AS tpr FROM g""".replace("\n, g AS", ", g AS", 1),
     ["scored"], [SC]))(lambda spark, sf: rounded(ev.roc_curve(scored(spark, sf))))
 
+# EVL-6, several classes: one-vs-rest and micro curves, their areas and the macro mean ---------------------------------
+def class_scores(spark, sf):
+    """Labelled vectors with one score per class: the sum of every tenth element."""
+    return emb(spark, sf).select(F.col("label").alias("y"), F.array(*[
+        F.aggregate(F.array(*[F.col("embedding")[i] for i in range(c, DIM, 10)]), F.lit(0.0), lambda a, b: a + b) for c in range(10)]).alias("p"))
+
+
+OVR = "ovr AS (SELECT CAST(c AS VARCHAR) AS curve, CAST(label = c AS INTEGER) AS hit, s FROM (" + " UNION ALL ".join(
+    f"SELECT label, {c} AS c, " + " + ".join(["0.0::DOUBLE"] + [f"e[{i + 1}]" for i in range(c, DIM, 10)]) + " AS s FROM emb" for c in range(10)) + "))"
+OVR_ALL = "oa AS (SELECT * FROM ovr UNION ALL SELECT 'micro', hit, s FROM ovr)"
+query("evl6_multiclass_curves", with_fx("""
+, g AS (SELECT curve, s, sum(hit) AS pos, sum(1 - hit) AS neg FROM oa GROUP BY curve, s)
+SELECT curve, round(s, 6) AS threshold, round(sum(neg) OVER (PARTITION BY curve ORDER BY s DESC) / sum(neg) OVER (PARTITION BY curve), 6) AS fpr,
+       round(sum(pos) OVER (PARTITION BY curve ORDER BY s DESC) / sum(pos) OVER (PARTITION BY curve), 6) AS tpr FROM g""".replace("\n, g AS", ", g AS", 1),
+    [], [EMB, OVR, OVR_ALL]))(lambda spark, sf: rounded(ev.roc_curves(class_scores(spark, sf), "y", "p", 10)))
+query("evl6_multiclass_areas", with_fx("""
+, r AS (SELECT curve, hit, rank() OVER (PARTITION BY curve ORDER BY s) + (count(*) OVER (PARTITION BY curve, s) - 1) / 2.0 AS r FROM oa),
+  a AS (SELECT curve, (sum(r) FILTER (WHERE hit = 1) - sum(hit) * (sum(hit) + 1) / 2.0) / (sum(hit) * sum(1 - hit)) AS auc FROM r GROUP BY curve)
+SELECT curve, round(auc, 6) AS auc FROM a UNION ALL SELECT 'macro', round(avg(auc), 6) FROM a WHERE curve <> 'micro'""".replace("\n, r AS", ", r AS", 1),
+    [], [EMB, OVR, OVR_ALL]))(lambda spark, sf: rounded(ev.roc_areas(class_scores(spark, sf), "y", "p", 10)))
+
 query("evl7_batch_accuracy", with_fx("""
 SELECT CAST(floor((row_number() OVER (ORDER BY md5('42:' || flow_key), flow_key) - 1) / 5000) AS BIGINT) AS batch_id,
        y, pred FROM sc""".join(["SELECT batch_id, round(avg(CAST(y = pred AS DOUBLE)), 6) AS accuracy, count(*) AS n FROM (", ") GROUP BY batch_id"]),

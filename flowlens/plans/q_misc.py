@@ -16,7 +16,7 @@ from ..operators import sampling as sm
 from ..session import read_table
 from .composite import process_dataset, reduce_standardize_combine
 from .q_flows import HOST_PROFILE_SQL, std_li
-from .q_graph import EMB, emb, explode_vec, sql_explode, sql_matvec
+from .q_graph import DIM, EMB, emb, explode_vec, sql_explode, sql_matvec
 from .q_models import SPLIT_STD, _split_std
 from .q_sampling import D
 from .registry import query, rounded
@@ -161,26 +161,25 @@ SELECT pkSeqID, CAST(dense_rank() OVER (ORDER BY saddr) - 1 AS INTEGER) AS saddr
     lambda spark, sf: enc.label_encode_all(fx.ev(spark, sf).select("pkSeqID", "saddr", "daddr", "proto", "label")))
 
 # ENC-7 / ENC-8: random mixing and masking of vectors ------------------------------------------------------------
-C_MIX = enc.hash_matrix(4, 4, 42, 0.5, 1.0)
-query("enc7_mix_features", with_fx(sql_explode(f"(SELECT vec_id, {sql_matvec('e[1:4]', C_MIX).replace('e[1:4][', 'e[')} AS m FROM emb)", "vec_id", "m", 4),
-                                   [], [EMB]))(
-    lambda spark, sf: explode_vec(enc.mix_features(emb(spark, sf).select("vec_id", F.slice("embedding", 1, 4).alias("x")), "x", 4), ["vec_id"]))
+C_MIX = enc.hash_matrix(DIM, DIM, 42, 0.5, 1.0)
+query("enc7_mix_features", with_fx(sql_explode(f"(SELECT vec_id, {sql_matvec('e', C_MIX)} AS m FROM emb)", "vec_id", "m", DIM), [], [EMB]))(
+    lambda spark, sf: explode_vec(enc.mix_features(emb(spark, sf).select("vec_id", F.col("embedding").alias("x")), "x", DIM), ["vec_id"]))
 
-_order = sorted(range(8), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
-MASKED = sorted(_order[: int(math.floor(0.25 * 8))])
+_order = sorted(range(DIM), key=lambda i: hashlib.md5(f"42:{i}".encode()).hexdigest())
+MASKED = sorted(_order[: int(math.floor(0.25 * DIM))])
 query("enc8_mask_features", with_fx(sql_explode(
-    "(SELECT vec_id, [" + ", ".join(("0.0::DOUBLE" if i in MASKED else f"e[{i + 1}]") for i in range(8)) + "] AS m FROM emb)", "vec_id", "m", 8),
+    "(SELECT vec_id, [" + ", ".join(("0.0::DOUBLE" if i in MASKED else f"e[{i + 1}]") for i in range(DIM)) + "] AS m FROM emb)", "vec_id", "m", DIM),
     [], [EMB]))(
-    lambda spark, sf: explode_vec(enc.mask_features(emb(spark, sf).select("vec_id", F.slice("embedding", 1, 8).alias("x")), "x", 8, 0.25), ["vec_id"]))
+    lambda spark, sf: explode_vec(enc.mask_features(emb(spark, sf).select("vec_id", F.col("embedding").alias("x")), "x", DIM, 0.25), ["vec_id"]))
 
 # AGG-19: audit of the masking perturbation --------------------------------------------------------------------
-query("agg19_perturbation_diff", with_fx("""
+query("agg19_perturbation_diff", with_fx(f"""
 SELECT round(max(abs(d)), 6) AS max_abs_diff, round(avg(abs(d)), 6) AS mean_abs_diff, max(abs(d)) < 1e-5 AS identical
-FROM (SELECT unnest(list_transform(range(1, 9), lambda i: CASE WHEN i - 1 IN (""" + ", ".join(map(str, MASKED)) + """) THEN e[i] ELSE 0 END)) AS d FROM emb)""",
+FROM (SELECT unnest(list_transform(range(1, {DIM + 1}), lambda i: CASE WHEN i - 1 IN (""" + ", ".join(map(str, MASKED)) + """) THEN e[i] ELSE 0 END)) AS d FROM emb)""",
     [], [EMB]))(
     lambda spark, sf: rounded(agg.perturbation_diff(
-        emb(spark, sf).select("vec_id", F.slice("embedding", 1, 8).alias("x")),
-        enc.mask_features(emb(spark, sf).select("vec_id", F.slice("embedding", 1, 8).alias("x")), "x", 8, 0.25), "vec_id", "x", 8)))
+        emb(spark, sf).select("vec_id", F.col("embedding").alias("x")),
+        enc.mask_features(emb(spark, sf).select("vec_id", F.col("embedding").alias("x")), "x", DIM, 0.25), "vec_id", "x", DIM)))
 
 
 # AGG-18 + ORD-4: binned mutual information and the top half of the features -------------------------------------
@@ -371,9 +370,10 @@ query("gr11_inject_flow_nodes", with_li("""
   don AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || eid), eid) - 1 AS didx FROM fe2 WHERE binary_label = 1),
   cnt AS (SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM don) AS n_donors,
                  (SELECT avg(h0) FROM don) AS m0, (SELECT avg(h1) FROM don) AS m1),
-  new AS (SELECT j, n_nodes, n_donors, m0, m1, (('0x' || substr(md5('42:' || CAST(j AS VARCHAR)), 1, 12))::BIGINT) % n_nodes AS start
+  new AS (SELECT j, n_nodes, n_donors, m0, m1
           FROM cnt, range(0, CAST(floor((SELECT n_nodes FROM cnt) * 0.05::DOUBLE) AS BIGINT)) t(j)),
-  links AS (SELECT new.*, t, (start + t) % n_nodes AS nidx,
+  links AS (SELECT new.*, t, t * n_nodes // 5 + (('0x' || substr(md5('42:' || CAST(j AS VARCHAR) || ':' || CAST(t AS VARCHAR)), 1, 12))::BIGINT)
+                                              % ((t + 1) * n_nodes // 5 - t * n_nodes // 5) AS nidx,
                    CASE WHEN n_donors > 0 THEN (('0x' || substr(md5('43:' || CAST(j AS VARCHAR) || ':' || CAST(t AS VARCHAR)), 1, 12))::BIGINT) % n_donors END AS didx
             FROM new, range(0, 5) tt(t))
 SELECT 'inj:' || CAST(j AS VARCHAR) || ':' || CAST(t AS VARCHAR) AS eid, 'injected_' || CAST(j AS VARCHAR) AS src, nodes.id AS dst,
@@ -418,27 +418,30 @@ SELECT round(sum(l), 6) AS loss FROM l""".replace("\n, fk AS", ", fk AS", 1), ex
 query("gr24_infomax_loss", _infomax_sql())(_infomax)
 
 
-# PIP-3: cap -> features -> adaptive graph -> 70/15/15 -> propagated features -> model leaderboard --------------------------
+MAX_FIT_ROWS = 50_000  # labelled rows that the classifier heads of PIP-3 are fitted on
+
+
+# PIP-3: features -> adaptive graph -> 70/15/15 -> propagated features -> model leaderboard --------------------------
 def _pip3(spark, sf):
     from ..operators import detect as dt
     from ..operators import evaluate as ev
     from ..operators import knn
     from ..operators import propagate as pg
-    e = emb(spark, sf).withColumn("k", F.col("vec_id").cast("string"))
     from ..session import cut_lineage
     # lineage cuts (reliable checkpoints in the shared folder) keep the plans
     # of the later stages small; every stage reads its predecessor's output
-    capped = cut_lineage(sm.cap_proportional(e, "label", "k", total=300, large_min=30))
-    g = cut_lineage(knn.adaptive_join(capped, "vec_id", "embedding", 20, 1.2).select("src", "dst"))
-    nodes = capped.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("x"), (F.col("label") % 2).alias("y"))
-    h = pg.propagate(nodes, g, 8, "gcn")
-    data = h.join(nodes.select("id", "y"), "id").select("id", "y", *[F.col("x")[i].alias(f"f{i}") for i in range(8)]) \
+    g = cut_lineage(knn.adaptive_join(emb(spark, sf), "vec_id", "embedding", 20, 1.2).select("src", "dst"))
+    nodes = emb(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), (F.col("label") % 2).alias("y"))
+    h = pg.propagate(nodes, g, DIM, "gcn")
+    data = h.join(nodes.select("id", "y"), "id").select("id", "y", *[F.col("x")[i].alias(f"f{i}") for i in range(DIM)]) \
             .withColumn("k", F.col("id").cast("string"))
     parts = cut_lineage(sm.split3(cut_lineage(data), "k", ["y"]))
-    cols = [f"f{i}" for i in range(8)]
+    # graph, split and test take all rows; only the rows the heads are fitted on are bounded
+    fit_rows = cut_lineage(sm.cap_proportional(parts.filter("split = 'train'"), "y", "k", total=MAX_FIT_ROWS, large_min=1000))
+    cols = [f"f{i}" for i in range(DIM)]
     res = None
     for kind in ("lr", "rf"):
-        m = dt.train_classifier(parts.filter("split = 'train'"), cols, "y", kind)
+        m = dt.train_classifier(fit_rows, cols, "y", kind)
         p = dt.predict(m, parts.filter("split = 'test'"), cols)
         r = ev.binary_metrics(p, "y", "pred").withColumn("model", F.lit(kind))
         res = r if res is None else res.unionByName(r)

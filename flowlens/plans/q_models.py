@@ -18,7 +18,7 @@ from ..operators import robust as rb
 from ..operators import sampling as sm
 from ..operators import triage as tr
 from .q_flows import std_li
-from .q_graph import EMB, emb, emb4, explode_vec, knn_sql, sql_explode
+from .q_graph import DIM, EMB, emb, emb_nodes, explode_vec, knn_sql, sql_elems, sql_explode
 from .q_sampling import D
 from .registry import query, rounded
 from .sqltext import with_fx, with_li
@@ -98,6 +98,36 @@ def _metrics_of(pred_df, y="binary_label"):
     return rounded(ev.binary_metrics(pred_df.withColumn("y", F.col(y)), "y", "pred"))
 
 
+# DET-2 / DET-3 scoring given the fitted state: fixed centres with large clusters 0 and 2, fixed components ----------------
+CENTRES = [[1000.0, 5000.0, 10.0], [200000.0, 40000.0, 30.0], [50000.0, 100000.0, 50.0]]
+LARGE = {0, 2}
+COMPONENTS, SHARES = [[0.6, 0.8, 0.0], [0.0, 0.6, 0.8]], [0.7, 0.2]
+
+
+def _dist(cols, point):
+    return "sqrt(" + " + ".join(f"({c} - {v!r}::DOUBLE) ** 2" for c, v in zip(cols, point)) + ")"
+
+
+query("det2_cblof_scoring", with_li(f"""
+, d AS (SELECT flow_key, [{", ".join(_dist(FEATS, c) for c in CENTRES)}] AS d FROM tst)
+SELECT flow_key, round(CASE WHEN list_position(d, list_min(d)) - 1 IN (0, 2) THEN list_min(d) ELSE least(d[1], d[3]) END, 4) AS score FROM d"""
+    .replace("\n, d AS", ", d AS", 1), extra=[SPLIT_STD]))(
+    lambda spark, sf: rounded(dt.cblof_score(_split_std(spark, sf)[1], FEATS, CENTRES, LARGE).select("flow_key", "score"), 4))
+
+_Z = [f"z{i}" for i in range(3)]
+query("det3_pca_scoring", with_li(f"""
+, st AS (SELECT {", ".join(f"avg({c}) AS m{i}, stddev_pop({c}) AS s{i}" for i, c in enumerate(FEATS))} FROM trn),
+  z AS (SELECT flow_key, {", ".join(f"({c} - m{i}) / CASE WHEN s{i} = 0 THEN 1 ELSE s{i} END AS z{i}" for i, c in enumerate(FEATS))} FROM tst, st)
+SELECT flow_key, round({" + ".join(f"{_dist(_Z, c)} / {w!r}::DOUBLE" for c, w in zip(COMPONENTS, SHARES))}, 5) AS score FROM z"""
+    .replace("\n, st AS", ", st AS", 1), extra=[SPLIT_STD]))(lambda spark, sf: _pca_fixed(spark, sf))
+
+
+def _pca_fixed(spark, sf):
+    trn, tst = _split_std(spark, sf)
+    z = enc.apply_scaler(tst, enc.fit_scaler(trn, FEATS), FEATS, "_z")
+    return rounded(dt.pca_score(z, [c + "_z" for c in FEATS], COMPONENTS, SHARES).select("flow_key", "score"), 5)
+
+
 query("det2_cblof")(lambda spark, sf: _metrics_of(dt.cblof(*_split_std(spark, sf), FEATS, k=8, contamination=0.1, alpha=0.7, beta=3)))
 query("det3_pca_outlier")(lambda spark, sf: _metrics_of(dt.pca_outlier(*_split_std(spark, sf), FEATS, 2, 0.1)))
 query("det4_isolation_forest")(lambda spark, sf: _metrics_of(dt.isolation_forest(*_split_std(spark, sf), FEATS, trees=10, sample=256)))
@@ -122,7 +152,7 @@ def _benchmark(spark, sf):
     rows = []
     trn, tst = _split_std(spark, sf)
     res = None
-    for kind in ("lr", "dt", "rf"):
+    for kind in ("lr", "dt", "rf", "gbt", "mlp", "svm"):
         t0 = time.time()
         m = dt.train_classifier(trn, FEATS, "binary_label", kind)
         r = _metrics_of(dt.predict(m, tst, FEATS)).withColumn("model", F.lit(kind)) \
@@ -149,15 +179,16 @@ query("cls8_cross_dataset")(_cross)
 
 def _graph_classifier(spark, sf):
     """CLS-5: two SAGE hops on the kNN graph, then a weighted LR head."""
-    nodes = emb(spark, sf).select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 8).alias("x"),
+    nodes = emb(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"),
                                   (F.col("label") % 2).alias("y"))
-    edges = knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 10)
-    h = pg.propagate(nodes, edges, 8, "sage", hops=2)
-    feats = h.join(nodes.select("id", "y"), "id").select("id", "y", *[F.col("x")[i].alias(f"f{i}") for i in range(8)])
+    from ..session import cut_lineage
+    edges = cut_lineage(knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 10))
+    h = pg.propagate(nodes, edges, DIM, "sage", hops=2)
+    feats = h.join(nodes.select("id", "y"), "id").select("id", "y", *[F.col("x")[i].alias(f"f{i}") for i in range(DIM)])
     w = agg.class_weights(feats, "y").select("y", "weight")
     data = feats.join(F.broadcast(w), "y")
     s = sm.split(data.withColumn("k", F.col("id").cast("string")), "k", ["y"], 0.3)
-    cols = [f"f{i}" for i in range(8)]
+    cols = [f"f{i}" for i in range(DIM)]
     m = dt.train_classifier(s.filter("split = 'train'"), cols, "y", "lr", weight="weight")
     return _metrics_of(dt.predict(m, s.filter("split = 'test'"), cols), "y")
 
@@ -291,26 +322,27 @@ query("tri3_flag_nodes", with_fx("SELECT node_id FROM parsed WHERE confidence_sc
 
 # GR-12 + TRI-4 + TRI-5: injection into the k=20 similarity graph, triage, removal --------------------
 def _sim_injected(spark, sf, cut: bool = False):
-    nodes = emb4(spark, sf)
+    nodes = emb_nodes(spark, sf)
     edges = knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 20)
     if cut:
         from ..session import cut_lineage
         edges = cut_lineage(edges)
-    n2, e2, new = gr.inject_sim_nodes(nodes, edges, F.lit(20), 4, c=5, strategy="mean", label=0)
+    n2, e2, new = gr.inject_sim_nodes(nodes, edges, 20, DIM, c=5, strategy="mean", label=0)
     if cut:
         n2, e2, new = cut_lineage(n2), cut_lineage(e2), cut_lineage(new)
     return n2, e2, new
 
 
-INJ_SQL = """nodes AS (SELECT vec_id AS id, e[1:4] AS x FROM emb),
+INJ_SQL = f"""nodes AS (SELECT vec_id AS id, e AS x FROM emb),
+ st AS (SELECT count(*) AS n, max(id) AS mx, {sql_elems('avg', 'x')} AS m FROM nodes),
+ new AS (SELECT j, n, mx + 1 + j AS id, m AS x FROM st, range(0, 20) t(j)),
  nidx AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || CAST(id AS VARCHAR)), CAST(id AS VARCHAR)) - 1 AS nidx FROM nodes),
- st AS (SELECT count(*) AS n, max(id) AS mx, avg(x[1]) AS m1, avg(x[2]) AS m2, avg(x[3]) AS m3, avg(x[4]) AS m4 FROM nodes),
- new AS (SELECT j, mx + 1 + j AS id, [m1, m2, m3, m4] AS x, n,
-         (('0x' || substr(md5('42:' || CAST(j AS VARCHAR)), 1, 12))::BIGINT) % n AS start FROM st, range(0, 20) t(j)),
- links AS (SELECT new.id, nidx.id AS target FROM new, range(0, 5) tt(t) JOIN nidx ON nidx.nidx = (new.start + t) % new.n),
+ pick AS (SELECT id, t * n // least(5, n) + (('0x' || substr(md5('42:' || CAST(j AS VARCHAR) || ':' || CAST(t AS VARCHAR)), 1, 12))::BIGINT)
+                 % ((t + 1) * n // least(5, n) - t * n // least(5, n)) AS place FROM new, range(0, 5) tt(t) WHERE t < n),
+ links AS (SELECT pick.id, nidx.id AS target FROM pick JOIN nidx ON nidx.nidx = pick.place),
  edges AS (SELECT src, dst FROM kn UNION ALL SELECT id, target FROM links UNION ALL SELECT target, id FROM links)"""
 
-query("gr12_inject_sim_nodes", with_fx(sql_explode("new", "id", "x", 4).replace("SELECT id,", "SELECT id,"),
+query("gr12_inject_sim_nodes", with_fx(sql_explode("new", "id", "x", DIM),
                                        [], [EMB, knn_sql(20), INJ_SQL]))(
     lambda spark, sf: explode_vec(_sim_injected(spark, sf)[2], ["id"]))
 
@@ -349,11 +381,11 @@ def _triage_report(spark, sf):
     from ..session import cut_lineage
     nodes, edges, new, flagged, n2, e2 = _triage_fixed(spark, sf, cut=True)
     n2, e2 = cut_lineage(n2), cut_lineage(e2)
-    clean_nodes = emb4(spark, sf)
+    clean_nodes = emb_nodes(spark, sf)
     clean_edges = cut_lineage(knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 20))
 
     def evaluate(name, n, e):
-        h = pg.propagate(n, e, 4, "sage")
+        h = pg.propagate(n, e, DIM, "sage")
         s = h.join(n.select("id", F.coalesce(F.col("y"), F.lit(0)).alias("y0")), "id") \
              .select((F.col("y0") % 2).alias("y"), fn.sigmoid(F.aggregate("x", F.lit(0.0), lambda a, b: a + b) * 10).alias("score"))
         s = s.withColumn("pred", (F.col("score") > 0.5).cast("int"))
@@ -364,7 +396,7 @@ def _triage_report(spark, sf):
 
 def _tri6_sql() -> str:
     graphs = {"clean": ("gcn_n", "gcn_e"), "injected": ("gin_n", "gin_e"), "fixed": ("gfx_n", "gfx_e")}
-    ctes = ["""gcn_n AS (SELECT vec_id AS id, e[1:4] AS x, label AS y FROM emb)""",
+    ctes = ["""gcn_n AS (SELECT vec_id AS id, e AS x, label AS y FROM emb)""",
             "gcn_e AS (SELECT src, dst FROM kn)",
             "gin_n AS (SELECT id, x, y FROM gcn_n UNION ALL SELECT id, x, 0 FROM new)",
             "gin_e AS (SELECT src, dst FROM edges)",
@@ -372,10 +404,10 @@ def _tri6_sql() -> str:
             "gfx_e AS (SELECT * FROM gin_e WHERE src NOT IN (SELECT id FROM fl) AND dst NOT IN (SELECT id FROM fl))"]
     sc = []
     for name, (gn, ge) in graphs.items():
-        ctes.append(f"""a_{name} AS (SELECT e.dst, [avg(n.x[1]), avg(n.x[2]), avg(n.x[3]), avg(n.x[4])] AS s
+        ctes.append(f"""a_{name} AS (SELECT e.dst, {sql_elems('avg', 'n.x')} AS s
                         FROM {ge} e JOIN {gn} n ON n.id = e.src GROUP BY e.dst)""")
         ctes.append(f"""h_{name} AS (SELECT n.y % 2 AS y,
-                        list_sum(list_transform(range(1, 5), lambda i: coalesce(a.s[i], 0.0))) AS t
+                        list_sum(list_transform(range(1, {DIM + 1}), lambda i: coalesce(a.s[i], 0.0))) AS t
                         FROM {gn} n LEFT JOIN a_{name} a ON a.dst = n.id)""")
         sc.append(f"SELECT '{name}' AS graph, y, 1 / (1 + exp(-(t * 10))) AS score FROM h_{name}")
     ctes.append("sc AS (" + " UNION ALL ".join(sc) + ")")

@@ -96,7 +96,7 @@ def test_knn_exactly_k_per_node_and_injection_counts(spark):
     edges = knn.knn_graph(small, "vec_id", "embedding", 20)
     assert edges.count() == 2000            # 100 nodes x k=20
     nodes = small.select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 4).alias("x"))
-    n2, e2, new = gr.inject_sim_nodes(nodes, edges, F.lit(20), 4, c=5)
+    n2, e2, new = gr.inject_sim_nodes(nodes, edges, 20, 4, c=5)
     assert e2.count() == 2200 and n2.count() == 120
 
 
