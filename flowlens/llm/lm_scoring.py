@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-ORDER = 3
+ORDER = 2
 BACKOFF = 0.4
-CHUNK_BYTES = 16 << 20  # text that is exploded together
+CHUNK_BYTES = 8 << 20  # text that is exploded together
 MAX_BUCKETS = 1 << 17
 START, END = (np.uint64(xxhash.xxh64_intdigest(x, 1)) for x in ("<s>", "</s>"))
 TOTAL = np.uint64(0)  # stands for all tokens
@@ -61,27 +61,25 @@ def ngrams(word: np.ndarray, n: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def contexts(word: np.ndarray, n: np.ndarray, grams: list[np.ndarray], order: int) -> list[np.ndarray]:
-    """For k = 2..order the hash of the (k-1)-gram before each token: the gram that ends one token earlier; start marks before the first."""
-    first = np.cumsum(n) - n
-    starts = ngrams(np.array([START]), np.array([1]), order)
-    out = []
-    for k in range(2, order + 1):
-        c = np.concatenate((grams[k - 2][:1], grams[k - 2][:-1])) if len(word) else grams[k - 2]
-        c = c.copy()
-        c[first] = starts[k - 2][0]
-        out.append(c)
-    return out
-
-
-def chunk_counts(texts: pa.Array, order: int):
-    """(word, n, grams, contexts, distinct hashes ascending, their counts) of a chunk."""
+def chunk_counts(texts: pa.Array, order: int, where: bool = False):
+    """(tokens by text, distinct hashes ascending, their counts, place of each token's k-gram among them for k = 1..order,
+    places of the start contexts) of a chunk; places only if ``where``.  The start context of each order below the highest
+    occurs once a text; the hash 0 stands for all tokens and comes first."""
     word, n = tokens(texts)
     grams = ngrams(word, n, order)
-    before = contexts(word, n, grams, order)
-    starts = np.concatenate([np.full(len(n), s[0]) for s in ngrams(np.array([START]), np.array([1]), order)[:order - 1]]) if order > 1 else np.empty(0, np.uint64)
-    keys, counts = np.unique(np.concatenate([*grams, starts]), return_counts=True)
-    return word, n, grams, before, np.concatenate(([TOTAL], keys)), np.concatenate(([len(word)], counts))
+    starts = [s[0] for s in ngrams(np.array([START]), np.array([1]), order)[:order - 1]]
+    del word
+    keys, *rest, counts = np.unique(np.concatenate([*grams, np.array(starts, np.uint64)]), return_counts=True, return_inverse=where)
+    size = len(grams[0])
+    del grams
+    places = []
+    if where:
+        at = rest[0].astype(np.int32) + 1
+        places = [at[k * size:(k + 1) * size] for k in range(order)]
+    keys, counts = np.concatenate(([TOTAL], keys)), np.concatenate(([size], counts))
+    first = np.searchsorted(keys, np.array(starts, np.uint64))
+    counts[first] += len(n) - 1
+    return n, keys, counts, places, first
 
 
 def pack_hashes(x: np.ndarray) -> bytes:
@@ -127,7 +125,7 @@ def chunks_of(batches):
 def exploded(batches, order: int, buckets: int):
     """The n-gram table of each chunk, one row a hash bucket: (bucket, chunk, grams, counts)."""
     for c, t in chunks_of(batches):
-        *_, keys, counts = chunk_counts(t.column("text").combine_chunks(), order)
+        _, keys, counts, _, _ = chunk_counts(t.column("text").combine_chunks(), order)
         b = bucket_of(keys, buckets)
         cut = np.flatnonzero(np.diff(b)) + 1
         edges = [0, *cut.tolist(), len(keys)]
@@ -165,38 +163,33 @@ def scored(texts: pa.Table, totals: pa.Table, order: int, backoff: float) -> pa.
     """Scores of one chunk's documents from the totals of its grams."""
     t = totals.sort_by("bucket")
     total = np.concatenate([unpack_counts(x) for x in t.column("totals").to_pylist()]) if t.num_rows else np.empty(0, np.int64)
-    word, n, grams, before, keys, _ = chunk_counts(texts.column("text").combine_chunks(), order)
+    n, keys, _, places, first = chunk_counts(texts.column("text").combine_chunks(), order, where=True)
     if len(total) != len(keys):
         raise RuntimeError(f"{len(keys)} n-grams but {len(total)} totals; the documents changed between reads")
     doc = np.repeat(np.arange(len(n)), n)
+    begin = np.cumsum(n) - n
     others = float(total[0]) - n  # tokens of all other documents
 
-    def outside(g: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
-        """Count of each gram in the other documents: all less the document's own."""
-        at = np.searchsorted(keys, g)
-        pair = doc.astype(np.int64) * len(keys) + at
-        _, inv, own = np.unique(pair, return_inverse=True, return_counts=True)
-        return total[at] - own[inv]
-
-    def context_outside(c: np.ndarray, k: int) -> np.ndarray:
-        """As above for contexts: a document holds each as often as the gram occurs in it; the start once."""
-        at = np.searchsorted(keys, c)
-        own_grams = np.searchsorted(keys, grams[k - 2])
-        first = np.cumsum(n) - n
-        own = np.concatenate((doc * np.int64(len(keys)) + own_grams, np.arange(len(n)) * np.int64(len(keys)) + at[first]))
-        values, counts = np.unique(own, return_counts=True)
-        return total[at] - counts[np.searchsorted(values, doc * np.int64(len(keys)) + at)]
-
-    seen = outside(grams[0])
-    with np.errstate(divide="ignore"):
-        log_p = np.log(np.maximum(seen, 1)) - np.log(np.maximum(others, 1))[doc]
-    log_p += (order - 1) * math.log(backoff)
-    level = np.ones(len(word), np.int64)
+    def outside(at: np.ndarray) -> np.ndarray:
+        """Count of each gram in the other documents: all less the document's own, which is 1 where all is 1."""
+        out = total[at] - 1
+        more = np.flatnonzero(out > 0)
+        _, inverse, own = np.unique(doc[more] * np.int64(len(keys)) + at[more], return_inverse=True, return_counts=True)
+        out[more] -= own[inverse] - 1
+        return out
+
+    seen = before = outside(places[0])
+    log_p = np.log(np.maximum(seen, 1)) - np.log(np.maximum(others, 1))[doc] + (order - 1) * math.log(backoff)
+    level = np.ones(len(doc), np.int8)
     for k in range(2, order + 1):
-        f, c = outside(grams[k - 1]), context_outside(before[k - 2], k)
-        hit = (f > 0) & (c > 0)
-        log_p[hit] = (order - k) * math.log(backoff) + np.log(f[hit]) - np.log(c[hit])
+        # the context of a token is the shorter gram that ends one token earlier; the first token's is the start, once a document
+        context = np.concatenate((before[:1], before[:-1]))
+        context[begin] = total[first[k - 2]] - 1
+        f = outside(places[k - 1])
+        hit = (f > 0) & (context > 0)
+        log_p[hit] = (order - k) * math.log(backoff) + np.log(f[hit]) - np.log(context[hit])
         level[hit] = k
+        before = f
     size = len(n)
     sums = np.bincount(doc, log_p, size)
     return pa.table({
@@ -228,7 +221,8 @@ def lm_score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_c
     chunks = max(1, -(-size // CHUNK_BYTES))
     buckets = min(MAX_BUCKETS, max(16, chunks))
     t = t.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(chunks, "chunk")
-    totals = (t.select("chunk", "text").mapInArrow(lambda b: exploded(b, order, buckets), "bucket int, chunk long, grams binary, counts binary")
+    # the same exchange of the texts serves both reads
+    totals = (t.mapInArrow(lambda b: exploded(b, order, buckets), "bucket int, chunk long, grams binary, counts binary")
               .repartition(buckets, "bucket").mapInArrow(joined, "chunk long, bucket int, totals binary"))
     kind = t.schema["doc_id"].dataType.simpleString()
     return t.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(
