@@ -25,7 +25,8 @@ from .common import map_batches, small_batches, sorted_groups, stored
 LENGTH = 400
 CORE = 160
 SHALLOW = 16  # bytes that multikey quicksort looks at, in words of 8
-BLOCK = 4096  # classes sorted together; cores with more are split into blocks
+BLOCK = 4096  # classes sorted together where a core has too many for one task
+WHOLE = 16 * BLOCK  # up to so many they stay together
 
 # ---------------------------------------------------------------- anchors
 
@@ -272,69 +273,90 @@ def repeated_windows(left: list[bytes], right: list[bytes], length: int, core: i
 OUT = "doc_id long, dh long, start int, stop int, h1 long, h2 long, known boolean"
 
 
+def whole_core(cols: dict[str, list], ks: list[int], length: int, core: int):
+    """(row, start, stop) of the repeated windows of all classes of a core."""
+    left = [cols["before"][k][::-1] for k in ks]
+    right = [cols["after"][k][core:] for k in ks]
+    for m, o in repeated_windows(left, right, length, core):
+        p = cols["pos"][ks[m]] - o
+        yield ks[m], p, p + length
+
+
+def part_of_core(cols: dict[str, list], ks: list[int], length: int, core: int, sums: Sums):
+    """Of one block of a core's classes: (row, start, stop, h1, h2, known) arrays.  Known rows without hash are the runs of
+    windows that repeat inside the block; known rows with one name each such window once, for the other blocks; the others
+    are windows seen once in the block."""
+    span = length - core
+    before, after = [cols["before"][k] for k in ks], [cols["after"][k] for k in ks]
+    if len(ks) > 1:
+        found = repeated_windows([b[::-1] for b in before], [a[core:] for a in after], length, core, every=True)
+    else:
+        ok = [o for o in range(span + 1) if len(before[0]) >= o and len(after[0]) >= length - o]
+        found = [(o, np.array([0]), np.array([False]), np.array([True])) for o in ok]
+    twice = np.zeros((len(ks), span + 1), bool)
+    ask = np.zeros((len(ks), span + 1), bool)  # windows whose hash the other blocks are asked for
+    for o, members, again, first in found:
+        twice[members, o] = again
+        ask[members, o] = ~again | first
+    pos = np.array([cols["pos"][k] for k in ks])
+    edge = np.diff(np.pad(twice, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    m, lo = np.nonzero(edge == 1)
+    _, hi = np.nonzero(edge == -1)
+    row = np.array(ks)
+    yield row[m], pos[m] - (hi - 1), pos[m] - lo + length, None, None, np.ones(len(m), bool)
+    for x in range(len(ks)):
+        o = np.flatnonzero(ask[x])
+        if len(o):
+            data = np.frombuffer(before[x] + after[x], np.uint8)
+            sums.grow(len(data) + 1)
+            s = len(before[x]) - o
+            h = [sums.spans(sums.prefix(data, q), q, s, s + length).view(np.int64) for q in (0, 1)]
+            yield np.full(len(o), ks[x]), pos[x] - o, pos[x] - o + length, h[0], h[1], twice[x, o]
+
+
 def sort_blocks(batches, length: int, core: int):
-    """Of each block of classes with one core: repeated windows as (start, stop); where the core has more blocks, every window
-    that is not repeated inside the block, and one of each that is (known), with its hash."""
+    """Of each block of classes with one core: repeated windows as (start, stop); where the core has more blocks also the
+    hashes that ``part_of_core`` names."""
     sums = Sums()
     sums.grow(length + 1)
     for t in sorted_groups(batches, ["core", "block"]):
-        cols = {k: t.column(k).to_pylist() for k in t.column_names}
-        n = t.num_rows
-        doc, dh, start, stop, h1, h2, known = [], [], [], [], [], [], []
-        i = 0
-        while i < n:
-            j = i + 1
-            while j < n and cols["core"][j] == cols["core"][i] and cols["block"][j] == cols["block"][i]:
-                j += 1
+        cols = {k: t.column(k).to_pylist() for k in ("pos", "blocks", "before", "after")}
+        ids, dhs = t.column("doc_id").combine_chunks(), t.column("dh").combine_chunks()
+        new = np.ones(t.num_rows, bool)
+        new[1:] = (np.diff(t.column("core").to_numpy()) != 0) | (np.diff(t.column("block").to_numpy()) != 0)
+        edges = [*np.flatnonzero(new).tolist(), t.num_rows]
+        held: list[tuple] = []
+        size = 0
+
+        def flush():
+            row = np.concatenate([x[0] for x in held]).astype(np.int64)
+            hash_ = [np.concatenate([x[c] if x[c] is not None else np.zeros(len(x[0]), np.int64) for x in held]) for c in (3, 4)]
+            none = np.concatenate([np.full(len(x[0]), x[3] is None) for x in held])
+            return pa.RecordBatch.from_arrays(
+                [ids.take(pa.array(row)), dhs.take(pa.array(row)), *[pa.array(np.concatenate([x[c] for x in held]).astype(np.int32)) for c in (1, 2)],
+                 *[pa.array(h, mask=none) for h in hash_], pa.array(np.concatenate([x[5] for x in held]))],
+                names=["doc_id", "dh", "start", "stop", "h1", "h2", "known"])
+
+        for i, j in zip(edges, edges[1:], strict=False):
             by: dict[bytes, list[int]] = {}  # the core itself decides, not its hash
             for k in range(i, j):
                 by.setdefault(cols["after"][k][:core], []).append(k)
             for ks in by.values():
-                split = cols["blocks"][i] > 1
-                if len(ks) < 2 and not split:
-                    continue
-                left = [cols["before"][k][::-1] for k in ks]
-                right = [cols["after"][k][core:] for k in ks]
-                if not split:
-                    for m, o in repeated_windows(left, right, length, core):
-                        k = ks[m]
-                        p = cols["pos"][k] - o
-                        doc.append(cols["doc_id"][k])
-                        dh.append(cols["dh"][k])
-                        start.append(p)
-                        stop.append(p + length)
-                        h1.append(None)
-                        h2.append(None)
-                        known.append(True)
+                if cols["blocks"][i] > 1:
+                    made = part_of_core(cols, ks, length, core, sums)
+                elif len(ks) > 1:
+                    rows = list(whole_core(cols, ks, length, core))
+                    made = [(*np.array(rows, np.int64).reshape(-1, 3).T, None, None, np.ones(len(rows), bool))] if rows else []
+                else:
                     continue
-                sums_of = {}
-                for o, members, twice, first in repeated_windows(left, right, length, core, every=True):
-                    for m, is_twice, is_first in zip(members.tolist(), twice.tolist(), first.tolist(), strict=True):
-                        k = ks[m]
-                        p = cols["pos"][k] - o
-                        if m not in sums_of:
-                            data = np.frombuffer(cols["before"][k] + cols["after"][k], np.uint8)
-                            sums.grow(len(data) + 1)
-                            sums_of[m] = (sums.prefix(data, 0), sums.prefix(data, 1), len(cols["before"][k]))
-                        if is_twice and not is_first:
-                            w1 = w2 = None
-                        else:
-                            s1, s2, at = sums_of[m]
-                            s, e = np.array([at - o]), np.array([at - o + length])
-                            w1, w2 = (int(sums.spans(x, q, s, e).view(np.int64)[0]) for q, x in ((0, s1), (1, s2)))
-                        doc.append(cols["doc_id"][k])
-                        dh.append(cols["dh"][k])
-                        start.append(p)
-                        stop.append(p + length)
-                        h1.append(w1)
-                        h2.append(w2)
-                        known.append(is_twice)
-            i = j
-        if doc:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(dh, pa.int64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32()),
-                 pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(known, pa.bool_())],
-                names=["doc_id", "dh", "start", "stop", "h1", "h2", "known"])
+                for x in made:
+                    held.append(x)
+                    size += len(x[0])
+                    if size >= 100_000:
+                        yield flush()
+                        held, size = [], 0
+        if size:
+            yield flush()
 
 
 # ---------------------------------------------------------------- operator
@@ -384,7 +406,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, id_c
     once = found.dropDuplicates(key)
     around = map_batches(once.join(places.withColumnsRenamed({"doc_id": "__i", "dh": "__h"}), F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("dh") == F.col("__h")))
                          .select(*key, "text", "places"), cut, "doc_id long, dh long, core long, m long, pos int, before binary, after binary", rows=500)
-    blocks = F.ceil(F.col("m") / F.lit(block))
+    blocks = F.when(F.col("m") > block * (WHOLE // BLOCK), F.ceil(F.col("m") / F.lit(block))).otherwise(F.lit(1))
     around = (around.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", "dh", "pos"), F.col("blocks")))
               .repartition("core", "block").sortWithinPartitions("core", "block"))
     sorted_ = stored(around.mapInArrow(lambda b: sort_blocks(b, length, core), OUT), "sorted")
