@@ -15,6 +15,7 @@ from .components import components, local_forest
 MIN_COSINE = 0.93
 SAMPLE = 4096  # bounded sample that fits the index; every vector is indexed
 PIVOTS = 256  # of it, far from each other, so that a dense group does not use them up
+APART = 0.8  # no two reference points have a larger cosine: vectors near each other share theirs
 PREFIX = 8  # nearest pivots that describe a vector
 SHARED = 2  # pivots that a candidate pair has in common, at least
 BLOCK = 2048  # longer lists are compared as tiles of blocks
@@ -43,13 +44,13 @@ def unit(vectors: list[np.ndarray]) -> np.ndarray:
 
 
 def spread(sample: np.ndarray, n: int) -> np.ndarray:
-    """Reference points: each next one is the unit vector of the sample farthest from those before."""
+    """Reference points: each next one is the unit vector of the sample farthest from those before, while one is APART."""
     if not len(sample):
         return sample
     chosen, best = [0], sample @ sample[0]
     while len(chosen) < min(n, len(sample)):
         at = int(np.argmin(best))
-        if best[at] >= 1 - 1e-12:
+        if best[at] > APART:
             break
         chosen.append(at)
         best = np.maximum(best, sample @ sample[at])
