@@ -1,7 +1,8 @@
 """Scalar Column builders.
 
 Every function returns a ``pyspark.sql.Column`` built from built-in
-expressions, so it stays inside whole-stage codegen and never leaves the JVM.
+expressions, so it never leaves the JVM.  Scalar ones are compiled with their
+stage; those on arrays (``transform``, ``aggregate``) run as interpreted lambdas.
 """
 
 from __future__ import annotations
@@ -290,6 +291,7 @@ def outlier_to_label(c) -> Column:
 # FN-21 ---------------------------------------------------------------------
 def dataset_short_name(path) -> Column:
     base = F.regexp_extract(_c(path), r"([^/]+)$", 1)
+    # fixed value: must match the published file names
     pat = r"nf_([a-zA-Z0-9_]+?)_(reduced_)?standardized\.csv"
     name = F.regexp_extract(base, pat, 1)
     red = F.regexp_extract(base, pat, 2)
@@ -303,6 +305,7 @@ def dataset_short_name(path) -> Column:
 # FN-22 ---------------------------------------------------------------------
 def base_feature(c) -> Column:
     """``F_6`` / ``F_scaled`` / ``F_6_scaled`` -> ``F``."""
+    # fixed value: must match the published feature names
     m = F.regexp_extract(_c(c), r"^([a-zA-Z0-9_]+?)(_[0-9.\-]+)?(_scaled)?$", 1)
     return F.when(m != "", m).otherwise(_c(c))
 

@@ -127,10 +127,10 @@ CIC_STATS = [("Fwd Packet Length Mean", "stat_fwd_len_mean"), ("Fwd Packet Lengt
 UNSW_STATS = [("smean", "stat_src_mean"), ("dmean", "stat_dst_mean"),
               ("sload", "stat_src_load"), ("dload", "stat_dst_load")]
 BOT_STATS = ["mean", "stddev", "sum", "min", "max"]
-# Columns the reduced BoT-IoT adapter consumes (others numeric pass through).
+# Fixed values.  Columns the reduced BoT-IoT adapter consumes (others numeric pass through).
 BOT_REDUCED_USED = ["sport", "dport", "proto_number", "dur", "sbytes", "dbytes",
                     "spkts", "dpkts", "flgs_number", "attack"]
-# Correlated feature columns dropped from raw BoT-IoT before modelling.
+# Fixed values.  Correlated feature columns dropped from raw BoT-IoT before modelling.
 BOT_DROPPED = ["pkSeqID", "stime", "flgs", "proto", "sport", "dport", "state", "ltime",
                "seq", "smac", "dmac", "soui", "doui", "sco", "dco", "category", "subcategory"]
 

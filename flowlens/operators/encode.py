@@ -107,11 +107,8 @@ def one_hot_sparse(train: DataFrame, df: DataFrame, cols: list[str], suffix: str
     ix = StringIndexer(inputCols=[f"_t_{c}" for c in cols], outputCols=[f"_i_{c}" for c in cols], stringOrderType="alphabetAsc",
                        handleInvalid="keep").fit(train.select(*text))
     with_ix = ix.transform(df.select("*", *text))
-    sizes = [len(x) for x in ix.labelsArray]
-    enc = OneHotEncoder(inputCols=[f"_i_{c}" for c in cols], outputCols=[c + suffix for c in cols], dropLast=True, handleInvalid="keep")
-    # the index of unseen values is one past the last label; with it as the dropped last place they give the empty vector
-    from pyspark.sql import Row
-    fitted = enc.fit(train.sparkSession.createDataFrame([Row(**{f"_i_{c}": float(max(n - 1, 0)) for c, n in zip(cols, sizes)})]))
+    # unseen values and nulls have the index past the last label; as the dropped last place they give the empty vector
+    fitted = OneHotEncoder(inputCols=[f"_i_{c}" for c in cols], outputCols=[c + suffix for c in cols], dropLast=True).fit(with_ix)
     return fitted.transform(with_ix).drop(*[f"_t_{c}" for c in cols], *[f"_i_{c}" for c in cols])
 
 

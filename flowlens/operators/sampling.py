@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from .numbering import dense_index, hash_rank_flag, mark_first_n, take_per_group
 from .. import functions as fn
-from .encode import _attach_one_row
 
 
 def _counts(df: DataFrame, by: list[str]) -> DataFrame:
@@ -138,14 +137,10 @@ def allocate(counts: DataFrame, col: str, n_total: Column) -> DataFrame:
 def fixed_subset(df: DataFrame, n: int, label: str, key: str, seed: int = 42) -> DataFrame:
     """n rows stratified by ``label``; when the smallest class has fewer than
     n/k rows the subset is a plain hash-order sample of n rows."""
-    c = _counts(df, [label])
-    stats = c.agg(F.min("cnt").alias("mn"), F.count(F.lit(1)).alias("k"))
-    stratified = take_per_group(df, [label], lambda cc: allocate(cc, label, F.lit(n)).select(label, "n"), key, seed)
-    plain = hash_rank_flag(df, n, key, seed).filter("_in").drop("_in")
-    flag = stats.select(((F.col("mn") * F.col("k")) >= F.lit(n)).alias("_strat"))
-    s = _attach_one_row(stratified, flag).filter(F.col("_strat")).drop("_strat")
-    p = _attach_one_row(plain, flag).filter(~F.col("_strat")).drop("_strat")
-    return s.unionByName(p)
+    few = _counts(df, [label]).agg((F.min("cnt") * F.count(F.lit(1)) < F.lit(n)).alias("few")).first()["few"]
+    if few:
+        return hash_rank_flag(df, n, key, seed).filter("_in").drop("_in")
+    return take_per_group(df, [label], lambda cc: allocate(cc, label, F.lit(n)).select(label, "n"), key, seed)
 
 
 # SMP-8 ------------------------------------------------------------------------------

@@ -13,14 +13,15 @@ from ..operators.encode import apply_class_map, fit_class_map
 from ..operators.sets import combine
 
 
-def reduce_standardize_combine(sources: dict[str, tuple[DataFrame, str, str]], rates: dict[str, float],
+def reduce_standardize_combine(sources: dict[str, tuple], rates: dict[str, float],
                                reduced: bool = True) -> DataFrame:
     """PIP-1: per source reduce by rarity (rate per source), standardize with
     its adapter, tag provenance, and union with re-numbered flow ids.
-    ``sources``: name -> (raw DataFrame, adapter name, content key)."""
+    ``sources``: name -> (raw DataFrame, adapter name, content key[, adapter options])."""
     parts = []
-    for name, (raw, adapter, key) in sources.items():
-        std = ad.standardize(raw, adapter, key=key) if adapter != "unsw_nb15" else ad.standardize(raw, adapter)
+    for name, (raw, adapter, key, *options) in sources.items():
+        how = ({} if adapter == "unsw_nb15" else {"key": key}) | (options[0] if options else {})
+        std = ad.standardize(raw, adapter, **how)
         if reduced and name in rates:
             std = sm.reduce_by_rarity(std, "attack_type", rates[name], "flow_id")
         parts.append(ad.with_source(std, name))

@@ -15,7 +15,7 @@ from ..operators import encode as enc
 from ..operators import sampling as sm
 from ..session import read_table
 from .composite import process_dataset, reduce_standardize_combine
-from .q_flows import HOST_PROFILE_SQL, std_li
+from .q_flows import COMB_EXTRA, HOST_PROFILE_SQL, std_li
 from .q_graph import DIM, EMB, emb, explode_vec, sql_explode, sql_matvec
 from .q_models import SPLIT_STD, _split_std
 from .q_sampling import D
@@ -235,21 +235,35 @@ def _stream_counts(spark, sf):
 query("str2_stream_class_counts", with_li("SELECT attack_type, count(*) AS count FROM std GROUP BY attack_type"))(_stream_counts)
 
 
-# PIP-1: reduce -> standardize -> combine, one plan ----------------------------------------------------------------------
+# PIP-1: reduce -> standardize -> combine, one plan over three sources, full and reduced ---------------------------------
+PIP1_RATES = {"li": 0.1, "ev": 0.2, "od": 0.3}
+
+
 def _pip1(spark, sf):
     from ..operators import adapters as ad
-    li = fx.li(spark, sf)
-    out = reduce_standardize_combine({"li": (li, "nf_bot_iot", "flow_key")}, {"li": 0.1})
-    return out.groupBy("dataset_source", "attack_type").agg(F.count(F.lit(1)).alias("n"))
+    sources = {"li": (fx.li(spark, sf), "nf_bot_iot", "flow_key"), "ev": (fx.ev(spark, sf), "bot_iot_reduced", "pkSeqID"),
+               "od": (ad.rename_cic(fx.od(spark, sf), drop_ids=False), "cic_ids2018", "Record ID", {"label_map": fn.columns.CIC_LABELS_11})}
+    both = None
+    for kind in ("full", "reduced"):
+        out = reduce_standardize_combine(sources, PIP1_RATES, reduced=kind == "reduced")
+        r = out.groupBy("dataset_source", "attack_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("flow_id").alias("ids")) \
+            .withColumn("kind", F.lit(kind))
+        both = r if both is None else both.unionByName(r)
+    return both
+
+
+def _pip1_rate() -> str:
+    def tiers(r):
+        return (f"least(CASE WHEN cnt < total * {D(0.01)} THEN {D(max(0.5, 5 * r))} WHEN cnt < total * {D(0.1)} THEN {D(min(1.0, 2 * r))} "
+                f"ELSE {D(0.9 * r)} END, 1.0)")
+    return "CASE dataset_source " + " ".join(f"WHEN '{s}' THEN {tiers(r)}" for s, r in PIP1_RATES.items()) + " END"
 
 
-_R = 0.1
 query("pip1_reduce_standardize_combine", with_li(f"""
-, c AS (SELECT attack_type, count(*) AS cnt, sum(count(*)) OVER () AS total FROM std GROUP BY attack_type),
-  q AS (SELECT attack_type, CASE WHEN cnt < 1000 THEN cnt ELSE round_even(cnt * least(CASE WHEN cnt < total * {D(0.01)} THEN {D(max(0.5, 5 * _R))}
-        WHEN cnt < total * {D(0.1)} THEN {D(min(1.0, 2 * _R))} ELSE {D(0.9 * _R)} END, 1.0), 0) END AS n FROM c),
-  r AS (SELECT *, row_number() OVER (PARTITION BY attack_type ORDER BY md5('42:' || CAST(flow_id AS VARCHAR)), CAST(flow_id AS VARCHAR)) AS rn FROM std)
-SELECT 'li' AS dataset_source, attack_type, count(*) AS n FROM r JOIN q USING (attack_type) WHERE rn <= n GROUP BY attack_type""")
+, c AS (SELECT dataset_source, attack_type, count(*) AS cnt, sum(count(*)) OVER (PARTITION BY dataset_source) AS total FROM comb GROUP BY dataset_source, attack_type),
+  q AS (SELECT *, CAST(CASE WHEN cnt < 1000 THEN cnt ELSE round_even(cnt * {_pip1_rate()}, 0) END AS BIGINT) AS n FROM c)
+SELECT 'full' AS kind, dataset_source, attack_type, cnt AS n, cnt AS ids FROM c
+UNION ALL SELECT 'reduced', dataset_source, attack_type, n, n FROM q WHERE n > 0""", extra=COMB_EXTRA)
     .replace("\n, c AS", ", c AS", 1))(_pip1)
 
 
@@ -451,18 +465,57 @@ def _pip3(spark, sf):
 query("pip3_similarity_benchmark")(_pip3)
 
 
-# PIP-4: flow graph -> node/edge embeddings -> logistic head -> perturbations -> evaluation --------------------------------
+# PIP-4: flow graph -> node means -> edge head -> feature, edge and node perturbations of the graph -> evaluation -----------
+GRAPH_W = ([0.5, -0.3], [0.4, 0.2], [-0.2, 0.3], -4.0)  # weights of an edge's own features, its source's and target's means, bias
+GRAPH_PLAN = [("pgd", 0.3), ("remove", 0.2), ("inject", 0.05)]
+
+
 def _pip4(spark, sf):
     from ..operators import evaluate as ev
     from ..operators import robust as rb
-    d = std_li(spark, sf, number=False).withColumn("x", F.array(F.log1p("duration_ms"), F.log1p(F.col("bytes_in").cast("double")),
-                                                                F.log1p(F.col("packets_in").cast("double"))))
-    res = rb.robustness_sweep(d, "x", "binary_label", [0.5, -0.3, 0.8], -4.0, [("pgd", 0.3), ("drop", 0.2)], iters=5)
+    nodes, e = _ipgraph(spark, sf)
+    res = rb.graph_sweep(e.withColumn("eid", F.col("eid").cast("string")), *GRAPH_W, GRAPH_PLAN)
     return rounded(ev.degradation(res))
 
 
-query("pip4_evaluate_robustness", __import__("flowlens.plans.q_models", fromlist=["_sweep_sql"])._sweep_sql(
-    True, [("pgd", 0.3), ("drop", 0.2)]))(_pip4)
+def _pip4_sql() -> str:
+    wh, wu, wv, b = GRAPH_W
+    lin = " + ".join(f"{v} * {D(w)}" for v, w in zip(("e.h0", "e.h1", "u.m0", "u.m1", "v.m0", "v.m1"), wh + wu + wv)) + f" + {D(b)}"
+
+    def scored(name, src):
+        return (f"{name}_n AS (SELECT id, avg(h0) AS m0, avg(h1) AS m1 FROM (SELECT src AS id, h0, h1 FROM {src} UNION ALL SELECT dst, h0, h1 FROM {src}) GROUP BY id),\n"
+                f"{name}_s AS (SELECT e.*, 1 / (1 + exp(-({lin}))) AS score FROM {src} e JOIN {name}_n u ON u.id = e.src JOIN {name}_n v ON v.id = e.dst)")
+    ctes = ["""g0 AS (SELECT flow_key AS eid, src_ip AS src, dst_ip AS dst, binary_label AS y, ln(1 + CAST(bytes_in AS DOUBLE)) AS h0, ln(1 + duration_ms) AS h1 FROM std)""",
+            scored("g0", "g0"),
+            f"g1 AS (SELECT eid, src, dst, y, h0 + {D(0.3)} * sign(score - y) * sign({D(wh[0])}) AS h0, h1 + {D(0.3)} * sign(score - y) * sign({D(wh[1])}) AS h1 FROM g0_s)",
+            scored("g1", "g1"),
+            f"""g2 AS (SELECT eid, src, dst, y, h0, h1 FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || eid), eid) AS rn FROM g0)
+                WHERE rn > (SELECT floor(count(*) * {D(0.2)}) FROM g0))""",
+            scored("g2", "g2"),
+            """inodes AS (SELECT id, row_number() OVER (ORDER BY md5('42:' || id), id) - 1 AS nidx FROM (SELECT src AS id FROM g0 UNION SELECT dst FROM g0))""",
+            """idon AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || eid), eid) - 1 AS didx FROM g0 WHERE y = 1)""",
+            """icnt AS (SELECT (SELECT count(*) FROM inodes) AS n_nodes, (SELECT count(*) FROM idon) AS n_donors)""",
+            """ilinks AS (SELECT j, t, t * n_nodes // 5 + (('0x' || substr(md5('42:' || CAST(j AS VARCHAR) || ':' || CAST(t AS VARCHAR)), 1, 12))::BIGINT)
+                          % ((t + 1) * n_nodes // 5 - t * n_nodes // 5) AS nidx,
+                          (('0x' || substr(md5('43:' || CAST(j AS VARCHAR) || ':' || CAST(t AS VARCHAR)), 1, 12))::BIGINT) % n_donors AS didx
+               FROM icnt, range(0, CAST(floor((SELECT n_nodes FROM icnt) * 0.05::DOUBLE) AS BIGINT)) a(j), range(0, 5) b(t))""",
+            """g3 AS (SELECT * FROM g0 UNION ALL SELECT 'inj:' || j || ':' || t, 'injected_' || j, inodes.id, 1, idon.h0, idon.h1
+               FROM ilinks JOIN inodes USING (nidx) JOIN idon USING (didx))""",
+            scored("g3", "g3"),
+            "sp AS (" + " UNION ALL ".join(f"SELECT '{p}' AS pert, {D(v)} AS param, y, score, CAST(score > 0.5 AS INTEGER) AS pred FROM {t}_s"
+                                            for p, v, t in (("clean", 0.0, "g0"), ("pgd", 0.3, "g1"), ("remove", 0.2, "g2"), ("inject", 0.05, "g3"))) + ")",
+            """m AS (SELECT pert, param, avg(CAST(y = pred AS DOUBLE)) AS accuracy, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp,
+                      count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp, count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn FROM sp GROUP BY pert, param)""",
+            """m2 AS (SELECT pert, param, accuracy, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS precision,
+                      CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS recall, CASE WHEN tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1 FROM m)""",
+            """rk AS (SELECT pert, y, rank() OVER (PARTITION BY pert ORDER BY score) + (count(*) OVER (PARTITION BY pert, score) - 1) / 2.0 AS r FROM sp)""",
+            """au AS (SELECT pert, (sum(r) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * sum(1 - y)) AS auc FROM rk GROUP BY pert)""",
+            "res AS (SELECT m2.pert AS perturbation, m2.param, accuracy, precision, recall, f1, auc FROM m2 JOIN au USING (pert))"]
+    tail = __import__("flowlens.plans.q_models", fromlist=["_sweep_sql"])._sweep_sql(True)
+    return with_li(tail[tail.rindex("\nSELECT r.perturbation"):], extra=ctes)
+
+
+query("pip4_evaluate_robustness", _pip4_sql())(_pip4)
 
 
 # PRJ-4: UNSW-NB15 layout -> common-v1 ------------------------------------------------------------------------------

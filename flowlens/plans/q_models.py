@@ -30,7 +30,7 @@ def _split_std(spark, sf):
     """Train/test split of the flow features, materialized once: it feeds
     the fit, the threshold and the scoring jobs."""
     from ..session import cut_lineage
-    s = cut_lineage(_split_std_lazy(spark, sf))
+    s = cut_lineage(_split_std_lazy(spark, sf).select("flow_key", "binary_label", "split", *FEATS))
     return s.filter("split = 'train'").drop("split"), s.filter("split = 'test'").drop("split")
 
 
@@ -88,7 +88,7 @@ SELECT flow_key, round(score, 6) AS score, CAST(score > t AS INTEGER) AS pred FR
 
 query("det5_contamination_threshold", with_li(_hbos_sql().replace("\n, mm AS", "mm AS", 1).join([", ", ""]).join(["", """
 SELECT round(t, 6) AS threshold FROM thr"""]), extra=[SPLIT_STD]))(
-    lambda spark, sf: rounded(dt.threshold(dt.hbos_score(_split_std(spark, sf)[0], dt.fit_hbos(_split_std(spark, sf)[0], FEATS, 10)), 0.1)))
+    lambda spark, sf: (lambda trn: rounded(dt.threshold(dt.hbos_score(trn, dt.fit_hbos(trn, FEATS, 10)), 0.1)))(_split_std(spark, sf)[0]))
 
 query("det6_hbos_sweep")(lambda spark, sf: rounded(
     ev.best_params(dt.hbos_sweep(*_split_std(spark, sf), FEATS, "binary_label", (5, 10), (0.05, 0.1)), "macro_f1", "grid_order")))
@@ -149,7 +149,6 @@ for _k, _n in (("lr", "cls1_logistic_regression"), ("dt", "cls2_decision_tree"),
 def _benchmark(spark, sf):
     """CLS-7 + ORD-1: several models on one split -> leaderboard by F1."""
     import time
-    rows = []
     trn, tst = _split_std(spark, sf)
     res = None
     for kind in ("lr", "dt", "rf", "gbt", "mlp", "svm"):
@@ -165,13 +164,21 @@ query("cls7_benchmark_leaderboard")(_benchmark)
 
 
 def _cross(spark, sf):
-    """CLS-8: train on the li source, test on the reduced ev source."""
-    from ..operators import adapters as ad
-    a = std_li(spark, sf, number=False).select(*[F.col(c).cast("double").alias(c) for c in FEATS], "binary_label")
-    b = ad.adapt_bot_iot_reduced(fx.ev(spark, sf), key="pkSeqID").select(
-        *[F.col(c).cast("double").alias(c) for c in FEATS], "binary_label")
-    m = dt.train_classifier(a, FEATS, "binary_label", "lr")
-    return _metrics_of(dt.predict(m, b, FEATS)).withColumn("train", F.lit("li")).withColumn("test", F.lit("ev"))
+    """CLS-8: a head fitted on each source, tested on every source; only the fitted rows are bounded."""
+    from ..session import cut_lineage
+    from .q_flows import combined
+    d = cut_lineage(combined(spark, sf).select("dataset_source", "flow_id", "binary_label", *[F.col(c).cast("double").alias(c) for c in ("bytes_in", "bytes_out")])
+                    .na.fill(0.0, ["bytes_in", "bytes_out"]))
+    feats, out = ["bytes_in", "bytes_out"], None
+    names = ["li", "ev", "od"]
+    for a in names:
+        fit = sm.cap_proportional(d.filter(F.col("dataset_source") == a), "binary_label", "flow_id", total=50000)
+        m = dt.train_classifier(fit, feats, "binary_label", "lr")
+        p = dt.predict(m, d, feats)
+        r = ev.binary_metrics(p.withColumn("y", F.col("binary_label")), "y", "pred", group="dataset_source") \
+            .select(F.lit(a).alias("train"), F.col("dataset_source").alias("test"), "accuracy", "precision", "recall", "f1")
+        out = r if out is None else out.unionByName(r)
+    return rounded(out)
 
 
 query("cls8_cross_dataset")(_cross)

@@ -32,6 +32,7 @@ def _sel(df):
 
 
 # SMP-1 ------------------------------------------------------------------------
+# Published sampling rates by class.
 RATES = {"DDoS": 0.35, "DoS": 0.35, "Reconnaissance": 0.70, "Normal": 1.0, "Theft": 1.0}
 _rate_case = "CASE attack_type " + " ".join(f"WHEN '{k}' THEN {D(v)}" for k, v in RATES.items()) + " END"
 query("smp1_sample_by_rate", with_li(f"""
@@ -221,8 +222,7 @@ SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b,
        (SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) AS both,
        (SELECT count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b)) AS only_a,
        (SELECT count(*) FROM (SELECT k FROM b EXCEPT SELECT k FROM a)) AS only_b""", extra=COMB_EXTRA).replace("\n, a AS", ", a AS", 1))(
-    lambda spark, sf: st.set_tally(combined(spark, sf).select(F.col("src_ip").alias("k")),
-                                   combined(spark, sf).select(F.col("dst_ip").alias("k")), "k"))
+    lambda spark, sf: (lambda c: st.set_tally(c.select(F.col("src_ip").alias("k")), c.select(F.col("dst_ip").alias("k")), "k"))(combined(spark, sf)))
 
 # JN-4: semi join on a class set ------------------------------------------------------------------------------
 query("jn4_semi_join_classes", with_li("""

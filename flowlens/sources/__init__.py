@@ -32,7 +32,9 @@ def read_flows(spark: SparkSession, path, schema: T.StructType | str | None = No
         if trim:
             df = df.toDF(*[c.strip() for c in df.columns])
     if limit is not None:
-        df = (df.orderBy(*order) if order else df).limit(limit)
+        if not order:
+            raise ValueError("a bounded scan needs an order, else its rows are arbitrary")
+        df = df.orderBy(*order).limit(limit)
     return df
 
 
@@ -60,7 +62,9 @@ def read_with_dictionary(spark: SparkSession, paths: list[str], dict_path: str,
     if encoding:
         r = r.option("encoding", encoding)
     df = r.csv(paths)
-    return df.toDF(*names[: len(df.columns)])
+    if len(names) != len(df.columns):
+        raise ValueError(f"the dictionary names {len(names)} columns, the files have {len(df.columns)}")
+    return df.toDF(*names)
 
 
 # SRC-5 ---------------------------------------------------------------------------

@@ -196,3 +196,110 @@ def test_auc_ovr_and_label_helpers(spark):
     assert got == ["Normal", "Information_Theft", "DoS", "Other", "Normal"]
     pr = spark.createDataFrame([([0.7, 0.2, 0.1],)], "p array<double>")
     assert abs(pr.select(fn.attack_probability("p", 0)).first()[0] - 0.3) < 1e-9
+
+
+# detectors, numbering and curves ------------------------------------------------------------------
+
+
+def test_large_clusters_rule():
+    from flowlens.operators.detect import large_clusters
+    # share and ratio together win over an earlier ratio alone
+    assert large_clusters({0: 50, 1: 45, 2: 3, 3: 2}, 0.9, 5) == {0, 1}
+    # share only
+    assert large_clusters({0: 50, 1: 40, 2: 30}, 0.7, 5) == {0, 1}
+    # ratio only: the share of all but the last is never reached
+    assert large_clusters({0: 60, 1: 10, 2: 9}, 0.99, 5) == {0}
+    # ties by id; one cluster is large
+    assert large_clusters({3: 5, 1: 5, 2: 5}, 0.6, 9) == {1, 2} and large_clusters({4: 9}, 0.9, 5) == {4}
+
+
+def test_outlier_scores_rank_planted_rows(spark):
+    import numpy as np
+    from flowlens.operators import detect as dt
+    rng = np.random.default_rng(1)
+    rows = [(f"k{i:04d}", float(a), float(b), 0) for i, (a, b) in enumerate(rng.normal(size=(400, 2)))]
+    rows += [(f"x{i}", 9.0 + i, -9.0 - i, 1) for i in range(8)]
+    df = spark.createDataFrame(rows, "flow_key string, a double, b double, y int")
+    for run in (lambda: dt.cblof(df, df, ["a", "b"], k=3, contamination=0.02, alpha=0.7, beta=5),
+                lambda: dt.isolation_forest(df, df, ["a", "b"], trees=8, sample=64, contamination=0.02),
+                lambda: dt.pca_outlier(df, df, ["a", "b"], 2, 0.02), lambda: dt.hbos(df, df, ["a", "b"], contamination=0.02)):
+        out = [(r["y"], r["score"]) for r in run().select("y", "score").collect()]
+        bad, good = [s for y, s in out if y], [s for y, s in out if not y]
+        assert sum((a > b) + 0.5 * (a == b) for a in bad for b in good) / len(bad) / len(good) > 0.95
+
+
+def test_numbering_with_a_hot_value_and_constant_plan(spark):
+    from pyspark.sql import functions as F
+    from flowlens.operators import numbering as nb
+    df = spark.range(2000).select("id", F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(F.lit(7)).alias("v"))
+    got = nb.exact_quantile(df, "v", 0.5).first()[0]
+    assert got == 7.0
+    rank = nb.dense_index(df, ["v", "id"], "r", by=[]).collect()
+    want = {r["id"]: i for i, r in enumerate(sorted(rank, key=lambda r: (r["v"], r["id"])))}
+    assert all(r["r"] == want[r["id"]] for r in rank)
+    sizes = []
+    for n in (4, 400):
+        sizes.append(len(nb.dense_index(df, ["id"], "r", partitions=n)._jdf.queryExecution().toString()))
+    assert abs(sizes[0] - sizes[1]) < 200
+
+
+def test_block_counts_agree(spark):
+    import numpy as np
+    from flowlens.operators import knn
+    x = np.random.default_rng(2).normal(size=(150, 5))
+    df = spark.createDataFrame([(i, [float(c) for c in v], i % 3) for i, v in enumerate(x)], "id long, v array<double>, y int")
+    found = [sorted((r["src"], r["dst"], round(r["dist"], 9), r["rank"]) for r in knn.knn_join(df, "id", "v", 4, n_blocks=b).collect()) for b in (1, 4, 9)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 600
+    near = [sorted((r["src"], r["dst"]) for r in knn.radius_join(df, "id", "v", 1.5, n_blocks=b).collect()) for b in (1, 4, 9)]
+    assert near[0] == near[1] == near[2] and near[0]
+    neg = [round(knn.negative_pair_term(df, "id", "v", "y", 0.1, n_blocks=b).first()[0], 9) for b in (1, 4, 9)]
+    assert neg[0] == neg[1] == neg[2]
+
+
+def test_injection_into_a_tiny_graph_has_distinct_targets(spark):
+    from flowlens.operators import graph as gr
+    nodes = spark.createDataFrame([(i, [1.0, 2.0 * i], 0) for i in range(3)], "id long, x array<double>, y int")
+    edges = spark.createDataFrame([(0, 1)], "src long, dst long")
+    _, e, new = gr.inject_sim_nodes(nodes, edges, 4, 2, c=5)
+    pairs = [tuple(r) for r in e.where("src >= 3").collect()]
+    assert len(pairs) == len(set(pairs)) == 12 and new.count() == 4
+    _, _, zero = gr.inject_sim_nodes(nodes, edges, 1, 2, c=5, strategy="zero")
+    assert zero.first()["x"] == [0.0, 0.0]
+
+
+def test_pgd_closed_form_equals_the_steps(spark):
+    import math
+    from flowlens.operators import robust as rb
+    w, b, eps, iters = [0.5, -0.3, 0.8], -0.2, 0.3, 7
+    rows = [(i, [0.1 * i, 1 - 0.2 * i, 0.05 * i], i % 2) for i in range(12)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y int")
+    got = {r["id"]: r["x"] for r in rb.pgd_perturb(df, "x", "y", w, b, eps, iters, step=0.02, mask=[0, 2]).collect()}
+    for i, x, y in rows:
+        cur = list(x)
+        for _ in range(iters):
+            p = 1 / (1 + math.exp(-(sum(a * c for a, c in zip(cur, w)) + b)))
+            for k in (0, 2):
+                g = (p - y) * w[k]
+                cur[k] = min(max(cur[k] + 0.02 * ((g > 0) - (g < 0)), x[k] - eps), x[k] + eps)
+        assert all(abs(a - c) < 1e-9 for a, c in zip(got[i], cur))
+
+
+def test_sparse_one_hot(spark):
+    from flowlens.operators.encode import one_hot_sparse
+    train = spark.createDataFrame([("b",), ("a",), (None,), ("c",)], "k string")
+    test = spark.createDataFrame([("a",), ("c",), ("new",), (None,)], "k string")
+    got = {r["k"]: r["k_vec"].toArray().tolist() for r in one_hot_sparse(train, test, ["k"]).collect()}
+    assert got["a"][:3] == [1.0, 0.0, 0.0] and got["c"][:3] == [0.0, 0.0, 1.0] and sum(got["new"]) == 0.0 and sum(got[None]) == 0.0
+
+
+def test_bounded_scan_needs_an_order_and_dictionary_must_fit(spark, tmp_path):
+    import pytest
+    from flowlens import sources as src
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n3,4\n")
+    with pytest.raises(ValueError):
+        src.read_flows(spark, str(tmp_path / "a.csv"), limit=1)
+    assert src.read_flows(spark, str(tmp_path / "a.csv"), limit=1, order=["x"]).first()["x"] == 1
+    (tmp_path / "names.csv").write_text("name\none\ntwo\nthree\n")
+    (tmp_path / "b.csv").write_text("1,2\n")
+    with pytest.raises(ValueError):
+        src.read_with_dictionary(spark, [str(tmp_path / "b.csv")], str(tmp_path / "names.csv"))
