@@ -17,8 +17,8 @@ from .common import map_batches, process_cache, stored, text_of, tokenizer_path
 MAX_TOKENS = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-CACHE_CHUNKS = 500_000  # of each generation
-CACHE_WORDS = 300_000
+CACHE_CHUNKS = 300_000  # of each generation
+CACHE_WORDS = 200_000
 SALTS = 64
 
 

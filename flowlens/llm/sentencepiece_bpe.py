@@ -15,7 +15,7 @@ from .common import map_batches, process_cache, text_of, tokenizer_path
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_UNITS = 500_000  # of each generation
+CACHE_UNITS = 400_000  # of each generation
 CACHE_PAIRS = 2_000_000
 
 

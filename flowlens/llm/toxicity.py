@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, text_of
 
-FIT_DOCS = {1: 1500, 0: 2500}  # labelled rows used to fit, by label; picked by hash of the id
+FIT_DOCS = {1: 1200, 0: 2000}  # labelled rows used to fit, by label; picked by hash of the id
 FIT_CHARS = 24_000_000  # and their total length
 SEGMENT = 48  # tokens of a training chain
 FIT_SEGMENTS = 6000
@@ -291,7 +291,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     t = text_of(docs, id_col, text_col)
     kind = t.schema["doc_id"].dataType.simpleString()
-    return map_batches(t, scorer(t, model), f"doc_id {kind}, score double, predicted int, spans array<struct<start:int,end:int,p:double>>", rows=4000)
+    return map_batches(t, scorer(t, model), f"doc_id {kind}, score double, predicted int, spans array<struct<start:int,end:int,p:double>>", rows=2000)
 
 
 def scorer(t: DataFrame, model: Model):
@@ -337,7 +337,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         rows = pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text_col).fill_null("")], names=["doc_id", "text"])
         low = one(rows).column("score").to_numpy() < reject
         return batch.filter(pa.array(low))
-    return map_batches(docs, keep, docs.schema, rows=4000)
+    return map_batches(docs, keep, docs.schema, rows=2000)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
