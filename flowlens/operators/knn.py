@@ -146,10 +146,14 @@ def _pair_sum_fn(margin: float):
 
 
 def negative_pair_term(df: DataFrame, id_col: str, vec: str, label: str, margin: float,
-                       n_blocks: int | None = None) -> DataFrame:
-    """mean over ordered pairs with different labels of relu(cos - margin):
-    block tiles each emit one (sum, count) row, never the pairs."""
+                       n_blocks: int | None = None, over_all: bool = False) -> DataFrame:
+    """mean over ordered pairs with different labels (``over_all``: sum over
+    them by the number of all ordered pairs) of relu(cos - margin): block
+    tiles each emit one (sum, count) row, never the pairs."""
     parts = _blocks(df, id_col, vec, n_blocks, label).groupBy("_lb", "_rb").applyInPandas(_pair_sum_fn(margin), "s double, n long")
+    if over_all:
+        n = df.count()
+        return parts.agg((F.sum("s") / F.lit(float(n) * n)).alias("neg_loss"))
     return parts.agg((F.sum("s") / F.sum("n")).alias("neg_loss"))
 
 

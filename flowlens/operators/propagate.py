@@ -51,18 +51,27 @@ def propagate(nodes: DataFrame, edges: DataFrame, d: int, kind: str = "gcn", hop
 
     * ``gcn``: Â = D^-1/2 (A+I) D^-1/2, degree = in-degree + 1;
     * ``sage``: mean of in-neighbours (zeros when none);
-    * ``gin``: (1+eps)·h + sum of in-neighbours.
+    * ``gin``: (1+eps)·h + sum of in-neighbours;
+    * ``cluster``: mean over a node and its in-neighbours, D^-1 (A+I);
+    * ``arma``: relu(D^-1/2 A D^-1/2 · h + h_0) with the in-degree (0 gives weight 0) and the features h_0 at the start.
     """
+    if kind not in ("gcn", "sage", "gin", "cluster", "arma"):
+        raise ValueError(kind)
     cur = nodes.select(F.col(id_col).alias("id"), F.col(x).alias("x"))
     e = edges.select("src", "dst")
     for _ in range(hops):
-        if kind == "gcn":
+        if kind in ("gcn", "arma"):
             deg = e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("_in"))
-            nd = cur.join(deg, "id", "left").withColumn("_d", F.coalesce("_in", F.lit(0)) + 1).drop("_in")
+            nd = cur.join(deg, "id", "left").withColumn("_d", F.coalesce("_in", F.lit(0)) + (1 if kind == "gcn" else 0)).drop("_in")
             msg = e.join(nd.select(F.col("id").alias("src"), F.col("x").alias("_xs"), F.col("_d").alias("_ds")), "src") \
                    .join(nd.select(F.col("id").alias("dst"), F.col("_d").alias("_dd")), "dst")
-            w = F.lit(1.0) / F.sqrt(F.col("_ds") * F.col("_dd"))
+            w = F.when(F.col("_ds") * F.col("_dd") > 0, F.lit(1.0) / F.sqrt(F.col("_ds") * F.col("_dd"))).otherwise(F.lit(0.0))
             agg = _vec_sum_by(msg, "dst", "_xs", d, w)
+            if kind == "arma":
+                x0 = nodes.select(F.col(id_col).alias("id"), F.col(x).alias("_x0"))
+                cur = x0.join(agg.withColumnRenamed("dst", "id"), "id", "left") \
+                        .select("id", relu(add(F.col("_x0"), F.coalesce(F.col("agg"), _zeros(d)))).alias("x"))
+                continue
             self_term = scale(F.col("x"), F.lit(1.0) / F.col("_d"))
             cur = nd.join(agg.withColumnRenamed("dst", "id"), "id", "left") \
                     .select("id", add(self_term, F.coalesce(F.col("agg"), _zeros(d))).alias("x"))
@@ -76,7 +85,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, d: int, kind: str = "gcn", hop
             elif kind == "gin":
                 cur = j.select("id", add(scale(F.col("x"), F.lit(1.0 + eps)), nb).alias("x"))
             else:
-                raise ValueError(kind)
+                both = scale(add(F.col("x"), nb), F.lit(1.0) / (F.coalesce("_deg", F.lit(0)) + 1))
+                cur = j.select("id", both.alias("x"))
     return cur
 
 
@@ -132,6 +142,34 @@ def attend(nodes: DataFrame, edges: DataFrame, w: list[list[float]], a: list[flo
     return z.select("id").join(out, "id", "left").select("id", F.coalesce("x", _zeros(d_out)).alias("x"))
 
 
+def attend_heads(nodes: DataFrame, edges: DataFrame, ws: list[list[list[float]]], vs: list[list[float]], concat: bool = True,
+                 slope: float = 0.2) -> DataFrame:
+    """Several heads of ``attend``, side by side (``concat``) or averaged."""
+    out = None
+    for w, a in zip(ws, vs):
+        h = attend(nodes, edges, w, a, slope)
+        out = h if out is None else concat_layers(out, h)
+    if concat:
+        return out
+    k, d = len(ws), len(ws[0][0])
+    mean = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
+                       lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(0.0), lambda s, h: s + F.get("x", h * d + i)) / k)
+    return out.select("id", mean.alias("x"))
+
+
+def attend_dot(nodes: DataFrame, edges: DataFrame, wq: list[list[float]], wk: list[list[float]]) -> DataFrame:
+    """Dot-product attention over in-edges without self loops: softmax of (q_v · k_u) / sqrt(d), summing k_u; nodes without
+    in-edges receive zeros."""
+    d = len(wk[0])
+    q = nodes.select(F.col("id").alias("dst"), matvec(F.col("x"), wq).alias("q"))
+    k = nodes.select(F.col("id").alias("src"), matvec(F.col("x"), wk).alias("k"))
+    j = edges.select("src", "dst").join(k, "src").join(q, "dst").withColumn("_e", fn.dot("q", "k") / F.sqrt(F.lit(float(d))))
+    j = j.join(j.groupBy("dst").agg(F.max("_e").alias("_mx")), "dst").withColumn("_w", F.exp(F.col("_e") - F.col("_mx")))
+    den = j.groupBy("dst").agg(F.sum("_w").alias("_den"))
+    out = _vec_sum_by(j.join(den, "dst"), "dst", "k", d, F.col("_w") / F.col("_den")).select(F.col("dst").alias("id"), F.col("agg").alias("x"))
+    return nodes.select("id").join(out, "id", "left").select("id", F.coalesce("x", _zeros(d)).alias("x"))
+
+
 def attention_weights(nodes: DataFrame, edges: DataFrame, w, a, slope: float = 0.2) -> DataFrame:
     """The α of ``attend`` per edge (softmax weights sum to 1 per node)."""
     z = nodes.select("id", matvec(F.col("x"), w).alias("z"))
@@ -172,18 +210,21 @@ def infomax_loss(pos: DataFrame, neg: DataFrame, w: list[list[float]], d: int) -
 
 # GR-25 -------------------------------------------------------------------------
 def contrastive_loss(df: DataFrame, vec: str, label: str, d: int, margin: float = 1.0,
-                     include_self: bool = False, id_col: str | None = None) -> DataFrame:
+                     include_self: bool = False, id_col: str | None = None, over_all: bool = False) -> DataFrame:
     """Label-contrastive loss on L2-normalised vectors, closed form in O(n·d):
     positive term = mean over same-label pairs of (1 - cos)
                   = Σ_c (n_c² - ‖S_c‖²) / Σ_c n_c(n_c-1)   (self pairs excluded)
     negative term = mean(relu(cos - margin)) over other pairs, exactly 0 for
     margin >= 1 (|cos| <= 1); below that it is summed tile by tile over
-    hashed blocks (``knn.negative_pair_term``, needs ``id_col``)."""
+    hashed blocks (``knn.negative_pair_term``, needs ``id_col``).
+    ``over_all``: both terms are sums divided by all n² ordered pairs, the diagonal included."""
     z = df.select(F.col(label).alias("y"), fn.l2_normalize(F.col(vec)).alias("z"))
     per = z.groupBy("y").agg(F.count(F.lit(1)).alias("n_c"), *[F.sum(F.col("z")[i]).alias(f"_s{i}") for i in range(d)])
     sq = sum((F.col(f"_s{i}") * F.col(f"_s{i}") for i in range(d)), F.lit(0.0))
     per = per.select("n_c", sq.alias("_sq"))
-    if include_self:
+    if over_all:
+        num, den = F.sum(F.col("n_c") * F.col("n_c") - F.col("_sq")), F.sum("n_c") * F.sum("n_c")
+    elif include_self:
         num = F.sum(F.col("n_c") * F.col("n_c") - F.col("_sq"))
         den = F.sum(F.col("n_c") * F.col("n_c"))
     else:
@@ -193,5 +234,5 @@ def contrastive_loss(df: DataFrame, vec: str, label: str, d: int, margin: float
     if margin >= 1.0:
         return out.withColumn("neg_loss", F.lit(0.0)).withColumn("loss", F.col("pos_loss"))
     from .knn import negative_pair_term
-    neg = negative_pair_term(df, id_col, vec, label, margin)
+    neg = negative_pair_term(df, id_col, vec, label, margin, over_all=over_all)
     return _attach_one_row(out, neg).withColumn("loss", F.col("pos_loss") + F.col("neg_loss"))

@@ -93,15 +93,18 @@ def _combine_rates_from_counts(counts: DataFrame, r: float) -> DataFrame:
 
 
 def combine_reduce(df: DataFrame, col: str, r: float, key: str, source_col: str = "dataset_source",
-                   seed: int = 42) -> DataFrame:
+                   seed: int = 42, renumber: str | None = None) -> DataFrame:
     """Rates by class tier, exact n = max(1, ceil(rate * stratum)) per
-    (class, source) stratum; whole stratum when n >= its size."""
+    (class, source) stratum; whole stratum when n >= its size.  The kept rows
+    are numbered anew in ``renumber`` (0..n-1 in key order) when given."""
     def quota(strata):
         classes = strata.groupBy(col).agg(F.sum("cnt").alias("cnt"))
         rates = _combine_rates_from_counts(classes, r).select(col, "rate")
         return strata.join(F.broadcast(rates), col).select(
             col, source_col, F.greatest(F.lit(1), F.ceil(F.col("cnt") * F.col("rate"))).cast("bigint").alias("n"))
-    return take_per_group(df, [col, source_col], quota, key, seed)
+    kept = take_per_group(df, [col, source_col], quota, key, seed)
+    return dense_index(kept.withColumnRenamed(renumber, "__old") if renumber in df.columns else kept,
+                       ["__old" if renumber == key else key], renumber).drop("__old") if renumber else kept
 
 
 # SMP-5 / SMP-6 --------------------------------------------------------------------

@@ -287,6 +287,24 @@ FROM comb WHERE src_ip <> '0.0.0.0' AND dst_ip <> '0.0.0.0' GROUP BY src_ip, dst
         __import__("flowlens.operators.cleaning", fromlist=["drop_placeholder"]).drop_placeholder(combined(spark, sf)),
         sources=SOURCES))
 
+# --- GR-2: host graph with provenance, nodes and edges; AGG-8 membership of flows in edges -----------------
+def _provenance(spark, sf):
+    from ..operators import graph as gr
+    nodes, edges = gr.host_graph(combined(spark, sf), by_source=SOURCES, skip_placeholder=True)
+    n = nodes.select(F.lit("node").alias("kind"), F.col("ip").alias("a"), F.lit("").alias("b"), *[f"{s}_flows" for s in SOURCES])
+    return n.unionByName(edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), *[f"{s}_flows" for s in SOURCES]))
+
+
+_BY_SOURCE = ", ".join(f"count(*) FILTER (WHERE dataset_source = '{s}') AS {s}_flows" for s in SOURCES)
+query("gr2_host_graph_by_source", with_li(f"""
+, cp AS (SELECT * FROM comb WHERE src_ip <> '0.0.0.0' AND dst_ip <> '0.0.0.0'),
+  r AS (SELECT src_ip AS ip, dataset_source FROM cp UNION ALL SELECT dst_ip, dataset_source FROM cp)
+SELECT 'node' AS kind, ip AS a, '' AS b, {_BY_SOURCE} FROM r GROUP BY ip
+UNION ALL SELECT 'edge', src_ip, dst_ip, {_BY_SOURCE} FROM cp GROUP BY src_ip, dst_ip""", extra=COMB_EXTRA).replace("\n, cp AS", ", cp AS", 1))(_provenance)
+
+query("agg8_edge_flows", with_li("SELECT src_ip AS src, dst_ip AS dst, flow_key FROM std"))(
+    lambda spark, sf: agg.edge_flows(std_li(spark, sf, number=False), flow_id="flow_key"))
+
 query("agg10_edge_first", with_li("""
 SELECT src_ip AS src, dst_ip AS dst, 1 AS weight, CAST(arg_min(binary_label, flow_key) AS INTEGER) AS attack_flows
 FROM std GROUP BY src_ip, dst_ip"""))(lambda spark, sf: agg.edge_first(std_li(spark, sf, number=False), "flow_key"))

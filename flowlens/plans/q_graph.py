@@ -187,6 +187,54 @@ def _att_sql() -> str:
 query("gr22_attention", with_fx(_att_sql().replace("\n, ", ", ", 1), [], SIM))(
     lambda spark, sf: explode_vec(pg.attend(*sim_graph(spark, sf), W_ATT, A_ATT), ["id"]))
 
+query("gr21_cluster_propagation", with_fx(f"""
+, a AS (SELECT e.dst, {sql_elems('sum', 'n.x')} AS s, count(*) AS d FROM edges e JOIN nodes n ON n.id = e.src GROUP BY e.dst),
+  out AS (SELECT n.id, list_transform(range(1, {DIM + 1}), lambda i: (n.x[i] + coalesce(a.s[i], 0)) / (coalesce(a.d, 0) + 1)) AS x FROM nodes n LEFT JOIN a ON a.dst = n.id)
+{sql_explode("out", "id", "x", DIM)}""".replace("\n, a AS", ", a AS", 1), [], SIM))(
+    lambda spark, sf: explode_vec(pg.propagate(*sim_graph(spark, sf), DIM, "cluster"), ["id"]))
+
+query("gr21_arma_propagation", with_fx(f"""
+, deg AS (SELECT n.id, count(e.dst) AS d FROM nodes n LEFT JOIN edges e ON e.dst = n.id GROUP BY n.id),
+  msg AS (SELECT e.dst, list_transform(n.x, lambda v: CASE WHEN ds.d * dd.d > 0 THEN v / sqrt(ds.d * dd.d) ELSE 0 END) AS m
+          FROM edges e JOIN nodes n ON n.id = e.src JOIN deg ds ON ds.id = e.src JOIN deg dd ON dd.id = e.dst),
+  a AS (SELECT dst, {sql_elems('sum', 'm')} AS s FROM msg GROUP BY dst),
+  out AS (SELECT n.id, list_transform(range(1, {DIM + 1}), lambda i: greatest(n.x[i] + coalesce(a.s[i], 0), 0)) AS x FROM nodes n LEFT JOIN a ON a.dst = n.id)
+{sql_explode("out", "id", "x", DIM)}""".replace("\n, deg AS", ", deg AS", 1), [], SIM))(
+    lambda spark, sf: explode_vec(pg.propagate(*sim_graph(spark, sf), DIM, "arma"), ["id"]))
+
+# GR-22, several heads and the dot-product kind
+W_HEADS = [enc.hash_matrix(DIM, 3, s, -1.0, 1.0) for s in (7, 9)]
+A_HEADS = [enc.hash_matrix(1, 6, s, -1.0, 1.0)[0] for s in (8, 10)]
+
+
+def _heads_sql(concat: bool) -> str:
+    ctes = []
+    for h in (0, 1):
+        a = A_HEADS[h]
+        e = " + ".join(f"v.z[{i + 1}] * CAST({a[i]!r} AS DOUBLE) + u.z[{i + 1}] * CAST({a[3 + i]!r} AS DOUBLE)" for i in range(3))
+        ctes += [f"z{h} AS (SELECT id, {sql_matvec('x', W_HEADS[h])} AS z FROM nodes)",
+                 f"s{h} AS (SELECT e2.dst, u.z AS zu, {e} AS raw FROM e2 JOIN z{h} u ON u.id = e2.src JOIN z{h} v ON v.id = e2.dst)",
+                 f"l{h} AS (SELECT *, CASE WHEN raw > 0 THEN raw ELSE raw * 0.2 END AS ee FROM s{h})",
+                 f"w{h} AS (SELECT *, exp(ee - max(ee) OVER (PARTITION BY dst)) AS ww FROM l{h})",
+                 f"o{h} AS (SELECT dst AS id, [sum(ww * zu[1]) / sum(ww), sum(ww * zu[2]) / sum(ww), sum(ww * zu[3]) / sum(ww)] AS x FROM w{h} GROUP BY dst)"]
+    x = "list_concat(o0.x, o1.x)" if concat else "[(o0.x[1] + o1.x[1]) / 2, (o0.x[2] + o1.x[2]) / 2, (o0.x[3] + o1.x[3]) / 2]"
+    return with_fx(sql_explode("out", "id", "x", 6 if concat else 3), [], SIM + [
+        "e2 AS (SELECT src, dst FROM edges WHERE src <> dst UNION ALL SELECT id, id FROM nodes)", *ctes,
+        f"out AS (SELECT o0.id, {x} AS x FROM o0 JOIN o1 ON o0.id = o1.id)"])
+
+
+for _c, _n in ((True, "gr22_attention_heads_concat"), (False, "gr22_attention_heads_mean")):
+    query(_n, _heads_sql(_c))((lambda c: lambda spark, sf: explode_vec(pg.attend_heads(*sim_graph(spark, sf), W_HEADS, A_HEADS, c), ["id"]))(_c))
+
+query("gr22_attention_dot", with_fx(f"""
+, q AS (SELECT id, {sql_matvec('x', W_HEADS[0])} AS q, {sql_matvec('x', W_HEADS[1])} AS k FROM nodes),
+  s AS (SELECT e.dst, u.k AS k, list_dot_product(v.q, u.k) / sqrt(3.0) AS ee FROM edges e JOIN q u ON u.id = e.src JOIN q v ON v.id = e.dst),
+  w AS (SELECT *, exp(ee - max(ee) OVER (PARTITION BY dst)) AS ww FROM s),
+  o AS (SELECT dst, [sum(ww * k[1]) / sum(ww), sum(ww * k[2]) / sum(ww), sum(ww * k[3]) / sum(ww)] AS x FROM w GROUP BY dst),
+  out AS (SELECT n.id, coalesce(o.x, [0.0, 0.0, 0.0]) AS x FROM nodes n LEFT JOIN o ON o.dst = n.id)
+{sql_explode("out", "id", "x", 3)}""".replace("\n, q AS", ", q AS", 1), [], SIM))(
+    lambda spark, sf: explode_vec(pg.attend_dot(*sim_graph(spark, sf), W_HEADS[0], W_HEADS[1]), ["id"]))
+
 query("gr23_concat_layers", with_fx((_prop_sql("gcn").split("\nSELECT")[0] + f""",
   agg2 AS (SELECT e.dst, {sql_elems('avg', 'n.x')} AS s FROM edges e JOIN nodes n ON n.id = e.src GROUP BY e.dst),
   out2 AS (SELECT n.id, list_transform(range(1, {DIM + 1}), lambda i: coalesce(agg2.s[i], 0)) AS x FROM nodes n LEFT JOIN agg2 ON agg2.dst = n.id),
@@ -202,6 +250,12 @@ SELECT ip AS id, 4 AS width, 4.0::DOUBLE AS total FROM (SELECT src_ip AS ip FROM
     .select("id", F.size("x").alias("width"), F.aggregate("x", F.lit(0.0), lambda a, b: a + b).alias("total")))
 
 
+query("gr15_masked_batches", with_li("""
+SELECT flow_key, CAST(floor((row_number() OVER (ORDER BY md5('42:' || flow_key), flow_key) - 1) / 500) AS BIGINT) AS batch_id
+FROM std WHERE binary_label = 1"""))(
+    lambda spark, sf: gr.edge_batches(std_li(spark, sf, number=False), 500, "flow_key", mask=F.col("binary_label") == 1).select("flow_key", "batch_id"))
+
+
 # GR-5: endpoint index and edge index ----------------------------------------------------------------
 def _host_edges(spark, sf):
     return __import__("flowlens.operators.aggregate", fromlist=["edge_features"]).edge_features(std_li(spark, sf, number=False))
@@ -358,3 +412,11 @@ query("gr25_contrastive_loss_margin", with_fx("""
 SELECT round(pos_loss, 6) AS pos_loss, round(neg_loss, 6) AS neg_loss, round(pos_loss + neg_loss, 6) AS loss FROM pos, neg"""
     .replace("\n, z AS", ", z AS", 1), [], [EMB]))(
     lambda spark, sf: rounded(pg.contrastive_loss(emb(spark, sf), "embedding", "label", 64, margin=0.2, id_col="vec_id")))
+
+query("gr25_contrastive_loss_over_all", with_fx("""
+, z AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS z FROM emb),
+  t AS (SELECT sum(CASE WHEN a.label = b.label THEN 1 - list_dot_product(a.z, b.z) ELSE 0 END) / count(*) AS pos_loss,
+               sum(CASE WHEN a.label <> b.label THEN greatest(list_dot_product(a.z, b.z) - 0.2, 0) ELSE 0 END) / count(*) AS neg_loss FROM z a, z b)
+SELECT round(pos_loss, 6) AS pos_loss, round(neg_loss, 6) AS neg_loss, round(pos_loss + neg_loss, 6) AS loss FROM t"""
+    .replace("\n, z AS", ", z AS", 1), [], [EMB]))(
+    lambda spark, sf: rounded(pg.contrastive_loss(emb(spark, sf), "embedding", "label", DIM, margin=0.2, id_col="vec_id", over_all=True)))

@@ -91,6 +91,19 @@ SELECT flow_id, attack_type, dataset_source FROM r JOIN q USING (attack_type, da
     .select("flow_id", "attack_type", "dataset_source"))
 
 
+query("smp4_combine_reduce_renumbered", with_li(f"""
+, c AS (SELECT attack_type, count(*) AS cnt, sum(count(*)) OVER () AS total FROM comb GROUP BY attack_type),
+  rt AS (SELECT attack_type, CASE WHEN cnt < total * {D(0.001)} THEN {D(_t[0])} WHEN cnt < total * {D(0.01)} THEN {D(_t[1])}
+         WHEN cnt < total * {D(0.05)} THEN {D(_t[2])} ELSE {D(_t[3])} END AS rate FROM c),
+  s AS (SELECT attack_type, dataset_source, count(*) AS cnt FROM comb GROUP BY attack_type, dataset_source),
+  q AS (SELECT s.attack_type, dataset_source, greatest(1, ceil(cnt * rate)) AS n FROM s JOIN rt USING (attack_type)),
+  r AS ({ranked('comb', 'attack_type, dataset_source', 'flow_id')})
+SELECT CAST(row_number() OVER (ORDER BY flow_id) - 1 AS BIGINT) AS flow_id, attack_type, dataset_source
+FROM r JOIN q USING (attack_type, dataset_source) WHERE rn <= n""", extra=COMB_EXTRA).replace("\n, c AS", ", c AS", 1))(
+    lambda spark, sf: sm.combine_reduce(combined(spark, sf), "attack_type", R, "flow_id", renumber="flow_id")
+    .select("flow_id", "attack_type", "dataset_source"))
+
+
 # SMP-5 / SMP-6 ----------------------------------------------------------------------
 def _cap_sql(total, large_min, strict, at_least):
     op = ">" if strict else ">="
