@@ -437,9 +437,29 @@ FROM m JOIN au ON au.graph = m.graph"""
 
 query("tri6_triage_report", _tri6_sql())(_triage_report)
 
-query("tri1_render_prompts")(lambda spark, sf: tr.render_prompts(
-    emb(spark, sf).select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 10).alias("x")),
-    knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 20)))
+# TRI-1: prompts; every seventh node has no raw record, as injected nodes
+RAW_SQL = "SELECT vec_id AS id, label, CASE label % 3 WHEN 0 THEN 6 WHEN 1 THEN 17 ELSE 1 END AS protocol FROM {t} WHERE vec_id % 7 <> 3"
+
+
+def _prompts(spark, sf):
+    from ..session import cut_lineage
+    nodes = emb(spark, sf)
+    raw = spark.sql(RAW_SQL.format(t="{e}"), e=nodes)
+    return tr.render_prompts(nodes.select(F.col("vec_id").alias("id"), F.col("embedding").alias("x")),
+                             cut_lineage(knn.knn_graph(nodes, "vec_id", "embedding", 20)), raw)
+
+
+query("tri1_render_prompts", with_fx("""
+, raw AS (""" + RAW_SQL.format(t="emb") + """),
+  own AS (SELECT e.vec_id AS id, coalesce('label=' || raw.label || ', protocol=' || raw.protocol || ', protocol_name=' ||
+                 CASE raw.protocol WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE 'ICMP' END, 'none (no raw record)') AS r,
+                 array_to_string(list_transform(e.e[1:10], lambda v: format('{:.4f}', v)), ', ') AS f
+          FROM emb e LEFT JOIN raw ON raw.id = e.vec_id),
+  nb AS (SELECT src, count(*) AS n, string_agg(CASE WHEN rn <= 5 THEN '  - neighbour ' || dst || ': [' || o.r || ']' END, chr(10) ORDER BY dst) AS t
+         FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS rn FROM kn) k JOIN own o ON o.id = k.dst GROUP BY src)
+SELECT own.id AS node_id, 'Node ' || own.id || chr(10) || 'Raw attributes: ' || own.r || chr(10) || 'Processed features: ' || own.f || chr(10)
+       || 'Neighbours: ' || coalesce(nb.n, 0) || chr(10) || coalesce(nb.t, '') AS prompt
+FROM own LEFT JOIN nb ON nb.src = own.id""".replace("\n, raw AS", ", raw AS", 1), [], [EMB, knn_sql(20)]))(_prompts)
 
 query("idx4_top_neighbours", with_fx("""
 SELECT src, count(*) AS n_neighbours, string_agg(CASE WHEN rn <= 5 THEN CAST(dst AS VARCHAR) END, ',' ORDER BY dst) AS first_neighbours,
