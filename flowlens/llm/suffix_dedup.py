@@ -274,12 +274,17 @@ OUT = "doc_id long, dh long, start int, stop int, h1 long, h2 long, known boolea
 
 
 def whole_core(cols: dict[str, list], ks: list[int], length: int, core: int):
-    """(row, start, stop) of the repeated windows of all classes of a core."""
+    """(row, start, stop) of what the repeated windows of each class of a core cover: they all hold the core, so they overlap
+    and cover one run, from the one that begins first to the one that begins last."""
     left = [cols["before"][k][::-1] for k in ks]
     right = [cols["after"][k][core:] for k in ks]
-    for m, o in repeated_windows(left, right, length, core):
-        p = cols["pos"][ks[m]] - o
-        yield ks[m], p, p + length
+    found = np.array(repeated_windows(left, right, length, core), np.int64).reshape(-1, 2)
+    least, most = np.full(len(ks), length), np.full(len(ks), -1)
+    np.minimum.at(least, found[:, 0], found[:, 1])
+    np.maximum.at(most, found[:, 0], found[:, 1])
+    for m in np.flatnonzero(most >= 0).tolist():
+        p = cols["pos"][ks[m]]
+        yield ks[m], p - most[m], p - least[m] + length
 
 
 def part_of_core(cols: dict[str, list], ks: list[int], length: int, core: int, sums: Sums):
@@ -379,13 +384,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, id_c
         .withColumn("dh", F.xxhash64("text"))
     key = ["doc_id", "dh"]
     every = stored(anchors(texts.where(F.octet_length("text") >= length), length, core), "anchors")
-    often = every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    # counts are stored, so that a core with very many rows can be split in the join
+    often = stored(every.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core"), "often")
     again = stored(every.join(often, "core"), "repeated")
     kind = ["core", "c1", "c2"]
     classes = stored(again.groupBy(*kind).agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "dh", "pos", "left", "right")).alias("one")), "classes")
     whole = again.join(classes.where("n > 1").select(*kind), kind).select(
         *key, (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("stop"))
-    shared = classes.groupBy("core").agg(F.count("*").alias("m")).where("m > 1")
+    shared = stored(classes.groupBy("core").agg(F.count("*").alias("m")).where("m > 1"), "shared")
     unsure = classes.join(shared, "core").select("core", "m", "one.*")
     places = stored(unsure.groupBy(*key).agg(F.collect_list(F.struct("core", "m", "pos", "left", "right")).alias("places")), "places")
     spans = stored(whole, "whole")
