@@ -303,3 +303,13 @@ def test_bounded_scan_needs_an_order_and_dictionary_must_fit(spark, tmp_path):
     (tmp_path / "b.csv").write_text("1,2\n")
     with pytest.raises(ValueError):
         src.read_with_dictionary(spark, [str(tmp_path / "b.csv")], str(tmp_path / "names.csv"))
+
+
+def test_fixed_tables_have_their_values():
+    from flowlens.functions import columns as c
+    from flowlens.operators import sampling as sm
+    assert c.PROTOCOL_NAMES == {1: "ICMP", 6: "TCP", 17: "UDP"} and c.PROTOCOL_NUMBERS == {"tcp": 6, "udp": 17, "icmp": 1}
+    assert (c.PROTOCOL_NAMES_EXTENDED[47], c.PROTOCOL_NAMES_EXTENDED[132], c.PROTOCOL_NAMES_EXTENDED[58]) == ("GRE", "SCTP", "IPv6-ICMP")
+    assert (c.ATTACK_FAMILIES["Theft"], c.ATTACK_FAMILIES["Benign"], c.ATTACK_FAMILIES["Brute Force"]) == ("Information_Theft", "Normal", "Brute_Force")
+    assert (c.MASK_IP_LOW, c.MASK_IP_HIGH) == (0xAC100001, 0xAC1F0001) and c.NSL_CLASSES == {"normal": 0, "neptune": 1}
+    assert {k: v[:2] for k, v in sm.TIERS.items()} == {"1/10": (0.01, 0.10), "0.1/5": (0.001, 0.05)}
