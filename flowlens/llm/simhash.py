@@ -169,7 +169,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents whose id names their group, with all their columns; of repeated rows with that id all stay only if their groups differ."""
-    found = simhash_groups(docs, id_col, text_col, shingle, max_bits)
-    go = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    """The documents whose id names their group, with all their columns.
+
+    An id that several rows share goes only if all of them would, so no group
+    loses the row that stands for it; rows without an id stay.
+    """
+    found = simhash_groups(docs, id_col, text_col, shingle, max_bits).where("doc_id is not null")
+    go = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.col("doc_id") != F.col("component_id")).alias("go")).where("go").select("__id")
     return docs.join(go, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")

@@ -228,6 +228,13 @@ def test_simhash_finds_every_pair_within_three_bits(spark):
     assert len(set(zip(got, want, strict=True))) == len(set(got)) == len(set(want))
 
 
+def test_simhash_keeps_one_of_each_group(spark):
+    rows = [(5, "alpha beta gamma delta"), (7, "alpha beta gamma delta"), (7, "quite another text here"), (8, "ALPHA beta gamma delta"), (None, "x"), (9, "last one")]
+    kept = simhash.keep_one_per_group(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, fp int"))
+    assert kept.columns == ["doc_id", "text", "fp"]
+    assert sorted((tuple(r)[:2] for r in kept.collect()), key=key) == sorted([rows[4], rows[0], rows[1], rows[2], rows[5]], key=key)
+
+
 def test_simhash_empty(nothing):
     assert simhash.simhash_groups(nothing).count() == 0
 
