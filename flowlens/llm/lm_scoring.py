@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import text_of
 
-ORDER = 2
+ORDER = 3
 BACKOFF = 0.4
 CHUNK_BYTES = 8 << 20  # text that is exploded together
 MAX_BUCKETS = 1 << 17

@@ -297,3 +297,10 @@ def test_lm_score(corpus, monkeypatch, order, chunk):
 
 def test_lm_score_empty(nothing):
     assert lm_scoring.lm_score(nothing).count() == 0
+
+
+def test_lm_score_counts_trigrams_in_production(spark):
+    rows = [(1, "x a b c"), (2, "y a b c")]
+    got = rows_of(lm_scoring.lm_score(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_tokens", "log_score", "n_top_order")
+    assert [(i, n, round(s, 4)) for i, n, s, _ in got] == [(i, n, round(s, 4)) for i, n, s in brute_scores(rows, 3)]
+    assert [top for *_, top in got] == [2, 2]  # "a b c" and "b c" with the end; bigrams alone would give 3
