@@ -28,6 +28,8 @@ PATTERNS = {
     "secret": r"(?i:password|passwd|token|secret|api_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9]{16,64}+|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?!\d)",
 }
+# What any match has: every pattern needs an ASCII digit or "@", but for the secrets, which may be letters only.
+MAY = r"[0-9@]|AKIA|(?i:passw|token|secret|api_?key)"
 
 
 def _q(s: str) -> str:
@@ -146,10 +148,10 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: st
     Rows are handled one by one, without a shuffle: nulls stay null (empty
     array), empty texts stay empty, repeated rows give equal results, and an
     empty table an empty result.  A column named ``pii`` of the input is replaced.
-    Texts without a digit or "@" hold nothing to find and are passed by.
+    Texts without a digit, "@" or a word that names a secret (MAY) hold nothing to find and are passed by.
     """
     found, pieces = candidates(key)
-    may = F.col("__t").rlike("[0-9]|@")
+    may = F.col("__t").rlike(MAY)
     none = "array<struct<kind:string,value:string,pseudonym:string>>"
     out = docs.drop("pii").withColumn("__t", F.col(f"`{text_col}`"))
     out = out.withColumn("__found", F.when(may, found).otherwise(F.array().cast(none)))
