@@ -17,7 +17,7 @@ DEFAULT_KEY = "flowlens-pseudonym-key"
 KINDS = ("email", "phone", "ip", "ssn", "date", "iban", "secret", "card")
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-# Possessive, bounded and anchored by look-behinds, so that no text makes the matcher walk back and forth.
+# Possessive, bounded (a secret: a single run) and anchored by look-behinds, so that no text makes the matcher walk back and forth.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]{1,64}+@(?:[A-Za-z0-9\-]{1,63}+\.){1,8}[A-Za-z]{2,24}",
     "phone": r"(?<![\d+])\+\d{1,3}[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<![\d)])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.\-])\d{3}([.\-])\d{3}\1\d{4}(?![\d\-])",
@@ -25,7 +25,7 @@ PATTERNS = {
     "ssn": r"(?<![\d\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d\-])",
     "date": r"(?<![\d\-])(?:19|20)\d\d-[01]\d-[0-3]\d(?![\d\-])|(?<![\d/])[0-3]\d/[01]\d/(?:19|20)\d\d(?![\d/])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "secret": r"(?i:password|passwd|token|secret|api_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9]{16,64}+|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret": r"(?i:password|passwd|token|secret|api_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9]{16,}+|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?!\d)",
 }
 # What any match has: every pattern needs an ASCII digit or "@", but for the secrets, which may be letters only.
@@ -57,15 +57,15 @@ def feistel_text(value: str, key: str, tag: str, letters: int = 26) -> str:
     them: 26, or 6 to stay hexadecimal); other characters stay as they are.
     Each round shifts every place of one half by key stream from the other.
     """
-    step = "cast(conv(substring(h, 4 * (j - if(r % 2 = 0, 0, shiftright(length(x), 1)) - 1) % 124 + 1, 4), 16, 10) as int)"
-    c = "substring(x, j, 1)"
-    shifted = (f"CASE WHEN {c} BETWEEN '0' AND '9' THEN char(48 + (ascii({c}) - 48 + {step}) % 10) "
-               f"WHEN {c} BETWEEN 'a' AND 'z' THEN char(97 + (ascii({c}) - 97 + {step}) % {letters}) "
-               f"WHEN {c} BETWEEN 'A' AND 'Z' THEN char(65 + (ascii({c}) - 65 + {step}) % {letters}) ELSE {c} END")
+    step = "cast(conv(substring(h, 4 * (j - if(r % 2 = 0, 0, shiftright(size(y), 1))) % 124 + 1, 4), 16, 10) as int)"
+    shifted = (f"CASE WHEN c BETWEEN '0' AND '9' THEN char(48 + (ascii(c) - 48 + {step}) % 10) "
+               f"WHEN c BETWEEN 'a' AND 'z' THEN char(97 + (ascii(c) - 97 + {step}) % {letters}) "
+               f"WHEN c BETWEEN 'A' AND 'Z' THEN char(65 + (ascii(c) - 65 + {step}) % {letters}) ELSE c END")
     other = "if(r % 2 = 0, substring(x, shiftright(length(x), 1) + 1, length(x)), substring(x, 1, shiftright(length(x), 1)))"
     stream = f"sha2(concat_ws('|', {_q(key)}, '{tag}', r, length(x), {other}), 512)"
-    body = f"array_join(transform(sequence(1, length(x)), j -> if((j <= shiftright(length(x), 1)) = (r % 2 = 0), {shifted}, {c})), '')"
-    return f"if(length({value}) = 0, '', aggregate(sequence(0, {ROUNDS - 1}), {value}, (x, r) -> {_let(stream, 'h', body)}))"
+    # an array of the characters, j from 0 on, so that long values take linear time
+    body = f"array_join(transform(y, (c, j) -> if((j < shiftright(size(y), 1)) = (r % 2 = 0), {shifted}, c)), '')"
+    return f"if(length({value}) = 0, '', aggregate(sequence(0, {ROUNDS - 1}), {value}, (x, r) -> {_let(stream, 'h', _let('split(x, ' + _q('') + ')', 'y', body))}))"
 
 
 def _digits(m: str) -> str:
@@ -107,11 +107,11 @@ def replacements(key: str) -> dict[str, str]:
     ssn = _let(feistel_pair(f"{area} - 1 - if({area} > 666, 1, 0)", "(cast(substring(m, 5, 2) as int) - 1) * 9999 + cast(right(m, 4) as int) - 1",
                             898, 99 * 9999, key, "ssn"), "n",
                "concat_ws('-', lpad(n.l + 1 + if(n.l >= 665, 1, 0), 3, '0'), lpad(n.r div 9999 + 1, 2, '0'), lpad(n.r % 9999 + 1, 4, '0'))")
-    # 73,000 days from 1900-01-01 on, as 250 x 292
+    # the 73,049 days from 1900-01-01 to 2099-12-31, as 17 x 4,297
     iso = "if(m LIKE '%/%', concat_ws('-', right(m, 4), substring(m, 4, 2), left(m, 2)), m)"
-    date = _let(f"datediff(try_cast({iso} as date), date'1900-01-01')", "t", "if(t BETWEEN 0 AND 72999, " + _let(
-        feistel_pair("t div 292", "t % 292", 250, 292, key, "date"), "n", _let(
-            "date_add(date'1900-01-01', cast(n.l * 292 + n.r as int))", "y", "date_format(y, if(m LIKE '%/%', 'dd/MM/yyyy', 'yyyy-MM-dd'))")) + ", NULL)")
+    date = _let(f"datediff(try_cast({iso} as date), date'1900-01-01')", "t", "if(t BETWEEN 0 AND 73048, " + _let(
+        feistel_pair("t div 4297", "t % 4297", 17, 4297, key, "date"), "n", _let(
+            "date_add(date'1900-01-01', cast(n.l * 4297 + n.r as int))", "y", "date_format(y, if(m LIKE '%/%', 'dd/MM/yyyy', 'yyyy-MM-dd'))")) + ", NULL)")
     bban = _let("replace(m, ' ', '')", "s", f"if({_mod97('concat(substring(s, 5, length(s)), left(s, 4))')} = 1, " + _let(
         feistel_text("substring(s, 5, length(s))", key, "iban"), "b", _let(
             f"concat(left(s, 2), lpad(98 - {_mod97('concat(b, left(s, 2), ' + chr(39) + '00' + chr(39) + ')')}, 2, '0'), b)", "n",

@@ -132,6 +132,29 @@ def test_pii_is_a_permutation(spark):
     assert other < 20
 
 
+def test_pii_long_secrets_and_last_days(spark):
+    import time
+    key, days = "aB3dE5gH7jK9mN1p" * 5, ["2099-11-12", "2099-11-13", "2099-12-31", "31/12/2099", "1900-01-01"]
+    rows = [(1, f"token={key}; end"), *[(i, d) for i, d in enumerate(days, 2)]]
+    got = {r.doc_id: r for r in pii.pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    new = got[1].pii[0].pseudonym
+    assert got[1].pii[0].value == f"token={key}" and len(new) == len(key) + 6 and got[1].text == f"{new}; end"
+    assert all(a != b for a, b in zip(re.findall(".{16}", key), re.findall(".{16}", new[6:]), strict=True))
+    made = [got[i].pii[0].pseudonym for i in range(2, 7)]
+    y, m, d = made[2].split("-")
+    assert made[3] == f"{d}/{m}/{y}" and len({*made}) == 5
+    began = time.time()
+    long = pii.pii(spark.createDataFrame([(1, "secret: " + key * 5000)], "doc_id long, text string")).first()
+    assert len(long.text) == 8 + 80 * 5000 and key[:64] not in long.text and time.time() - began < 60
+
+
+def test_pii_days_are_permuted_whole(spark):
+    from pyspark.sql import functions as F
+    days = spark.sql("SELECT id AS doc_id, date_format(date_add(date'1900-01-01', cast(id AS int)), 'yyyy-MM-dd') AS text FROM range(73049)")
+    out = pii.pii(days).agg(F.countDistinct("text").alias("n"), F.min("text").alias("a"), F.max("text").alias("b"), F.min(F.size("pii")).alias("found")).first()
+    assert tuple(out) == (73049, "1900-01-01", "2099-12-31", 1)
+
+
 def test_pii_plan_is_native(spark):
     plan = pii.pii(spark.range(1).selectExpr("id AS doc_id", "'x' AS text"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|ExternalRDD", plan)
