@@ -28,6 +28,10 @@ PATTERNS = {
     "secret": r"(?i:password|passwd|token|secret|api_?key)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9]{16,}+|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])",
     "card": r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?!\d)",
 }
+# Candidates that may run on into what follows: the first group alone is taken from the text, so that the search goes on inside one
+# that is not valid, and besides the whole the prefixes that end at a separator and have one of these forms are tested.
+HEADS = {"iban": r"[A-Z]{2}\d{2}[A-Z0-9]*+", "card": r"\d++"}
+PARTS = {"iban": r"^(?: ?[A-Z0-9]){15,}$", "card": r"^(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ \-])\d{6}\2\d{4,5})$"}
 # What any match has: every pattern needs an ASCII digit or "@", but for the secrets, which may be letters only.
 MAY = r"[0-9@]|AKIA|(?i:passw|token|secret|api_?key)"
 
@@ -128,18 +132,45 @@ def replacements(key: str) -> dict[str, str]:
 
 
 def _numbered(kind: str) -> str:
-    """The kind's pattern with its own back reference renamed, so that all fit in one pattern."""
-    return PATTERNS[kind].replace(r"([.\-])", r"(?<sep>[.\-])").replace(r"\1", r"\k<sep>")
+    """The kind's pattern with its own back reference renamed, so that all fit in one pattern; candidates with a head as a group ahead of it."""
+    own = PATTERNS[kind].replace(r"([.\-])", r"(?<sep>[.\-])").replace(r"\1", r"\k<sep>")
+    return f"(?=({own})){HEADS[kind]}" if kind in HEADS else own
 
 
-def candidates(key: str = DEFAULT_KEY) -> tuple[Column, Column]:
-    """For a text column ``__t``: its matches in order as (kind, value, pseudonym; null if not valid), and the pieces between them."""
+def settled(key: str = DEFAULT_KEY) -> Column:
+    """For a text column ``__t`` with matches: struct (out: array of (before, token, kind, value, pseudonym; null if nothing is replaced), tail).
+
+    ``before`` and ``tail`` are the text between the tokens.  A value longer than its token takes the rest from what follows it.
+    """
     every = _q("|".join(_numbered(k) for k in KINDS))
-    kind = "CASE " + " ".join(f"WHEN m RLIKE {_q('^(?:' + _numbered(k) + ')$')} THEN '{k}'" for k in KINDS) + " END"
+    plain = [k for k in KINDS if k not in HEADS]
     made = replacements(key)
-    new = "CASE k " + " ".join(f"WHEN '{k}' THEN {made[k]}" for k in KINDS) + " END"
-    found = F.expr(f"transform(regexp_extract_all(__t, {every}, 0), m -> " + _let(kind, "k", f"named_struct('kind', k, 'value', m, 'pseudonym', {new})") + ")")
-    return found, F.expr(f"split(__t, {every}, -1)")
+    # groups: 1 the phone's separator, 2 iban, 3 card
+    kind = "CASE WHEN ib[i] <> '' THEN 'iban' WHEN cd[i] <> '' THEN 'card' " + " ".join(f"WHEN g RLIKE {_q('^(?:' + _numbered(k) + ')$')} THEN '{k}'" for k in plain) + " END"
+    new = "CASE kind " + " ".join(f"WHEN '{k}' THEN {made[k]}" for k in KINDS) + " END"
+    part = "CASE kind " + " ".join(
+        f"WHEN '{k}' THEN try_element_at(filter(transform(filter(transform(filter(sequence(1, length(cand)), e -> e = length(cand) OR substring(cand, e + 1, 1) IN (' ', '-')), "
+        f"e -> left(cand, e)), e -> e RLIKE {_q(PARTS[k])}), m -> named_struct('value', m, 'pseudonym', {made[k]})), e -> e.pseudonym IS NOT NULL), -1)" for k in HEADS) + " END"
+    item = _let(kind, "kind", _let("CASE kind WHEN 'iban' THEN ib[i] WHEN 'card' THEN cd[i] ELSE g END", "cand",
+                "named_struct('before', ps[i], 'token', g, 'kind', kind, 'cand', cand, 'whole', " + _let("cand", "m", new) + f", 'part', {part})"))
+    # over: characters that the last value takes from here on; seen: characters from here on of a candidate that was not valid,
+    # within which a card counts in a usual form only
+    value = ("CASE WHEN a > 0 THEN NULL WHEN f.whole IS NOT NULL AND (s = 0 OR f.kind <> 'card') THEN named_struct('value', f.cand, 'pseudonym', f.whole) "
+             "ELSE f.part END")
+    step = _let("greatest(x.over - length(f.before), 0)", "a", _let("greatest(x.seen - length(f.before), 0)", "s", _let(value, "v", (
+        "named_struct('out', concat(x.out, array(named_struct('before', substring(f.before, x.over + 1), 'token', substring(f.token, a + 1), 'kind', f.kind, "
+        "'value', v.value, 'pseudonym', v.pseudonym))), 'over', if(v IS NULL, greatest(a - length(f.token), 0), length(v.value) - length(f.token)), "
+        "'seen', if(v IS NULL, greatest(greatest(s, if(a = 0, length(f.cand), 0)) - length(f.token), 0), 0))"))))
+    none = "cast(array() AS array<struct<before:string,token:string,kind:string,value:string,pseudonym:string>>)"
+    one_by_one = f"aggregate(fs, named_struct('out', {none}, 'over', 0, 'seen', 0), (x, f) -> {step})"
+    at_once = ("named_struct('out', transform(fs, f -> named_struct('before', f.before, 'token', f.token, 'kind', f.kind, 'value', f.cand, 'pseudonym', f.whole)), "
+               "'over', 0, 'seen', 0)")
+    result = _let(f"if(exists(fs, f -> length(f.cand) > length(f.token)), {one_by_one}, {at_once})", "st",
+                  "named_struct('out', st.out, 'tail', substring(ps[size(ps) - 1], st.over + 1))")
+    for value, name in ((f"transform(ms, (g, i) -> {item})", "fs"), (f"regexp_extract_all(__t, {every}, 3)", "cd"), (f"regexp_extract_all(__t, {every}, 2)", "ib"),
+                        (f"split(__t, {every}, -1)", "ps")):
+        result = _let(value, name, result)
+    return F.expr(_let(f"regexp_extract_all(__t, {every}, 0)", "ms", f"if(size(ms) > 0, {result}, NULL)"))
 
 
 def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
@@ -149,13 +180,13 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: st
     array), empty texts stay empty, repeated rows give equal results, and an
     empty table an empty result.  A column named ``pii`` of the input is replaced.
     Texts without a digit, "@" or a word that names a secret (MAY) hold nothing to find and are passed by.
+    A card or IBAN is the longest valid candidate from its first group on: the whole run, or a prefix of it that ends at a
+    separator (cards: in a usual form); the search goes on behind it, or inside a run without one.
     """
-    found, pieces = candidates(key)
-    may = F.col("__t").rlike(MAY)
     none = "array<struct<kind:string,value:string,pseudonym:string>>"
     out = docs.drop("pii").withColumn("__t", F.col(f"`{text_col}`"))
-    out = out.withColumn("__found", F.when(may, found).otherwise(F.array().cast(none)))
-    whole = F.expr("array_join(transform(__pieces, (p, i) -> concat(p, if(i < size(__found), coalesce(__found[i].pseudonym, __found[i].value), ''))), '')")
-    out = out.withColumn("__pieces", F.when(F.size("__found") > 0, pieces))
-    out = out.withColumn(text_col, F.when(F.size("__found") > 0, whole).otherwise(F.col("__t")))
-    return out.withColumn("pii", F.expr("filter(__found, f -> f.pseudonym IS NOT NULL)")).drop("__t", "__found", "__pieces")
+    out = out.withColumn("__s", F.when(F.col("__t").rlike(MAY), settled(key)))
+    whole = F.expr("concat(array_join(transform(__s.out, o -> concat(o.before, coalesce(o.pseudonym, o.token))), ''), __s.tail)")
+    out = out.withColumn(text_col, F.when(F.col("__s").isNotNull(), whole).otherwise(F.col("__t")))
+    found = F.expr("transform(filter(__s.out, o -> o.pseudonym IS NOT NULL), o -> named_struct('kind', o.kind, 'value', o.value, 'pseudonym', o.pseudonym))")
+    return out.withColumn("pii", F.coalesce(found, F.array().cast(none))).drop("__t", "__s")

@@ -123,6 +123,24 @@ def test_pii_secret_of_letters_in_a_text_without_digits(spark):
     assert got[1].pii[0] == got[2].pii[0] and not any(value in r.text for r in got.values())
 
 
+CARD, IBAN = "4111 1111 1111 1111", "BE71 0961 2345 6769"
+
+
+@pytest.mark.parametrize("text,values", [
+    (f"{CARD} 12/27", [CARD]), ("4111111111111111 123, next", ["4111111111111111"]), (f"pay {IBAN} EUR now", [IBAN]), (f"{IBAN} EUROPE {IBAN} EUR", [IBAN, IBAN]),
+    (f"{CARD} 12/05/2027", [CARD, "12/05/2027"]), (f"no 12 {CARD}", [CARD]), (f"1234 {CARD} 123", [CARD]), ("3782 822463 10005 1234", ["3782 822463 10005"]),
+    (f"{CARD} 123 {CARD}", [CARD, CARD]), (f"{IBAN} {CARD} 12/27", [IBAN, CARD]), ("4111-1111-1111-1111 12/27 a@b.org", ["4111-1111-1111-1111", "a@b.org"]),
+    (f"AB12 {CARD} x", [CARD]), ("41 11 11 11 11 11 11 11.", ["41 11 11 11 11 11 11 11"]), ("4111 1111 1111 1112 12/27", [])])
+def test_pii_values_before_digits_and_words(spark, text, values):
+    got = pii.pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [x.value for x in got.pii] == values
+    want = text
+    for x in got.pii:
+        want = want.replace(x.value, x.pseudonym, 1)
+        assert x.kind != "card" or luhn(re.sub(r"\D", "", x.pseudonym))
+    assert got.text == want
+
+
 def test_pii_is_a_permutation(spark):
     from pyspark.sql import functions as F
     days = spark.sql("SELECT id AS doc_id, date_format(date_add(date'1900-01-01', cast(id AS int)), 'yyyy-MM-dd') AS text FROM range(36525, 38525)")
