@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -12,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_of
+from .common import map_batches, stored, text_of
 
 FIT_DOCS = {1: 1200, 0: 2000}  # labelled rows used to fit, by label; picked by hash of the id
-FIT_CHARS = 24_000_000  # and their total length
+FIT_CHARS = 24_000_000  # and their total length, shared by the labels as FIT_DOCS is
 SEGMENT = 48  # tokens of a training chain
-FIT_SEGMENTS = 6000
+FIT_SEGMENTS = 6000  # chains of them that the weights are fitted on
 STEMS = (4, 5, 6, 7)
 CACHE_WORDS = 300_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -266,20 +267,32 @@ def held_out(id_col: str = "doc_id"):
 
 
 def fit_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """A bounded sample of labelled rows outside the held-out fifth: (text, label), at most FIT_DOCS by label and FIT_CHARS in all."""
+    """A bounded sample of labelled rows outside the held-out fifth: (text, label), at most FIT_DOCS by label and FIT_CHARS in all.
+
+    An id counts once (its smallest text).  Each label has its own share of FIT_CHARS; a text that no longer fits is
+    passed by for the next.  If labelled documents of a label exist and none fits, that is an error.
+    """
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    picked = None
+    picked, most = None, {y: FIT_CHARS * n // sum(FIT_DOCS.values()) for y, n in FIT_DOCS.items()}
     for y, n in FIT_DOCS.items():
         some = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
         picked = some if picked is None else picked.union(some)
-    out, total = [], 0
-    rows = text_of(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "text")
-    for r in rows.limit(sum(FIT_DOCS.values())).select("text", "toxic").toLocalIterator():
-        total += len(r.text)
-        if total > FIT_CHARS:
-            break
-        out.append((r.text, int(r.toxic)))
-    return out
+    fits = F.when(F.length("text") <= F.when(F.col("toxic") == 1, most[1]).otherwise(most[0]), F.col("text"))
+    rows = stored(text_of(docs, id_col, text_col).join(F.broadcast(picked), "doc_id").withColumn("text", fits)
+                  .groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).withColumn("h", F.xxhash64("doc_id")), "fit")
+    left, chosen, missing = dict(most), [], set(FIT_DOCS)
+    there = rows.select("doc_id", F.col("toxic").cast("int").alias("y"), F.length("text").alias("n"), "h").orderBy("h", "doc_id").collect()
+    for r in there:
+        if r.n is not None and r.n <= left[r.y]:
+            left[r.y] -= r.n
+            missing.discard(r.y)
+            chosen.append(r.doc_id)
+    if any(r.y in missing for r in there):
+        raise ValueError(f"no picked document of label {sorted(missing)} is short enough to fit on: at most {most} characters")
+    if len(missing) == 1 and known.where(F.col("toxic") == min(missing)).limit(1).count():
+        warnings.warn(f"label {min(missing)} has labelled ids, but none of the picked ones is among the documents", stacklevel=2)
+    kept = rows.where(F.col("doc_id").isin(chosen)).orderBy("h", "doc_id") if chosen else rows.limit(0)
+    return [(r.text, int(r.toxic)) for r in kept.select("text", "toxic").toLocalIterator()]
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

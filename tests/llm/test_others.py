@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.llm import LLM_ORACLES, LLM_QUERIES, embedding_dedup, html_text, pii, toxicity
 
@@ -213,6 +214,24 @@ def test_held_out_rows_are_not_learnt_from(spark):
     assert used == {i for i in range(200) if zlib.crc32(str(i).encode()) % 5}
 
 
+def test_fitting_sample_keeps_both_labels(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "FIT_CHARS", 32_000)
+    monkeypatch.setattr(toxicity, "FIT_DOCS", {1: 12, 0: 20})
+    ids = [r.id for r in spark.range(60).where(~toxicity.held_out("id")).selectExpr("id").orderBy(F.xxhash64("id"), "id").collect()]
+    labels = spark.createDataFrame([(i, int(k % 4 == 1)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    texts = {i: f"text {i}" for i in ids}
+    texts[ids[0]] = "x" * 40_000  # longer than all, the first in order
+    rows = [*texts.items(), *[(ids[2], texts[ids[2]])] * 500]  # and one row again and again
+    got = toxicity.fit_rows(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    bad = [texts[i] for i in ids[1::4]][:12]
+    assert [t for t, y in got if y] == bad and len({t for t, _ in got}) == len(got) == len(bad) + 19
+    long = spark.createDataFrame([(i, "x" * 40_000 if k % 4 == 1 else "short") for k, i in enumerate(ids)], "doc_id long, text string")
+    with pytest.raises(ValueError, match="label"):
+        toxicity.fit_rows(long, labels)
+    with pytest.warns(UserWarning, match="label 1"):
+        toxicity.fit_rows(spark.createDataFrame([(i, "short") for k, i in enumerate(ids) if k % 4 != 1], "doc_id long, text string"), labels)
+
+
 def test_marginals_match_enumeration():
     import itertools
     rng = np.random.default_rng(9)
