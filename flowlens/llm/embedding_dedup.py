@@ -18,6 +18,7 @@ PIVOTS = 256  # of it, far from each other, so that a dense group does not use t
 APART = 0.8  # no two reference points have a larger cosine: vectors near each other share theirs
 PREFIX = 8  # nearest pivots that describe a vector
 SHARED = 2  # pivots that a candidate pair has in common, at least
+MAX_LENGTHS = 64  # each length of vectors has reference points of its own; more lengths are an error
 BLOCK = 2048  # longer lists are compared as tiles of blocks
 
 
@@ -69,14 +70,22 @@ def first_shared(a: np.ndarray, b: np.ndarray, n_pivots: int) -> np.ndarray:
     return common[:, 0] * n_pivots + common[:, 1]
 
 
-def list_links(batches, n_pivots: int, min_cosine: float):
+def of_one_length(t: pa.Table):
+    """The parts of a table, sorted by label and dim, that hold vectors of one length, in order."""
+    dim = t.column("dim").to_numpy()
+    cut = [0, *(np.flatnonzero(np.diff(dim)) + 1).tolist(), t.num_rows]
+    yield from (t.slice(s, e - s) for s, e in zip(cut, cut[1:], strict=False))
+
+
+def list_links(batches, n_pivots: dict[int, int], min_cosine: float):
     """Verified pairs of each list or tile, counted where the pair is settled: (id, add, peer) with add = copies linked, peer from a spanning forest."""
-    for t in sorted_groups(batches, ["label", "list", "ti", "tj"], rows=8192):
+    for t in (part for g in sorted_groups(batches, ["label", "dim", "list", "ti", "tj"], rows=8192) for part in of_one_length(g)):
         cols = {k: t.column(k).to_numpy() for k in ("label", "list", "ti", "tj", "blk", "node", "copies")}
-        dim = len(t.column("vec")[0])
+        dim = t.column("dim")[0].as_py()
         x = t.column("vec").combine_chunks().flatten().to_numpy().reshape(-1, dim)
         pre = t.column("prefix").combine_chunks().flatten().to_numpy()
         pre = pre.reshape(t.num_rows, -1)
+        n = n_pivots[dim]
         new = np.ones(t.num_rows, bool)
         new[1:] = np.any([cols[k][1:] != cols[k][:-1] for k in ("label", "list", "ti", "tj")], axis=0)
         start = np.flatnonzero(new)
@@ -97,7 +106,7 @@ def list_links(batches, n_pivots: int, min_cosine: float):
                 if not len(a):
                     continue
                 exact = np.einsum("ij,ij->i", x[a], x[b]) >= min_cosine
-                settled = first_shared(pre[a], pre[b], n_pivots) == cols["list"][s] if n_pivots > 1 else np.ones(len(a), bool)
+                settled = first_shared(pre[a], pre[b], n) == cols["list"][s] if n > 1 else np.ones(len(a), bool)
                 la.append(a[exact & settled])
                 lb.append(b[exact & settled])
         if not la:
@@ -123,7 +132,8 @@ def embedding_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, pivots:
     Ids must be integers; repeated rows count as vectors; empty input gives an
     empty result.
 
-    Equal vectors are made one first.  Of a bounded sample (SAMPLE, smallest
+    Equal vectors are made one first.  Each length of vectors (at most
+    MAX_LENGTHS with two or more vectors) is indexed by itself.  Of a bounded sample (SAMPLE, smallest
     digests) ``pivots`` far from each other are the reference points; each
     vector is described by its ``prefix`` nearest, in order, and stands in the inverted list of every
     pair of them, so that two vectors meet in a list when they share at least
@@ -135,33 +145,42 @@ def embedding_dedup(vectors: DataFrame, min_cosine: float = MIN_COSINE, pivots:
     key = ["label", "digest"]
     one = stored(rows.where("digest is not null").groupBy(*key).agg(
         F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("vec").alias("vec")).where("node is not null"), "distinct")
-    dims = [r[0] for r in one.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").select("d").limit(1).collect()]
-    if not dims:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = [r[0] for r in one.where(F.size("vec") == dims[0]).orderBy("digest", "label").limit(max(pivots, SAMPLE)).select("vec").collect()]
-    points = spread(unit([np.array(v) for v in sample]), pivots)
-    n, k = len(points), min(prefix, len(points))
-    low, high = np.triu_indices(k, 1)
+    dims = [r.d for r in one.groupBy(F.size("vec").alias("d")).agg(F.count("*").alias("n")).where("n > 1").orderBy("d").limit(MAX_LENGTHS + 1).collect()]
+    if len(dims) > MAX_LENGTHS:
+        raise ValueError(f"vectors of more than {MAX_LENGTHS} lengths")
+    points = {}  # reference points by length
+    for d in dims:
+        sample = [r[0] for r in one.where(F.size("vec") == d).orderBy("digest", "label").limit(max(pivots, SAMPLE)).select("vec").collect()]
+        points[d] = spread(unit([np.array(v) for v in sample]), pivots)
 
     def index(batch):
-        x = unit(_matrix(batch.column("vec")))
-        pre = np.sort(nearest(x, points, k), axis=1)
-        lists = (pre[:, low].astype(np.int32) * n + pre[:, high]) if n > 1 else np.zeros((len(x), 1), np.int32)
-        at = pa.array(np.repeat(np.arange(len(x)), lists.shape[1]))
-        vec = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
-        pref = pa.FixedSizeListArray.from_arrays(pa.array(pre.astype(np.int32).ravel()), k).cast(pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([batch.column("label").take(at), pa.array(lists.ravel()), batch.column("node").take(at), batch.column("copies").take(at),
-                                           pref.take(at), vec.take(at)], names=["label", "list", "node", "copies", "prefix", "vec"])
-
-    entries = map_batches(one.where(F.size("vec") == dims[0]).select("label", "node", "copies", "vec"), index,
-                          "label long, list int, node long, copies long, prefix array<int>, vec array<double>", rows=1000)
-    sizes = entries.groupBy("label", "list").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int"))
-    tiled = (entries.join(sizes.select("label", "list", "blocks"), ["label", "list"])
+        vectors = _matrix(batch.column("vec"))
+        size = np.array([len(v) for v in vectors])
+        parts = []
+        for d in np.unique(size).tolist():
+            own = np.flatnonzero(size == d)
+            x = unit([vectors[i] for i in own])
+            n, k = len(points[d]), min(prefix, len(points[d]))
+            low, high = np.triu_indices(k, 1)
+            pre = np.sort(nearest(x, points[d], k), axis=1)
+            lists = (pre[:, low].astype(np.int32) * n + pre[:, high]) if n > 1 else np.zeros((len(x), 1), np.int32)
+            at = pa.array(np.repeat(np.arange(len(x)), lists.shape[1]))
+            rows = pa.array(own).take(at)
+            vec = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), d).cast(pa.list_(pa.float64()))
+            pref = pa.FixedSizeListArray.from_arrays(pa.array(pre.astype(np.int32).ravel()), k).cast(pa.list_(pa.int32()))
+            parts.append(pa.RecordBatch.from_arrays([batch.column("label").take(rows), pa.array(np.full(len(at), d, np.int32)), pa.array(lists.ravel()), batch.column("node").take(rows),
+                                                     batch.column("copies").take(rows), pref.take(at), vec.take(at)], names=["label", "dim", "list", "node", "copies", "prefix", "vec"]))
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    entries = map_batches(one.where(F.size("vec").isin(dims)).select("label", "node", "copies", "vec"), index,
+                          "label long, dim int, list int, node long, copies long, prefix array<int>, vec array<double>", rows=1000)
+    sizes = entries.groupBy("label", "dim", "list").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / F.lit(block)).cast("int"))
+    tiled = (entries.join(sizes.select("label", "dim", "list", "blocks"), ["label", "dim", "list"])
              .withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
              .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("ti", F.least("blk", "o")).withColumn("tj", F.greatest("blk", "o")).drop("o", "blocks"))
-    found = stored(tiled.repartition("label", "list", "ti", "tj").sortWithinPartitions("label", "list", "ti", "tj")
-                   .mapInArrow(lambda b: list_links(b, n, min_cosine), "id long, add long, peer long"), "links")
+    found = stored(tiled.repartition("label", "dim", "list", "ti", "tj").sortWithinPartitions("label", "dim", "list", "ti", "tj")
+                   .mapInArrow(lambda b: list_links(b, {d: len(x) for d, x in points.items()}, min_cosine), "id long, add long, peer long"), "links")
     counts = found.groupBy("id").agg(F.sum("add").alias("links"))
     comp = components(found.where("peer is not null").select(F.col("id").alias("a"), F.col("peer").alias("b")))
     named = (one.join(counts, F.col("node") == F.col("id"), "left").join(comp.withColumnRenamed("node", "__n"), F.col("node") == F.col("__n"), "left")

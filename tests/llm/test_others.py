@@ -47,6 +47,18 @@ def test_embedding_dedup(spark, kw):
     assert sorted(tuple(r) for r in embedding_dedup.embedding_dedup(df, **kw).collect()) == brute_links(rows)
 
 
+def test_embedding_dedup_of_several_lengths(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for dim, n in ((8, 120), (5, 90), (3, 1)):
+        centres = rng.normal(size=(20, dim))
+        rows += [(len(rows) + i, [float(x) for x in centres[rng.integers(20)] + 0.1 * rng.normal(size=dim)], int(rng.integers(2))) for i in range(n)]
+    want = brute_links(rows)
+    assert all(sum(links for i, links, *_ in want if a <= i < b) for a, b in ((0, 120), (120, 210)))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert sorted(tuple(r) for r in embedding_dedup.embedding_dedup(df).collect()) == want
+
+
 def test_embedding_dedup_empty(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embedding_dedup.embedding_dedup(df).count() == 0
