@@ -110,7 +110,7 @@ SELECT flow_key, CAST(protocol_name = 'ICMP' AS INTEGER) AS protocol_name_ICMP,
 
 # ENC-2: fit on train (rare class held out), apply to test: unseen -> zeros ------------------------------
 def _one_hot_fit_apply(spark, sf):
-    trn, tst = _split_std(spark, sf)
+    trn, tst = _split_std(spark, sf, ["attack_type"])
     cats = enc.fit_categories(trn.filter(F.col("attack_type") != "Worms"), ["attack_type"])
     return enc.one_hot(tst.select("flow_key", "attack_type"), cats)
 
@@ -136,7 +136,7 @@ SELECT flow_key, round((bytes_in - mb) / sb, 5) AS bytes_in_z, round((duration_m
 
 # ENC-4: smoothed target encoding fitted on train ----------------------------------------------------------
 def _target(spark, sf):
-    trn, tst = _split_std(spark, sf)
+    trn, tst = _split_std(spark, sf, ["protocol_name", "dst_port"])
     e = enc.fit_target_encoder(trn, ["protocol_name", "dst_port"], "binary_label")
     return rounded(enc.apply_target_encoder(tst, e, ["protocol_name", "dst_port"], "_te")
                    .select("flow_key", "protocol_name_te", "dst_port_te"))

@@ -26,11 +26,11 @@ from .sqltext import with_fx, with_li
 FEATS = ["duration_ms", "bytes_in", "packets_in"]
 
 
-def _split_std(spark, sf):
-    """Train/test split of the flow features, materialized once: it feeds
+def _split_std(spark, sf, cols=FEATS):
+    """Train/test split of the wanted columns, materialized once: it feeds
     the fit, the threshold and the scoring jobs."""
     from ..session import cut_lineage
-    s = cut_lineage(_split_std_lazy(spark, sf).select("flow_key", "binary_label", "split", *FEATS))
+    s = cut_lineage(_split_std_lazy(spark, sf).select("flow_key", "binary_label", "split", *cols))
     return s.filter("split = 'train'").drop("split"), s.filter("split = 'test'").drop("split")
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from flowlens import fixtures as fx
 from flowlens.operators import adapters as ad
 from flowlens.operators import aggregate as agg

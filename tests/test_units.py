@@ -5,7 +5,7 @@ import tempfile
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from paths import SF_SMALL
 from flowlens import fixtures as fx
 from flowlens.operators import adapters as ad
 from flowlens.operators import cleaning as cl
