@@ -10,6 +10,17 @@ window over the partial lists keeps the k best (k·B rows per id, bounded).
 Cost: n²·d/2 flops spread over B²/2 tasks; shuffle B·n vectors + n·k·B partials.
 B is the larger of what keeps a block at 2,000 rows (a tile of 32 MB) and what
 gives every task slot of the session a tile.
+
+Above PRUNE_ABOVE rows the same results come from a partitioned search.  A
+bounded set of rows are pivots; a row's cell is its nearest pivot, a cell is
+cut into rings by distance to it, a ring into salted units of about
+ROWS_PER_BLOCK rows.  By the triangle inequality no row of a ring is closer to
+x than max(d(x, pivot) - outer, inner - d(x, pivot)).  A neighbour search first
+looks in the row's own unit, which bounds its k-th distance, and then sends the
+row to the units that may hold something closer; a radius search sends it to
+the units within the radius, each pair of units in one direction only.  A unit
+that many rows visit is split by visitors.  On vectors without structure all
+units are visited and the work is that of the block pairs, twice.
 """
 
 from __future__ import annotations
@@ -25,6 +36,11 @@ PAIR_SCHEMA = "src long, dst long, dist double"
 
 
 ROWS_PER_BLOCK = 2000
+PRUNE_ABOVE = 20_000  # rows; below that the block pairs take seconds
+MAX_PIVOTS = 2048
+MAX_RINGS = 64
+VISITORS = 4  # times ROWS_PER_BLOCK that meet a unit in one group
+UNIT = ["_cell", "_ring", "_salt"]
 
 
 def _auto_blocks(df: DataFrame, n_blocks: int | None) -> int:
@@ -97,27 +113,233 @@ def _tile_fn(k: int | None, eps: float | None, metric: str, strict: bool, exclud
     return fn
 
 
+def _vectors(pdf: pd.DataFrame) -> np.ndarray:
+    return np.stack(pdf["_v"].to_numpy()).astype(float) if len(pdf) else np.empty((0, 0))
+
+
+def _plain(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Euclidean distances to the pivots, row by row of the smaller side."""
+    return _distances(pivots, x, "euclidean").T
+
+
+class Partitions:
+    """Rows in units (cell, ring, salt) of bounded size, with the distance range of every ring.
+
+    ``rows``: _id, _v, _x (what distances are bounded on: the vector, or its
+    unit vector for cosine), _dp, _near (k-th distance to other pivots) and the
+    unit; stored.  ``rings``: at most MAX_PIVOTS * MAX_RINGS entries.
+    """
+
+    def __init__(self, df: DataFrame, id_col: str, vec: str, metric: str, k: int, unit_rows: int):
+        from ..session import cut_lineage
+        self.metric = metric
+        v = F.col(vec).cast("array<double>")
+        usable = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        d = df.select(F.col(id_col).cast("long").alias("_id"), v.alias("_v")).filter(usable)
+        if metric == "cosine":
+            norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, x: a + x * x))
+            d = d.withColumn("_n", norm).withColumn("_x", F.transform("_v", lambda x: x / F.col("_n"))).drop("_n")
+        else:
+            d = d.withColumn("_x", F.col("_v"))
+        d = cut_lineage(d)
+        n = d.count()
+        wanted = max(1, min(MAX_PIVOTS, math.ceil(n / unit_rows)))
+        first = d.orderBy(F.xxhash64("_id"), "_id").limit(wanted).select("_id", "_x").collect()
+        ids, points = np.array([r[0] for r in first], np.int64), np.array([r[1] for r in first], float)
+
+        def assign(batches, ids=ids, points=points):
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                x = np.stack(pdf["_x"].to_numpy()).astype(float)
+                dist = _plain(x, points)
+                cell = dist.argmin(axis=1)
+                pdf["_cell"], pdf["_dp"] = cell.astype("int32"), dist[np.arange(len(x)), cell]
+                dist[pdf["_id"].to_numpy()[:, None] == ids[None, :]] = np.inf
+                pdf["_near"] = np.partition(dist, k - 1, axis=1)[:, k - 1] if 0 < k <= dist.shape[1] else np.inf
+                yield pdf
+        d = cut_lineage(d.mapInPandas(assign, "_id long, _v array<double>, _x array<double>, _cell int, _dp double, _near double"))
+        rings = max(1, min(MAX_RINGS, math.ceil(n / (max(1, len(first)) * unit_rows))))
+        cuts = d.groupBy("_cell").agg(F.percentile_approx("_dp", [i / rings for i in range(1, rings)] or [0.5]).alias("_cuts"))  # one row a pivot
+        ring = F.size(F.filter("_cuts", lambda c: c < F.col("_dp"))) if rings > 1 else F.lit(0)
+        d = d.join(F.broadcast(cuts), "_cell").withColumn("_ring", ring).drop("_cuts")
+        table = (d.groupBy("_cell", "_ring").agg(F.min("_dp").alias("lo"), F.max("_dp").alias("hi"), F.count(F.lit(1)).alias("rows"))
+                 .withColumn("_salts", F.ceil(F.col("rows") / F.lit(unit_rows)).cast("int")).orderBy("_cell", "_ring"))
+        found = table.collect()  # bounded by MAX_PIVOTS * MAX_RINGS
+        self.points, self.size = points, n
+        self.cell, self.ring, self.salts = (np.array([r[c] for r in found], np.int64) for c in ("_cell", "_ring", "_salts"))
+        self.low, self.high = (np.array([r[c] for r in found], float) for c in ("lo", "hi"))
+        self.rows = d.join(F.broadcast(table.select("_cell", "_ring", "_salts")), ["_cell", "_ring"]) \
+            .withColumn("_salt", F.pmod(F.xxhash64("_id"), F.col("_salts")).cast("int")).drop("_salts")
+
+    def visits(self, asking: DataFrame, once: bool) -> DataFrame:
+        """One row for each unit other than its own that a row of ``asking`` (with ``_tau``, its largest useful
+        distance) must look into; ``once``: only units after its own."""
+        cell, ring, salts, low, high, points, cosine = self.cell, self.ring, self.salts, self.low, self.high, self.points, self.metric == "cosine"
+        flat = np.repeat(np.arange(len(cell)), salts)  # units, in order
+        salt = np.arange(len(flat)) - np.repeat(np.cumsum(salts) - salts, salts)
+
+        def run(batches):
+            for whole in batches:
+                for s in range(0, len(whole), 256):
+                    pdf = whole.iloc[s:s + 256]
+                    x = np.stack(pdf["_x"].to_numpy()).astype(float)
+                    dist = _plain(x, points)[:, cell]
+                    bound = np.maximum(dist - high, low - dist)
+                    tau = pdf["_tau"].to_numpy()
+                    reach = np.sqrt(2 * np.maximum(tau, 0)) if cosine else tau  # of unit vectors
+                    at = np.nonzero(bound <= (reach * (1 + 1e-9) + 1e-7 * (1 + dist.max(initial=0)))[:, None])
+                    q, u = np.repeat(at[0], salts[at[1]]), np.repeat(np.cumsum(salts) - salts, 1)[at[1]]
+                    u = np.repeat(u, salts[at[1]]) + np.arange(len(q)) - np.repeat(np.cumsum(salts[at[1]]) - salts[at[1]], salts[at[1]])
+                    c, r, t = cell[flat[u]], ring[flat[u]], salt[u]
+                    own = np.stack([pdf[n].to_numpy()[q] for n in UNIT])
+                    there = np.stack([c, r, t])
+                    after = (there[0] > own[0]) | ((there[0] == own[0]) & ((there[1] > own[1]) | ((there[1] == own[1]) & (there[2] > own[2]))))
+                    keep = after if once else (there != own).any(axis=0)
+                    q = q[keep]
+                    yield pd.DataFrame({"_cell": c[keep].astype("int32"), "_ring": r[keep].astype("int32"), "_salt": t[keep].astype("int32"),
+                                        "_id": pdf["_id"].to_numpy()[q], "_v": pdf["_v"].to_numpy()[q], "_tau": tau[q]})
+        return asking.select(*UNIT, "_id", "_v", "_x", "_tau").mapInPandas(run, "_cell int, _ring int, _salt int, _id long, _v array<double>, _tau double")
+
+    def met(self, visits: DataFrame, fn, chunk: int) -> DataFrame:
+        """``fn(members, visitors)`` of every unit and each group of at most about ``chunk`` of its visitors."""
+        many = visits.groupBy(*UNIT).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("int").alias("_chunks"))
+        member = (self.rows.join(many, UNIT).withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+                  .select(*UNIT, "_chunk", F.lit(0).alias("_side"), "_id", "_v", F.lit(0.0).alias("_tau")))
+        visitor = (visits.join(many, UNIT).withColumn("_chunk", F.pmod(F.xxhash64("_id", F.lit(7)), F.col("_chunks")).cast("int"))
+                   .select(*UNIT, "_chunk", F.lit(1).alias("_side"), "_id", "_v", "_tau"))
+
+        def run(pdf):
+            return fn(pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1])
+        return member.unionByName(visitor).groupBy(*UNIT, "_chunk").applyInPandas(run, PAIR_SCHEMA)
+
+    def own(self, fn) -> DataFrame:
+        return self.rows.select(*UNIT, "_id", "_v").groupBy(*UNIT).applyInPandas(fn, PAIR_SCHEMA)
+
+
+def _pairs(src, dst, dist) -> pd.DataFrame:
+    return pd.DataFrame({"src": np.asarray(src, "int64"), "dst": np.asarray(dst, "int64"), "dist": np.asarray(dist, "float64")})
+
+
+def _knn_visits(parts: Partitions, k: int, exclude_self: bool):
+    """(best of the own unit, visits): the own unit and the pivots bound each row's k-th distance."""
+    from ..session import cut_lineage
+    metric = parts.metric
+
+    def own(pdf):
+        ids = pdf["_id"].to_numpy()
+        x = _vectors(pdf)
+        dist = _distances(x, x, metric)
+        if exclude_self:
+            dist[ids[:, None] == ids[None, :]] = np.inf
+        return _pairs(*_best(dist, ids, ids, k))
+    best = cut_lineage(parts.own(own))
+    tau = best.groupBy("src").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("_kth"))
+    near = F.col("_near") * F.col("_near") / 2 if metric == "cosine" else F.col("_near")
+    asking = parts.rows.join(tau, F.col("_id") == F.col("src"), "left").withColumn("_tau", F.least(F.coalesce("_kth", F.lit(float("inf"))), near)).drop("src", "_kth")
+    return best, parts.visits(asking, once=False)
+
+
+def _best_below(k: int, metric: str, exclude_self: bool):
+    def fn(members, visitors):
+        if members.empty or visitors.empty:
+            return _pairs([], [], [])
+        lid, rid = visitors["_id"].to_numpy(), members["_id"].to_numpy()
+        dist = _distances(_vectors(visitors), _vectors(members), metric)
+        if exclude_self:
+            dist[lid[:, None] == rid[None, :]] = np.inf
+        dist[dist > visitors["_tau"].to_numpy()[:, None] * (1 + 1e-9) + 1e-12] = np.inf
+        return _pairs(*_best(dist, lid, rid, k))
+    return fn
+
+
+def _pruned_knn(df: DataFrame, id_col: str, vec: str, k: int, metric: str, exclude_self: bool, unit_rows: int) -> DataFrame:
+    parts = Partitions(df, id_col, vec, metric, k, unit_rows)
+    best, visits = _knn_visits(parts, k, exclude_self)
+    return best.unionByName(parts.met(visits, _best_below(k, metric, exclude_self), VISITORS * unit_rows))
+
+
+def _pruned_radius(df: DataFrame, id_col: str, vec: str, eps: float, metric: str, exclude_self: bool, strict: bool, unit_rows: int) -> DataFrame:
+    parts = Partitions(df, id_col, vec, metric, 0, unit_rows)
+
+    def near(dist):
+        return np.nonzero((dist < eps) if strict else (dist <= eps))
+
+    def own(pdf):
+        ids, x = pdf["_id"].to_numpy(), _vectors(pdf)
+        dist = _distances(x, x, metric)
+        if exclude_self:
+            dist[ids[:, None] == ids[None, :]] = np.inf
+        i, j = near(dist)
+        return _pairs(ids[i], ids[j], dist[i, j])
+
+    def across(members, visitors):
+        if members.empty or visitors.empty:
+            return _pairs([], [], [])
+        a, b = visitors["_id"].to_numpy(), members["_id"].to_numpy()
+        dist = _distances(_vectors(visitors), _vectors(members), metric)
+        if exclude_self:
+            dist[a[:, None] == b[None, :]] = np.inf
+        i, j = near(dist)
+        return _pairs(np.concatenate([a[i], b[j]]), np.concatenate([b[j], a[i]]), np.concatenate([dist[i, j], dist[i, j]]))
+    visits = parts.visits(parts.rows.withColumn("_tau", F.lit(float(eps))), once=True)
+    return parts.own(own).unionByName(parts.met(visits, across, VISITORS * unit_rows))
+
+
+def compared_pairs(df: DataFrame, id_col: str, vec: str, k: int | None = None, eps: float | None = None, metric: str = "euclidean",
+                   unit_rows: int = ROWS_PER_BLOCK) -> DataFrame:
+    """One row: n, pairs (all ordered pairs), compared (ordered pairs whose distance the partitioned search computes) and their share."""
+    parts = Partitions(df, id_col, vec, metric, k or 0, unit_rows)
+    if k is not None:
+        visits = _knn_visits(parts, k, True)[1]
+    else:
+        visits = parts.visits(parts.rows.withColumn("_tau", F.lit(float(eps))), once=True)
+    sizes = parts.rows.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("m"))
+    across = visits.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("q"))
+    done = sizes.join(across, UNIT, "left").agg(F.sum(F.col("m") * (F.col("m") - 1)).alias("a"), F.sum(F.col("m") * F.coalesce("q", F.lit(0)) * (2 if k is None else 1)).alias("b"))
+    pairs = F.lit(float(parts.size) * max(parts.size - 1, 1))
+    return done.select(F.lit(parts.size).cast("long").alias("n"), pairs.cast("long").alias("pairs"), (F.col("a") + F.col("b")).alias("compared"),
+                       ((F.col("a") + F.col("b")) / pairs).alias("share"))
+
+
+def _use_pruned(df: DataFrame, vec: str, metric: str, n_blocks: int | None, pruned: bool | None) -> bool:
+    """Partitioned search where asked for, or by itself above PRUNE_ABOVE rows; cosine with zero vectors has no triangle inequality."""
+    if pruned is None:
+        pruned = n_blocks is None and df.limit(PRUNE_ABOVE + 1).count() > PRUNE_ABOVE
+    if pruned and metric == "cosine":
+        return df.filter(~F.exists(F.col(vec), lambda x: x != 0)).limit(1).count() == 0
+    return pruned
+
+
 def knn_join(df: DataFrame, id_col: str, vec: str, k: int, metric: str = "euclidean",
-             n_blocks: int | None = None, exclude_self: bool = True) -> DataFrame:
+             n_blocks: int | None = None, exclude_self: bool = True, pruned: bool | None = None, unit_rows: int = ROWS_PER_BLOCK) -> DataFrame:
     """Exact k nearest neighbours of every row (self excluded): rows
-    (src, dst, dist, rank), exactly min(k, n-1) per src, ties by dst id."""
+    (src, dst, dist, rank), exactly min(k, n-1) per src, ties by dst id.
+
+    ``pruned``: the partitioned search (True), the block pairs (False), or by size."""
+    w = Window.partitionBy("src").orderBy("dist", "dst")
+    if _use_pruned(df, vec, metric, n_blocks, pruned):
+        pairs = _pruned_knn(df, id_col, vec, k, metric, exclude_self, unit_rows)
+        return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     pairs = _blocks(df, id_col, vec, n_blocks).groupBy("_lb", "_rb").applyInPandas(
         _tile_fn(k, None, metric, True, exclude_self), PAIR_SCHEMA)
-    w = Window.partitionBy("src").orderBy("dist", "dst")
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def radius_join(df: DataFrame, id_col: str, vec: str, eps: float, metric: str = "euclidean",
-                n_blocks: int | None = None, exclude_self: bool = True, strict: bool = True) -> DataFrame:
+                n_blocks: int | None = None, exclude_self: bool = True, strict: bool = True,
+                pruned: bool | None = None, unit_rows: int = ROWS_PER_BLOCK) -> DataFrame:
     """All pairs closer than ``eps`` (output-sensitive; no partner cap)."""
+    if _use_pruned(df, vec, metric, n_blocks, pruned):
+        return _pruned_radius(df, id_col, vec, eps, metric, exclude_self, strict, unit_rows)
     return _blocks(df, id_col, vec, n_blocks).groupBy("_lb", "_rb").applyInPandas(
         _tile_fn(None, eps, metric, strict, exclude_self), PAIR_SCHEMA)
 
 
 def adaptive_join(df: DataFrame, id_col: str, vec: str, k: int = 20, eps: float = 0.5,
-                  metric: str = "euclidean", n_blocks: int | None = None) -> DataFrame:
+                  metric: str = "euclidean", n_blocks: int | None = None, pruned: bool | None = None) -> DataFrame:
     """kNN ∩ (distance < eps): the k nearest, then the threshold."""
-    return knn_join(df, id_col, vec, k, metric, n_blocks).filter(F.col("dist") < eps)
+    return knn_join(df, id_col, vec, k, metric, n_blocks, pruned=pruned).filter(F.col("dist") < eps)
 
 
 def knn_graph(df: DataFrame, id_col: str, vec: str, k: int, symmetric: bool = False,
