@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .encode import _attach_one_row
-from .numbering import exact_quantile
+from .numbering import exact_quantile, exact_quantiles
 
 
 # DET-1 -------------------------------------------------------------------------
@@ -82,41 +82,12 @@ def hbos(train: DataFrame, test: DataFrame, cols: list[str], bins: int = 10, con
     return apply_threshold(hbos_score(test, m), thr)
 
 
-# DET-6 ----------------------------------------------------------------------------
-def hbos_sweep(train: DataFrame, test: DataFrame, cols: list[str], label: str, bins_grid=(5, 10),
-               contaminations=(0.05, 0.1), tie: str = "flow_key") -> DataFrame:
-    """Grid sweep: one fit and one scoring pass per bin count; all
-    contamination thresholds are applied in the same pass (a small table of
-    thresholds joined on a constant); macro-F1 per grid point."""
-    from .evaluate import macro_metrics
-    results = None
-    order = 0
-    for b in bins_grid:
-        m = fit_hbos(train, cols, b)
-        tr = hbos_score(train, m)
-        thrs = None
-        for c in contaminations:
-            t = threshold(tr, c, tie=tie).select(F.lit(c).alias("contamination"), F.lit(order).alias("grid_order"), "threshold")
-            thrs = t if thrs is None else thrs.unionByName(t)
-            order += 1
-        scored = hbos_score(test, m).select(F.col(label).alias("y"), "score")
-        # the few thresholds travel as one scalar array; each row is expanded
-        # once per contamination level (no join)
-        arr = thrs.agg(F.collect_list(F.struct("contamination", "threshold")).alias("_t")).scalar()
-        j = scored.withColumn("_t", F.explode(arr)).select("y", "score", "_t.contamination", "_t.threshold")
-        j = j.withColumn("pred", (F.col("score") > F.col("threshold")).cast("int"))
-        per = None
-        for c in contaminations:
-            mm = macro_metrics(j.filter(F.col("contamination") == c)).select(
-                F.lit(b).alias("bins"), F.lit(c).alias("contamination"), "macro_f1")
-            per = mm if per is None else per.unionByName(mm)
-        g = per.join(thrs.select("contamination", "grid_order").withColumn("bins", F.lit(b)), ["bins", "contamination"])
-        results = g if results is None else results.unionByName(g)
-    return results
-
-
 # DET-2 -----------------------------------------------------------------------------
-def _assemble(df: DataFrame, cols: list[str], out: str = "features"):
+def _assemble(df: DataFrame, cols: list[str] | str, out: str = "features"):
+    """The columns, or the elements of one array column, as a vector."""
+    if isinstance(cols, str):
+        from pyspark.ml.functions import array_to_vector
+        return df.withColumn(out, array_to_vector(cols))
     from pyspark.ml.feature import VectorAssembler
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
@@ -147,16 +118,20 @@ def cblof_score(df: DataFrame, cols: list[str], centres: list[list[float]], larg
     return df.withColumn(out, F.when(own.isin([int(c) for c in large]), F.array_min(d)).otherwise(nearest_large))
 
 
-def cblof(train: DataFrame, test: DataFrame, cols: list[str], k: int = 8, contamination: float = 0.1,
-          alpha: float = 0.9, beta: float = 5.0, seed: int = 42, tie: str = "flow_key") -> DataFrame:
-    """Cluster-based local outlier factor: k-means, large and small clusters by ``large_clusters``, ``cblof_score``."""
+def fit_cblof(train: DataFrame, cols: list[str], k: int = 8, alpha: float = 0.9, beta: float = 5.0, seed: int = 42) -> dict:
+    """k-means centres and the numbers of the large clusters."""
     from pyspark.ml.clustering import KMeans
     km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(_assemble(train, cols))
-    centres = [list(map(float, c)) for c in km.clusterCenters()]
     sizes = {r["cluster"]: r["count"] for r in km.summary.predictions.groupBy("cluster").count().collect()}
-    large = large_clusters(sizes, alpha, beta)
-    thr = threshold(cblof_score(train, cols, centres, large), contamination, tie=tie)
-    return apply_threshold(cblof_score(test, cols, centres, large), thr)
+    return {"cols": list(cols), "centres": [list(map(float, c)) for c in km.clusterCenters()], "large": large_clusters(sizes, alpha, beta), "sizes": sizes}
+
+
+def cblof(train: DataFrame, test: DataFrame, cols: list[str], k: int = 8, contamination: float = 0.1,
+          alpha: float = 0.9, beta: float = 5.0, seed: int = 42, tie: str = "flow_key") -> DataFrame:
+    """Cluster-based local outlier factor: k-means, large and small clusters by ``large_clusters``, ``cblof_score``."""
+    m = fit_cblof(train, cols, k, alpha, beta, seed)
+    thr = threshold(cblof_score(train, cols, m["centres"], m["large"]), contamination, tie=tie)
+    return apply_threshold(cblof_score(test, cols, m["centres"], m["large"]), thr)
 
 
 # DET-3 ------------------------------------------------------------------------------
@@ -171,34 +146,37 @@ def pca_score(df: DataFrame, zcols: list[str], components: list[list[float]], we
     return df.withColumn(out, total)
 
 
-def pca_outlier(train: DataFrame, test: DataFrame, cols: list[str], n_components: int | None = None,
-                contamination: float = 0.1, tie: str = "flow_key") -> DataFrame:
-    """PCA outlier score on standardized features: weighted distances to the eigenvectors (``pca_score``)."""
+def fit_pca(train: DataFrame, cols: list[str], n_components: int | None = None) -> dict:
+    """Scaler statistics, components (unit vectors) of the standardized features and their shares of the variance."""
     from pyspark.ml.feature import PCA
     from .encode import apply_scaler, fit_scaler
-    st = fit_scaler(train, cols)
-    tr = apply_scaler(train, st, cols, "_z")
-    zc = [c + "_z" for c in cols]
-    k = n_components or len(cols)
-    model = PCA(k=k, inputCol="features", outputCol="_pc").fit(_assemble(tr, zc))
-    comps = model.pc.toArray().T.tolist()  # k unit vectors
-    share = [float(v) for v in model.explainedVariance.toArray()]
+    from ..session import cut_lineage
+    st = cut_lineage(fit_scaler(train, cols))  # one row, read by every scoring job
+    model = PCA(k=n_components or len(cols), inputCol="features", outputCol="_pc").fit(
+        _assemble(apply_scaler(train, st, cols, "_z"), [c + "_z" for c in cols]))
+    return {"cols": list(cols), "stats": st, "components": model.pc.toArray().T.tolist(), "shares": [float(v) for v in model.explainedVariance.toArray()]}
+
 
-    def score(df):
-        return pca_score(apply_scaler(df, st, cols, "_z"), zc, comps, share).drop(*zc)
+def pca_apply(df: DataFrame, model: dict) -> DataFrame:
+    from .encode import apply_scaler
+    zc = [c + "_z" for c in model["cols"]]
+    return pca_score(apply_scaler(df, model["stats"], model["cols"], "_z"), zc, model["components"], model["shares"]).drop(*zc)
 
-    thr = threshold(score(train), contamination, tie=tie)
-    return apply_threshold(score(test), thr)
+
+def pca_outlier(train: DataFrame, test: DataFrame, cols: list[str], n_components: int | None = None,
+                contamination: float = 0.1, tie: str = "flow_key") -> DataFrame:
+    """PCA outlier score on standardized features: weighted distances to the eigenvectors (``pca_score``)."""
+    m = fit_pca(train, cols, n_components)
+    thr = threshold(pca_apply(train, m), contamination, tie=tie)
+    return apply_threshold(pca_apply(test, m), thr)
 
 
 # DET-4 ------------------------------------------------------------------------------
-def isolation_forest(train: DataFrame, test: DataFrame, cols: list[str], trees: int = 50, sample: int = 256,
-                     contamination: float = 0.1, seed: int = 42, tie: str = "flow_key") -> DataFrame:
-    """Isolation forest.  ``trees * sample`` rows are drawn once by hash rank
+def fit_forest(train: DataFrame, cols: list[str], trees: int = 50, sample: int = 256, seed: int = 42, tie: str = "flow_key") -> dict:
+    """Isolation trees.  ``trees * sample`` rows are drawn once by hash rank
     and dealt to the trees in hash order (fewer rows: all of them, several
-    times over with another hash), trees are grown in parallel with
-    ``groupBy(tree).applyInPandas`` (a tree of 256 points is tiny), then the
-    forest is broadcast and rows are scored in Arrow batches."""
+    times over with another hash); trees are grown in parallel with
+    ``groupBy(tree).applyInPandas`` (a tree of 256 points is tiny)."""
     import numpy as np
     import pandas as pd
     from .numbering import dense_index
@@ -252,7 +230,16 @@ def isolation_forest(train: DataFrame, test: DataFrame, cols: list[str], trees:
     for t in sorted(model):
         nodes = sorted(model[t], key=lambda r: r["node"])
         arrays.append(tuple(np.array([r[c] for r in nodes]) for c in ("feature", "split", "left", "right", "size")))
-    bc = train.sparkSession.sparkContext.broadcast(arrays)
+    return {"cols": list(cols), "trees": arrays, "sample": sample}
+
+
+def forest_score(df: DataFrame, model: dict, out: str = "score") -> DataFrame:
+    """2 ** -(mean path length / expected length); the forest (trees x 2 * sample nodes) is broadcast, rows are scored in Arrow batches."""
+    import numpy as np
+    import pandas as pd
+    bc = df.sparkSession.sparkContext.broadcast(model["trees"])
+    sample = model["sample"]
+    height = int(math.ceil(math.log2(max(sample, 2))))
 
     def c_factor(n):
         n = np.asarray(n, dtype=float)
@@ -281,15 +268,77 @@ def isolation_forest(train: DataFrame, test: DataFrame, cols: list[str], trees:
             depth += d + c_factor(size[node])
         return pd.Series(2.0 ** (-(depth / len(bc.value)) / cn))
 
-    def score(df):
-        return df.withColumn("score", iso_score(*[F.col(c).cast("double") for c in cols]))
+    return df.withColumn(out, iso_score(*[F.col(c).cast("double") for c in model["cols"]]))
 
-    thr = threshold(score(train), contamination, tie=tie)
-    return apply_threshold(score(test), thr)
+
+def isolation_forest(train: DataFrame, test: DataFrame, cols: list[str], trees: int = 50, sample: int = 256,
+                     contamination: float = 0.1, seed: int = 42, tie: str = "flow_key") -> DataFrame:
+    m = fit_forest(train, cols, trees, sample, seed, tie)
+    thr = threshold(forest_score(train, m), contamination, tie=tie)
+    return apply_threshold(forest_score(test, m), thr)
+
+
+# DET-6, any detector ------------------------------------------------------------------
+# name -> fit(train, cols, parameter): a function that adds ``score``
+DETECTORS = {
+    "hbos": lambda train, cols, p: (lambda m: lambda df: hbos_score(df, m))(fit_hbos(train, cols, p)),
+    "cblof": lambda train, cols, p: (lambda m: lambda df: cblof_score(df, cols, m["centres"], m["large"]))(fit_cblof(train, cols, p)),
+    "pca": lambda train, cols, p: (lambda m: lambda df: pca_apply(df, m))(fit_pca(train, cols, p)),
+    "forest": lambda train, cols, p: (lambda m: lambda df: forest_score(df, m))(fit_forest(train, cols, p)),
+}
+SWEEP_SCHEMA = "detector string, param int, grid_order int, contamination double, threshold double, macro_f1 double, error string"
+
+
+def _macro_f1(tp: Column, fp: Column, positives: Column, negatives: Column) -> Column:
+    """Mean F1 of the classes that occur as a label or a prediction, from the counts of class 1."""
+    def f1(hit, predicted, real):
+        return F.when(predicted + real > 0, 2.0 * hit / (predicted + real))
+    one = f1(tp, tp + fp, positives)
+    zero = f1(negatives - fp, negatives - fp + positives - tp, negatives)
+    return (F.coalesce(one, F.lit(0.0)) + F.coalesce(zero, F.lit(0.0))) / (one.isNotNull().cast("int") + zero.isNotNull().cast("int"))
+
+
+def sweep(train: DataFrame, test: DataFrame, cols: list[str], label: str, detector: str, params: list[int], contaminations: list[float],
+          benign_only: bool = False) -> DataFrame:
+    """One row for each parameter and contamination: threshold and macro-F1 (SWEEP_SCHEMA).
+
+    A parameter costs one fit, one scoring pass over the training rows, whose
+    scores give the thresholds of all contaminations at once
+    (``exact_quantiles``), and one over the test rows, whose confusion counts
+    under all thresholds are one aggregate.  ``benign_only`` fits and sets
+    thresholds on training rows with label 0.  A parameter that the detector
+    refuses gives one row with ``error``, and the sweep goes on."""
+    from ..session import cut_lineage
+    spark = train.sparkSession
+    train = train.filter(F.col(label) == 0) if benign_only else train
+    out = []
+    for at, p in enumerate(params):
+        point = [F.lit(detector).alias("detector"), F.lit(int(p)).alias("param")]
+        try:
+            score = DETECTORS[detector](train, cols, p)
+            thr = cut_lineage(exact_quantiles(score(train), "score", [1.0 - c for c in contaminations]))
+        except Exception as e:  # noqa: BLE001  any refusal of the fit is a row of the result
+            text = str(e).strip().splitlines() or [type(e).__name__]
+            out.append(spark.range(1).select(*point, F.lit(at * len(contaminations)).alias("grid_order"), F.lit(None).cast("double").alias("contamination"),
+                                             F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("double").alias("macro_f1"), F.lit(text[0][:200]).alias("error")))
+            continue
+        scored = _attach_one_row(score(test).select((F.col(label) == 1).alias("_y"), "score"), thr)
+        counts = [F.count_if(F.col("_y")).alias("_p"), F.count_if(~F.col("_y")).alias("_n"), F.first("quantiles").alias("quantiles")]
+        for i in range(len(contaminations)):
+            hit = F.col("score") > F.col("quantiles")[i]
+            counts += [F.count_if(F.col("_y") & hit).alias(f"_tp{i}"), F.count_if(~F.col("_y") & hit).alias(f"_fp{i}")]
+        row = scored.agg(*counts)
+        levels = [F.struct(F.lit(at * len(contaminations) + i).alias("grid_order"), F.lit(float(c)).alias("contamination"), F.col("quantiles")[i].alias("threshold"),
+                           _macro_f1(F.col(f"_tp{i}"), F.col(f"_fp{i}"), F.col("_p"), F.col("_n")).alias("macro_f1")) for i, c in enumerate(contaminations)]
+        out.append(row.select(F.explode(F.array(*levels)).alias("r")).select(*point, "r.*", F.lit(None).cast("string").alias("error")))
+    found = out[0]
+    for r in out[1:]:
+        found = found.unionByName(r)
+    return found
 
 
 # CLS-1..6 ----------------------------------------------------------------------------
-def train_classifier(df: DataFrame, cols: list[str], label: str, kind: str = "lr", weight: str | None = None,
+def train_classifier(df: DataFrame, cols: list[str] | str, label: str, kind: str = "lr", weight: str | None = None,
                      num_classes: int | None = None, seed: int = 42):
     """pyspark.ml classifier on assembled features: lr, dt, rf, gbt, mlp, svm."""
     from pyspark.ml import classification as C
@@ -305,6 +354,8 @@ def train_classifier(df: DataFrame, cols: list[str], label: str, kind: str = "lr
         est = base.setLabelCol(label) if (num_classes or 2) == 2 else C.OneVsRest(classifier=base, labelCol=label, featuresCol="features")
     elif kind == "mlp":
         k = num_classes or 2
+        if isinstance(cols, str):
+            raise ValueError("a multilayer perceptron needs named columns")
         est = C.MultilayerPerceptronClassifier(labelCol=label, featuresCol="features", layers=[len(cols), 16, k], seed=seed, maxIter=100)
     elif kind == "svm":
         base = C.LinearSVC(featuresCol="features", maxIter=50)
@@ -314,7 +365,7 @@ def train_classifier(df: DataFrame, cols: list[str], label: str, kind: str = "lr
     return est.fit(data)
 
 
-def predict(model, df: DataFrame, cols: list[str]) -> DataFrame:
+def predict(model, df: DataFrame, cols: list[str] | str) -> DataFrame:
     out = model.transform(_assemble(df, cols)).drop("features", "rawPrediction")
     return out.withColumn("pred", F.col("prediction").cast("int"))
 

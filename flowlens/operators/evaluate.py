@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encode import _attach_one_row
-from .numbering import running_sum
+from .numbering import carry_known, running_sum
 
 
 def _g(group):
@@ -134,6 +134,27 @@ def roc_curves(df: DataFrame, y: str, probs: str, k: int) -> DataFrame:
                                                     (F.col("pos_cum") / F.col("_p")).alias("tpr"))
 
 
+def macro_curve(df: DataFrame, y: str, probs: str, k: int) -> DataFrame:
+    """(fpr, tpr): the mean of the one-vs-rest curves over the union of their fpr grids.
+
+    A curve is read at each grid point between its last point before and its
+    first point after (where it has points there, the highest of them); both
+    are carried over range partitions, so no curve is gathered in one task.
+    Classes without rows on one side have no curve and do not count."""
+    curves = roc_curves(df, y, probs, k).filter("curve <> 'micro'").select("curve", "fpr", "tpr")
+    names = curves.select("curve").distinct()  # at most k
+    knots = curves.unionByName(names.select("curve", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))) \
+                  .groupBy("curve", "fpr").agg(F.min("tpr").alias("low"), F.max("tpr").alias("high"))
+    from ..session import cut_lineage
+    knots = cut_lineage(knots)
+    grid = _attach_one_row(knots.select("fpr").distinct(), names.agg(F.sort_array(F.collect_list("curve")).alias("_cs"))) \
+        .select("fpr", F.explode("_cs").alias("curve"))
+    t = grid.join(knots.withColumn("knot", F.struct("fpr", "low", "high")), ["curve", "fpr"], "left").select("curve", "fpr", "knot")
+    t = carry_known(t, ["curve"], ["fpr"], "knot", "_a", "_b")
+    between = F.col("_a.high") + (F.col("fpr") - F.col("_a.fpr")) / (F.col("_b.fpr") - F.col("_a.fpr")) * (F.col("_b.low") - F.col("_a.high"))
+    return t.groupBy("fpr").agg(F.avg(F.when(F.col("knot").isNotNull(), F.col("knot.high")).otherwise(between)).alias("tpr"))
+
+
 def roc_areas(df: DataFrame, y: str, probs: str, k: int) -> DataFrame:
     """(curve, auc) of those curves, and ``macro``: the mean over classes."""
     per = auc(_one_vs_rest(df, y, probs, k), "hit", "s", group="curve").filter(F.col("auc").isNotNull())

@@ -147,19 +147,44 @@ def running_sum(df: DataFrame, order_cols: list[str], cols: list[str], suffix: s
     return out.drop("__pid", "__pos", *[f"_o{i}" for i in range(len(cols))])
 
 
-def exact_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
-    """One row: the linear-interpolation quantile of ``col`` (NumPy/Spark
-    ``percentile`` semantics; nulls ignored) from two exact order statistics.
+def carry_known(df: DataFrame, by: list[str], order_cols: list[str], value: str, before: str, after: str,
+                partitions: int | None = None) -> DataFrame:
+    """Add the last known (non-null) ``value`` at or before each row and the
+    first at or after it, in ``order_cols`` order within each group of ``by``.
 
-    Rows are counted per value, map-side first; prefix sums over the distinct
-    values tell which value holds ranks floor(h) and ceil(h)."""
+    Inside a range partition by windows; over its borders by one row for each
+    partition and group with the first and last value known there."""
+    d = _ranged(df, by + list(order_cols), partitions)
+    known = F.col(value).isNotNull()
+    ends = d.groupBy("__pid", *by).agg(F.max_by(F.when(known, F.col(value)), F.when(known, F.col("__pos"))).alias("_last"),
+                                       F.min_by(F.when(known, F.col(value)), F.when(known, F.col("__pos"))).alias("_first"))
+    up = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*by).orderBy(F.desc("__pid")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("__pid", *by, F.last("_last", ignorenulls=True).over(up).alias("_carried"), F.last("_first", ignorenulls=True).over(down).alias("_coming"))
+    left = Window.partitionBy("__pid", *by).orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    right = Window.partitionBy("__pid", *by).orderBy(F.desc("__pos")).rowsBetween(Window.unboundedPreceding, 0)
+    out = d.join(ends, ["__pid"] + by)
+    out = out.withColumn(before, F.coalesce(F.last(value, ignorenulls=True).over(left), F.col("_carried")))
+    out = out.withColumn(after, F.coalesce(F.last(value, ignorenulls=True).over(right), F.col("_coming")))
+    return out.drop("__pid", "__pos", "_carried", "_coming")
+
+
+def exact_quantiles(df: DataFrame, col: str, qs: list[float]) -> DataFrame:
+    """One row: ``quantiles``, the linear-interpolation quantiles of ``col`` at ``qs`` (NumPy/Spark ``percentile``
+    semantics; nulls ignored).  All of them come from one pass of prefix sums over the counts per distinct value."""
     from .encode import _attach_one_row
     v = df.select(F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     c = running_sum(v.groupBy("_v").agg(F.count(F.lit(1)).alias("_c")), ["_v"], ["_c"], suffix="_up")
-    n = c.agg(F.max("_c_up").alias("_n"))
-    c = _attach_one_row(c, n).withColumn("_h", (F.col("_n") - 1) * F.lit(float(q)))
-    holds = lambda r: (F.col("_c_up") - F.col("_c") <= r) & (r < F.col("_c_up"))
-    lo = F.max(F.when(holds(F.floor("_h")), F.col("_v")))
-    hi = F.max(F.when(holds(F.ceil("_h")), F.col("_v")))
-    frac = F.first("_h") - F.floor(F.first("_h"))
-    return c.agg((lo + frac * (hi - lo)).alias("quantile"))
+    c = _attach_one_row(c, c.agg(F.max("_c_up").alias("_n")))
+    aggs = []
+    for i, q in enumerate(qs):
+        h = (F.col("_n") - 1) * F.lit(float(q))
+        holds = lambda r: (F.col("_c_up") - F.col("_c") <= r) & (r < F.col("_c_up"))
+        aggs += [F.max(F.when(holds(F.floor(h)), F.col("_v"))).alias(f"_lo{i}"), F.max(F.when(holds(F.ceil(h)), F.col("_v"))).alias(f"_hi{i}"),
+                 F.max(h - F.floor(h)).alias(f"_f{i}")]
+    return c.agg(*aggs).select(F.array(*[F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}")) for i in range(len(qs))]).alias("quantiles"))
+
+
+def exact_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
+    """One row: the linear-interpolation quantile of ``col`` from two exact order statistics (``exact_quantiles``)."""
+    return exact_quantiles(df, col, [q]).select(F.col("quantiles")[0].alias("quantile"))

@@ -28,6 +28,47 @@ def _vec_sum_by(df: DataFrame, key: str, vec: str, d: int, weight: Column | None
     return g.select(key, arr.alias(out), F.col("_deg"))
 
 
+# JN-2 --------------------------------------------------------------------------
+def gather_endpoints(edges: DataFrame, nodes: DataFrame, src: dict[str, str] | None = None, dst: dict[str, str] | None = None,
+                     id_col: str = "id", hub_edges: int | None = None) -> DataFrame:
+    """Edges with node columns of their source (``src``: node column -> name) and of their target (``dst``).
+
+    Edges whose end is not a node are left out.  Nothing is broadcast by hint;
+    AQE splits a skewed side of the join.  With ``hub_edges`` the split is
+    explicit: a node with more edges than that on a side is copied, once for
+    each such number, and its edges are dealt to the copies by hash (hubs are
+    at most edges / hub_edges rows)."""
+    out = edges
+    for end, wanted in (("src", src), ("dst", dst)):
+        if not wanted:
+            continue
+        side = nodes.select(F.col(id_col).alias("_end"), *[F.col(c).alias(n) for c, n in wanted.items()])
+        if hub_edges is None:
+            out = out.join(side, out[end] == side["_end"]).drop("_end")
+            continue
+        hubs = out.groupBy(F.col(end).alias("_hub")).agg(F.ceil(F.count(F.lit(1)) / F.lit(hub_edges)).cast("int").alias("_copies")).filter("_copies > 1")
+        salted = out.join(hubs, out[end] == hubs["_hub"], "left").drop("_hub") \
+            .withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in edges.columns]), F.coalesce("_copies", F.lit(1))).cast("int")).drop("_copies")
+        copies = side.join(hubs, side["_end"] == hubs["_hub"], "left").withColumn(
+            "_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1))).drop("_hub", "_copies")
+        out = salted.join(copies, (salted[end] == copies["_end"]) & (salted["_salt"] == copies["_copy"])).drop("_end", "_salt", "_copy")
+    return out
+
+
+# JN-3 --------------------------------------------------------------------------
+def zip_on_key(a: DataFrame, b: DataFrame, key: str = "id", vec: str = "x", check: bool = False) -> DataFrame:
+    """Vectors of two tables side by side, matched by a key that both have once for each row.
+
+    ``check`` counts: it raises unless the tables have the same keys, each once."""
+    out = a.select(key, vec).join(b.select(key, F.col(vec).alias("_x2")), key).select(key, F.concat(vec, "_x2").alias(vec))
+    if check:
+        n = a.select(F.lit(0).alias("t"), key).unionByName(b.select(F.lit(1).alias("t"), key)).groupBy(key).agg(
+            F.count_if(F.col("t") == 0).alias("l"), F.count_if(F.col("t") == 1).alias("r")).agg(F.count_if((F.col("l") != 1) | (F.col("r") != 1)).alias("bad")).first()["bad"]
+        if n:
+            raise ValueError(f"{n} keys are not in both tables exactly once")
+    return out
+
+
 def _zeros(d: int) -> Column:
     return F.array_repeat(F.lit(0.0), d)
 
@@ -63,8 +104,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, d: int, kind: str = "gcn", hop
         if kind in ("gcn", "arma"):
             deg = e.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("_in"))
             nd = cur.join(deg, "id", "left").withColumn("_d", F.coalesce("_in", F.lit(0)) + (1 if kind == "gcn" else 0)).drop("_in")
-            msg = e.join(nd.select(F.col("id").alias("src"), F.col("x").alias("_xs"), F.col("_d").alias("_ds")), "src") \
-                   .join(nd.select(F.col("id").alias("dst"), F.col("_d").alias("_dd")), "dst")
+            msg = gather_endpoints(e, nd, {"x": "_xs", "_d": "_ds"}, {"_d": "_dd"})
             w = F.when(F.col("_ds") * F.col("_dd") > 0, F.lit(1.0) / F.sqrt(F.col("_ds") * F.col("_dd"))).otherwise(F.lit(0.0))
             agg = _vec_sum_by(msg, "dst", "_xs", d, w)
             if kind == "arma":
@@ -76,7 +116,7 @@ def propagate(nodes: DataFrame, edges: DataFrame, d: int, kind: str = "gcn", hop
             cur = nd.join(agg.withColumnRenamed("dst", "id"), "id", "left") \
                     .select("id", add(self_term, F.coalesce(F.col("agg"), _zeros(d))).alias("x"))
         else:
-            msg = e.join(cur.select(F.col("id").alias("src"), F.col("x").alias("_xs")), "src")
+            msg = gather_endpoints(e, cur, {"x": "_xs"})
             agg = _vec_sum_by(msg, "dst", "_xs", d, mean=(kind == "sage")).withColumnRenamed("dst", "id")
             j = cur.join(agg, "id", "left")
             nb = F.coalesce(F.col("agg"), _zeros(d))
@@ -95,8 +135,7 @@ def sage_edge_layer(nodes: DataFrame, edges: DataFrame, wm: list[list[float]], w
                     d_msg: int) -> DataFrame:
     """Edge-aware SAGE layer: message W_m·[h_src ‖ e], mean over in-edges,
     h' = relu(W_a·[h ‖ m̄]).  Weights as (d_in x d_out) lists."""
-    msg = edges.join(nodes.select(F.col("id").alias("src"), F.col("x").alias("_xs")), "src") \
-               .select("dst", matvec(F.concat("_xs", "h"), wm).alias("_m"))
+    msg = gather_endpoints(edges, nodes, {"x": "_xs"}).select("dst", matvec(F.concat("_xs", "h"), wm).alias("_m"))
     agg = _vec_sum_by(msg, "dst", "_m", d_msg, mean=True).withColumnRenamed("dst", "id")
     j = nodes.join(agg, "id", "left")
     return j.select("id", relu(matvec(F.concat(F.col("x"), F.coalesce(F.col("agg"), _zeros(d_msg))), wa)).alias("x"))
@@ -113,8 +152,7 @@ def anomal_layer(nodes: DataFrame, edges: DataFrame, wa: list[list[float]], d_ed
 # GR-19 -------------------------------------------------------------------------
 def score_edges(edges: DataFrame, nodes: DataFrame, w: list[list[float]], keep: list[str] = ()) -> DataFrame:
     """Edge head W·[h_u ‖ h_v] (also the edge embedding of GR-18)."""
-    j = edges.join(nodes.select(F.col("id").alias("src"), F.col("x").alias("_xu")), "src") \
-             .join(nodes.select(F.col("id").alias("dst"), F.col("x").alias("_xv")), "dst")
+    j = gather_endpoints(edges, nodes, {"x": "_xu"}, {"x": "_xv"})
     return j.select("src", "dst", *keep, matvec(F.concat("_xu", "_xv"), w).alias("score"))
 
 
@@ -129,8 +167,7 @@ def attend(nodes: DataFrame, edges: DataFrame, w: list[list[float]], a: list[flo
     e = edges.select("src", "dst")
     if self_loops:
         e = e.filter(F.col("src") != F.col("dst")).unionByName(z.select(F.col("id").alias("src"), F.col("id").alias("dst")))
-    j = e.join(z.select(F.col("id").alias("src"), F.col("z").alias("zu")), "src") \
-         .join(z.select(F.col("id").alias("dst"), F.col("z").alias("zv")), "dst")
+    j = gather_endpoints(e, z, {"z": "zu"}, {"z": "zv"})
     av = F.array(*[F.lit(float(v)) for v in a])
     raw = fn.dot(F.concat("zv", "zu"), av)
     j = j.withColumn("_e", F.when(raw > 0, raw).otherwise(raw * slope))
@@ -157,13 +194,14 @@ def attend_heads(nodes: DataFrame, edges: DataFrame, ws: list[list[list[float]]]
     return out.select("id", mean.alias("x"))
 
 
-def attend_dot(nodes: DataFrame, edges: DataFrame, wq: list[list[float]], wk: list[list[float]]) -> DataFrame:
+def attend_dot(nodes: DataFrame, edges: DataFrame, wq: list[list[float]] | None = None, wk: list[list[float]] | None = None,
+               d: int | None = None) -> DataFrame:
     """Dot-product attention over in-edges without self loops: softmax of (q_v · k_u) / sqrt(d), summing k_u; nodes without
-    in-edges receive zeros."""
-    d = len(wk[0])
-    q = nodes.select(F.col("id").alias("dst"), matvec(F.col("x"), wq).alias("q"))
-    k = nodes.select(F.col("id").alias("src"), matvec(F.col("x"), wk).alias("k"))
-    j = edges.select("src", "dst").join(k, "src").join(q, "dst").withColumn("_e", fn.dot("q", "k") / F.sqrt(F.lit(float(d))))
+    in-edges receive zeros.  Without weights queries and keys are the features themselves (of width ``d``, or as the first row has)."""
+    d = len(wk[0]) if wk else d or len(nodes.first()["x"])
+    project = lambda w: matvec(F.col("x"), w) if w else F.col("x")
+    both = nodes.select("id", project(wq).alias("q"), project(wk).alias("k"))
+    j = gather_endpoints(edges.select("src", "dst"), both, {"k": "k"}, {"q": "q"}).withColumn("_e", fn.dot("q", "k") / F.sqrt(F.lit(float(d))))
     j = j.join(j.groupBy("dst").agg(F.max("_e").alias("_mx")), "dst").withColumn("_w", F.exp(F.col("_e") - F.col("_mx")))
     den = j.groupBy("dst").agg(F.sum("_w").alias("_den"))
     out = _vec_sum_by(j.join(den, "dst"), "dst", "k", d, F.col("_w") / F.col("_den")).select(F.col("dst").alias("id"), F.col("agg").alias("x"))
@@ -175,8 +213,7 @@ def attention_weights(nodes: DataFrame, edges: DataFrame, w, a, slope: float = 0
     z = nodes.select("id", matvec(F.col("x"), w).alias("z"))
     e = edges.select("src", "dst").filter(F.col("src") != F.col("dst")) \
              .unionByName(z.select(F.col("id").alias("src"), F.col("id").alias("dst")))
-    j = e.join(z.select(F.col("id").alias("src"), F.col("z").alias("zu")), "src") \
-         .join(z.select(F.col("id").alias("dst"), F.col("z").alias("zv")), "dst")
+    j = gather_endpoints(e, z, {"z": "zu"}, {"z": "zv"})
     raw = fn.dot(F.concat("zv", "zu"), F.array(*[F.lit(float(v)) for v in a]))
     j = j.withColumn("_e", F.when(raw > 0, raw).otherwise(raw * slope))
     mx = j.groupBy("dst").agg(F.max("_e").alias("_mx"))
@@ -187,7 +224,7 @@ def attention_weights(nodes: DataFrame, edges: DataFrame, w, a, slope: float = 0
 
 # GR-23 -------------------------------------------------------------------------
 def concat_layers(a: DataFrame, b: DataFrame, id_col: str = "id") -> DataFrame:
-    return a.join(b.withColumnRenamed("x", "_x2"), id_col).select(id_col, F.concat("x", "_x2").alias("x"))
+    return zip_on_key(a, b, id_col)
 
 
 # GR-24 -------------------------------------------------------------------------

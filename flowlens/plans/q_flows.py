@@ -206,6 +206,35 @@ query("prj16_assemble", with_li("""
                           CAST(packets_in AS DOUBLE), CAST(packets_out AS DOUBLE)] AS h FROM std)
 SELECT flow_key, CAST(p - 1 AS INTEGER) AS pos, round(h[p], 6) AS val FROM v, range(1, 6) t(p)""").replace("\n, v AS", ", v AS", 1))(_assembled)
 
+# --- SRC-6: the first rows in a stated order; SRC-11: only the core columns reach the scan; SNK-3: class map as JSON ------------
+FIRST = int(0.001 * 1e6)  # rows of a bounded scan: a share of a million, as a feature
+CORE = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
+
+
+def _bounded(spark, sf):
+    from ..session import table_path
+    from ..sources import read_flows
+    return read_flows(spark, table_path(sf, "lineitem"), fmt="parquet", limit=FIRST, order=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"])
+
+
+def _core(spark, sf):
+    from ..session import read_table
+    from ..sources import select_core
+    return select_core(read_table(spark, sf, "lineitem"), [*CORE, "not_there"])
+
+
+def _class_map_json(spark, sf):
+    from ..operators.encode import fit_class_map
+    from ..sources.sinks import class_map_json
+    return class_map_json(fit_class_map(std_li(spark, sf, number=False), "attack_type"))
+
+
+query("src6_bounded_scan", f"SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice LIMIT {FIRST}")(_bounded)
+query("src11_core_columns", "SELECT " + ", ".join(CORE) + " FROM lineitem")(_core)
+query("snk3_class_map_json", with_li("""
+SELECT '{' || string_agg('"' || attack_type || '":' || code, ',' ORDER BY attack_type) || '}' AS json
+FROM (SELECT attack_type, row_number() OVER (ORDER BY attack_type) - 1 AS code FROM (SELECT DISTINCT attack_type FROM std))"""))(_class_map_json)
+
 # --- PRJ-15 + SET-1: union with provenance and re-numbered flow ids ------------------------
 def combined(spark, sf):
     from ..operators.sets import combine

@@ -65,6 +65,26 @@ query("jn7_knn_join", with_fx("SELECT src, dst, round(dist, 6) AS dist, CAST(rnk
     lambda spark, sf: rounded(knn.knn_join(emb(spark, sf), "vec_id", "embedding", 5)
                               .withColumn("rank", F.col("rank").cast("int"))))
 
+# JN-7 / JN-8 / JN-9 over pivot cells and rings: products by size and price ---------------------------------------
+PARTS = "emb AS (SELECT p_partkey AS vec_id, [CAST(p_size AS DOUBLE), p_retailprice] AS e FROM part)"
+PART_EPS = 5.0
+
+
+def part_vectors(spark, sf):
+    from ..session import read_table
+    return read_table(spark, sf, "part").select(F.col("p_partkey").alias("vec_id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("v"))
+
+
+query("jn7_knn_pruned", with_fx("SELECT src, dst, round(dist, 6) AS dist, CAST(rnk AS INTEGER) AS rank FROM kn", [], [PARTS, knn_sql(5)]))(
+    lambda spark, sf: rounded(knn.knn_join(part_vectors(spark, sf), "vec_id", "v", 5, pruned=True, unit_rows=256)
+                              .withColumn("rank", F.col("rank").cast("int"))))
+query("jn8_radius_pruned", with_fx(f"""
+SELECT a.vec_id AS src, b.vec_id AS dst, round(list_distance(a.e, b.e), 6) AS dist
+FROM emb a JOIN emb b ON a.vec_id <> b.vec_id AND list_distance(a.e, b.e) < {PART_EPS!r}""", [], [PARTS]))(
+    lambda spark, sf: rounded(knn.radius_join(part_vectors(spark, sf), "vec_id", "v", PART_EPS, pruned=True, unit_rows=256)))
+query("gr8_adaptive_pruned", with_fx("SELECT src, dst, round(dist, 6) AS dist FROM kn", [], [PARTS, knn_sql(20, eps=PART_EPS)]))(
+    lambda spark, sf: rounded(knn.adaptive_join(part_vectors(spark, sf), "vec_id", "v", 20, PART_EPS, pruned=True).select("src", "dst", "dist")))
+
 # GR-7: directed kNN graph, k = 20 -------------------------------------------------
 query("gr7_knn_graph_k20", with_fx("SELECT src, dst FROM kn", [], [EMB, knn_sql(20)]))(
     lambda spark, sf: knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 20))
@@ -378,6 +398,19 @@ query("evl6_multiclass_curves", with_fx("""
 SELECT curve, round(s, 6) AS threshold, round(sum(neg) OVER (PARTITION BY curve ORDER BY s DESC) / sum(neg) OVER (PARTITION BY curve), 6) AS fpr,
        round(sum(pos) OVER (PARTITION BY curve ORDER BY s DESC) / sum(pos) OVER (PARTITION BY curve), 6) AS tpr FROM g""".replace("\n, g AS", ", g AS", 1),
     [], [EMB, OVR, OVR_ALL]))(lambda spark, sf: rounded(ev.roc_curves(class_scores(spark, sf), "y", "p", 10)))
+query("evl6_macro_curve", with_fx("""
+, g AS (SELECT curve, s, sum(hit) AS pos, sum(1 - hit) AS neg FROM ovr GROUP BY curve, s),
+  c AS (SELECT curve, sum(neg) OVER (PARTITION BY curve ORDER BY s DESC) / sum(neg) OVER (PARTITION BY curve) AS fpr,
+               sum(pos) OVER (PARTITION BY curve ORDER BY s DESC) / sum(pos) OVER (PARTITION BY curve) AS tpr FROM g),
+  k AS (SELECT curve, fpr, min(tpr) AS lo, max(tpr) AS hi FROM (SELECT * FROM c UNION ALL SELECT DISTINCT curve, 0.0, 0.0 FROM c) GROUP BY curve, fpr),
+  t AS (SELECT n.curve, x.fpr, k.lo, k.hi, CASE WHEN k.hi IS NOT NULL THEN x.fpr END AS px
+        FROM (SELECT DISTINCT fpr FROM k) x CROSS JOIN (SELECT DISTINCT curve FROM k) n LEFT JOIN k ON k.curve = n.curve AND k.fpr = x.fpr),
+  f AS (SELECT curve, fpr, hi, last_value(px IGNORE NULLS) OVER u AS x0, last_value(hi IGNORE NULLS) OVER u AS y0,
+               first_value(px IGNORE NULLS) OVER d AS x1, first_value(lo IGNORE NULLS) OVER d AS y1 FROM t
+        WINDOW u AS (PARTITION BY curve ORDER BY fpr ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+               d AS (PARTITION BY curve ORDER BY fpr ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT round(fpr, 6) AS fpr, round(avg(CASE WHEN hi IS NOT NULL THEN hi ELSE y0 + (fpr - x0) / (x1 - x0) * (y1 - y0) END), 6) AS tpr FROM f GROUP BY fpr"""
+    .replace("\n, g AS", ", g AS", 1), [], [EMB, OVR]))(lambda spark, sf: rounded(ev.macro_curve(class_scores(spark, sf), "y", "p", 10)))
 query("evl6_multiclass_areas", with_fx("""
 , r AS (SELECT curve, hit, rank() OVER (PARTITION BY curve ORDER BY s) + (count(*) OVER (PARTITION BY curve, s) - 1) / 2.0 AS r FROM oa),
   a AS (SELECT curve, (sum(r) FILTER (WHERE hit = 1) - sum(hit) * (sum(hit) + 1) / 2.0) / (sum(hit) * sum(1 - hit)) AS auc FROM r GROUP BY curve)

@@ -432,34 +432,12 @@ SELECT round(sum(l), 6) AS loss FROM l""".replace("\n, fk AS", ", fk AS", 1), ex
 query("gr24_infomax_loss", _infomax_sql())(_infomax)
 
 
-MAX_FIT_ROWS = 50_000  # labelled rows that the classifier heads of PIP-3 are fitted on
-
-
-# PIP-3: features -> adaptive graph -> 70/15/15 -> propagated features -> model leaderboard --------------------------
+# PIP-3: flow table -> cap -> 70/15/15 -> fitted features -> adaptive graph -> one head for each graph kind -> leaderboard -----
 def _pip3(spark, sf):
-    from ..operators import detect as dt
-    from ..operators import evaluate as ev
-    from ..operators import knn
-    from ..operators import propagate as pg
-    from ..session import cut_lineage
-    # lineage cuts (reliable checkpoints in the shared folder) keep the plans
-    # of the later stages small; every stage reads its predecessor's output
-    g = cut_lineage(knn.adaptive_join(emb(spark, sf), "vec_id", "embedding", 20, 1.2).select("src", "dst"))
-    nodes = emb(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), (F.col("label") % 2).alias("y"))
-    h = pg.propagate(nodes, g, DIM, "gcn")
-    data = h.join(nodes.select("id", "y"), "id").select("id", "y", *[F.col("x")[i].alias(f"f{i}") for i in range(DIM)]) \
-            .withColumn("k", F.col("id").cast("string"))
-    parts = cut_lineage(sm.split3(cut_lineage(data), "k", ["y"]))
-    # graph, split and test take all rows; only the rows the heads are fitted on are bounded
-    fit_rows = cut_lineage(sm.cap_proportional(parts.filter("split = 'train'"), "y", "k", total=MAX_FIT_ROWS, large_min=1000))
-    cols = [f"f{i}" for i in range(DIM)]
-    res = None
-    for kind in ("lr", "rf"):
-        m = dt.train_classifier(fit_rows, cols, "y", kind)
-        p = dt.predict(m, parts.filter("split = 'test'"), cols)
-        r = ev.binary_metrics(p, "y", "pred").withColumn("model", F.lit(kind))
-        res = r if res is None else res.unionByName(r)
-    return rounded(ev.leaderboard(res, "f1"))
+    from ..operators import learn as ln
+    from .q_flows import cic_std
+    flows = cic_std(spark, sf).withColumn("key", F.col("flow_id").cast("string"))
+    return rounded(ln.benchmark_dataset(flows, ["duration_ms", "bytes_in", "bytes_out", "packets_in", "packets_out"], ["protocol_name"], "binary_label", "attack_type", "key"))
 
 
 query("pip3_similarity_benchmark")(_pip3)
@@ -470,6 +448,25 @@ GRAPH_W = ([0.5, -0.3], [0.4, 0.2], [-0.2, 0.3], -4.0)  # weights of an edge's o
 GRAPH_PLAN = [("pgd", 0.3), ("remove", 0.2), ("inject", 0.05)]
 
 
+def _pip4_fitted(spark, sf):
+    """A head fitted on the clean graph of the training flows and stored; loaded, it scores the test flows' graph, clean and perturbed."""
+    import uuid
+    from ..operators import evaluate as ev
+    from ..operators import learn as ln
+    from ..operators import robust as rb
+    from ..operators import sampling as sm
+    from ..session import cut_lineage, ensure_checkpoint_dir
+    from ..sources.sinks import save_transform
+    e = _ipgraph(spark, sf)[1].withColumn("eid", F.col("eid").cast("string"))
+    e = cut_lineage(sm.split(e.select("eid", "src", "dst", "h", "binary_label"), "eid", ["binary_label"], 0.3))
+    path = f"{ensure_checkpoint_dir(spark)}/edge-head-{uuid.uuid4().hex}"
+    save_transform(ln.fit_edge_head(e.filter("split = 'train'").drop("split"), 2), path)
+    return rounded(ev.degradation(rb.graph_sweep(e.filter("split = 'test'").drop("split"), *ln.load_edge_head(spark, path), GRAPH_PLAN)))
+
+
+query("pip4_fitted_detector")(_pip4_fitted)
+
+
 def _pip4(spark, sf):
     from ..operators import evaluate as ev
     from ..operators import robust as rb

@@ -13,6 +13,7 @@ from ..operators import encode as enc
 from ..operators import evaluate as ev
 from ..operators import graph as gr
 from ..operators import knn
+from ..operators import learn as ln
 from ..operators import propagate as pg
 from ..operators import robust as rb
 from ..operators import sampling as sm
@@ -90,8 +91,47 @@ query("det5_contamination_threshold", with_li(_hbos_sql().replace("\n, mm AS", "
 SELECT round(t, 6) AS threshold FROM thr"""]), extra=[SPLIT_STD]))(
     lambda spark, sf: (lambda trn: rounded(dt.threshold(dt.hbos_score(trn, dt.fit_hbos(trn, FEATS, 10)), 0.1)))(_split_std(spark, sf)[0]))
 
-query("det6_hbos_sweep")(lambda spark, sf: rounded(
-    ev.best_params(dt.hbos_sweep(*_split_std(spark, sf), FEATS, "binary_label", (5, 10), (0.05, 0.1)), "macro_f1", "grid_order")))
+# DET-6: grids of a parameter and the contamination, on all or only on benign training rows ---------------------------
+BINS, LEVELS = [5, 10, 15, 20, 25, 30], [0.001, 0.01, 0.04, 0.05, 0.1, 0.2]
+SWEEP_POINTS = [("cblof", [2, 3, 5, 0]), ("pca", [1, 2, 3, 9]), ("forest", [5, 10])]  # no cluster and nine components of three features are refused
+
+
+def _sweep_sql(benign: bool) -> str:
+    """Every grid point of the histogram detector, as one query."""
+    import re
+    ctes, rows = [], []
+    for n, b in enumerate(BINS):
+        text = re.sub(r"\b(mm|mm2|bt|grid|strn|stst|thr)\b", rf"\1_{b}", _hbos_sql(b).replace("\n, mm AS", "mm AS", 1).replace("SELECT flow_key, -(", "SELECT flow_key, binary_label, -("))
+        text = text.replace("quantile_cont(score, 0.9)", f"quantile_cont(score, {[1.0 - c for c in LEVELS]!r})")
+        ctes.append(re.sub(r"\btrn\b", "fit", text))
+        for i, c in enumerate(LEVELS):
+            rows.append(f"SELECT {b} AS param, {n * len(LEVELS) + i} AS grid_order, {c!r}::DOUBLE AS contamination, t[{i + 1}] AS threshold, "
+                        f"count(*) FILTER (WHERE binary_label = 1 AND score > t[{i + 1}]) AS tp, count(*) FILTER (WHERE binary_label <> 1 AND score > t[{i + 1}]) AS fp, "
+                        f"count(*) FILTER (WHERE binary_label = 1) AS p, count(*) FILTER (WHERE binary_label <> 1) AS n FROM stst_{b}, thr_{b} GROUP BY t")
+    points = "points AS (" + " UNION ALL ".join(rows) + ")"
+    body = """SELECT 'hbos' AS detector, param, grid_order, contamination, round(threshold, 6) AS threshold,
+       round((CASE WHEN tp + fp + p > 0 THEN 2.0 * tp / (tp + fp + p) ELSE 0 END + CASE WHEN n - fp + p - tp + n > 0 THEN 2.0 * (n - fp) / (n - fp + p - tp + n) ELSE 0 END)
+             / ((tp + fp + p > 0)::INTEGER + (n - fp + p - tp + n > 0)::INTEGER), 6) AS macro_f1, CAST(NULL AS VARCHAR) AS error FROM points"""
+    fit = "fit AS (SELECT * FROM trn" + (" WHERE binary_label = 0)" if benign else ")")
+    return with_li(body, extra=[SPLIT_STD, fit, *ctes, points])
+
+
+for _benign, _name in ((False, "det6_hbos_grid"), (True, "det6_hbos_grid_benign")):
+    query(_name, _sweep_sql(_benign))(lambda spark, sf, benign=_benign: rounded(dt.sweep(*_split_std(spark, sf), FEATS, "binary_label", "hbos", BINS, LEVELS, benign)))
+
+
+def _sweeps(spark, sf):
+    trn, tst = _split_std(spark, sf)
+    out = None
+    for name, params in SWEEP_POINTS:
+        r = dt.sweep(trn, tst, FEATS, "binary_label", name, params, LEVELS, benign_only=name == "cblof")
+        out = r if out is None else out.unionByName(r)
+    return rounded(out)
+
+
+query("det6_detector_sweeps")(_sweeps)
+query("det6_hbos_sweep", _sweep_sql(False) + " WHERE param IN (5, 10) ORDER BY round(macro_f1, 12) DESC, grid_order LIMIT 1")(lambda spark, sf: rounded(
+    ev.best_params(dt.sweep(*_split_std(spark, sf), FEATS, "binary_label", "hbos", BINS[:2], LEVELS), "macro_f1", "grid_order")))
 
 
 def _metrics_of(pred_df, y="binary_label"):
@@ -164,42 +204,34 @@ query("cls7_benchmark_leaderboard")(_benchmark)
 
 
 def _cross(spark, sf):
-    """CLS-8: a head fitted on each source, tested on every source; only the fitted rows are bounded."""
-    from ..session import cut_lineage
-    from .q_flows import combined
-    d = cut_lineage(combined(spark, sf).select("dataset_source", "flow_id", "binary_label", *[F.col(c).cast("double").alias(c) for c in ("bytes_in", "bytes_out")])
-                    .na.fill(0.0, ["bytes_in", "bytes_out"]))
-    feats, out = ["bytes_in", "bytes_out"], None
-    names = ["li", "ev", "od"]
-    for a in names:
-        fit = sm.cap_proportional(d.filter(F.col("dataset_source") == a), "binary_label", "flow_id", total=50000)
-        m = dt.train_classifier(fit, feats, "binary_label", "lr")
-        p = dt.predict(m, d, feats)
-        r = ev.binary_metrics(p.withColumn("y", F.col("binary_label")), "y", "pred", group="dataset_source") \
-            .select(F.lit(a).alias("train"), F.col("dataset_source").alias("test"), "accuracy", "precision", "recall", "f1")
-        out = r if out is None else out.unionByName(r)
-    return rounded(out)
+    """CLS-8: scaler and head fitted on all rows of each source, tested on every source, on the columns they share."""
+    from .. import fixtures as fx
+    from ..operators import adapters as ad
+    from .q_flows import cic_std
+    sources = {"li": std_li(spark, sf), "ev": ad.adapt_bot_iot_reduced(fx.ev(spark, sf), key="pkSeqID"), "od": cic_std(spark, sf)}
+    return rounded(ln.cross_dataset(sources, "binary_label", ("flow_id", "src_port", "dst_port", "protocol", "attack_code")))
 
 
 query("cls8_cross_dataset")(_cross)
 
 
+def _labelled_graph(spark, sf):
+    """Nodes (id, x, y, split) and edges of the kNN graph of the vectors."""
+    from ..session import cut_lineage
+    nodes = emb(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"), (F.col("label") % 2).alias("y"))
+    s = sm.split(nodes.withColumn("k", F.col("id").cast("string")), "k", ["y"], 0.3).drop("k")
+    return cut_lineage(s), cut_lineage(knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 10))
+
+
 def _graph_classifier(spark, sf):
     """CLS-5: two SAGE hops on the kNN graph, then a weighted LR head."""
-    nodes = emb(spark, sf).select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"),
-                                  (F.col("label") % 2).alias("y"))
-    from ..session import cut_lineage
-    edges = cut_lineage(knn.knn_graph(emb(spark, sf), "vec_id", "embedding", 10))
-    h = pg.propagate(nodes, edges, DIM, "sage", hops=2)
-    feats = h.join(nodes.select("id", "y"), "id").select("id", "y", *[F.col("x")[i].alias(f"f{i}") for i in range(DIM)])
-    w = agg.class_weights(feats, "y").select("y", "weight")
-    data = feats.join(F.broadcast(w), "y")
-    s = sm.split(data.withColumn("k", F.col("id").cast("string")), "k", ["y"], 0.3)
-    cols = [f"f{i}" for i in range(DIM)]
-    m = dt.train_classifier(s.filter("split = 'train'"), cols, "y", "lr", weight="weight")
-    return _metrics_of(dt.predict(m, s.filter("split = 'test'"), cols), "y")
+    nodes, edges = _labelled_graph(spark, sf)
+    m = ln.train_graph_classifier(nodes, edges, DIM, "sage", 2, mask=F.col("split") == "train")
+    return _metrics_of(m.predict(nodes, edges).join(nodes.filter("split = 'test'").select("id", "y"), "id"), "y")
 
 
+query("cls5_kinds_leaderboard")(lambda spark, sf: rounded(ln.kinds_leaderboard(
+    *_labelled_graph(spark, sf), DIM, F.col("split") == "train", F.col("split") == "test")))
 query("cls5_graph_classifier")(_graph_classifier)
 
 # ROB-1: PGD against a logistic head (oracle: closed form) ---------------------------------------

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hash_unit
 from ..session import ensure_checkpoint_dir
+from ..sources import path_exists
 
 
 def _ckpt(spark: SparkSession, name: str) -> str:
@@ -35,17 +36,28 @@ def stream_standardize(spark: SparkSession, in_dir: str, out_dir: str, schema, a
 
 
 # STR-2 -----------------------------------------------------------------------
-def stream_class_counts(spark: SparkSession, stream: DataFrame, col: str, name: str | None = None,
+def stream_class_counts(spark: SparkSession, stream: DataFrame, col: str, out_dir: str | None = None,
                         checkpoint: str | None = None) -> DataFrame:
-    """Class counts kept in streaming state over all files seen (complete
-    mode); equals the batch class distribution of the same files."""
-    name = name or f"class_counts_{uuid.uuid4().hex[:8]}"
-    agg = stream.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    q = (agg.writeStream.format("memory").queryName(name).outputMode("complete")
-         .option("checkpointLocation", checkpoint or _ckpt(spark, "counts"))
-         .trigger(availableNow=True).start())
+    """Class counts kept in streaming state over all files seen (update mode); equals the batch class distribution.
+
+    Every micro-batch writes the classes it changed, with their new counts, to
+    a folder of its own below ``out_dir`` (``version=<batch id>``), overwriting
+    what an earlier attempt at the same batch may have left, so a restart from
+    ``checkpoint`` changes nothing.  The result is each class's newest version;
+    no count passes through the driver.  Without input it is empty."""
+    base = checkpoint or _ckpt(spark, "counts")
+    out_dir = out_dir or f"{base}-versions"
+    counts = stream.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/version={batch_id}")
+
+    q = counts.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", base).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    if not path_exists(spark, out_dir):
+        return spark.createDataFrame([], counts.schema)
+    versions = spark.read.schema(counts.schema.add("version", "long")).parquet(out_dir)
+    return versions.groupBy(col).agg(F.max_by("count", "version").alias("count"))
 
 
 # STR-3 -----------------------------------------------------------------------
