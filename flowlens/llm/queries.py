@@ -74,7 +74,8 @@ def op1_best_fit_packing(spark, sf_dir):
 @op
 def op3_suffix_dedup(spark, sf_dir):
     """Bytes of ``documents`` covered by 400-byte strings that occur again, removed."""
-    return suffix_dedup(read(spark, sf_dir, "documents")).drop("kept")
+    found = suffix_dedup(read(spark, sf_dir, "documents"))
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")  # a cut inside a character leaves U+FFFD
 
 
 @op

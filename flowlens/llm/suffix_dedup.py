@@ -427,7 +427,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, core: int = CORE, id_c
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, core: int = CORE, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (binary; null if nothing is removed).
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (binary: what is left of the text).
 
     Removed is every byte covered by a ``length``-byte string that starts at
     two places or more, in one or several documents; strings are judged on the
@@ -457,16 +457,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, core: int = CORE, id_col
             kept.append(b"".join(t[edges[i]:edges[i + 1]] for i in range(0, len(edges), 2)))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("dh"), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()),
-             pa.array([hashlib.sha256(x).digest() for x in kept], pa.binary()), pa.array(kept, pa.binary())],
-            names=["__i", "__h", "n_removed", "n_spans", "kept_sha", "kept"])
+             pa.array(kept, pa.binary())],
+            names=["__i", "__h", "n_removed", "n_spans", "kept"])
 
     p = per_text.withColumnsRenamed({"doc_id": "__i", "dh": "__h"})
     cut = map_batches(found.dropDuplicates(["doc_id", "dh"]).join(p, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("dh") == F.col("__h")))
-                      .select("doc_id", "dh", "text", "spans"), remove, "__i long, __h long, n_removed long, n_spans long, kept_sha binary, kept binary", rows=500)
-    out = rows.join(copies, "sha", "left").join(cut, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("dh") == F.col("__h")), "left")
-    gone = F.coalesce(F.col("copied"), F.lit(False))
+                      .select("doc_id", "dh", "text", "spans"), remove, "__i long, __h long, n_removed long, n_spans long, kept binary", rows=500)
+    # what is decided of a text is one row, joined to the texts once
+    whole = rows.join(copies, "sha").groupBy(F.col("doc_id").alias("__i"), F.col("dh").alias("__h")).agg(F.lit(True).alias("gone"))
+    empty = [F.lit(None).cast(k).alias(n) for n, k in (("n_removed", "long"), ("n_spans", "long"), ("kept", "binary"))]
+    decided = cut.withColumn("gone", F.lit(False)).unionByName(whole.select("__i", "__h", *empty, "gone")).groupBy("__i", "__h").agg(
+        F.max("gone").alias("gone"), *[F.max(c).alias(c) for c in ("n_removed", "n_spans", "kept")])  # two rows at most
+    out = texts.join(decided, F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("dh") == F.col("__h")), "left")
+    gone, n_bytes = F.coalesce(F.col("gone"), F.lit(False)), F.octet_length("text").cast("long")
+    left = F.when(gone, F.lit(b"")).otherwise(F.coalesce("kept", F.encode("text", "UTF-8")))
     return out.select(
-        "doc_id", "n_bytes", F.when(gone, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.lower(F.hex(F.when(gone, F.unhex(F.lit(hashlib.sha256(b"").hexdigest()))).otherwise(F.coalesce("kept_sha", "sha")))).alias("kept_sha256"),
-        F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
+        "doc_id", n_bytes.alias("n_bytes"), F.when(gone, n_bytes).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(gone, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"), F.sha2(left, 256).alias("kept_sha256"), left.alias("kept"))
