@@ -298,7 +298,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, blo
     hits = found.where("w1 is null").select(*same, "at", "n").union(met.select(*same, "at", "n"))
     own = anchors.select("doc_id", "v", *same, "lo", F.col("n").alias("all"))
     whole = own.join(pieces.where("rep.doc_id < last").select(*same, F.col("rep.doc_id").alias("least")), same).where("doc_id > least")
-    part = own.join(hits.groupBy(*same).agg(F.collect_set(F.struct("at", "n")).alias("f")), same).select("doc_id", "v", "lo", F.explode("f").alias("f"))  # at most a piece's windows
+    by_piece = stored(hits.groupBy(*same).agg(F.collect_set(F.struct("at", "n")).alias("f")), "found")  # stored: the join with a frequent piece can be split
+    part = own.join(by_piece, same).select("doc_id", "v", "lo", F.explode("f").alias("f"))  # at most a piece's windows
     runs = whole.select("doc_id", "v", "lo", F.col("all").alias("n")).union(part.select("doc_id", "v", (F.col("lo") + F.col("f.at")).alias("lo"), F.col("f.n").alias("n")))
     per = runs.groupBy("doc_id", "v").agg(F.collect_set(F.struct("lo", "n")).alias("runs"))  # at most a document's windows
     return map_batches(texts.join(per, ["doc_id", "v"], "left").select("doc_id", "text", "runs"), lambda b: kept_words(b, window),
