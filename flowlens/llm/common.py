@@ -64,9 +64,11 @@ def texts_utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 2000) -> DataFrame:
-    """``mapInArrow`` over small slices; ``fn`` returns one batch for each."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 2000, cache: str = "") -> DataFrame:
+    """``mapInArrow`` over small slices; ``fn`` returns one batch for each.  Objects that other operators left in the worker
+    (all but ``cache``) are dropped first."""
     def run(batches):
+        drop_caches(cache)
         for b in small_batches(batches, rows):
             yield fn(b)
     return df.mapInArrow(run, schema)
@@ -108,11 +110,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+CACHE_MODULE = "_flowlens_process_cache"
+
+
+def drop_caches(but: str) -> None:
+    """Forget what earlier operators keep in this Python worker, except ``but``, and give the memory back."""
+    import ctypes
+    import gc
+    import sys
+    held = sys.modules.get(CACHE_MODULE)
+    old = [k for k in vars(held) if not k.startswith("__") and k != but] if held else []
+    for k in old:
+        delattr(held, k)
+    if old:
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library: its allocator decides
+            pass
+
+
 def process_cache(name: str, make: Callable):
     """One object per Python worker process, kept between tasks (code shipped by value has no module to hold it)."""
     import sys
     import types
-    held = sys.modules.setdefault("_flowlens_process_cache", types.ModuleType("_flowlens_process_cache"))
+    held = sys.modules.setdefault(CACHE_MODULE, types.ModuleType(CACHE_MODULE))
     if not hasattr(held, name):
         setattr(held, name, make())
     return getattr(held, name)

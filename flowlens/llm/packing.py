@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,105 +17,147 @@ from .common import map_batches, process_cache, stored, text_of, tokenizer_path
 MAX_TOKENS = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-CACHE_CHUNKS = 300_000  # of each generation
-CACHE_WORDS = 200_000
+CACHE_BYTES = 40 << 20  # of the newer generation of either table
 SALTS = 64
 
 
+class Recent(dict):
+    """A table that drops its older generation when the newer one has grown beyond ``limit`` bytes (about)."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.old: dict = {}
+        self.used, self.limit = 0, limit
+
+    def put(self, keys: list, values: list[bytes]) -> None:
+        self.update(zip(keys, values, strict=True))
+        self.used += sum(map(len, keys)) + sum(map(len, values)) + 150 * len(keys)
+
+    def missing(self, keys: list) -> list:
+        """Of distinct keys those that neither generation holds; those of the older one move to the newer."""
+        if self.used > self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.used = 0
+        new = [k for k in keys if k not in self]
+        old = self.old
+        again = [k for k in new if k in old]
+        if again:
+            self.put(again, [old[k] for k in again])
+            new = [k for k in new if k not in old]
+        return new
+
+
+def gathered(raw: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of ``raw[c]`` for all codes in order, their number for each code)."""
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+    of = size[codes]
+    place = np.arange(of.sum()) - np.repeat(np.cumsum(of) - of - (np.cumsum(size) - size)[codes], of)
+    return np.frombuffer(b"".join(raw), "<u4")[place], of
+
+
 class Encoder:
     """Token ids of whole texts, equal to the tokenizer's own, by white-space chunks that are each encoded once.
 
     The tokenizer drops white space and none of its steps looks across it, so
     a text's ids are those of its chunks in order.  Chunks are cut at the six
     ASCII white-space characters only; other white space stays inside a chunk
-    and is the tokenizer's business.  Chunks of Latin letters are normalized
-    and split into words here, as the tokenizer's file says, and its model
-    encodes each word once; all others, and those that may hold a special
-    token, go through the whole tokenizer.  Both tables keep two generations
-    and drop the older one when the newer is full.
+    and is the tokenizer's business.  A slice of texts is cut and its chunks are
+    numbered by Arrow; each distinct chunk is looked up once and the ids are
+    gathered by number.  Chunks of Latin letters are normalized and split into
+    words here, as the tokenizer's file says, and its model encodes each word
+    once; all others, and those that may hold a special token, go through the
+    whole tokenizer.  A file with other steps than KNOWN is not cut at all.
     """
 
-    PLAIN = re.compile("[!-~\u00a1-\u024f]+")
-    WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    PLAIN = "^[!-~\u00a1-\u024f]+$"
+    WORDS = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # a line feed ends a chunk
+    # fixed values: the steps that the cuts above follow
+    KNOWN = {"normalizer": {"type": "Sequence", "normalizers": [
+                {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+             "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+             "post_processor": None}
 
     def __init__(self, path: str):
+        import json
         import os
 
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = Tokenizer.from_file(path)
-        self.model.normalizer = normalizers.Sequence([])
+        self.model = Tokenizer(self.tokenizer.model)  # the same model, without the steps before it
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.known = all(spec.get(k) == v for k, v in self.KNOWN.items()) and spec["model"].get("end_of_word_suffix") == "</w>"
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.chunks: tuple[dict, dict] = ({}, {})
-        self.words: tuple[dict, dict] = ({}, {})
-
-    @staticmethod
-    def recall(tables: tuple[dict, dict], missing: set, limit: int) -> tuple[tuple[dict, dict], set]:
-        """The tables with room for what the newer one misses, filled from the older one, and what neither has."""
-        new, old = tables
-        if len(new) + len(missing) > limit:
-            new, old = {}, new
-        again = missing & old.keys()
-        for x in again:
-            new[x] = old[x]
-        return (new, old), missing - again
+        self.chunks, self.words = Recent(CACHE_BYTES), Recent(CACHE_BYTES)
 
     def encode_words(self, words: list[str]) -> None:
         """Model ids of unknown words, many at once; each ends where a token does that ends a word."""
-        known = self.words[0]
         for i in range(0, len(words), 8192):
             part = words[i:i + 8192]
             ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            at = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             if len(at) == len(part):
-                raw, s = ids.tobytes(), 0
-                for w, e in zip(part, at, strict=True):
-                    known[w] = raw[4 * s:4 * e]
-                    s = e
-            else:
-                for w in part:
-                    known[w] = np.array(self.model.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, chunks: set[bytes]) -> None:
-        known, split, other = self.chunks[0], [], []
-        for c in chunks:
-            s = c.decode("utf-8", "replace")
-            if self.PLAIN.fullmatch(s) and "<|" not in s:
-                split.append((c, self.WORDS.findall((s if s.isascii() else unicodedata.normalize("NFC", s)).lower())))
+                raw = ids.tobytes()
+                self.words.put(part, [raw[s:e] for s, e in zip([0, *at], at, strict=False)])
             else:
-                other.append((c, s))
-        wanted = {w for _, ws in split for w in ws}
-        self.words, new = self.recall(self.words, wanted - self.words[0].keys(), CACHE_WORDS)
-        self.encode_words(list(new))
-        get = (self.words[0] if wanted <= self.words[0].keys() else self.words[1] | self.words[0]).__getitem__
-        for c, ws in split:
-            known[c] = b"".join(map(get, ws)) if len(ws) != 1 else get(ws[0])
-        for (c, _), e in zip(other, self.tokenizer.encode_batch([s for _, s in other], add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        out, flat, ends = [], [], []
-        for i, t in enumerate(texts):
-            flat += t.split()
-            ends.append(len(flat))
-            if len(flat) < CACHE_CHUNKS // 4 and i + 1 < len(texts):
-                continue
-            ids = list(map(self.chunks[0].get, flat))
-            gaps = [k for k, x in enumerate(ids) if x is None]
-            if gaps:
-                self.chunks, new = self.recall(self.chunks, {flat[k] for k in gaps}, CACHE_CHUNKS)
-                self.learn(new)
-                known = self.chunks[0]
-                for k in gaps:
-                    ids[k] = known[flat[k]]
-            out += [b"".join(ids[s:e]) for s, e in zip([0, *ends], ends, strict=False)]
-            flat, ends = [], []
-        return out
+                self.words.put(part, [np.array(self.model.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in part])
+
+    def learn(self, chunks: list[bytes]) -> None:
+        """Ids of unknown chunks: the plain ones are lower-cased and split together, as lines of one text."""
+        if not chunks:
+            return
+        as_text = pa.array(chunks, pa.large_binary()).cast(pa.large_string())
+        plain = pc.and_not(pc.match_substring_regex(as_text, self.PLAIN), pc.match_substring(as_text, "<|")).to_numpy(zero_copy_only=False)
+        other = [chunks[i] for i in np.flatnonzero(~plain).tolist()]
+        self.chunks.put(other, [np.array(e.ids, dtype="<u4").tobytes() for e in
+                                self.tokenizer.encode_batch([c.decode() for c in other], add_special_tokens=False)])
+        split = [chunks[i] for i in np.flatnonzero(plain).tolist()]
+        if not split:
+            return
+        text = b"\n".join(split).decode()
+        text = text if text.isascii() else unicodedata.normalize("NFC", text)
+        coded = pa.array(self.WORDS.findall(text.lower() + "\n"), pa.large_string()).dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        line = distinct.index("\n")
+        words = distinct[:line] + distinct[line + 1:]
+        self.encode_words(self.words.missing(words))
+        raw = [b"" if w == "\n" else self.words[w] for w in distinct]
+        ids, size = gathered(raw, codes)
+        ends = (4 * np.cumsum(size)[codes == line]).tolist()
+        whole = ids.tobytes()
+        self.chunks.put(split, [whole[s:e] for s, e in zip([0, *ends], ends, strict=False)])
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in order, ids of each text); ``end`` follows every text's ids."""
+        if self.known:
+            words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+            flat, owner = words.flatten(), pc.list_parent_indices(words).to_numpy()
+            full = pc.greater(pc.binary_length(flat), 0)
+            flat, owner = flat.filter(full), owner[full.to_numpy(zero_copy_only=False)]
+            coded = flat.dictionary_encode()
+            distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+            self.learn(self.chunks.missing(distinct))
+            raw = [self.chunks[c] for c in distinct]
+            codes = coded.indices.to_numpy()
+        else:
+            raw = [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            codes = owner = np.arange(len(texts))
+        ids, of = gathered(raw, codes)
+        n = np.bincount(owner, of, minlength=len(texts)).astype(np.int64)
+        if end is None:
+            return ids, n
+        out = np.full(len(ids) + len(n), end, "<u4")
+        keep = np.ones(len(out), bool)
+        keep[np.cumsum(n + 1) - 1] = False
+        out[keep] = ids
+        return out, n + 1
 
 
 def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKENS, id_col: str = "doc_id", text_col: str = "text",
@@ -125,23 +167,23 @@ def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKEN
     Null and empty texts are the end id alone.  ``ids``: little-endian 32-bit.
     """
     path = path or tokenizer_path(TOKENIZER)
-    end = np.array([END_ID], dtype="<u4").tobytes()
 
     def one(batch):
         coder = process_cache(f"encoder:{path}", lambda: Encoder(path))
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        ids, n = coder.encode(batch.column("text"), END_ID)
         row, piece, start, length, crc, raw = [], [], [], [], [], []
-        size = 4 * max_tokens
-        for i, ids in enumerate(coder.encode(texts)):
-            ids += end
-            for k, s in enumerate(range(0, len(ids), size)):
-                part = ids[s:s + size]
+        whole, at, size = ids.tobytes(), 0, 4 * max_tokens
+        for i, own in enumerate((4 * n).tolist()):
+            for k, s in enumerate(range(0, own, size)):
+                part = whole[at + s:at + min(s + size, own)]
                 row.append(i)
                 piece.append(k)
                 start.append(s // 4)
                 length.append(len(part) // 4)
                 crc.append(zlib.crc32(part))
-                raw.append(part)
+                if keep_ids:
+                    raw.append(part)
+            at += own
         cols = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                 pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
@@ -151,7 +193,7 @@ def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKEN
 
     t = text_of(docs, id_col, text_col)
     kind = t.schema["doc_id"].dataType.simpleString()
-    return map_batches(t, one, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return map_batches(t, one, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids, cache=f"encoder:{path}")
 
 
 def plan(counts: dict[int, int], room: int = MAX_TOKENS) -> list[tuple[int, int, int, int, int]]:

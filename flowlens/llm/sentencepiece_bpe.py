@@ -199,4 +199,4 @@ def encode_decode(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
     t = text_of(docs, id_col, text_col)
     kind = t.schema["doc_id"].dataType.simpleString()
-    return map_batches(t, one, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep, rows=1000)
+    return map_batches(t, one, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep, rows=1000, cache=f"pieces:{path}")

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -81,7 +82,38 @@ def test_encoder_on_odd_characters():
     e, tk, rng = packing.Encoder(path), Tokenizer.from_file(path), random.Random(2)
     alphabet = "abcXYZ 0123'sŚeéÉİΣσ .,!?<|>\n\t\x1c\x85\xa0 ²ªß\x01\x00中\U0001f600"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(500)] + ["don't I'LL <|endoftext|>a <|startoftext|> b"]
-    assert e.encode([t.encode() for t in texts]) == [np.array(x.ids, dtype="<u4").tobytes() for x in tk.encode_batch(texts, add_special_tokens=False)]
+    want = [x.ids for x in tk.encode_batch(texts, add_special_tokens=False)]
+    for end in (None, 7):
+        ids, n = e.encode(pa.array(texts), end)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [w + ([7] if end else []) for w in want]
+
+
+def test_encoder_of_another_tokenizer_file(tmp_path):
+    """A file with other steps is not cut at white space: the library encodes whole texts."""
+    import json
+
+    from tokenizers import Tokenizer
+    with open(common.tokenizer_path(packing.TOKENIZER), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFC"}]}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    e, tk, texts = packing.Encoder(path), Tokenizer.from_file(path), ["Upper lower", "", " a  b ", "don't"]
+    ids, n = e.encode(pa.array(texts), 0)
+    assert not e.known and [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x.ids + [0] for x in tk.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_encoder_tables_are_bounded_by_bytes(monkeypatch):
+    from tokenizers import Tokenizer
+    monkeypatch.setattr(packing, "CACHE_BYTES", 5000)
+    path = common.tokenizer_path(packing.TOKENIZER)
+    e, tk, rng = packing.Encoder(path), Tokenizer.from_file(path), random.Random(8)
+    for _ in range(30):
+        texts = [" ".join(f"w{rng.randint(0, 400)}x" for _ in range(20)) for _ in range(3)]
+        ids, n = e.encode(pa.array(texts))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x.ids for x in tk.encode_batch(texts, add_special_tokens=False)]
+        assert e.chunks.used < 5000 + 60 * 300 and len(e.chunks.old) < 200
 
 
 # SentencePiece ---------------------------------------------------------------------------------
