@@ -20,7 +20,7 @@ FIT_CHARS = 24_000_000  # and their total length, shared by the labels as FIT_DO
 SEGMENT = 48  # tokens of a training chain
 FIT_SEGMENTS = 6000  # chains of them that the weights are fitted on
 STEMS = (4, 5, 6, 7)
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -304,7 +304,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     t = text_of(docs, id_col, text_col)
     kind = t.schema["doc_id"].dataType.simpleString()
-    return map_batches(t, scorer(t, model), f"doc_id {kind}, score double, predicted int, spans array<struct<start:int,end:int,p:double>>", rows=2000)
+    return map_batches(t, scorer(t, model), f"doc_id {kind}, score double, predicted int, spans array<struct<start:int,end:int,p:double>>", rows=1000)
 
 
 def scorer(t: DataFrame, model: Model):
@@ -350,7 +350,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         rows = pa.RecordBatch.from_arrays([batch.column(id_col), batch.column(text_col).fill_null("")], names=["doc_id", "text"])
         low = one(rows).column("score").to_numpy() < reject
         return batch.filter(pa.array(low))
-    return map_batches(docs, keep, docs.schema, rows=2000)
+    return map_batches(docs, keep, docs.schema, rows=1000)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
