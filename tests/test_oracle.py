@@ -75,7 +75,7 @@ def test_without_oracle(spark, name):
     rows = [r.asDict() for r in df.collect()]
     if name == "det6_detector_sweeps":
         refused = {(r["detector"], r["param"]) for r in rows if r["error"]}
-        assert refused == {("cblof", 0), ("pca", 9)} and len(rows) == 7 * 6 + len(refused)
+        assert refused == {("cblof", 0), ("pca", 9)} and len(rows) == 8 * 6 + len(refused)
         assert all(r["error"] or 0 < r["macro_f1"] <= 1 for r in rows)
         for r in rows:  # higher contamination, lower threshold
             assert all(s["threshold"] >= r["threshold"] for s in rows if not r["error"] and not s["error"] and (s["detector"], s["param"]) == (r["detector"], r["param"])
