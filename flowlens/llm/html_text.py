@@ -35,8 +35,11 @@ IMPLIED_END = {
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol menu dir dl table pre blockquote figure fieldset xmp".split())  # a blank line around
 BLOCK = PARAGRAPH | frozenset("address article aside body center details dialog dd div dt figcaption footer form header hgroup hr html legend li main nav "
                               "optgroup option section summary textarea tr caption".split())
-PAD_WIDTH = 60  # wider cells are not padded
-TABLE_DEPTH = 12  # tables nested deeper are laid out as blocks
+#: A table is laid out in as wide columns as it needs while that takes at most PAD_TIMES its text (PAD_FREE for small ones);
+#: beyond, cells over PAD_WIDTH characters do not count for a column, and where that is not enough cells just follow each other.
+PAD_TIMES, PAD_FREE, PAD_WIDTH = 16, 4096, 60
+TABLE_DEPTH = 64  # tables nested deeper are laid out as blocks (each level is a recursion)
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534  # fixed values: limits of the HTML standard
 
 
 class Node:
@@ -253,56 +256,123 @@ def render(root: Node, depth: int = 0) -> str:
         if tag == "details" and "open" not in node.get():
             kids = [k for k in kids if isinstance(k, Node) and k.tag == "summary"]
         if tag == "select":
-            options = [k for k in kids if isinstance(k, Node) and k.tag == "option"]
-            kids = ([k for k in options if "selected" in k.get()] or options)[:1]
+            kids = shown_options(node)
         work += [(k, False) for k in reversed(kids)]
     return page.text()
 
 
-def table_lines(table: Node, depth: int) -> list[str]:
-    """Lines of a table: cells stand below each other, two spaces between columns."""
-    lines, rows, work = [], [], list(reversed(table.kids))
-    loose = Node("tr")
+def shown_options(select: Node) -> list[Node]:
+    """Options of a select that are seen: all of a list box (``multiple`` or a ``size``), else the selected or first one."""
+    options, work = [], list(reversed(select.kids))
     while work:
         node = work.pop()
+        if isinstance(node, str) or hidden(node):
+            continue
+        if node.tag == "optgroup":
+            work += reversed(node.kids)
+        elif node.tag == "option":
+            options.append(node)
+    got = select.get()
+    if "multiple" in got or span_of(got.get("size", ""), MAX_ROWSPAN) > 1:
+        return options
+    return [k for k in options if "selected" in k.get()][-1:] or options[:1]
+
+
+def span_of(value: str, top: int) -> int:
+    """A span attribute as a number from 0 to ``top``; 1 if it is none."""
+    value = value.strip()
+    if not (value.isascii() and value.isdigit()):
+        return 1
+    return top if len(value) > 6 else min(int(value), top)
+
+
+def table_rows(table: Node, depth: int) -> tuple[list[str], list[tuple[int, Node]]]:
+    """(lines of what is no cell, rows with the number of their row group)."""
+    lines, rows, work = [], [], [(k, 0) for k in reversed(table.kids)]
+    loose, groups = Node("tr"), 0
+    while work:
+        node, group = work.pop()
         if isinstance(node, str):
             if node.strip():
                 lines.append(SPACES.sub(" ", node).strip())  # text that is no cell stands before the table
         elif hidden(node):
             continue
         elif node.tag in ("thead", "tbody", "tfoot"):
-            work += reversed(node.kids)
+            groups += 1
+            work += [(k, groups) for k in reversed(node.kids)]
         elif node.tag == "tr":
-            rows.append(node)
+            rows.append((group, node))
         elif node.tag in ("td", "th"):
-            if not rows or rows[-1] is not loose:
-                rows.append(loose)
+            if not rows or rows[-1][1] is not loose:
+                rows.append((group, loose))
             loose.kids.append(node)
         elif node.tag in ("col", "colgroup"):
             continue
         else:
             lines += render_one(node, depth).split("\n")
-    grid: list[list[list[str]]] = []
-    for row in rows:
-        cells: list[list[str]] = []
+    return lines, rows
+
+
+def placed(rows: list[tuple[int, Node]], depth: int) -> list[list[tuple[int, list[str]]]]:
+    """Cells of each row as (column, lines); a cell that spans rows keeps its columns in the following rows of its group."""
+    grid, held, of = [], [], None  # held: [first column, column behind, rows left] in order of columns
+    for group, row in rows:
+        if group != of:
+            held, of = [], group
+        cells, new, at, i = [], [], 0, 0
         for cell in row.kids:
+            wide, high = 1, 1
             if isinstance(cell, str):
-                if cell.strip():
-                    cells.append([SPACES.sub(" ", cell).strip()])
+                if not cell.strip():
+                    continue
+                shown = [SPACES.sub(" ", cell).strip()]
+            elif hidden(cell):
                 continue
-            if hidden(cell):
-                continue
-            cells.append(render_one(cell, depth).split("\n"))
-            span = cell.get().get("colspan", "1") if cell.attrs else "1"
-            cells += [[""]] * (min(int(span), 100) - 1 if span.isascii() and span.isdigit() and int(span) > 1 else 0)
+            else:
+                shown = render_one(cell, depth).split("\n")
+                if cell.attrs:
+                    got = cell.get()
+                    wide = max(1, span_of(got.get("colspan", ""), MAX_COLSPAN))
+                    high = span_of(got.get("rowspan", ""), MAX_ROWSPAN) or MAX_ROWSPAN  # 0: to the end of the group
+            while i < len(held) and held[i][0] <= at:
+                at = max(at, held[i][1])
+                i += 1
+            cells.append((at, shown))
+            if high > 1:
+                new.append([at, at + wide, high])
+            at += wide
+        held = sorted([s, e, n - 1] for s, e, n in held + new if n > 1)
         grid.append(cells)
-    columns = max(map(len, grid), default=0)
-    width = [max([0, *(len(x) for cells in grid if c < len(cells) for x in cells[c] if len(x) <= PAD_WIDTH)]) for c in range(columns)]
+    return grid
+
+
+def table_lines(table: Node, depth: int) -> list[str]:
+    """Lines of a table: cells stand below each other, two spaces between columns."""
+    lines, rows = table_rows(table, depth)
+    grid = placed(rows, depth)
+    number = {c: i for i, c in enumerate(sorted({c for cells in grid for c, _ in cells}))}  # columns in which no cell begins take no place
+    grid = [[(number[c], shown) for c, shown in cells] for cells in grid]
+    chars = sum(len(x) - x.count(" ") for cells in grid for _, shown in cells for x in shown)
+    for limit in (None, PAD_WIDTH):
+        width = [0] * len(number)
+        for cells in grid:
+            for c, shown in cells:
+                width[c] = max([width[c], *(len(x) for x in shown if limit is None or len(x) <= limit)])
+        begin = [0]
+        for w in width:
+            begin.append(begin[-1] + w + 2)
+        if sum(max(len(shown) for _, shown in cells) * begin[cells[-1][0] + 1] for cells in grid if cells) <= max(PAD_FREE, PAD_TIMES * chars):
+            break
+    else:
+        begin = []
     for cells in grid:
-        for i in range(max(map(len, cells), default=0)):
-            line = "  ".join((cell[i] if i < len(cell) else "").ljust(width[c]) for c, cell in enumerate(cells)).rstrip()
-            if line:
-                lines.append(line)
+        for i in range(max((len(shown) for _, shown in cells), default=0)):
+            line = ""
+            for c, shown in cells:
+                if i < len(shown) and shown[i]:
+                    line = (line and line + "  ") if not begin else line.ljust(begin[c]) if len(line) <= begin[c] - 2 or not c else line + "  "
+                    line += shown[i]
+            lines.append(line.rstrip())
     return [x for x in lines if x.strip()]
 
 
@@ -333,7 +403,9 @@ def html_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html")
     """(page_id, title, text) of every row.
 
     All visible text in page order: hidden elements (by element, attribute or
-    inline style) are left out, nothing else.  Null and empty pages give empty
+    inline style) are left out, and of a drop-down list all but the option it shows; nothing else.
+    Cells stand below each other at any width and under cells that span rows or columns, unless a
+    table would take more than PAD_TIMES its text so.  Null and empty pages give empty
     texts; broken markup never fails; pages are handled whole, row by row, so
     repeated rows give equal results and an empty table none.
     """
