@@ -49,6 +49,14 @@ def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, lengthened until no column of ``taken`` has it (Spark's names ignore case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 2000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``rows`` rows and about ``size`` bytes, so that a batch of long texts stays small in memory."""
     for b in batches:

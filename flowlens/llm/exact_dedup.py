@@ -6,11 +6,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import map_batches, stored, text_of, texts_utf8
+from .common import free_name, map_batches, stored, text_of, texts_utf8
 
 COUNTERS = 1024  # Misra-Gries counters: any digest with more than 1/1024 of the rows is found
 
@@ -63,8 +63,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Misra-Gries summaries name the digests that may be frequent, one counting
     pass verifies them (more than rows/k, hence fewer than k), and the
     verified winners are broadcast: their rows are settled map-side.  All
-    other digests, none above rows/k, go through an ordinary shuffle of
-    (id, digest).  Empty input gives an empty result; other columns are not read.
+    other digests, none above rows/k, go through an ordinary shuffle: groups of
+    two or more are found by an aggregate that combines before it and joined
+    back to their rows, so that no task holds a group.  Empty input gives an empty result; other columns are not read.
     """
     rows = stored(digests(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "digests")
     n = rows.count()
@@ -73,9 +74,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                .agg(best.alias("keep"), F.count("*").alias("group_size")).where(F.col("group_size") * k > n))
     winners = stored(winners, "winners")
     heavy = rows.join(F.broadcast(winners), "digest")
-    w = Window.partitionBy("digest")
-    rest = (rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-            .withColumn("keep", best.over(w)).withColumn("group_size", F.count("*").over(w)))
+    rest = rows.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
+    groups = rest.groupBy("digest").agg(best.alias("keep"), F.count("*").alias("group_size")).where("group_size > 1")
+    rest = rest.join(groups, "digest", "left").withColumns(
+        {"keep": F.coalesce("keep", F.struct("doc_id", "uid")), "group_size": F.coalesce("group_size", F.lit(1))})
     return heavy.unionByName(rest).select(
         "doc_id", "uid", "digest", F.col("keep.doc_id").alias("keep_id"), F.col("keep.uid").alias("keep_uid"), "group_size",
         (F.col("uid") == F.col("keep.uid")).alias("kept"))
@@ -96,12 +98,13 @@ def keep_one_copy(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     belongs to one input row unless rows repeat.  Of repeated rows (same id,
     same text) one is picked by a map-side combined aggregate.
     """
+    i, dg, n, own = (free_name(x, docs.columns) for x in ("__id", "__dg", "__rows", "__digest"))
     pairs = (exact_dedup(docs, id_col, text_col, k).groupBy("doc_id", "digest")
              .agg(F.max("kept").alias("kept"), F.count("*").alias("rows")).where("kept")
-             .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__dg"), F.col("rows").alias("__rows")))
-    d = with_digest(docs, text_col)
-    hit = d.join(pairs, (F.col("__digest") == F.col("__dg")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")))
+             .select(F.col("doc_id").alias(i), F.col("digest").alias(dg), F.col("rows").alias(n)))
+    d = with_digest(docs, text_col, own)
+    hit = d.join(pairs, (F.col(own) == F.col(dg)) & F.col(f"`{id_col}`").eqNullSafe(F.col(i)))
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    once = hit.where("__rows = 1").select(*cols)
-    again = hit.where("__rows > 1").groupBy("__id", "__dg").agg(F.first(F.struct(*cols)).alias("one")).select("one.*")
+    once = hit.where(F.col(n) == 1).select(*cols)
+    again = hit.where(F.col(n) > 1).groupBy(i, dg).agg(F.first(F.struct(*cols)).alias("one")).select("one.*")
     return once.unionByName(again)
