@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ROUNDS = 10
-DEFAULT_KEY = "flowlens-pseudonym-key"
 KINDS = ("email", "phone", "ip", "ssn", "date", "iban", "secret", "card")
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -137,8 +138,8 @@ def _numbered(kind: str) -> str:
     return f"(?=({own})){HEADS[kind]}" if kind in HEADS else own
 
 
-def settled(key: str = DEFAULT_KEY) -> Column:
-    """For a text column ``__t`` with matches: struct (out: array of (before, token, kind, value, pseudonym; null if nothing is replaced), tail).
+def settled(key: str, text: str) -> Column:
+    """For the column ``text`` with matches: struct (out: array of (before, token, kind, value, pseudonym; null if nothing is replaced), tail).
 
     ``before`` and ``tail`` are the text between the tokens.  A value longer than its token takes the rest from what follows it.
     """
@@ -167,15 +168,16 @@ def settled(key: str = DEFAULT_KEY) -> Column:
                "'over', 0, 'seen', 0)")
     result = _let(f"if(exists(fs, f -> length(f.cand) > length(f.token)), {one_by_one}, {at_once})", "st",
                   "named_struct('out', st.out, 'tail', substring(ps[size(ps) - 1], st.over + 1))")
-    for value, name in ((f"transform(ms, (g, i) -> {item})", "fs"), (f"regexp_extract_all(__t, {every}, 3)", "cd"), (f"regexp_extract_all(__t, {every}, 2)", "ib"),
-                        (f"split(__t, {every}, -1)", "ps")):
+    for value, name in ((f"transform(ms, (g, i) -> {item})", "fs"), (f"regexp_extract_all({text}, {every}, 3)", "cd"), (f"regexp_extract_all({text}, {every}, 2)", "ib"),
+                        (f"split({text}, {every}, -1)", "ps")):
         result = _let(value, name, result)
-    return F.expr(_let(f"regexp_extract_all(__t, {every}, 0)", "ms", f"if(size(ms) > 0, {result}, NULL)"))
+    return F.expr(_let(f"regexp_extract_all({text}, {every}, 0)", "ms", f"if(size(ms) > 0, {result}, NULL)"))
 
 
-def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = DEFAULT_KEY) -> DataFrame:
+def pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with the text pseudonymized, and ``pii``: array of (kind, value, pseudonym) replaced.
 
+    Who knows ``key`` can undo the pseudonyms, so it has no default.
     Rows are handled one by one, without a shuffle: nulls stay null (empty
     array), empty texts stay empty, repeated rows give equal results, and an
     empty table an empty result.  A column named ``pii`` of the input is replaced.
@@ -184,9 +186,13 @@ def pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: st
     separator (cards: in a usual form); the search goes on behind it, or inside a run without one.
     """
     none = "array<struct<kind:string,value:string,pseudonym:string>>"
-    out = docs.drop("pii").withColumn("__t", F.col(f"`{text_col}`"))
-    out = out.withColumn("__s", F.when(F.col("__t").rlike(MAY), settled(key)))
-    whole = F.expr("concat(array_join(transform(__s.out, o -> concat(o.before, coalesce(o.pseudonym, o.token))), ''), __s.tail)")
-    out = out.withColumn(text_col, F.when(F.col("__s").isNotNull(), whole).otherwise(F.col("__t")))
-    found = F.expr("transform(filter(__s.out, o -> o.pseudonym IS NOT NULL), o -> named_struct('kind', o.kind, 'value', o.value, 'pseudonym', o.pseudonym))")
-    return out.withColumn("pii", F.coalesce(found, F.array().cast(none))).drop("__t", "__s")
+    if not key:
+        raise ValueError("pii needs a key")
+    out = docs.drop("pii")
+    t, s = free_name("__t", out.columns), free_name("__s", out.columns)
+    out = out.withColumn(t, F.col(f"`{text_col}`"))
+    out = out.withColumn(s, F.when(F.col(t).rlike(MAY), settled(key, t)))
+    whole = F.expr(f"concat(array_join(transform({s}.out, o -> concat(o.before, coalesce(o.pseudonym, o.token))), ''), {s}.tail)")
+    out = out.withColumn(text_col, F.when(F.col(s).isNotNull(), whole).otherwise(F.col(t)))
+    found = F.expr(f"transform(filter({s}.out, o -> o.pseudonym IS NOT NULL), o -> named_struct('kind', o.kind, 'value', o.value, 'pseudonym', o.pseudonym))")
+    return out.withColumn("pii", F.coalesce(found, F.array().cast(none))).drop(t, s)

@@ -19,10 +19,17 @@ from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .toxicity import held_out, toxicity
 
+#: For the test tables.  A run on real documents sets ``spark.flowlens.pseudonym.key``.
+TEST_KEY = "flowlens-pseudonym-key"
+
 LLM_QUERIES = {}
 LLM_ORACLES = {}
 
 
+def pseudonym_key(spark) -> str:
+    return spark.conf.get("spark.flowlens.pseudonym.key", TEST_KEY)
+
+
 def op(fn):
     LLM_QUERIES[fn.__name__] = fn
     return fn
@@ -53,7 +60,7 @@ def op4_simhash(spark, sf_dir):
 @op
 def op10_pii(spark, sf_dir):
     """``documents`` with personal data replaced by format-preserving pseudonyms, and how many of each kind."""
-    found = pii(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii(read(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(spark))
     count = [F.expr(f"size(filter(pii, f -> f.kind = '{k}'))").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", "text", F.size("pii").alias("n_replaced"), *count)
 

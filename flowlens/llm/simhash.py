@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, sorted_groups, stored, text_of, texts_utf8
+from .common import free_name, map_batches, sorted_groups, stored, text_of, texts_utf8
 from .components import components, local_forest
 
 SHINGLE = 3
@@ -175,5 +175,6 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     loses the row that stands for it; rows without an id stay.
     """
     found = simhash_groups(docs, id_col, text_col, shingle, max_bits).where("doc_id is not null")
-    go = found.groupBy(F.col("doc_id").alias("__id")).agg(F.min(F.col("doc_id") != F.col("component_id")).alias("go")).where("go").select("__id")
-    return docs.join(go, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+    i = free_name("__id", docs.columns)
+    go = found.groupBy(F.col("doc_id").alias(i)).agg(F.min(F.col("doc_id") != F.col("component_id")).alias("go")).where("go").select(i)
+    return docs.join(go, F.col(f"`{id_col}`") == F.col(i), "left_anti")
