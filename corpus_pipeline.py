@@ -9,6 +9,7 @@ from flowlens.llm.common import read, stored
 from flowlens.llm.exact_dedup import keep_one_copy
 from flowlens.llm.packing import best_fit_packing
 from flowlens.llm.pii import pii
+from flowlens.llm.queries import pseudonym_key
 from flowlens.llm.simhash import keep_one_per_group
 from flowlens.llm.toxicity import keep_clean
 
@@ -30,7 +31,7 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced in the text; ``n_chars`` follows it."""
-    out = pii(docs).drop("pii")
+    out = pii(docs, key=pseudonym_key(spark)).drop("pii")
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
