@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
 import zlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,43 +17,40 @@ from .common import map_batches, process_cache, stored, text_of, tokenizer_path
 MAX_TOKENS = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
-CACHE_BYTES = 40 << 20  # of the newer generation of either table
+CACHE_BYTES = 40 << 20  # of either table of ids
 SALTS = 64
 
 
-class Recent(dict):
-    """A table that drops its older generation when the newer one has grown beyond ``limit`` bytes (about)."""
+class IdTable:
+    """Token ids of strings as flat arrays; beyond ``limit`` bytes only what the last call asked for is kept."""
 
     def __init__(self, limit: int):
-        super().__init__()
-        self.old: dict = {}
-        self.used, self.limit = 0, limit
-
-    def put(self, keys: list, values: list[bytes]) -> None:
-        self.update(zip(keys, values, strict=True))
-        self.used += sum(map(len, keys)) + sum(map(len, values)) + 150 * len(keys)
-
-    def missing(self, keys: list) -> list:
-        """Of distinct keys those that neither generation holds; those of the older one move to the newer."""
-        if self.used > self.limit:
-            self.old = dict(self)
-            self.clear()
-            self.used = 0
-        new = [k for k in keys if k not in self]
-        old = self.old
-        again = [k for k in new if k in old]
-        if again:
-            self.put(again, [old[k] for k in again])
-            new = [k for k in new if k not in old]
-        return new
-
-
-def gathered(raw: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of ``raw[c]`` for all codes in order, their number for each code)."""
-    size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-    of = size[codes]
-    place = np.arange(of.sum()) - np.repeat(np.cumsum(of) - of - (np.cumsum(size) - size)[codes], of)
-    return np.frombuffer(b"".join(raw), "<u4")[place], of
+        self.limit = limit
+        self.keys = pa.array([], pa.large_string())
+        self.ids, self.begin = np.empty(0, "<u4"), np.zeros(1, np.int64)
+
+    def ids_of(self, keys: pa.Array, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first place among them, number) for each of distinct keys; ``make`` gives (ids in order, number of each) of the unknown."""
+        at = pc.index_in(keys, value_set=self.keys)
+        unknown = at.is_null().to_numpy(zero_copy_only=False)
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        new = keys.filter(pa.array(unknown))
+        if len(new):
+            ids, size = make(new.to_pylist())
+            at[unknown] = len(self.keys) + np.arange(len(new))
+            self.keys = pa.concat_arrays([self.keys, new])
+            self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(size)))
+            self.ids = np.concatenate((self.ids, ids))
+        ids, first, size = self.ids, self.begin[at], self.begin[at + 1] - self.begin[at]
+        if self.keys.nbytes + self.ids.nbytes + self.begin.nbytes > self.limit:
+            self.keys, self.ids, self.begin = keys, gathered(ids, first, size), np.concatenate(([0], np.cumsum(size)))
+        return ids, first, size
+
+
+def gathered(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of ``ids`` that begin at ``first`` with ``size`` members, one after the other."""
+    ends = np.cumsum(size)
+    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)]
 
 
 class Encoder:
@@ -63,14 +60,15 @@ class Encoder:
     a text's ids are those of its chunks in order.  Chunks are cut at the six
     ASCII white-space characters only; other white space stays inside a chunk
     and is the tokenizer's business.  A slice of texts is cut and its chunks are
-    numbered by Arrow; each distinct chunk is looked up once and the ids are
-    gathered by number.  Chunks of Latin letters are normalized and split into
+    numbered by Arrow, so each distinct chunk is handled once, and the ids are
+    gathered by number.  Chunks of ASCII and Latin letters and signs are split into
     words here, as the tokenizer's file says, and its model encodes each word
     once; all others, and those that may hold a special token, go through the
     whole tokenizer.  A file with other steps than KNOWN is not cut at all.
     """
 
-    PLAIN = "^[!-~\u00a1-\u024f]+$"
+    PLAIN = "^[!-~\u00a1-\u012f\u0131-\u024f]+$"  # normalization changes none of these; without the capital that becomes two characters
+    LETTERS = "^[a-z\u00df-\u00f6\u00f8-\u024f]+$"  # one word
     WORDS = regex.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")  # a line feed ends a chunk
     # fixed values: the steps that the cuts above follow
     KNOWN = {"normalizer": {"type": "Sequence", "normalizers": [
@@ -95,44 +93,41 @@ class Encoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.chunks, self.words = Recent(CACHE_BYTES), Recent(CACHE_BYTES)
+        self.chunks, self.words = IdTable(CACHE_BYTES), IdTable(CACHE_BYTES)
 
-    def encode_words(self, words: list[str]) -> None:
-        """Model ids of unknown words, many at once; each ends where a token does that ends a word."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Model ids of words, many at once; each word ends where a token does that ends one."""
+        ids, size = [], []
         for i in range(0, len(words), 8192):
             part = words[i:i + 8192]
-            ids = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-            if len(at) == len(part):
-                raw = ids.tobytes()
-                self.words.put(part, [raw[s:e] for s, e in zip([0, *at], at, strict=False)])
-            else:
-                self.words.put(part, [np.array(self.model.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes() for w in part])
-
-    def learn(self, chunks: list[bytes]) -> None:
-        """Ids of unknown chunks: the plain ones are lower-cased and split together, as lines of one text."""
-        if not chunks:
-            return
-        as_text = pa.array(chunks, pa.large_binary()).cast(pa.large_string())
-        plain = pc.and_not(pc.match_substring_regex(as_text, self.PLAIN), pc.match_substring(as_text, "<|")).to_numpy(zero_copy_only=False)
-        other = [chunks[i] for i in np.flatnonzero(~plain).tolist()]
-        self.chunks.put(other, [np.array(e.ids, dtype="<u4").tobytes() for e in
-                                self.tokenizer.encode_batch([c.decode() for c in other], add_special_tokens=False)])
-        split = [chunks[i] for i in np.flatnonzero(plain).tolist()]
-        if not split:
-            return
-        text = b"\n".join(split).decode()
-        text = text if text.isascii() else unicodedata.normalize("NFC", text)
-        coded = pa.array(self.WORDS.findall(text.lower() + "\n"), pa.large_string()).dictionary_encode()
-        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        line = distinct.index("\n")
-        words = distinct[:line] + distinct[line + 1:]
-        self.encode_words(self.words.missing(words))
-        raw = [b"" if w == "\n" else self.words[w] for w in distinct]
-        ids, size = gathered(raw, codes)
-        ends = (4 * np.cumsum(size)[codes == line]).tolist()
-        whole = ids.tobytes()
-        self.chunks.put(split, [whole[s:e] for s, e in zip([0, *ends], ends, strict=False)])
+            got = np.array(self.model.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            n = np.diff(np.flatnonzero(self.ends[got]), prepend=-1)
+            if len(n) != len(part):
+                each = [self.model.encode(w, add_special_tokens=False).ids for w in part]
+                got, n = np.array([x for e in each for x in e], "<u4"), np.fromiter(map(len, each), np.int64, len(each))
+            ids.append(got)
+            size.append(n)
+        return np.concatenate(ids), np.concatenate(size)
+
+    def encode_whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of strings by the whole tokenizer."""
+        each = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.concatenate([np.empty(0, "<u4"), *each]), np.fromiter(map(len, each), np.int64, len(each))
+
+    def encode_plain(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain chunks, lower-cased; those not of letters alone are split into words together, as lines of one text."""
+        low = pc.utf8_lower(chunks)
+        single = pc.match_substring_regex(low, self.LETTERS)
+        found = pa.array(self.WORDS.findall("\n".join([*low.filter(pc.invert(single)).to_pylist(), ""])), pa.large_string())
+        line = pc.equal(found, "\n").to_numpy(zero_copy_only=False)
+        single = single.to_numpy(zero_copy_only=False)
+        owner = np.concatenate((np.flatnonzero(single), np.flatnonzero(~single)[np.cumsum(line)[~line]]))
+        coded = pa.concat_arrays([low.filter(pa.array(single)), found.filter(pa.array(~line))]).dictionary_encode()
+        order = np.argsort(owner, kind="stable")
+        codes = coded.indices.to_numpy()[order]
+        ids, first, size = self.words.ids_of(coded.dictionary, self.encode_words)
+        of = size[codes]
+        return gathered(ids, first[codes], of), np.bincount(owner[order], of, minlength=len(chunks)).astype(np.int64)
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in order, ids of each text); ``end`` follows every text's ids."""
@@ -142,15 +137,20 @@ class Encoder:
             full = pc.greater(pc.binary_length(flat), 0)
             flat, owner = flat.filter(full), owner[full.to_numpy(zero_copy_only=False)]
             coded = flat.dictionary_encode()
-            distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
-            self.learn(self.chunks.missing(distinct))
-            raw = [self.chunks[c] for c in distinct]
-            codes = coded.indices.to_numpy()
+            distinct, codes = coded.dictionary, coded.indices.to_numpy()
+            del words, flat, full, coded
+            plain = pc.and_not(pc.match_substring_regex(distinct, self.PLAIN), pc.match_substring(distinct, "<|"))
+            a, n_a = self.encode_plain(distinct.filter(plain))
+            b, first_b, n_b = self.chunks.ids_of(distinct.filter(pc.invert(plain)), self.encode_whole)
+            plain = plain.to_numpy(zero_copy_only=False)
+            first, size = np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64)
+            first[plain], size[plain] = np.cumsum(n_a) - n_a, n_a
+            first[~plain], size[~plain] = len(a) + first_b, n_b
+            of = size[codes]
+            ids = gathered(np.concatenate((a, b)), first[codes], of)
+            n = np.bincount(owner, of, minlength=len(texts)).astype(np.int64)
         else:
-            raw = [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(texts.to_pylist(), add_special_tokens=False)]
-            codes = owner = np.arange(len(texts))
-        ids, of = gathered(raw, codes)
-        n = np.bincount(owner, of, minlength=len(texts)).astype(np.int64)
+            ids, n = self.encode_whole(texts.to_pylist())
         if end is None:
             return ids, n
         out = np.full(len(ids) + len(n), end, "<u4")

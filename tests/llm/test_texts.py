@@ -113,7 +113,21 @@ def test_encoder_tables_are_bounded_by_bytes(monkeypatch):
         texts = [" ".join(f"w{rng.randint(0, 400)}x" for _ in range(20)) for _ in range(3)]
         ids, n = e.encode(pa.array(texts))
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x.ids for x in tk.encode_batch(texts, add_special_tokens=False)]
-        assert e.chunks.used < 5000 + 60 * 300 and len(e.chunks.old) < 200
+        for table in (e.words, e.chunks):
+            assert table.keys.nbytes + table.ids.nbytes + table.begin.nbytes < 5000 + 60 * 100
+
+
+def test_encoder_on_every_plain_character():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+    path = common.tokenizer_path(packing.TOKENIZER)
+    e, tk = packing.Encoder(path), Tokenizer.from_file(path)
+    plain = [chr(c) for c in (*range(0x21, 0x7f), *range(0xa1, 0x250))]
+    assert all(unicodedata.normalize("NFC", "a" + c + c + "e") == "a" + c + c + "e" for c in plain)
+    texts = [f"{c} {c}{c} a{c}b A{c}{d}Z '{c}'S {c}'t{d}" for c, d in zip(plain, plain[7:] + plain[:7], strict=True)]
+    ids, n = e.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [x.ids for x in tk.encode_batch(texts, add_special_tokens=False)]
 
 
 # SentencePiece ---------------------------------------------------------------------------------
