@@ -72,13 +72,15 @@ def texts_utf8(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return batch.column(column).cast(pa.binary()).to_pylist()
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 2000, cache: str = "") -> DataFrame:
-    """``mapInArrow`` over small slices; ``fn`` returns one batch for each.  Objects that other operators left in the worker
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 2000, cache: str = "",
+                size: int = 16 << 20) -> DataFrame:
+    """``mapInArrow`` over small slices of ``rows`` rows and about ``size`` bytes; ``fn`` returns one batch for each.  Objects that other operators left in the worker
     (all but ``cache``) are dropped first."""
     def run(batches):
         drop_caches(cache)
-        for b in small_batches(batches, rows):
+        for b in small_batches(batches, rows, size):
             yield fn(b)
+            pa.default_memory_pool().release_unused()
     return df.mapInArrow(run, schema)
 
 
@@ -132,10 +134,12 @@ def drop_caches(but: str) -> None:
         delattr(held, k)
     if old:
         gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library: its allocator decides
-            pass
+    # also what earlier tasks of this operator gave back: both allocators keep freed memory for themselves
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: its allocator decides
+        pass
 
 
 def process_cache(name: str, make: Callable):

@@ -18,6 +18,7 @@ MAX_TOKENS = 2048
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 CACHE_BYTES = 40 << 20  # of either table of ids
+SLICE_ROWS, SLICE_BYTES = 1000, 4 << 20  # texts encoded together
 SALTS = 64
 
 
@@ -50,7 +51,11 @@ class IdTable:
 def gathered(ids: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs of ``ids`` that begin at ``first`` with ``size`` members, one after the other."""
     ends = np.cumsum(size)
-    return ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+    at = np.repeat((first - ends + size).astype(kind), size)
+    at += np.arange(total, dtype=kind)
+    return ids[at]
 
 
 class Encoder:
@@ -193,7 +198,8 @@ def pieces(docs: DataFrame, path: str | None = None, max_tokens: int = MAX_TOKEN
 
     t = text_of(docs, id_col, text_col)
     kind = t.schema["doc_id"].dataType.simpleString()
-    return map_batches(t, one, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids, cache=f"encoder:{path}")
+    return map_batches(t, one, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids, rows=SLICE_ROWS,
+                       cache=f"encoder:{path}", size=SLICE_BYTES)
 
 
 def plan(counts: dict[int, int], room: int = MAX_TOKENS) -> list[tuple[int, int, int, int, int]]:
