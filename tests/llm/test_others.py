@@ -65,6 +65,34 @@ def test_embedding_dedup_empty(spark):
     assert embedding_dedup.embedding_dedup(df).count() == 0
 
 
+def test_embedding_recall_at_the_threshold(spark):
+    """Pairs of random vectors just above the threshold, the hardest case; one pair of different vectors has one id."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 64))
+    side = rng.normal(size=x.shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side -= (side * x).sum(1, keepdims=True) * x
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    near = 0.935 * x + np.sqrt(1 - 0.935 ** 2) * side
+    rows = [(2 * i + j, [float(c) for c in v], 0) for i, pair in enumerate(zip(x, near, strict=True)) for j, v in enumerate(pair)]
+    rows += [(9000, rows[0][1], 1), (9000, rows[2][1], 1), (9001, rows[0][1], 1)]
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sum(r.n_links for r in got if r.vec_id < 9000) >= 0.98 * 3000
+    assert all(r.n_links <= 1 and r.component_id >= r.vec_id - 1 for r in got if r.vec_id < 9000)
+    assert sorted(r.n_links for r in got if r.vec_id >= 9000) == [0, 1, 1]
+
+
+def test_embedding_candidates_are_few_without_near_vectors():
+    rng = np.random.default_rng(9)
+    x = embedding_dedup.unit(list(rng.normal(size=(4000, 64))))
+    pre = embedding_dedup.nearest(x, embedding_dedup.spread(x, 256), 10)
+    rows = np.arange(len(pre))
+    pairs = sum(int(ok.sum()) for p in range(256) for at in [rows[(pre[:, :6] == p).any(1)]] if len(at) > 1
+                for _, ok in embedding_dedup.candidates(pre, p, at, at, True, 4))
+    a, b = np.triu_indices(len(pre), 1)
+    assert 0 < pairs < 0.002 * len(a)
+
+
 def test_embedding_recall_with_a_dense_group(spark):
     rng = np.random.default_rng(6)
     base = rng.normal(size=64)
