@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import map_batches, text_of
 
 ORDER = 3
 BACKOFF = 0.4
@@ -82,44 +82,65 @@ def chunk_counts(texts: pa.Array, order: int, where: bool = False):
     return n, keys, counts, places, first
 
 
-def pack_hashes(x: np.ndarray) -> bytes:
-    """Ascending hashes as differences of 6 bytes, or 8 where one does not fit (the first byte tells)."""
-    d = np.diff(x, prepend=np.uint64(0))
-    d[0] = x[0]
-    if len(d) > 1 and int(d[1:].max()) >= 1 << 48:
-        return b"\x08" + x.astype("<u8").tobytes()
-    return b"\x06" + x[:1].astype("<u8").tobytes() + d[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def pack(x: np.ndarray) -> bytes:
+    """Integers as compressed byte planes, only as many as the largest needs."""
+    x = x.astype("<u8")
+    k = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :k].T)
+    return k.to_bytes(1, "little") + len(x).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def unpack_hashes(b: bytes) -> np.ndarray:
-    if b[0] == 8:
-        return np.frombuffer(b, "<u8", offset=1)
-    d = np.zeros(((len(b) - 9) // 6 + 1, 8), np.uint8)
-    d[1:, :6] = np.frombuffer(b, np.uint8, offset=9).reshape(-1, 6)
-    out = d.view("<u8").ravel().copy()
-    out[0] = np.frombuffer(b, "<u8", count=1, offset=1)[0]
-    return np.cumsum(out, dtype=np.uint64)
+def unpack(b: bytes) -> np.ndarray:
+    k, n = b[0], int.from_bytes(b[1:9], "little")
+    planes = np.frombuffer(pa.decompress(b[9:], n * k, codec="zstd", asbytes=True), np.uint8).reshape(k, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :k] = planes.T
+    return out.view("<u8").ravel()
 
 
-def pack_counts(c: np.ndarray) -> bytes:
-    """Counts in as few bytes each as the largest needs."""
-    top = int(c.max())
-    kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if top <= np.iinfo(k).max)
-    return kind.encode() + c.astype(kind).tobytes()
+def pack_hashes(x: np.ndarray) -> bytes:
+    """Ascending hashes as the first one and differences."""
+    return x[:1].astype("<u8").tobytes() + pack(np.diff(x))
 
 
-def unpack_counts(b: bytes) -> np.ndarray:
-    return np.frombuffer(b, b[:3].decode(), offset=3).astype(np.int64)
+def unpack_hashes(b: bytes) -> np.ndarray:
+    return np.cumsum(np.concatenate((np.frombuffer(b, "<u8", count=1), unpack(b[8:]))), dtype=np.uint64)
+
+
+def dealt(batch: pa.RecordBatch, chunks: int) -> pa.RecordBatch:
+    """The rows of a slice as one compressed block (chunk, docs) for each chunk; the j-th of equal rows goes j chunks further, so they spread."""
+    h = batch.column("h").to_numpy()
+    order = np.argsort(h, kind="stable")
+    new = np.ones(len(h), bool)
+    new[1:] = h[order][1:] != h[order][:-1]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    chunk = np.empty(len(h), np.int64)
+    chunk[order] = (h[order] % chunks + np.arange(len(h)) - first) % chunks
+    rows = pa.table({k: batch.column(k) for k in ("doc_id", "text")})
+    order = np.argsort(chunk, kind="stable")
+    numbers, start = np.unique(chunk[order], return_index=True)
+    blocks = []
+    for at in np.split(order, start[1:]):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(rows.take(pa.array(at)))
+        blocks.append(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(blocks, pa.binary())], names=["chunk", "docs"])
+
+
+def opened(blocks: pa.ChunkedArray) -> pa.Table:
+    """The rows of a chunk's blocks, in the order of the blocks' bytes, so that both reads see one order."""
+    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in sorted(blocks.to_pylist())]).combine_chunks()
 
 
 def chunks_of(batches):
-    """(chunk, table of its rows) of a partition; a chunk is whole in one partition."""
+    """(chunk, table of its rows) of a partition; a chunk is whole in one partition, and only one is open at a time."""
     held = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
     if held:
         t = pa.concat_tables(held)
         number = t.column("chunk").to_numpy()
         for c in np.unique(number):
-            yield int(c), t.filter(pa.array(number == c))
+            yield int(c), opened(t.column("docs").filter(pa.array(number == c)))
 
 
 def exploded(batches, order: int, buckets: int):
@@ -129,7 +150,7 @@ def exploded(batches, order: int, buckets: int):
         b = bucket_of(keys, buckets)
         cut = np.flatnonzero(np.diff(b)) + 1
         edges = [0, *cut.tolist(), len(keys)]
-        rows = [(int(b[s]), c, pack_hashes(keys[s:e]), pack_counts(counts[s:e])) for s, e in zip(edges, edges[1:], strict=False)]
+        rows = [(int(b[s]), c, pack_hashes(keys[s:e]), pack(counts[s:e])) for s, e in zip(edges, edges[1:], strict=False)]
         for i in range(0, len(rows), 4096):
             part = list(zip(*rows[i:i + 4096], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary()),
@@ -151,18 +172,19 @@ def joined(batches):
     for b in np.unique(number):
         rows = t.filter(pa.array(number == b))
         grams = [unpack_hashes(x) for x in rows.column("grams").to_pylist()]
-        counts = np.concatenate([unpack_counts(x) for x in rows.column("counts").to_pylist()])
+        counts = np.concatenate([unpack(x).astype(np.int64) for x in rows.column("counts").to_pylist()])
         _, which = np.unique(np.concatenate(grams), return_inverse=True)
         total = np.bincount(which, counts).astype(np.int64)[which]
         ends = np.cumsum([len(g) for g in grams])[:-1]
         yield pa.RecordBatch.from_arrays([rows.column("chunk").combine_chunks(), rows.column("bucket").combine_chunks(),
-                                          pa.array([pack_counts(x) for x in np.split(total, ends)], pa.binary())], names=["chunk", "bucket", "totals"])
+                                          pa.array([pack(x) for x in np.split(total, ends)], pa.binary())], names=["chunk", "bucket", "totals"])
 
 
-def scored(texts: pa.Table, totals: pa.Table, order: int, backoff: float) -> pa.Table:
+def scored(blocks: pa.Table, totals: pa.Table, order: int, backoff: float) -> pa.Table:
     """Scores of one chunk's documents from the totals of its grams."""
+    texts = opened(blocks.column("docs"))
     t = totals.sort_by("bucket")
-    total = np.concatenate([unpack_counts(x) for x in t.column("totals").to_pylist()]) if t.num_rows else np.empty(0, np.int64)
+    total = np.concatenate([unpack(x).astype(np.int64) for x in t.column("totals").to_pylist()]) if t.num_rows else np.empty(0, np.int64)
     n, keys, _, places, first = chunk_counts(texts.column("text").combine_chunks(), order, where=True)
     if len(total) != len(keys):
         raise RuntimeError(f"{len(keys)} n-grams but {len(total)} totals; the documents changed between reads")
@@ -208,7 +230,8 @@ def lm_score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_c
     empty texts have one token.  Repeated rows are documents of their own;
     empty input gives an empty result.
 
-    Documents are dealt to chunks by hash; a chunk's n-grams are exploded and
+    Documents are dealt to chunks by hash, equal rows to different ones, and
+    travel compressed; a chunk's n-grams are exploded and
     counted before they are shuffled, so a frequent n-gram is one row a chunk.
     The count tables are partitioned by ranges of the hash and joined to every
     chunk's n-grams there; the totals return to the chunk, where they are
@@ -220,11 +243,11 @@ def lm_score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, id_c
     size = t.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     chunks = max(1, -(-size // CHUNK_BYTES))
     buckets = min(MAX_BUCKETS, max(16, chunks))
-    t = t.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks))).repartition(chunks, "chunk")
+    kind = t.schema["doc_id"].dataType.simpleString()
+    t = map_batches(t.withColumn("h", F.xxhash64("doc_id", "text")), lambda b: dealt(b, chunks), "chunk long, docs binary", rows=10000).repartition(chunks, "chunk")
     # the same exchange of the texts serves both reads
     totals = (t.mapInArrow(lambda b: exploded(b, order, buckets), "bucket int, chunk long, grams binary, counts binary")
               .repartition(buckets, "bucket").mapInArrow(joined, "chunk long, bucket int, totals binary"))
-    kind = t.schema["doc_id"].dataType.simpleString()
     return t.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(
         lambda a, b: scored(a, b, order, backoff),
         f"doc_id {kind}, n_tokens long, log_score double, mean_log_score double, n_top_order long, n_unseen long")

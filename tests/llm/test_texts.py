@@ -350,3 +350,28 @@ def test_lm_score_counts_trigrams_in_production(spark):
     got = rows_of(lm_scoring.lm_score(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_tokens", "log_score", "n_top_order")
     assert [(i, n, round(s, 4)) for i, n, s, _ in got] == [(i, n, round(s, 4)) for i, n, s in brute_scores(rows, 3)]
     assert [top for *_, top in got] == [2, 2]  # "a b c" and "b c" with the end; bigrams alone would give 3
+
+
+@pytest.mark.parametrize("values", [[], [0], [1, 255, 256, 2 ** 64 - 1], list(range(5000))])
+def test_packed_integers_and_hashes_come_back(values):
+    x = np.array(values, np.uint64)
+    assert lm_scoring.unpack(lm_scoring.pack(x)).tolist() == values
+    if values:
+        assert lm_scoring.unpack_hashes(lm_scoring.pack_hashes(x)).tolist() == values
+
+
+def test_repeated_rows_are_dealt_to_many_chunks():
+    rows = pa.RecordBatch.from_pydict({"doc_id": [7] * 600 + list(range(400)), "text": ["same words"] * 600 + [f"text {i}" for i in range(400)],
+                                       "h": [-5] * 600 + list(range(400))})
+    out = lm_scoring.dealt(rows, 20)
+    parts = [lm_scoring.opened(pa.chunked_array([out.column("docs").slice(i, 1)])) for i in range(out.num_rows)]
+    assert sorted(out.column("chunk").to_pylist()) == list(range(20)) and {t.num_rows for t in parts} == {50}
+    assert sorted(d for t in parts for d in t.column("doc_id").to_pylist()) == sorted(rows.column("doc_id").to_pylist())
+
+
+def test_lm_score_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 200)
+    rows = [(1, "a b c d e f")] * 40 + [(2, None), (3, "a b x")]
+    got = rows_of(lm_scoring.lm_score(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_tokens", "log_score")
+    want = brute_scores(rows, 3)
+    assert [x[:2] for x in got] == [x[:2] for x in want] and max(abs(a[2] - b[2]) for a, b in zip(got, want, strict=True)) < 1e-3
