@@ -260,8 +260,7 @@ query("gr23_concat_layers", with_fx((_prop_sql("gcn").split("\nSELECT")[0] + f""
   out2 AS (SELECT n.id, list_transform(range(1, {DIM + 1}), lambda i: coalesce(agg2.s[i], 0)) AS x FROM nodes n LEFT JOIN agg2 ON agg2.dst = n.id),
   cat AS (SELECT out.id, list_concat(out.x, out2.x) AS x FROM out JOIN out2 ON out.id = out2.id)
 """ + sql_explode("cat", "id", "x", 2 * DIM)).replace("\n, ", ", ", 1), [], SIM))(
-    lambda spark, sf: explode_vec(pg.concat_layers(pg.propagate(*sim_graph(spark, sf), DIM, "gcn"),
-                                                   pg.propagate(*sim_graph(spark, sf), DIM, "sage")), ["id"]))
+    lambda spark, sf: (lambda g: explode_vec(pg.concat_layers(pg.propagate(*g, DIM, "gcn"), pg.propagate(*g, DIM, "sage")), ["id"]))(sim_graph(spark, sf)))
 
 # GR-9: constant node features -------------------------------------------------------------------
 query("gr9_init_nodes", with_li("""
