@@ -81,3 +81,54 @@ def test_pruned_search_of_odd_rows(spark):
     zero = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 1.0])], schema)  # cosine with a zero vector: block pairs
     found = {(r["src"], r["dst"]): r["dist"] for r in knn.knn_join(zero, "id", "v", 2, "cosine", pruned=True).collect()}
     assert found[(1, 2)] == 1.0 and abs(found[(2, 3)] - (1 - 0.5 ** 0.5)) < 1e-12
+
+
+def test_vectors_without_structure_take_block_pairs_with_the_same_result(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[100:400] = x[100]  # a large group of copies
+    rows = [(int(i), v.tolist()) for i, v in zip(rng.permutation(1300) * 2, x)]
+    df = spark.createDataFrame([*rows, (9001, None), (9003, [float("nan")] + [0.0] * 63)], "id long, v array<double>").repartition(3)
+    monkeypatch.setattr(knn, "PRUNE_ABOVE", 1000)
+    monkeypatch.setattr(knn, "SLICE", 100)
+    monkeypatch.setattr(knn, "SPAN", 150)
+    monkeypatch.setattr(knn, "HELD", 2000)
+    assert not knn._has_structure(df, "id", "v", "euclidean", 20)
+    assert knn._has_structure(spark.createDataFrame(clustered(1300), "id long, v array<double>"), "id", "v", "euclidean", 7)
+
+    def refused(*a, **k):
+        raise AssertionError("all units would be visited")
+    monkeypatch.setattr(knn, "Partitions", refused)
+    found = {}
+    for r in knn.knn_join(df, "id", "v", 20).collect():
+        found.setdefault(r["src"], []).append((r["rank"], r["dst"], r["dist"]))
+    ids, dist = all_pairs(rows, "euclidean")
+    assert set(found) == set(ids.tolist())
+    for i, src in enumerate(ids.tolist()):
+        order = np.lexsort((ids, dist[i]))[:20]
+        got = sorted(found[src])
+        assert [d for _, d, _ in got] == ids[order].tolist() and [d for _, _, d in got] == dist[i][order].tolist()
+
+
+def test_copies_of_each_row_do_not_grow_with_the_table():
+    assert knn._knn_blocks(100_000, 12) == knn._knn_blocks(600_000, 12) == knn._knn_blocks(1_000_000, 12) == knn.BLOCKS
+    assert knn._knn_blocks(0, 12) == knn._knn_blocks(60, 12) == 1 and 2_000_000 / knn._knn_blocks(2_000_000, 12) <= knn.MAX_BLOCK_ROWS
+
+
+def test_rows_of_a_scan_in_one_task_are_spread(spark):
+    from pyspark.sql import functions as F
+    one = spark.range(0, 100_000, 1, 1).select("id", F.array(F.pmod(F.hash("id"), F.lit(50)).cast("double"), (F.col("id") % 997) / 10.0).alias("v"))
+    parts = knn.Partitions(one, "id", "v", "euclidean", 5, 2000)
+    assert parts.rows.rdd.getNumPartitions() > 1 and parts.size == 100_000
+
+
+@pytest.mark.parametrize("name", ["gr23_concat_layers", "tri6_triage_report"])
+def test_queries_build_one_graph_once(spark, monkeypatch, name):
+    from paths import SF_SMALL
+
+    import __spark_entry__ as entry
+    calls, build = [], knn.knn_graph
+    monkeypatch.setattr(knn, "knn_graph", lambda *a, **k: calls.append(a) or build(*a, **k))
+    assert entry.queries()[name](spark, SF_SMALL).count() > 0
+    assert len(calls) == 1
