@@ -132,3 +132,40 @@ def test_queries_build_one_graph_once(spark, monkeypatch, name):
     monkeypatch.setattr(knn, "knn_graph", lambda *a, **k: calls.append(a) or build(*a, **k))
     assert entry.queries()[name](spark, SF_SMALL).count() > 0
     assert len(calls) == 1
+
+
+def test_single_precision_bounds_lose_no_neighbour():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(700, 9))
+    x[:40] = x[0] + rng.normal(size=(40, 9)) * 1e-9  # closer than single precision tells
+    ids = rng.permutation(700)
+    for metric, scale, shift in (("euclidean", 1.0, 0.0), ("euclidean", 1e-30, 0.0), ("euclidean", 1e25, 0.0), ("euclidean", 1.0, 1e6), ("cosine", 1e-30, 0.0)):
+        v = x * scale + shift
+        bound = knn._kth_bound(ids, v, 6, metric, True)
+        a, b = np.arange(350), np.arange(350, 700)
+        found = knn._k_within(ids[a], v[a], bound[a], ids[b], v[b], bound[b], 6, metric, True)
+        own = [knn._k_within(ids[p], v[p], bound[p], ids[p], v[p], None, 6, metric, True) for p in (a, b)]
+        lists = {}
+        for pairs in (found, *own):
+            for s, d in zip(pairs["src"], pairs["dist"]):
+                lists.setdefault(s, []).append(d)
+        u = v / np.linalg.norm(v, axis=1, keepdims=True)
+        dist = 1 - u @ u.T if metric == "cosine" else np.linalg.norm(v[:, None] - v[None], axis=2)
+        np.fill_diagonal(dist, np.inf)
+        got, want = np.array([sorted(lists[i])[:6] for i in ids]), np.sort(dist, axis=1)[:, :6]
+        assert np.allclose(got, want, rtol=1e-9, atol=1e-14), (metric, scale, shift)
+
+
+def test_true_positions_of_odd_sizes():
+    rng = np.random.default_rng(6)
+    for shape in ((1, 1), (3, 5), (8, 16), (13, 41)):
+        mask = rng.random(shape) < 0.1
+        assert sorted(knn._true_at(mask)) == np.flatnonzero(mask).tolist()
+
+
+def test_block_pairs_are_not_put_into_few_tasks(spark):
+    """Their work is not in their bytes, by which Spark would join small partitions."""
+    df = spark.createDataFrame(clustered(600), "id long, v array<double>")
+    found = knn._tiled_knn(df, "id", "v", 3, "euclidean", 6, True)
+    found.collect()
+    assert found.rdd.getNumPartitions() >= 21
