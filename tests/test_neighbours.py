@@ -116,6 +116,34 @@ def test_copies_of_each_row_do_not_grow_with_the_table():
     assert knn._knn_blocks(0, 12) == knn._knn_blocks(60, 12) == 1 and 2_000_000 / knn._knn_blocks(2_000_000, 12) <= knn.MAX_BLOCK_ROWS
 
 
+def test_copies_of_each_row_are_as_many_for_ten_thousand_rows_as_for_a_million():
+    assert len({knn._knn_blocks(n, 12) for n in (10_256, 51_282, 102_564, 615_384, 1_000_000)}) == 1
+    assert knn._knn_blocks(615_384, 12) < 16
+
+
+def test_only_pairs_that_may_be_nearest_are_computed_exactly(monkeypatch):
+    """Ties, repeated ids and wide bounds included, the k nearest of both sides are those of all pairs."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16)).round(1)
+    x[5:60], x[1600:1650] = x[5], x[5]  # copies on both sides
+    ids = rng.permutation(3000)
+    ids[10], ids[1700] = ids[11], ids[1701]
+    a, b = np.arange(1500), np.arange(1500, 3000)
+    wide = np.where(rng.random(3000) < 0.01, np.inf, 40.0)
+    done, exact = [], knn._pair_distances
+    monkeypatch.setattr(knn, "_pair_distances", lambda x, y, i, j, m: done.append(len(i)) or exact(x, y, i, j, m))
+    monkeypatch.setattr(knn, "HELD", 50_000)
+    found = knn._k_within(ids[a], x[a], wide[a], ids[b], x[b], wide[b], 4, "euclidean", True)
+    dist = np.stack([exact(x[b], x[a], b - 1500, np.full(1500, i), "euclidean") for i in a])
+    assert sum(done) < dist[dist * dist < 40].size / 4
+    want = []
+    for mine, theirs, d in ((a, b, dist), (b, a, dist.T)):
+        for i, row in zip(mine, d):
+            order = np.lexsort((ids[theirs], row))[:4]
+            want += [(ids[i], ids[theirs][j], row[j]) for j in order if row[j] * row[j] <= wide[i]]
+    assert sorted(zip(found["src"], found["dst"], found["dist"])) == sorted(want)
+
+
 def test_rows_of_a_scan_in_one_task_are_spread(spark):
     from pyspark.sql import functions as F
     one = spark.range(0, 100_000, 1, 1).select("id", F.array(F.pmod(F.hash("id"), F.lit(50)).cast("double"), (F.col("id") % 997) / 10.0).alias("v"))
