@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.operators import knn
+from flowlens.plans import registry
 
 
 def clustered(n=1500, dims=6, seed=3):
@@ -197,3 +199,39 @@ def test_block_pairs_are_not_put_into_few_tasks(spark):
     found = knn._tiled_knn(df, "id", "v", 3, "euclidean", 6, True)
     found.collect()
     assert found.rdd.getNumPartitions() >= 21
+
+
+def test_radius_search_emits_lists_and_deals_its_groups_to_many_tasks(spark):
+    rows = [(i, [float(i % 40), float(i // 40)]) for i in range(1000)]
+    near = knn.radius_join(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v", 5.5, pruned=True, unit_rows=16)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 2 and "Generate posexplode" in plan  # a row's partners leave Python as one row
+    assert "REPARTITION_BY_NUM" in plan
+    got = sorted((r["src"], r["dst"], r["dist"]) for r in near.collect())
+    x = np.array([v for _, v in rows])
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(dist, np.inf)
+    i, j = np.nonzero(dist < 5.5)
+    assert len(got) > 60_000 and got == sorted(zip(i.tolist(), j.tolist(), dist[i, j].tolist()))
+
+
+def test_radius_search_of_repeated_and_missing_ids(spark):
+    rows = [(1, [0.0, 0.0]), (1, [0.5, 0.0]), (2, [1.0, 0.0]), (None, [0.0, 1.0]), (None, [0.0, 0.5]), (3, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    ids = [knn.NO_ID if i is None else i for i, _ in rows]
+    x = np.array([v for _, v in rows])
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = sorted((ids[a], ids[b]) for a, b in zip(*np.nonzero(dist < 2)) if ids[a] != ids[b] or ids[a] == knn.NO_ID)
+    for unit_rows in (4, 100):
+        got = knn.radius_join(df, "id", "v", 2.0, pruned=True, unit_rows=unit_rows).collect()
+        assert sorted((r["src"], r["dst"]) for r in got) == want
+
+
+def test_quick_rounding_equals_round(spark):
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.uniform(0, 5, 20_000), rng.integers(0, 5_000_000, 20_000) / 1e6 + 5e-7, -rng.uniform(0, 5, 1000), 10.0 ** rng.uniform(-9, 18, 5000),
+                             [0.0, -0.0, 1.0000005, 2.6750005, 1e-7, 5e-7, 1e300, np.inf, -np.inf, np.nan]])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+    for digits in (0, 2, 6):
+        both = df.select("x", F.round("x", digits).alias("want"), registry.round_quickly(F.col("x"), digits).alias("got"))
+        assert both.where(~F.col("want").eqNullSafe(F.col("got"))).collect() == []
