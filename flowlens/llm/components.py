@@ -60,7 +60,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds (each node's larger, then smaller,
     neighbours move to the smallest one) until the links stop changing; the
-    number of links never grows.  Minima are taken by a map-side combined
+    number of links never grows.  No side of a join is broadcast: links on disk
+    are a fraction of their size in memory.  Minima are taken by a map-side combined
     aggregate and joined back, so a hub is never gathered in one task.  An
     empty table gives an empty result; self links are ignored.
     """
@@ -69,10 +70,10 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         low2 = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = (down.join(low2, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = (down.join(low2.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(low2.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
         links = stored(small, "links")
         now = tuple(links.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.sum(F.xxhash64("a", "b") % 1000003)).first())

@@ -139,7 +139,8 @@ def fingerprint_links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         raise ValueError("the covering radius is chosen for at most 3 differing bits")
     copies = map_batches(fps.select("fp", F.col("node").cast("long").alias("node")), replicate, "anchor long, fp long, node long, home boolean", rows=4000)
     size = copies.groupBy("anchor").agg(F.count("*").alias("n"), F.max(F.col("home").cast("int")).alias("homes")).where("n > 1 and homes = 1").select("anchor", "n")
-    copies = stored(copies.join(size, "anchor"), "anchors")
+    # 32 copies a row: Spark sizes them as their one row and would send them all to the driver, so no side is broadcast
+    copies = stored(copies.join(size.hint("merge"), "anchor"), "anchors")
     plain = (copies.where(F.col("n") <= HOT_BUCKET).select("anchor", "fp", "node", "home")
              .repartition("anchor").sortWithinPartitions("anchor")
              .mapInArrow(lambda b: compare(b, ["anchor"], max_bits), "a long, b long"))
@@ -164,8 +165,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")), "distinct")
     comp = components(fingerprint_links(fps.where("node is not null"), max_bits))
-    named = fps.join(comp, "node", "left").where("n > 1 or component is not null").select("fp", F.coalesce("component", "node").alias("c"))
-    return rows.join(named, "fp", "left").select("doc_id", "fp", F.coalesce("c", "doc_id").alias("component_id"))
+    named = fps.join(comp.hint("merge"), "node", "left").where("n > 1 or component is not null").select("fp", F.coalesce("component", "node").alias("c"))
+    return rows.join(named.hint("merge"), "fp", "left").select("doc_id", "fp", F.coalesce("c", "doc_id").alias("component_id"))
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:

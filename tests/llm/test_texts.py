@@ -281,6 +281,23 @@ def test_simhash_keeps_one_of_each_group(spark):
     assert sorted((tuple(r)[:2] for r in kept.collect()), key=key) == sorted([rows[4], rows[0], rows[1], rows[2], rows[5]], key=key)
 
 
+def test_simhash_broadcasts_no_table_that_grows(spark, monkeypatch):
+    from flowlens.llm import components
+    plans = []
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return common.stored(df, name)
+    monkeypatch.setattr(simhash, "stored", seen)
+    monkeypatch.setattr(components, "stored", seen)
+    docs = spark.createDataFrame([(i, f"one two three four {i // 2} five six") for i in range(20)], "doc_id long, text string")
+    out = simhash.simhash_groups(docs)
+    plans.append(("out", out._jdf.queryExecution().executedPlan().toString()))
+    assert out.where("component_id <> doc_id").count() >= 10
+    assert {"anchors", "links", "out"} <= {n for n, _ in plans}
+    assert [n for n, p in plans if "Broadcast" in p] == []
+
+
 def test_simhash_empty(nothing):
     assert simhash.simhash_groups(nothing).count() == 0
 
