@@ -34,8 +34,7 @@ def combine(dfs: list[DataFrame], order: list[str] | None = None, renumber: str
             out = out.withColumnRenamed(renumber, f"_{renumber}_old")
             if not order:
                 keys = ["_part", f"_{renumber}_old"]
-        out = dense_index(out, keys, renumber)
-        out = out.drop(f"_{renumber}_old")
+        out = dense_index(out, keys, renumber, drop=[f"_{renumber}_old"] if f"_{renumber}_old" in out.columns else None)
     return out.drop("_part")
 
 

@@ -313,3 +313,99 @@ def test_fixed_tables_have_their_values():
     assert (c.ATTACK_FAMILIES["Theft"], c.ATTACK_FAMILIES["Benign"], c.ATTACK_FAMILIES["Brute Force"]) == ("Information_Theft", "Normal", "Brute_Force")
     assert (c.MASK_IP_LOW, c.MASK_IP_HIGH) == (0xAC100001, 0xAC1F0001) and c.NSL_CLASSES == {"normal": 0, "neptune": 1}
     assert {k: v[:2] for k, v in sm.TIERS.items()} == {"1/10": (0.01, 0.10), "0.1/5": (0.001, 0.05)}
+
+
+def test_stored_keeps_rows_and_names_and_no_shuffle_files(spark, tmp_path):
+    import glob
+    import time
+
+    from flowlens.session import forget, stored
+    df = spark.createDataFrame([(i % 3, f"k{i}", None if i % 2 else 1.5, [1.0, float(i)]) for i in range(40)], "`a b;{}` int, B string, b double, v array<double>")
+    df = df.repartition(5, "v")
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in local for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+    def gone(before):
+        for _ in range(50):
+            if not files() - before:
+                return True
+            time.sleep(0.1)
+        return False
+    before = files()
+    out = stored(df)
+    assert gone(before)
+    assert out.columns == df.columns and out.dtypes == df.dtypes
+    assert sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+    before = files()
+    grouped = stored(df.groupBy("v").count())
+    assert gone(before) and grouped.count() == 40
+    path = out._stored_at.removeprefix("file:")
+    assert os.path.isdir(path)
+    forget(out)
+    assert not os.path.exists(path)
+
+
+def test_adapters_number_only_the_columns_that_are_read(spark, monkeypatch):
+    from flowlens import session
+    from flowlens.operators import adapters as ad
+    from flowlens.operators import graph as gr
+    rows = [("10.0.0.1", 1, "10.0.0.2", 80, 6, 1.0, 10.0 + i, 2.0, i, i, 0, 5.0, i % 2, "DoS" if i % 2 else "Normal", f"k{i * 7 % 30:02}") for i in range(30)]
+    raw = spark.createDataFrame(rows, "IPV4_SRC_ADDR string, L4_SRC_PORT int, IPV4_DST_ADDR string, L4_DST_PORT int, PROTOCOL int, L7_PROTO double, IN_BYTES double, "
+                                "OUT_BYTES double, IN_PKTS int, OUT_PKTS int, TCP_FLAGS int, FLOW_DURATION_MILLISECONDS double, Label int, Attack string, flow_key string")
+    wide = ad.adapt_netflow(raw).select("attack_type", "flow_id")
+    kept, whole = [], session.stored
+    monkeypatch.setattr(session, "stored", lambda df: kept.append(df.columns) or whole(df))
+    slim = ad.adapt_netflow(raw, only=["attack_type"])
+    assert slim.columns == ["attack_type", "flow_id"] and sorted(slim.collect()) == sorted(wide.collect())
+    assert kept == [["attack_type", "__pid", "__pos"]]
+    edges = spark.createDataFrame([(f"e{i:02}", f"s{i}", f"d{i}", [float(i)]) for i in range(12)], "eid string, src string, dst string, h array<double>")
+    kept.clear()
+    out = gr.permute_features(edges, "eid").collect()
+    assert [set(k) - {"__pid", "__pos"} for k in kept] == [{"eid", "src", "dst"}, {"h"}]
+    import hashlib
+    order = sorted(range(12), key=lambda i: hashlib.md5(f"42:e{i:02}".encode()).hexdigest())
+    assert {r.eid: r.h for r in out} == {f"e{i:02}": [float(j)] for i, j in enumerate(order)}
+
+
+def test_auc_over_many_runs_ties_and_groups(spark):
+    import numpy as np
+
+    from flowlens.operators.evaluate import auc
+    rng = np.random.default_rng(3)
+    rows = [(g, int(rng.random() < 0.3), float(rng.integers(0, 50)) / 7 if g == "a" else float(rng.normal())) for g in ("a", "b", "c") for _ in range(700)]
+    rows += [("c", 1, None), ("c", 0, None), ("c", 1, float("nan"))]
+    rows = [(g, 1 if g == "b" else y, s) for g, y, s in rows]
+    df = spark.createDataFrame(rows, "g string, y int, s double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 17)
+    try:
+        got = {r.g: r.auc for r in auc(df, "y", "s", "g").collect()}
+        one = auc(df.filter("g = 'a'"), "y", "s").first().auc
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def want(g):
+        key = [(-np.inf if s is None else np.inf if s != s else s, y) for h, y, s in rows if h == g]
+        p, n = [s for s, y in key if y], [s for s, y in key if not y]
+        return np.mean([(a > b) + 0.5 * (a == b) for a in p for b in n])
+    assert got["b"] is None
+    assert abs(got["a"] - want("a")) < 1e-12 and abs(got["c"] - want("c")) < 1e-12 and one == got["a"]
+
+
+def test_graph_sweep_stores_one_scored_graph_at_a_time(spark, monkeypatch):
+    from flowlens.operators import robust as rb
+    e = spark.createDataFrame([(f"e{i}", f"s{i % 4}", f"d{i % 3}", [float(i % 5), 1.0], i % 2) for i in range(40)],
+                              "eid string, src string, dst string, h array<double>, binary_label int")
+    there, most, keep, drop = set(), [], rb.stored, rb.forget
+
+    def put(df):
+        out = keep(df)
+        if "pred" in df.columns:
+            there.add(out._stored_at)
+            most.append(len(there))
+        return out
+    monkeypatch.setattr(rb, "stored", put)
+    monkeypatch.setattr(rb, "forget", lambda df: there.discard(df._stored_at) or drop(df))
+    res = rb.graph_sweep(e, [0.5, -0.3], [0.4, 0.2], [-0.2, 0.3], -0.5, [("pgd", 0.3), ("remove", 0.2), ("inject", 0.3)]).collect()
+    assert sorted(r.perturbation for r in res) == ["clean", "inject", "pgd", "remove"] and most == [1, 1, 1, 1] and not there
+    assert all(0 <= r.accuracy <= 1 and 0 <= r.auc <= 1 for r in res)
