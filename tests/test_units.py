@@ -409,3 +409,40 @@ def test_graph_sweep_stores_one_scored_graph_at_a_time(spark, monkeypatch):
     res = rb.graph_sweep(e, [0.5, -0.3], [0.4, 0.2], [-0.2, 0.3], -0.5, [("pgd", 0.3), ("remove", 0.2), ("inject", 0.3)]).collect()
     assert sorted(r.perturbation for r in res) == ["clean", "inject", "pgd", "remove"] and most == [1, 1, 1, 1] and not there
     assert all(0 <= r.accuracy <= 1 and 0 <= r.auc <= 1 for r in res)
+
+
+def test_quantiles_of_many_rows_sort_only_the_values_near_them(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(5)
+    sets = [rng.normal(size=30000) ** 5, np.concatenate([np.full(20000, 2.5), rng.random(10000)]), np.repeat([1.0, 7.0], 15000),
+            np.concatenate([rng.random(29000), np.full(1000, np.inf)])]
+    qs, sorted_rows, whole = [0.0, 0.5, 0.8, 0.95, 0.999, 1.0], [], nb._ranged
+    monkeypatch.setattr(nb, "BRACKET_ABOVE", 1000)
+    monkeypatch.setattr(nb, "BRACKET_ACCURACY", 2000)
+    monkeypatch.setattr(nb, "_ranged", lambda df, *a: sorted_rows.append(df.count()) or whole(df, *a))
+    for x in sets:
+        df = spark.createDataFrame([(float(v),) for v in rng.permutation(x)] + [(None,)], "s double")
+        got = nb.exact_quantiles(df, "s", qs).first().quantiles
+        want = np.sort(x)
+        for g, q in zip(got, qs):
+            h = (len(x) - 1) * q
+            lo, hi = want[int(np.floor(h))], want[int(np.ceil(h))]
+            assert g == lo + (h - np.floor(h)) * (hi - lo) or (np.isnan(g) and np.isinf(lo))
+    assert max(sorted_rows) < 1000
+    monkeypatch.setattr(nb, "_brackets", lambda *a: None)  # a sketch that missed
+    assert nb.exact_quantiles(df, "s", [0.5]).first().quantiles[0] == np.sort(x)[14999:15001].mean()
+
+
+def test_a_small_hash_sample_takes_one_pass(spark, monkeypatch):
+    import hashlib
+    keys = [f"k{i % 90}" for i in range(100)]  # ten keys twice
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    order = sorted(keys, key=lambda k: (hashlib.md5(f"42:{k}".encode()).hexdigest(), k))
+    sizes = {}
+    for n in (1, 30, 100, 130):
+        old = nb.mark_first_n(df, [], lambda c: c.select(F.lit(n).cast("bigint").alias("n")), "k").filter("_in").select("k").collect()
+        sizes[n] = sorted(r.k for r in old)
+    monkeypatch.setattr(nb, "mark_first_n", None)
+    for n, want in sizes.items():
+        got = sorted(r.k for r in nb.hash_rank_flag(df, n, "k").filter("_in").select("k").collect())
+        assert got == want and set(got) == set(order[:n])
