@@ -235,3 +235,21 @@ def test_quick_rounding_equals_round(spark):
     for digits in (0, 2, 6):
         both = df.select("x", F.round("x", digits).alias("want"), registry.round_quickly(F.col("x"), digits).alias("got"))
         assert both.where(~F.col("want").eqNullSafe(F.col("got"))).collect() == []
+
+
+def test_radius_of_many_units_takes_block_pairs(spark, monkeypatch):
+    from flowlens.operators import knn
+    rng = np.random.default_rng(9)
+    taken, tiled = [], knn._tiled_radius
+    monkeypatch.setattr(knn, "_tiled_radius", lambda *a: taken.append(1) or tiled(*a))
+    for x, eps, metric in ((np.round(rng.random((900, 2)) * 30, 1), 12.0, "euclidean"), (rng.normal(size=(900, 24)), 5.5, "euclidean"), (rng.normal(size=(900, 24)), 0.8, "cosine")):
+        ids = [None, None, 7, 7, *range(100, 996)]
+        df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in zip(ids, x)] + [(5, None)], "id long, v array<double>")
+        want = []
+        d = knn._distances(x, x, metric)
+        for i, j in zip(*np.nonzero(d < eps)):
+            if ids[i] is None or ids[i] != ids[j]:
+                want.append((ids[i] if ids[i] is not None else knn.NO_ID, ids[j] if ids[j] is not None else knn.NO_ID, round(d[i, j], 9)))
+        got = knn.radius_join(df, "id", "v", eps, metric, pruned=True, unit_rows=8)
+        assert sorted((r.src, r.dst, round(r.dist, 9)) for r in got.collect()) == sorted(want) and len(want) > 5000
+    assert len(taken) == 3
